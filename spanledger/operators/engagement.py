@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanledger.functions.measures import mean_half_up, pct, rank_desc, ratio_half_up
-from spanledger.plans.relations import churn_status, usage_per_account
+from spanledger.plans.relations import churn_status, usage_per_account, usage_totals
 
 
 def _totals() -> dict[str, Column]:
@@ -50,7 +50,7 @@ def top_features(by_account: DataFrame) -> DataFrame:
 def eng_feature_errors(usage: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Features by errors, with the error rate per use."""
     return (
-        usage_by_feature_account(usage, subscriptions)
+        usage_totals(usage, subscriptions, _totals(), ["feature_name"])
         .groupBy("feature_name")
         .agg(
             _sum("errors").alias("total_errors"),
@@ -127,10 +127,14 @@ def summary_by_churn(by_account: DataFrame, churn: DataFrame) -> DataFrame:
 
 def eng_reconcile(usage: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Features, and usage rows that survive the join to their record."""
-    per_feature = usage_per_account(usage, subscriptions, {"events": F.count("*")}, ["feature_name"])
-    return per_feature.agg(
-        F.countDistinct("feature_name").alias("distinct_features"),
-        F.coalesce(_sum("events"), F.lit(0)).alias("total_usage_events_after_join"),
+    return (
+        usage_totals(usage, subscriptions, {"events": F.count("*")}, ["feature_name"])
+        .groupBy("feature_name")
+        .agg(_sum("events").alias("events"))
+        .agg(
+            F.count("feature_name").alias("distinct_features"),
+            F.coalesce(_sum("events"), F.lit(0)).alias("total_usage_events_after_join"),
+        )
     )
 
 

@@ -471,8 +471,8 @@ STATEMENTS: dict[str, str] = {
                {_pct('sum(trial * (1 - only_trial))', 'sum(trial)')} as conversion_rate_pct
         from holdings join cohorts using (account_id) group by cohort""",
     "conv_reconcile": f"""
-        select {_big('sum(case when is_trial then 1 else 0 end)', 'trial_records_check')},
-               {_big('sum(case when is_trial then 0 else 1 end)', 'paid_records_check')} from subscriptions""",
+        select {_big('count(*) filter (is_trial)', 'trial_records_check')},
+               {_big('count(*) filter (not is_trial)', 'paid_records_check')} from subscriptions""",
     "ret_matrix": f"""
         select strftime(cohort, '%Y-%m') as cohort_month, m as months_since_signup, cohort_size,
                {_big('count(distinct account_id)', 'active_accounts')},

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,23 +32,32 @@ def usage_with_account(usage: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return usage.join(bridge, "subscription_id")
 
 
-def usage_per_account(
+def usage_totals(
     usage: DataFrame,
     subscriptions: DataFrame,
-    totals: dict[str, Column],
+    totals: Mapping[str, Column],
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """Usage totals per account, and per ``by`` column, over ``usage_with_account``.
+    """Usage totals per subscription record, and per ``by`` column, with the account.
 
-    Totals are taken per subscription record before the join and again per
-    account after it, so a record or account with very many events enters each
-    shuffle as a few combined rows.
+    Totals are taken before the join, so a record with very many events enters
+    it as a few combined rows.
     """
     per_record = usage.groupBy("subscription_id", *by).agg(
         *[total.alias(name) for name, total in totals.items()]
     )
+    return usage_with_account(per_record, subscriptions)
+
+
+def usage_per_account(
+    usage: DataFrame,
+    subscriptions: DataFrame,
+    totals: Mapping[str, Column],
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """Usage totals per account, and per ``by`` column."""
     return (
-        usage_with_account(per_record, subscriptions)
+        usage_totals(usage, subscriptions, totals, by)
         .groupBy(*by, "account_id")
         .agg(*[F.sum(name).alias(name) for name in totals])
     )

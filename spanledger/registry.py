@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +36,46 @@ EXPECTED_CHURNED_ACCOUNTS = 352
 
 
 class Inputs:
-    """The lifecycle tables under a folder; each is planned only when a query asks for it."""
+    """The five lifecycle tables, and what several operators take besides them."""
+
+    def __init__(self, tables: Mapping[str, DataFrame]) -> None:
+        self.accounts = tables["accounts"]
+        self.subscriptions = tables["subscriptions"]
+        self.usage = tables["feature_usage"]
+        self.tickets = tables["support_tickets"]
+        self.churn = tables["churn_events"]
+
+    @property
+    def profiles(self) -> DataFrame:
+        """Accounts, for operators that do not use the signup date."""
+        return self.accounts
+
+    @cached_property
+    def spine(self) -> DataFrame:
+        return sp.calendar_month_spine(self.accounts, self.subscriptions, self.usage, self.churn)
+
+    @cached_property
+    def tables(self) -> dict[str, DataFrame]:
+        return {
+            "accounts": self.profiles,
+            "subscriptions": self.subscriptions,
+            "feature_usage": self.usage,
+            "support_tickets": self.tickets,
+            "churn_events": self.churn,
+        }
+
+    def marts(self) -> dict[str, DataFrame]:
+        return {
+            "acq_monthly": acq.acq_monthly(self.accounts, _signup_spine(self)),
+            "churn_repeat_summary": ch.churn_repeat_summary(self.churn),
+            "conv_subscription_overall": conv.conv_subscription_overall(self.subscriptions),
+            "mrr_monthly": rev.mrr_monthly(self.subscriptions),
+            "ret_pooled_curve": ret.ret_pooled_curve(self.accounts, self.subscriptions),
+        }
+
+
+class StarInputs(Inputs):
+    """The tables derived from the order tables, each planned only when asked for."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
@@ -47,7 +86,7 @@ class Inputs:
 
     @cached_property
     def profiles(self) -> DataFrame:
-        """Accounts without the signup date, which alone needs a scan of the orders."""
+        """Without the signup date, which alone needs a scan of the orders."""
         return star.accounts(self.spark, self.folder, signup=False)
 
     @cached_property
@@ -66,31 +105,6 @@ class Inputs:
     def churn(self) -> DataFrame:
         return star.churn_events(self.spark, self.folder)
 
-    @cached_property
-    def spine(self) -> DataFrame:
-        return sp.calendar_month_spine(self.accounts, self.subscriptions, self.usage, self.churn)
-
-    @property
-    def tables(self) -> dict[str, DataFrame]:
-        """All five tables, for operators that use no signup date."""
-        return {
-            "accounts": self.profiles,
-            "subscriptions": self.subscriptions,
-            "feature_usage": self.usage,
-            "support_tickets": self.tickets,
-            "churn_events": self.churn,
-        }
-
-    def marts(self) -> dict[str, DataFrame]:
-        signup_spine = sp.calendar_month_spine(self.accounts, self.subscriptions)
-        return {
-            "acq_monthly": acq.acq_monthly(self.accounts, signup_spine),
-            "churn_repeat_summary": ch.churn_repeat_summary(self.churn),
-            "conv_subscription_overall": conv.conv_subscription_overall(self.subscriptions),
-            "mrr_monthly": rev.mrr_monthly(self.subscriptions),
-            "ret_pooled_curve": ret.ret_pooled_curve(self.accounts, self.subscriptions),
-        }
-
 
 def _signup_spine(i: Inputs) -> DataFrame:
     return sp.calendar_month_spine(i.accounts, i.subscriptions)
@@ -216,6 +230,6 @@ def decimals_as_double(df: DataFrame) -> DataFrame:
 
 def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return decimals_as_double(OPERATORS[name](Inputs(spark, folder)))
+        return decimals_as_double(OPERATORS[name](StarInputs(spark, folder)))
 
     return run

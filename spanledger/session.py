@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Recording the Python line of every column costs several driver calls each.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -7,7 +7,7 @@ usage event, an event a support ticket, and every ninth order a churn event.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SOURCE_SCHEMAS = {
@@ -26,124 +26,100 @@ def _source(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(_SOURCE_SCHEMAS[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def _pick(key: Column, values: dict, otherwise: str) -> Column:
-    choice = None
-    for match, label in values.items():
-        choice = F.when(key == match, label) if choice is None else choice.when(key == match, label)
-    return choice.otherwise(otherwise)
-
-
-def _every(key: str, n: int) -> Column:
-    return F.col(key) % n == 0
-
-
-def _whole_part(amount: Column) -> Column:
-    return F.floor(amount).cast("bigint")
-
-
 def accounts(spark: SparkSession, folder: str, signup: bool = True) -> DataFrame:
     """Accounts; ``signup=False`` leaves out ``signup_date`` and with it the scan of orders."""
-    nation = _source(spark, folder, "nation").select(
-        F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("country")
+    nation = _source(spark, folder, "nation").selectExpr(
+        "n_nationkey AS c_nationkey", "n_name AS country"
     )
     customers = _source(spark, folder, "customer").join(nation, "c_nationkey")
-    columns = {
-        "account_id": F.col("c_custkey"),
-        "account_name": F.col("c_name"),
-        "industry": F.col("c_mktsegment"),
-        "country": F.col("country"),
-        "referral_source": _pick(
-            F.col("c_nationkey") % 5, {0: "organic", 1: "other", 2: "ads", 3: "event"}, "partner"
-        ),
-        "plan_tier": _pick(_whole_part(F.abs("c_acctbal")) % 3, {0: "Basic", 1: "Pro"}, "Enterprise"),
-        "seats": (1 + F.col("c_custkey") % 50).cast("int"),
-        "is_trial": _every("c_custkey", 5),
-        "churn_flag": _every("c_custkey", 4),
-    }
+    columns = [
+        "c_custkey AS account_id",
+        "c_name AS account_name",
+        "c_mktsegment AS industry",
+        "country",
+        "element_at(array('organic', 'other', 'ads', 'event', 'partner'), c_nationkey % 5 + 1) AS referral_source",
+        "CASE floor(abs(c_acctbal)) % 3 WHEN 0 THEN 'Basic' WHEN 1 THEN 'Pro' ELSE 'Enterprise' END AS plan_tier",
+        "int(1 + c_custkey % 50) AS seats",
+        "c_custkey % 5 = 0 AS is_trial",
+        "c_custkey % 4 = 0 AS churn_flag",
+    ]
     if signup:
         first_order = (
             _source(spark, folder, "orders")
             .groupBy(F.col("o_custkey").alias("c_custkey"))
-            .agg(F.min("o_orderdate").cast("date").alias("first_order"))
+            .agg(F.min("o_orderdate").alias("first_order"))
         )
         customers = customers.join(first_order, "c_custkey", "left")
-        columns["signup_date"] = F.date_sub(
-            F.coalesce("first_order", F.lit("1995-01-01").cast("date")),
-            (F.col("c_custkey") % 430).cast("int"),
+        columns.append(
+            "date_sub(coalesce(date(first_order), date '1995-01-01'), int(c_custkey % 430)) AS signup_date"
         )
-    return customers.select([column.alias(name) for name, column in columns.items()])
+    return customers.selectExpr(*columns)
 
 
 def subscriptions(spark: SparkSession, folder: str) -> DataFrame:
-    key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
-    trial = F.col("o_orderpriority") == "5-LOW"
-    mrr = F.when(trial, F.lit(0)).otherwise(_whole_part(F.col("o_totalprice") / 100))
-    return _source(spark, folder, "orders").select(
-        key.alias("subscription_id"),
-        F.col("o_custkey").alias("account_id"),
-        day.alias("start_date"),
-        F.when(key % 10 == 0, F.date_add(day, (key % 365).cast("int"))).alias("end_date"),
-        _pick(F.col("o_orderstatus"), {"F": "Basic", "O": "Pro"}, "Enterprise").alias("plan_tier"),
-        (1 + key % 50).cast("int").alias("seats"),
-        mrr.cast("decimal(12,2)").alias("mrr_amount"),
-        (12 * mrr).cast("decimal(12,2)").alias("arr_amount"),
-        trial.alias("is_trial"),
-        _every("o_orderkey", 7).alias("upgrade_flag"),
-        _every("o_orderkey", 11).alias("downgrade_flag"),
-        _every("o_orderkey", 10).alias("churn_flag"),
-        _pick(key % 2, {0: "monthly"}, "annual").alias("billing_frequency"),
-        (key % 5 != 0).alias("auto_renew_flag"),
+    mrr = "if(o_orderpriority = '5-LOW', 0, floor(o_totalprice / 100))"
+    return _source(spark, folder, "orders").selectExpr(
+        "o_orderkey AS subscription_id",
+        "o_custkey AS account_id",
+        "date(o_orderdate) AS start_date",
+        "if(o_orderkey % 10 = 0, date_add(date(o_orderdate), int(o_orderkey % 365)), NULL) AS end_date",
+        "CASE o_orderstatus WHEN 'F' THEN 'Basic' WHEN 'O' THEN 'Pro' ELSE 'Enterprise' END AS plan_tier",
+        "int(1 + o_orderkey % 50) AS seats",
+        f"cast({mrr} AS decimal(12,2)) AS mrr_amount",
+        f"cast(12 * {mrr} AS decimal(12,2)) AS arr_amount",
+        "o_orderpriority = '5-LOW' AS is_trial",
+        "o_orderkey % 7 = 0 AS upgrade_flag",
+        "o_orderkey % 11 = 0 AS downgrade_flag",
+        "o_orderkey % 10 = 0 AS churn_flag",
+        "if(o_orderkey % 2 = 0, 'monthly', 'annual') AS billing_frequency",
+        "o_orderkey % 5 <> 0 AS auto_renew_flag",
     )
 
 
 def feature_usage(spark: SparkSession, folder: str) -> DataFrame:
-    part = F.col("l_partkey")
-    return _source(spark, folder, "lineitem").select(
-        F.concat(F.lit("U"), "l_orderkey", F.lit("-"), "l_linenumber").alias("usage_id"),
-        F.col("l_orderkey").alias("subscription_id"),
-        F.col("l_shipdate").cast("date").alias("usage_date"),
-        F.concat(F.lit("feature_"), part % 40 + 1).alias("feature_name"),
-        F.col("l_quantity").cast("int").alias("usage_count"),
-        F.floor(F.col("l_extendedprice") / 10).cast("int").alias("usage_duration_secs"),
-        F.when(part % 7 == 0, F.col("l_linenumber")).otherwise(0).alias("error_count"),
-        (F.col("l_returnflag") == "R").alias("is_beta_feature"),
+    return _source(spark, folder, "lineitem").selectExpr(
+        "concat('U', l_orderkey, '-', l_linenumber) AS usage_id",
+        "l_orderkey AS subscription_id",
+        "date(l_shipdate) AS usage_date",
+        "concat('feature_', l_partkey % 40 + 1) AS feature_name",
+        "int(l_quantity) AS usage_count",
+        "int(floor(l_extendedprice / 10)) AS usage_duration_secs",
+        "if(l_partkey % 7 = 0, l_linenumber, 0) AS error_count",
+        "l_returnflag = 'R' AS is_beta_feature",
     )
 
 
 def support_tickets(spark: SparkSession, folder: str) -> DataFrame:
-    key, value = F.col("event_id"), F.col("value")
-    return _source(spark, folder, "events").select(
-        key.alias("ticket_id"),
-        F.col("user_id").alias("account_id"),
-        F.col("ts").alias("submitted_at"),
-        F.timestamp_add("MINUTE", F.floor(value * 60).cast("int"), F.col("ts")).alias("closed_at"),
-        value.cast("decimal(10,2)").alias("resolution_time_hours"),
-        _pick(
-            F.col("event_type"), {"view": "low", "click": "medium", "signup": "high"}, "urgent"
-        ).alias("priority"),
-        (key % 180).cast("int").alias("first_response_time_minutes"),
-        F.when(key % 5 >= 2, (3 + key % 3).cast("decimal(3,1)")).alias("satisfaction_score"),
-        _every("event_id", 20).alias("escalation_flag"),
+    return _source(spark, folder, "events").selectExpr(
+        "event_id AS ticket_id",
+        "user_id AS account_id",
+        "ts AS submitted_at",
+        "timestampadd(MINUTE, int(floor(value * 60)), ts) AS closed_at",
+        "cast(value AS decimal(10,2)) AS resolution_time_hours",
+        "CASE event_type WHEN 'view' THEN 'low' WHEN 'click' THEN 'medium' "
+        "WHEN 'signup' THEN 'high' ELSE 'urgent' END AS priority",
+        "int(event_id % 180) AS first_response_time_minutes",
+        "if(event_id % 5 < 2, NULL, cast(3 + event_id % 3 AS decimal(3,1))) AS satisfaction_score",
+        "event_id % 20 = 0 AS escalation_flag",
     )
 
 
 def churn_events(spark: SparkSession, folder: str) -> DataFrame:
-    key, price = F.col("o_orderkey"), F.col("o_totalprice")
-    reasons = {0: "features", 1: "budget", 2: "support", 3: "unknown", 4: "competitor"}
-    refund = F.when(key % 2 == 0, F.floor(price / 1000)).otherwise(F.lit(0))
     return (
         _source(spark, folder, "orders")
-        .filter(key % 9 == 4)
-        .select(
-            key.alias("churn_event_id"),
-            F.col("o_custkey").alias("account_id"),
-            F.date_add(F.col("o_orderdate").cast("date"), (key % 90).cast("int")).alias("churn_date"),
-            _pick(_whole_part(price) % 6, reasons, "pricing").alias("reason_code"),
-            refund.cast("decimal(10,2)").alias("refund_amount_usd"),
-            _every("o_orderkey", 7).alias("preceding_upgrade_flag"),
-            _every("o_orderkey", 11).alias("preceding_downgrade_flag"),
-            _every("o_orderkey", 10).alias("is_reactivation"),
-            F.when(key % 4 != 0, F.col("o_orderpriority")).alias("feedback_text"),
+        .filter("o_orderkey % 9 = 4")
+        .selectExpr(
+            "o_orderkey AS churn_event_id",
+            "o_custkey AS account_id",
+            "date_add(date(o_orderdate), int(o_orderkey % 90)) AS churn_date",
+            "CASE floor(o_totalprice) % 6 WHEN 0 THEN 'features' WHEN 1 THEN 'budget' "
+            "WHEN 2 THEN 'support' WHEN 3 THEN 'unknown' WHEN 4 THEN 'competitor' "
+            "ELSE 'pricing' END AS reason_code",
+            "cast(if(o_orderkey % 2 = 0, floor(o_totalprice / 1000), 0) AS decimal(10,2)) AS refund_amount_usd",
+            "o_orderkey % 7 = 0 AS preceding_upgrade_flag",
+            "o_orderkey % 11 = 0 AS preceding_downgrade_flag",
+            "o_orderkey % 10 = 0 AS is_reactivation",
+            "if(o_orderkey % 4 = 0, NULL, o_orderpriority) AS feedback_text",
         )
     )
 
