@@ -6,9 +6,11 @@ NUMERIC gives.  Rounding a binary double instead moves some half-way cases.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
+from pyspark.sql.types import DecimalType, IntegralType
 
 _WHOLE = DecimalType(38, 0)
 
@@ -27,10 +29,26 @@ def pct(num: Column, den: Column, places: int = 1) -> Column:
     return ratio_half_up(num.cast(_WHOLE) * F.lit(100), den, places)
 
 
+def hundredths(df: DataFrame, name: str) -> Column:
+    """A column of at most two decimals as whole hundredths.
+
+    Sums of these run on longs; sums of decimals wider than 8 digits do not, and
+    are several times slower.  A finer column is refused rather than cut.
+    """
+    kind = df.schema[name].dataType
+    if not isinstance(kind, IntegralType) and not (isinstance(kind, DecimalType) and kind.scale <= 2):
+        raise TypeError(f"{name} must be a decimal of at most two places, not {kind.simpleString()}")
+    return (F.col(name) * 100).cast("bigint")
+
+
+def from_hundredths(units: Column) -> Column:
+    """Whole hundredths as a decimal of two places."""
+    return units.cast("decimal(20,0)") * F.lit(Decimal("0.01"))
+
+
 def mean_half_up(total: Column, count: Column, places: int, scale: int = 0) -> Column:
-    """Mean from a sum whose values carry ``scale`` decimals and a row count."""
-    shift = F.lit(10**scale)
-    return ratio_half_up(total * shift, count * shift, places)
+    """Mean from a row count and a sum in units of ``10 ** -scale``."""
+    return ratio_half_up(total, count * F.lit(10**scale), places)
 
 
 def share_of_total(count: Column, places: int = 1) -> Column:

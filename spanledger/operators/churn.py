@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from spanledger.functions.measures import (
     count_where,
+    from_hundredths,
+    hundredths,
     mean_half_up,
     pct,
     rank_desc,
@@ -136,12 +138,12 @@ def churn_repeat_summary(churn: DataFrame) -> DataFrame:
 
 
 def churn_refund_by_reason(churn: DataFrame) -> DataFrame:
-    refund = F.col("refund_amount_usd")
+    refund = hundredths(churn, "refund_amount_usd")
     return (
         churn.groupBy("reason_code")
         .agg(
             F.count("*").alias("churn_events"),
-            F.sum(refund).alias("total_refund_usd"),
+            from_hundredths(F.sum(refund)).alias("total_refund_usd"),
             mean_half_up(F.sum(refund), F.count(refund), 2, scale=2).alias("avg_refund_usd"),
         )
         .orderBy(F.col("total_refund_usd").desc(), "reason_code")
@@ -149,9 +151,9 @@ def churn_refund_by_reason(churn: DataFrame) -> DataFrame:
 
 
 def churn_refund_total(churn: DataFrame) -> DataFrame:
-    refund = F.col("refund_amount_usd")
+    refund = hundredths(churn, "refund_amount_usd")
     return churn.agg(
-        F.sum(refund).alias("total_refund_usd_all_events"),
+        from_hundredths(F.sum(refund)).alias("total_refund_usd_all_events"),
         mean_half_up(F.sum(refund), F.count(refund), 2, scale=2).alias("avg_refund_usd_per_event"),
     )
 

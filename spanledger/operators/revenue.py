@@ -17,7 +17,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanledger.functions.measures import sum_where
+from spanledger.functions.measures import from_hundredths, hundredths, sum_where
 from spanledger.functions.months import month_label, month_number, month_start
 from spanledger.plans.spine import last_start_month, start_months
 from spanledger.plans.steps import monthly_steps, open_spans, running_over_spine
@@ -50,11 +50,13 @@ def _by_month(df: DataFrame, *columns: Column | str) -> DataFrame:
 
 def mrr_monthly(subscriptions: DataFrame, spine: DataFrame | None = None) -> DataFrame:
     """Open records and their summed monthly amount."""
-    totals = _monthly_totals(subscriptions, spine, {"mrr": F.col("mrr_amount")})
+    totals = _monthly_totals(
+        subscriptions, spine, {"mrr": hundredths(subscriptions, "mrr_amount")}
+    )
     return _by_month(
         totals,
         F.col("records").alias("active_subscription_records"),
-        F.col("mrr").alias("aggregate_subscription_mrr"),
+        from_hundredths(F.col("mrr")).alias("aggregate_subscription_mrr"),
     )
 
 
@@ -64,19 +66,22 @@ def mrr_by_plan(
     tiers: Sequence[str] = PLAN_TIERS,
 ) -> DataFrame:
     """Summed monthly amount per plan; NULL where a plan has no open record."""
-    amounts = {"mrr": F.col("mrr_amount")}
+    mrr = hundredths(subscriptions, "mrr_amount")
+    amounts = {"mrr": mrr}
     for tier in tiers:
         on_tier = F.col("plan_tier") == tier
         amounts[f"{tier}_records"] = _only(on_tier, F.lit(1))
-        amounts[f"{tier}_mrr"] = _only(on_tier, F.col("mrr_amount"))
+        amounts[f"{tier}_mrr"] = _only(on_tier, mrr)
     totals = _monthly_totals(subscriptions, spine, amounts)
     return _by_month(
         totals,
         *[
-            F.when(F.col(f"{tier}_records") > 0, F.col(f"{tier}_mrr")).alias(f"{tier.lower()}_mrr")
+            F.when(F.col(f"{tier}_records") > 0, from_hundredths(F.col(f"{tier}_mrr"))).alias(
+                f"{tier.lower()}_mrr"
+            )
             for tier in tiers
         ],
-        F.col("mrr").alias("total_mrr"),
+        from_hundredths(F.col("mrr")).alias("total_mrr"),
     )
 
 
@@ -89,29 +94,29 @@ def mrr_trial_paid(subscriptions: DataFrame, spine: DataFrame | None = None) ->
         {
             "trials": _only(trial, F.lit(1)),
             "paid": _only(paid, F.lit(1)),
-            "paid_amount": _only(paid, F.col("mrr_amount")),
+            "paid_amount": _only(paid, hundredths(subscriptions, "mrr_amount")),
         },
     )
     return _by_month(
         totals,
         F.col("trials").alias("open_trial_records"),
         F.col("paid").alias("open_paid_records"),
-        F.when(F.col("paid") > 0, F.col("paid_amount")).alias("paid_mrr"),
+        F.when(F.col("paid") > 0, from_hundredths(F.col("paid_amount"))).alias("paid_mrr"),
     )
 
 
-def open_in_latest_month(subscriptions: DataFrame) -> Column:
-    """The record is open in the month of the latest start, told from its dates alone."""
+def latest_month_mrr(subscriptions: DataFrame) -> Column:
+    """Amount open in the month of the latest start, told from the dates of each record alone."""
     month = month_start(last_start_month(subscriptions))
     ends = F.col("end_date")
-    return (F.col("start_date") <= F.last_day(month)) & (ends.isNull() | (ends >= month))
+    is_open = (F.col("start_date") <= F.last_day(month)) & (ends.isNull() | (ends >= month))
+    return from_hundredths(sum_where(is_open, hundredths(subscriptions, "mrr_amount")))
 
 
 def mrr_reconcile(subscriptions: DataFrame) -> DataFrame:
     """Latest month without the spine, and the sum over all records as a bound."""
+    everything = F.sum(hundredths(subscriptions, "mrr_amount"))
     return subscriptions.agg(
-        sum_where(open_in_latest_month(subscriptions), F.col("mrr_amount")).alias(
-            "latest_month_mrr_direct_calc"
-        ),
-        F.sum("mrr_amount").alias("all_time_sum_mrr_upper_bound"),
+        latest_month_mrr(subscriptions).alias("latest_month_mrr_direct_calc"),
+        from_hundredths(everything).alias("all_time_sum_mrr_upper_bound"),
     )

@@ -13,7 +13,7 @@ from spanledger.operators.churn import churn_repeat_summary
 from spanledger.operators.conversion import conv_subscription_overall
 from spanledger.operators.quality import dq12_score_missingness
 from spanledger.operators.retention import ret_month_m_check
-from spanledger.operators.revenue import open_in_latest_month
+from spanledger.operators.revenue import latest_month_mrr
 from spanledger.operators.support import tickets_per_account
 from spanledger.plans.relations import churn_status
 from spanledger.plans.spine import last_start_month
@@ -64,16 +64,13 @@ def business_summary(
     """
     features = usage.groupBy("feature_name").agg(F.sum("usage_count").alias("total_uses"))
     channels = accounts.groupBy("referral_source").agg(F.count("*").alias("n"))
-    latest = subscriptions.agg(
-        sum_where(open_in_latest_month(subscriptions), F.col("mrr_amount"))
-    )
     figures = accounts.agg(
         F.count("*").alias("accounts"),
         month_label(F.min("signup_date")).alias("first_month"),
         month_label(F.max("signup_date")).alias("last_month"),
     ).withColumns(
         {
-            "mrr": latest.scalar(),
+            "mrr": subscriptions.agg(latest_month_mrr(subscriptions)).scalar(),
             "mrr_month": month_label(month_start(last_start_month(subscriptions))),
             "trials": _row(conv_subscription_overall(subscriptions)),
             "kept": _row(ret_month_m_check(accounts, subscriptions, 6)),

@@ -7,7 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanledger.functions.measures import count_where, mean_half_up, pct, ratio_half_up
+from spanledger.functions.measures import (
+    count_where,
+    hundredths,
+    mean_half_up,
+    pct,
+    ratio_half_up,
+)
 from spanledger.plans.relations import churn_status
 from spanledger.schema import PRIORITIES
 
@@ -20,8 +26,9 @@ def tickets_per_account(
     Every measure of the churn comparisons adds up from here; those an operator
     does not use are pruned from its plan.
     """
-    hours, minutes = F.col("resolution_time_hours"), F.col("first_response_time_minutes")
-    score = F.col("satisfaction_score")
+    hours = hundredths(tickets, "resolution_time_hours")
+    minutes = F.col("first_response_time_minutes")
+    score = hundredths(tickets, "satisfaction_score")
     return tickets.groupBy("account_id", *by).agg(
         F.count("*").alias("tickets"),
         F.sum(hours).alias("hours"),
@@ -105,7 +112,7 @@ def sup_satisfaction(tickets: DataFrame, churn: DataFrame) -> DataFrame:
             scored.alias("tickets_with_score"),
             (total - scored).alias("tickets_missing_score"),
             pct(total - scored, total).alias("pct_missing_score"),
-            mean_half_up(F.sum("score"), scored, 2, scale=1).alias(
+            mean_half_up(F.sum("score"), scored, 2, scale=2).alias(
                 "avg_observed_score_biased_sample"
             ),
         )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanledger.functions.measures import ratio_half_up
+from spanledger.functions.measures import from_hundredths, hundredths, mean_half_up
 from spanledger.functions.months import month_label, month_start
 from spanledger.operators.retention import (
     DEFAULT_MONTHS,
@@ -20,9 +20,8 @@ from spanledger.plans.steps import RUNNING, monthly_steps, open_spans, running_o
 _MRR = "mrr_amount"
 
 
-def _per_account(amount: str) -> Column:
-    """Amount of two decimals per account of the cohort."""
-    return ratio_half_up(F.col(amount) * 100, F.col("cohort_size") * 100, 2)
+def _per_account() -> Column:
+    return mean_half_up(F.col("mrr"), F.col("cohort_size"), 2, scale=2)
 
 
 def value_by_cohort(
@@ -34,7 +33,7 @@ def value_by_cohort(
 ) -> DataFrame:
     """Open records, their amount, and the amount so far, per cohort and months since signup."""
     last = last_start_month(subscriptions) if cap_to_observed else last_spine_month(spine)
-    activity = cohort_activity(accounts, subscriptions, last, max_m, {"mrr": F.col(_MRR)})
+    activity = cohort_activity(accounts, subscriptions, last, max_m, {"mrr": hundredths(subscriptions, _MRR)})
     so_far = Window.partitionBy("cohort_no").orderBy("m").rowsBetween(*RUNNING)
     return (
         with_cohort_size(activity, accounts)
@@ -43,9 +42,9 @@ def value_by_cohort(
             "months_since_signup",
             "cohort_size",
             F.col("open_records").alias("open_subscription_records"),
-            F.col("mrr").alias("observed_subscription_mrr"),
-            _per_account("mrr").alias("observed_mrr_per_cohort_account"),
-            F.sum("mrr").over(so_far).alias("cumulative_observed_mrr"),
+            from_hundredths(F.col("mrr")).alias("observed_subscription_mrr"),
+            _per_account().alias("observed_mrr_per_cohort_account"),
+            from_hundredths(F.sum("mrr").over(so_far)).alias("cumulative_observed_mrr"),
         )
         .orderBy("cohort_month", "months_since_signup")
     )
@@ -62,27 +61,26 @@ def value_first_6_months(
     per_span = (
         open_spans(subscriptions)
         .groupBy("account_id", "open_from", "open_to")
-        .agg(F.sum(_MRR).alias("mrr"))
+        .agg(F.sum(hundredths(subscriptions, _MRR)).alias("mrr"))
     )
     last = last_start_month(subscriptions)
     cohort = F.col("cohort_no")
     first = F.greatest(F.col("open_from") - cohort, F.lit(0))
     final = F.least(F.col("open_to") - cohort, F.lit(months - 1))
     shared = final - first + 1
-    total = f"observed_mrr_first_{months}_months"
     return (
         cohort_numbers(accounts)
         .filter(cohort <= last - (months - 1))
         .join(per_span, "account_id")
         .filter(F.col("open_to") >= cohort)
         .groupBy("cohort_no")
-        .agg(F.sum(F.when(shared > 0, F.col("mrr") * shared)).alias(total))
+        .agg(F.sum(F.when(shared > 0, F.col("mrr") * shared)).alias("mrr"))
         .join(numbered_cohort_sizes(accounts), "cohort_no")
         .select(
             month_label(month_start(cohort)).alias("cohort_month"),
             "cohort_size",
-            total,
-            _per_account(total).alias(f"observed_mrr_per_account_first_{months}_months"),
+            from_hundredths(F.col("mrr")).alias(f"observed_mrr_first_{months}_months"),
+            _per_account().alias(f"observed_mrr_per_account_first_{months}_months"),
         )
         .orderBy("cohort_month")
     )
@@ -93,7 +91,7 @@ def value_reconcile(
 ) -> DataFrame:
     """Monthly amount through the cohorts against the direct sum, first ``months`` months."""
     spans = open_spans(subscriptions)
-    amounts = {"records": F.lit(1), "mrr": F.col(_MRR)}
+    amounts = {"records": F.lit(1), "mrr": hundredths(subscriptions, _MRR)}
 
     direct = running_over_spine(monthly_steps(spans, amounts), spine, list(amounts))
     of_accounts = (
@@ -105,10 +103,10 @@ def value_reconcile(
     cohorts = running_over_spine(of_accounts, spine, list(amounts))
     return (
         cohorts.filter("records > 0")
-        .select("month_start", F.col("mrr").alias("mrr_via_cohort_path"))
+        .select("month_start", from_hundredths(F.col("mrr")).alias("mrr_via_cohort_path"))
         .join(
             direct.filter("records > 0").select(
-                "month_start", F.col("mrr").alias("mrr_via_direct_path")
+                "month_start", from_hundredths(F.col("mrr")).alias("mrr_via_direct_path")
             ),
             "month_start",
         )

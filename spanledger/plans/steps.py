@@ -31,13 +31,16 @@ def monthly_steps(
     spans: DataFrame, amounts: Mapping[str, Column], keys: Sequence[str] = ()
 ) -> DataFrame:
     """Net change of each amount per key and month."""
-    start = F.struct(F.col("open_from").alias("month"), F.lit(1).alias("sign"))
-    stop = F.struct((F.col("open_to") + 1).alias("month"), F.lit(-1).alias("sign"))
-    both = F.when(F.col("open_to") < NEVER_ENDS, F.array(start, stop)).otherwise(F.array(start))
+    opens, closes = F.col("open_from"), F.col("open_to") + 1
+    months = F.when(F.col("open_to") < NEVER_ENDS, F.array(opens, closes)).otherwise(F.array(opens))
     return (
-        spans.select(*keys, *[c.alias(name) for name, c in amounts.items()], F.explode(both).alias("step"))
-        .groupBy(*keys, F.col("step.month").alias("month_no"))
-        .agg(*[F.sum(F.col(name) * F.col("step.sign")).alias(name) for name in amounts])
+        spans.select(
+            *keys,
+            *[amount.alias(name) for name, amount in amounts.items()],
+            F.posexplode(months).alias("closing", "month_no"),
+        )
+        .groupBy(*keys, "month_no")
+        .agg(*[F.sum(F.when(F.col("closing") == 0, F.col(a)).otherwise(-F.col(a))).alias(a) for a in amounts])
     )
 
 

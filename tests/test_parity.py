@@ -43,9 +43,9 @@ def test_empty_tables(empty, name):
         assert differences(result, connection, statement(name, from_orders=False)) is None
 
 
-@pytest.fixture(scope="module", params=[1, 2])
-def skewed(request, spark):
-    tables = random_tables(spark, request.param)
+@pytest.fixture(scope="module")
+def skewed(spark):
+    tables = random_tables(spark, seed=1)
     return Inputs(tables), lifecycle_db(tables)
 
 
