@@ -14,6 +14,21 @@ from spanledger.schema import CATEGORY_FIELDS, FOREIGN_KEYS, PRIMARY_KEYS
 
 Tables = Mapping[str, DataFrame]
 
+# Buckets of days from signup to the first record, by their last day.
+SIGNUP_GAPS = (
+    (-1, "before signup"),
+    (0, "same day as signup"),
+    (30, "1-30 days after signup"),
+    (90, "31-90 days after signup"),
+)
+LONGER_GAP = "90+ days after signup"
+
+# Names of the date checks.
+END_BEFORE_START = "subscription end before start"
+CLOSED_BEFORE_SUBMITTED = "ticket closed before submitted"
+CHURN_BEFORE_SIGNUP = "churn event before account signup"
+START_BEFORE_SIGNUP = "subscription starts before account signup"
+
 
 def _stack(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
@@ -248,12 +263,10 @@ def dq14_impossible_dates(
     """Rows whose dates cannot be right, per rule."""
     n = F.count("*").alias("violation_count")
     checks = {
-        "subscription end before start": subscriptions.filter("end_date < start_date").agg(n),
-        "ticket closed before submitted": tickets.filter("closed_at < submitted_at").agg(n),
-        "churn event before account signup": _before_signup(accounts, churn, "churn_date"),
-        "subscription starts before account signup": _before_signup(
-            accounts, subscriptions, "start_date"
-        ),
+        END_BEFORE_START: subscriptions.filter("end_date < start_date").agg(n),
+        CLOSED_BEFORE_SUBMITTED: tickets.filter("closed_at < submitted_at").agg(n),
+        CHURN_BEFORE_SIGNUP: _before_signup(accounts, churn, "churn_date"),
+        START_BEFORE_SIGNUP: _before_signup(accounts, subscriptions, "start_date"),
     }
     return _stack(
         [df.select(F.lit(name).alias("check_name"), "violation_count") for name, df in checks.items()]
@@ -279,12 +292,8 @@ def dq16_signup_gap_buckets(accounts: DataFrame, subscriptions: DataFrame) -> Da
     """Accounts by days from signup to their first subscription record."""
     first = subscriptions.groupBy("account_id").agg(F.min("start_date").alias("first_start"))
     gap = F.datediff("first_start", "signup_date")
-    bucket = (
-        F.when(gap < 0, "before signup")
-        .when(gap == 0, "same day as signup")
-        .when(gap <= 30, "1-30 days after signup")
-        .when(gap <= 90, "31-90 days after signup")
-        .otherwise("90+ days after signup")
+    bucket = F.coalesce(
+        *[F.when(gap <= last_day, label) for last_day, label in SIGNUP_GAPS], F.lit(LONGER_GAP)
     )
     return (
         accounts.select("account_id", "signup_date")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,21 +20,102 @@ from spanledger.plans.relations import churn_status
 from spanledger.plans.spine import last_start_month
 
 
+# The rows of the business summary, as text templates of metric,
+# value, comparison and context.  Every %s is computed from the data.
+SUMMARY_ROWS = {
+    "accounts": (
+        "Total accounts (%s to %s)",
+        "%s",
+        None,
+        "All accounts in the observation window",
+    ),
+    "channel": (
+        "Top acquisition channel",
+        "%s",
+        "%s accounts",
+        "Channel with the most accounts",
+    ),
+    "revenue": (
+        "Latest month Aggregate Subscription-Record MRR (%s)",
+        "$%s",
+        None,
+        "Sum over all records open in that month, not revenue per customer",
+    ),
+    "trials": (
+        "Trial subscription records",
+        "%s",
+        "%s with a later paid record",
+        "Counts records, not accounts",
+    ),
+    "conversion": (
+        "Trial->paid conversion rate (subscription-level proxy)",
+        "%s%%",
+        None,
+        "Proxy: a paid record of the same account starts on or after the trial",
+    ),
+    "retention": (
+        "6-month observed account subscription retention (pooled)",
+        "%s%%",
+        None,
+        "Accounts old enough, with a record open in the sixth month after signup",
+    ),
+    "feature": (
+        "Most-used feature (by total usage_count)",
+        "%s",
+        "%s total usage_count",
+        "Usage over whole account histories",
+    ),
+    "churn_events": (
+        "Total churn events",
+        "%s",
+        "%s unique churned accounts",
+        "From the churn events, not from the account flag",
+    ),
+    "churn_rate": (
+        "Churned-account rate",
+        "%s%%",
+        None,
+        "Churned accounts over all accounts, not events",
+    ),
+    "repeat_churn": (
+        "Repeat-churn accounts",
+        "%s",
+        "%s reactivation events",
+        "Accounts with two or more churn events",
+    ),
+    "satisfaction": (
+        "Support ticket satisfaction score missingness",
+        "%s%%",
+        "Range observed: %s-%s only",
+        "Scores are a biased sample of tickets",
+    ),
+    "resolution": (
+        "Support activity: churned vs non-churned avg resolution time",
+        "%sh (churned)",
+        "%sh (non-churned)",
+        "Association only, no causal claim",
+    ),
+}
+
+
 def _row(df: DataFrame) -> Column:
     """A one-row relation as a scalar struct."""
     return df.select(F.struct("*")).scalar()
 
 
 def _decimals(value: Column, places: int) -> Column:
-    return value.cast(f"decimal(38,{places})").cast("string")
-
+    return value.cast(f"decimal(38,{places})")
 
-def _percent(value: Column) -> Column:
-    return F.concat(_decimals(value, 1), F.lit("%"))
 
-
-def _text(value: Column, suffix: str = "") -> Column:
-    return F.concat(value.cast("string"), F.lit(suffix))
+def _filled(template: str | None, values: Sequence[Column]) -> Column:
+    """A template with its values filled in; NULL without a template or with a NULL value."""
+    if template is None:
+        return F.lit(None).cast("string")
+    if not values:
+        return F.lit(template)
+    texts = [value.cast("string") for value in values]
+    known = reduce(Column.__and__, [text.isNotNull() for text in texts])
+    return F.when(known, F.format_string(template, *texts))
 
 
 def _largest(df: DataFrame, name: str, total: str) -> DataFrame:
@@ -62,7 +144,7 @@ def business_summary(
     Months and rates in the texts are computed from the data.  Every part is a
     one-row relation and enters as a scalar subquery.
     """
-    features = usage.groupBy("feature_name").agg(F.sum("usage_count").alias("total_uses"))
+    features = usage.groupBy("feature_name").agg(F.sum("usage_count").alias("uses"))
     channels = accounts.groupBy("referral_source").agg(F.count("*").alias("n"))
     figures = accounts.agg(
         F.count("*").alias("accounts"),
@@ -74,7 +156,7 @@ def business_summary(
             "mrr_month": month_label(month_start(last_start_month(subscriptions))),
             "trials": _row(conv_subscription_overall(subscriptions)),
             "kept": _row(ret_month_m_check(accounts, subscriptions, 6)),
-            "feature": _row(_largest(features, "feature_name", "total_uses")),
+            "feature": _row(_largest(features, "feature_name", "uses")),
             "channel": _row(_largest(channels, "referral_source", "n")),
             "churn": _row(churn_repeat_summary(churn)),
             "scores": _row(dq12_score_missingness(tickets)),
@@ -82,103 +164,44 @@ def business_summary(
         }
     )
     trials, churned, scores = F.col("trials"), F.col("churn"), F.col("scores")
-    unique = churned.unique_churned_accounts
-    nothing = F.lit(None).cast("string")
-    rows = [
-        (
-            F.concat(F.lit("Total accounts ("), "first_month", F.lit(" to "), "last_month", F.lit(")")),
-            _text(F.col("accounts")),
-            nothing,
-            "All accounts in the observation window",
-        ),
-        (
-            F.lit("Top acquisition channel"),
-            F.col("channel.referral_source"),
-            _text(F.col("channel.n"), " accounts"),
-            "Channel with the most accounts",
-        ),
-        (
-            F.concat(
-                F.lit("Latest month Aggregate Subscription-Record MRR ("), "mrr_month", F.lit(")")
-            ),
-            F.concat(F.lit("$"), F.format_number(F.round("mrr"), 0)),
-            nothing,
-            "Sum over all records open in that month; not revenue per customer",
-        ),
-        (
-            F.lit("Trial subscription records"),
-            _text(trials.total_trial_subscription_records),
-            _text(trials.trial_records_with_later_paid_record, " with a later paid record"),
-            "Counts records, not accounts",
-        ),
-        (
-            F.lit("Trial->paid conversion rate (subscription-level proxy)"),
-            _percent(trials.subscription_level_conversion_rate_pct),
-            nothing,
-            "Proxy: a paid record of the same account starts on or after the trial",
-        ),
-        (
-            F.lit("6-month observed account subscription retention (pooled)"),
-            _percent(F.col("kept.retention_rate_pct_cross_check")),
-            nothing,
-            "Accounts old enough, with a record open in the sixth month after signup",
+    accounts_n, unique = F.col("accounts"), churned.unique_churned_accounts
+    # Values of the metric, value and comparison templates of each row.
+    cells = {
+        "accounts": ([F.col("first_month"), F.col("last_month")], [accounts_n], []),
+        "channel": ([], [F.col("channel.referral_source")], [F.col("channel.n")]),
+        "revenue": ([F.col("mrr_month")], [F.format_number(F.round("mrr"), 0)], []),
+        "trials": (
+            [],
+            [trials.total_trial_subscription_records],
+            [trials.trial_records_with_later_paid_record],
         ),
-        (
-            F.lit("Most-used feature (by total usage_count)"),
-            F.col("feature.feature_name"),
-            _text(F.col("feature.total_uses"), " total usage_count"),
-            "Usage over whole account histories",
+        "conversion": ([], [_decimals(trials.subscription_level_conversion_rate_pct, 1)], []),
+        "retention": ([], [_decimals(F.col("kept.retention_rate_pct_cross_check"), 1)], []),
+        "feature": ([], [F.col("feature.feature_name")], [F.col("feature.uses")]),
+        "churn_events": ([], [churned.total_churn_events], [unique]),
+        "churn_rate": ([], [_decimals(pct(unique, accounts_n), 1)], []),
+        "repeat_churn": ([], [churned.repeat_churn_accounts], [churned.reactivation_events]),
+        "satisfaction": (
+            [],
+            [_decimals(scores.pct_missing, 1)],
+            [_decimals(scores.min_observed_score, 1), _decimals(scores.max_observed_score, 1)],
         ),
-        (
-            F.lit("Total churn events"),
-            _text(churned.total_churn_events),
-            _text(unique, " unique churned accounts"),
-            "From the churn events, not from the account flag",
-        ),
-        (
-            F.lit("Churned-account rate"),
-            _percent(pct(unique, F.col("accounts"))),
-            nothing,
-            "Churned accounts over all accounts, not events",
-        ),
-        (
-            F.lit("Repeat-churn accounts"),
-            _text(churned.repeat_churn_accounts),
-            _text(churned.reactivation_events, " reactivation events"),
-            "Accounts with two or more churn events",
-        ),
-        (
-            F.lit("Support ticket satisfaction score missingness"),
-            _percent(scores.pct_missing),
-            F.concat(
-                F.lit("Range observed: "),
-                _decimals(scores.min_observed_score, 1),
-                F.lit("-"),
-                _decimals(scores.max_observed_score, 1),
-                F.lit(" only"),
-            ),
-            "Scores are a biased sample of tickets",
-        ),
-        (
-            F.lit("Support activity: churned vs non-churned avg resolution time"),
-            F.concat(_decimals(F.col("resolution.churned"), 2), F.lit("h (churned)")),
-            F.concat(_decimals(F.col("resolution.others"), 2), F.lit("h (non-churned)")),
-            "Association only, no causal claim",
+        "resolution": (
+            [],
+            [_decimals(F.col("resolution.churned"), 2)],
+            [_decimals(F.col("resolution.others"), 2)],
         ),
+    }
+    rows = [
+        F.struct(
+            _filled(metric, cells[key][0]).alias("metric_name"),
+            _filled(value, cells[key][1]).alias("metric_value"),
+            _filled(comparison, cells[key][2]).alias("comparison_value"),
+            F.lit(context).alias("context"),
+        )
+        for key, (metric, value, comparison, context) in SUMMARY_ROWS.items()
     ]
-    names = ("metric_name", "metric_value", "comparison_value", "context")
-    long_form = F.array(
-        *[
-            F.struct(
-                *[
-                    (F.lit(cell) if isinstance(cell, str) else cell).alias(name)
-                    for name, cell in zip(names, row)
-                ]
-            )
-            for row in rows
-        ]
-    )
-    return figures.select(F.inline(long_form))
+    return figures.select(F.inline(F.array(*rows)))
 
 
 def summary_reconcile(

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 
 from spanledger.operators.retention import DEFAULT_MONTHS
+from spanledger.operators.summary import SUMMARY_ROWS
 from spanledger.registry import EXPECTED_CHURNED_ACCOUNTS, EXPECTED_ROWS
 
 
@@ -207,87 +208,81 @@ _LATEST = """
         where start_date < month + interval 1 month and (end_date is null or end_date >= month)"""
 
 
-def _label(text: str, sql: str) -> str:
-    return f"cast({sql} as varchar) || '{text}'"
+def _decimals(sql: str, places: int) -> str:
+    return f"cast({sql} as decimal(18,{places}))"
 
 
-def _one_decimal(sql: str) -> str:
-    return f"cast(cast({sql} as decimal(18,1)) as varchar)"
+def _filled(template: str | None, values: list[str]) -> str:
+    """A summary text; concatenation makes it NULL when a value is."""
+    if template is None:
+        return "cast(null as varchar)"
+    pieces = template.replace("%%", "\0").split("%s")
+    parts = [f"'{pieces[0]}'"]
+    for value, piece in zip(values, pieces[1:], strict=True):
+        parts += [f"cast({value} as varchar)", f"'{piece}'"]
+    return " || ".join(parts).replace("\0", "%")
 
 
-def _two_decimals(sql: str) -> str:
-    return f"cast(cast({sql} as decimal(18,2)) as varchar)"
-
-
-def _summary_row(metric: str, value: str, comparison: str, context: str, source: str) -> str:
-    return f"""select {metric} as metric_name, {value} as metric_value, {comparison} as comparison_value,
-               '{context}' as context from {source}"""
-
-
-_NONE = "cast(null as varchar)"
 _CONVERTED = "(select count(*) as n, count(*) filter (converted) as good from trials)"
-_SUMMARY = [
-    _summary_row(
-        "'Total accounts (' || strftime(min(signup_date), '%Y-%m') || ' to ' || strftime(max(signup_date), '%Y-%m') || ')'",
-        "cast(count(*) as varchar)", _NONE, "All accounts in the observation window", "accounts",
+# Source relation of each summary row, and the values of its three templates.
+_SUMMARY = {
+    "accounts": (
+        "accounts",
+        ["strftime(min(signup_date), '%Y-%m')", "strftime(max(signup_date), '%Y-%m')"],
+        ["count(*)"],
+        [],
     ),
-    _summary_row(
-        "'Top acquisition channel'", "referral_source", _label(" accounts", "n"),
-        "Channel with the most accounts",
+    "channel": (
         "(select referral_source, count(*) as n from accounts group by 1 order by 2 desc, 1 limit 1)",
+        [],
+        ["referral_source"],
+        ["n"],
     ),
-    _summary_row(
-        "'Latest month Aggregate Subscription-Record MRR (' || strftime(month, '%Y-%m') || ')'",
-        f"'$' || format('{{:,}}', cast(round(({_LATEST}), 0) as bigint))", _NONE,
-        "Sum over all records open in that month; not revenue per customer", "last_start",
-    ),
-    _summary_row(
-        "'Trial subscription records'", "cast(n as varchar)", _label(" with a later paid record", "good"),
-        "Counts records, not accounts", _CONVERTED,
-    ),
-    _summary_row(
-        "'Trial->paid conversion rate (subscription-level proxy)'",
-        f"{_one_decimal(_pct('good', 'n'))} || '%'", _NONE,
-        "Proxy: a paid record of the same account starts on or after the trial", _CONVERTED,
-    ),
-    _summary_row(
-        "'6-month observed account subscription retention (pooled)'",
-        f"{_one_decimal(_pct('active', 'eligible'))} || '%'", _NONE,
-        "Accounts old enough, with a record open in the sixth month after signup", f"({_SIX})",
+    "revenue": (
+        "last_start",
+        ["strftime(month, '%Y-%m')"],
+        [f"format('{{:,}}', cast(round(({_LATEST}), 0) as bigint))"],
+        [],
     ),
-    _summary_row(
-        "'Most-used feature (by total usage_count)'", "feature_name", _label(" total usage_count", "n"),
-        "Usage over whole account histories",
+    "trials": (_CONVERTED, [], ["n"], ["good"]),
+    "conversion": (_CONVERTED, [], [_decimals(_pct("good", "n"), 1)], []),
+    "retention": (f"({_SIX})", [], [_decimals(_pct("active", "eligible"), 1)], []),
+    "feature": (
         "(select feature_name, sum(usage_count) as n from feature_usage group by 1 order by 2 desc, 1 limit 1)",
+        [],
+        ["feature_name"],
+        ["n"],
     ),
-    _summary_row(
-        "'Total churn events'", "cast(count(*) as varchar)",
-        _label(" unique churned accounts", "count(distinct account_id)"),
-        "From the churn events, not from the account flag", "churn_events",
+    "churn_events": ("churn_events", [], ["count(*)"], ["count(distinct account_id)"]),
+    "churn_rate": (
+        "churned",
+        [],
+        [_decimals(_pct("count(*)", "(select count(*) from accounts)"), 1)],
+        [],
     ),
-    _summary_row(
-        "'Churned-account rate'",
-        f"{_one_decimal(_pct('count(*)', '(select count(*) from accounts)'))} || '%'", _NONE,
-        "Churned accounts over all accounts, not events", "churned",
+    "repeat_churn": ("per_churner", [], ["count(*) filter (n > 1)"], ["coalesce(sum(back), 0)"]),
+    "satisfaction": (
+        "support_tickets",
+        [],
+        [_decimals(_pct(_SCORE, "count(*)"), 1)],
+        ["min(satisfaction_score)", "max(satisfaction_score)"],
     ),
-    _summary_row(
-        "'Repeat-churn accounts'", "cast(count(*) filter (n > 1) as varchar)",
-        _label(" reactivation events", "coalesce(sum(back), 0)"),
-        "Accounts with two or more churn events", "per_churner",
+    "resolution": (
+        "(select 1)",
+        [],
+        [f"(select {_decimals(_AVG_HOURS, 2)} from ticket_split where is_churned_account)"],
+        [f"(select {_decimals(_AVG_HOURS, 2)} from ticket_split where not is_churned_account)"],
     ),
-    _summary_row(
-        "'Support ticket satisfaction score missingness'", f"{_one_decimal(_pct(_SCORE, 'count(*)'))} || '%'",
-        "'Range observed: ' || cast(min(satisfaction_score) as varchar) || '-' "
-        "|| cast(max(satisfaction_score) as varchar) || ' only'",
-        "Scores are a biased sample of tickets", "support_tickets",
-    ),
-    _summary_row(
-        "'Support activity: churned vs non-churned avg resolution time'",
-        f"(select {_two_decimals(_AVG_HOURS)} from ticket_split where is_churned_account) || 'h (churned)'",
-        f"(select {_two_decimals(_AVG_HOURS)} from ticket_split where not is_churned_account) || 'h (non-churned)'",
-        "Association only, no causal claim", "(select 1)",
-    ),
-]
+}
+
+
+def _summary_row(key: str) -> str:
+    source, *values = _SUMMARY[key]
+    *templates, context = SUMMARY_ROWS[key]
+    metric, value, comparison = map(_filled, templates, values)
+    return f"""select {metric} as metric_name, {value} as metric_value, {comparison} as comparison_value,
+               '{context}' as context from {source}"""
+
 
 STATEMENTS: dict[str, str] = {
     "load_row_counts": _union(
@@ -644,7 +639,7 @@ STATEMENTS: dict[str, str] = {
                      'total_via_split')},
                {_big('count(distinct account_id)', 'distinct_accounts_with_tickets')}
         from support_tickets""",
-    "business_summary": _union(_SUMMARY),
+    "business_summary": _union([_summary_row(key) for key in SUMMARY_ROWS]),
     "summary_reconcile": f"""
         select (select count(*) from accounts) = {EXPECTED_ROWS['accounts']} as accounts_check,
                (select count(*) from churn_events) = {EXPECTED_ROWS['churn_events']} as churn_events_check,
