@@ -1,8 +1,9 @@
 """What each query shuffles, at two scales, with broadcast joins off as on large tables.
 
-Prints one row per query: records and kilobytes written to shuffles at each
-scale, and the largest number of shuffle records a single task read at the
-second.  Read from the event log.
+Prints one row per query: records and kilobytes written to shuffles for each
+folder, and for the second the worst imbalance: over the stages that read at
+least 10,000 shuffle records, the most read by one task over the mean per task.
+A hot key shows there.  Read from the event log.
 
     python tools/shuffle_report.py [small folder] [large folder] [query ...]
 """
@@ -44,9 +45,10 @@ def run(folders: list[str], names: list[str], log_dir: str) -> None:
     spark.stop()
 
 
-def collect(log_dir: str) -> dict[str, dict[str, int]]:
+def collect(log_dir: str) -> dict[str, dict[str, float]]:
     stage_of: dict[int, str] = {}
-    totals: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
+    totals: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(int))
+    reads: dict[int, list[int]] = defaultdict(list)
     for log in Path(log_dir).iterdir():
         for line in log.open():
             event = json.loads(line)
@@ -60,7 +62,11 @@ def collect(log_dir: str) -> dict[str, dict[str, int]]:
                 read = event["Task Metrics"]["Shuffle Read Metrics"]
                 total["records"] += written["Shuffle Records Written"]
                 total["bytes"] += written["Shuffle Bytes Written"]
-                total["largest"] = max(total["largest"], read["Total Records Read"])
+                reads[event["Stage ID"]].append(read["Total Records Read"])
+    for stage, records in reads.items():
+        if sum(records) >= 10_000:
+            total = totals[stage_of.get(stage, "")]
+            total["imbalance"] = max(total["imbalance"], max(records) * len(records) / sum(records))
     return totals
 
 
@@ -70,13 +76,13 @@ def main() -> None:
     with tempfile.TemporaryDirectory(prefix="shuffle-report-") as log_dir:
         run(folders, names, log_dir)
         totals = collect(log_dir)
-    print("| query | records | KB | records, larger | KB, larger | largest task read |")
+    print("| query | records, first | KB | records, second | KB | imbalance, second |")
     print("|---|---:|---:|---:|---:|---:|")
     for name in names:
         small, large = (totals[f"{name}|{folder}"] for folder in folders)
         print(
             f"| {name} | {small['records']} | {small['bytes'] // 1024} | {large['records']} "
-            f"| {large['bytes'] // 1024} | {large['largest']} |"
+            f"| {large['bytes'] // 1024} | {large['imbalance']:.2f} |"
         )
 
 
