@@ -23,10 +23,6 @@ def usage_by_feature_account(usage: DataFrame, subscriptions: DataFrame) -> Data
     return usage_per_account(usage, subscriptions, _totals(), by=["feature_name"])
 
 
-def _sum(name: str) -> Column:
-    return F.sum(name)
-
-
 def eng_top_features(usage: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Features by total usage."""
     return top_features(usage_by_feature_account(usage, subscriptions))
@@ -36,11 +32,11 @@ def top_features(by_account: DataFrame) -> DataFrame:
     return (
         by_account.groupBy("feature_name")
         .agg(
-            _sum("events").alias("usage_events"),
+            F.sum("events").alias("usage_events"),
             F.count("account_id").alias("distinct_accounts_using"),
-            _sum("uses").alias("total_usage_count"),
-            _sum("secs").alias("total_duration_secs"),
-            mean_half_up(_sum("secs"), _sum("events"), 1).alias("avg_duration_secs_per_event"),
+            F.sum("uses").alias("total_usage_count"),
+            F.sum("secs").alias("total_duration_secs"),
+            mean_half_up(F.sum("secs"), F.sum("events"), 1).alias("avg_duration_secs_per_event"),
         )
         .withColumn("usage_volume_rank", rank_desc(F.col("total_usage_count")))
         .orderBy(F.col("total_usage_count").desc(), "feature_name")
@@ -53,8 +49,8 @@ def eng_feature_errors(usage: DataFrame, subscriptions: DataFrame) -> DataFrame:
         usage_totals(usage, subscriptions, _totals(), ["feature_name"])
         .groupBy("feature_name")
         .agg(
-            _sum("errors").alias("total_errors"),
-            _sum("uses").alias("total_usage_count"),
+            F.sum("errors").alias("total_errors"),
+            F.sum("uses").alias("total_usage_count"),
         )
         .select(
             "feature_name",
@@ -75,9 +71,9 @@ def eng_beta_vs_ga(usage: DataFrame) -> DataFrame:
         .groupBy("is_beta_feature")
         .agg(
             F.count("feature_name").alias("distinct_features"),
-            _sum("events").alias("usage_events"),
-            _sum("uses").alias("total_usage_count"),
-            _sum("errors").alias("total_errors"),
+            F.sum("events").alias("usage_events"),
+            F.sum("uses").alias("total_usage_count"),
+            F.sum("errors").alias("total_errors"),
         )
         .withColumn("error_rate_pct", pct(F.col("total_errors"), F.col("total_usage_count"), 2))
         .orderBy("is_beta_feature")
@@ -94,9 +90,9 @@ def eng_feature_by_churn(
         .groupBy("feature_name", "is_churned_account")
         .agg(
             accounts.alias("distinct_accounts"),
-            _sum("uses").alias("total_usage_count"),
-            mean_half_up(_sum("uses"), _sum("events"), 2).alias("avg_usage_count_per_event"),
-            ratio_half_up(_sum("uses"), accounts, 2).alias("usage_per_account"),
+            F.sum("uses").alias("total_usage_count"),
+            mean_half_up(F.sum("uses"), F.sum("events"), 2).alias("avg_usage_count_per_event"),
+            ratio_half_up(F.sum("uses"), accounts, 2).alias("usage_per_account"),
         )
         .orderBy("feature_name", "is_churned_account")
     )
@@ -116,10 +112,10 @@ def summary_by_churn(by_account: DataFrame, churn: DataFrame) -> DataFrame:
         .groupBy("is_churned_account")
         .agg(
             accounts.alias("accounts"),
-            _sum("events").alias("usage_events"),
-            ratio_half_up(_sum("events"), accounts, 1).alias("usage_events_per_account"),
-            ratio_half_up(_sum("uses"), accounts, 1).alias("usage_count_per_account"),
-            ratio_half_up(_sum("errors"), accounts, 2).alias("errors_per_account"),
+            F.sum("events").alias("usage_events"),
+            ratio_half_up(F.sum("events"), accounts, 1).alias("usage_events_per_account"),
+            ratio_half_up(F.sum("uses"), accounts, 1).alias("usage_count_per_account"),
+            ratio_half_up(F.sum("errors"), accounts, 2).alias("errors_per_account"),
         )
         .orderBy("is_churned_account")
     )
@@ -130,10 +126,10 @@ def eng_reconcile(usage: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return (
         usage_totals(usage, subscriptions, {"events": F.count("*")}, ["feature_name"])
         .groupBy("feature_name")
-        .agg(_sum("events").alias("events"))
+        .agg(F.sum("events").alias("events"))
         .agg(
             F.count("feature_name").alias("distinct_features"),
-            F.coalesce(_sum("events"), F.lit(0)).alias("total_usage_events_after_join"),
+            F.coalesce(F.sum("events"), F.lit(0)).alias("total_usage_events_after_join"),
         )
     )
 

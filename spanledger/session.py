@@ -4,25 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Shuffle partitions are set high and coalesced at run time to about 128 MB
-# each; a partition several times the median is split.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Scans read few columns, so a larger split still makes a small task; small
+    # inputs are split by the number of cores all the same.
+    "spark.sql.files.maxPartitionBytes": "512m",
     "spark.sql.session.timeZone": "UTC",
     # Recording the Python line of every column costs several driver calls each.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
+# A shuffle starts from this many partitions and is coalesced to the advisory
+# size; it is never split beyond them, so the number must suit the largest.
+# At 128 MB each it holds 2 TB.
+CLUSTER_PARTITIONS = 16_384
 
-def session(name: str = "spanledger", shuffle_partitions: int | None = None, **extra: str) -> SparkSession:
+
+def session(
+    name: str = "spanledger", shuffle_partitions: int = CLUSTER_PARTITIONS, **extra: str
+) -> SparkSession:
     """A session with these settings; master and resources come from spark-submit or ``extra``."""
     builder = SparkSession.builder.appName(name)
-    settings = dict(SETTINGS)
-    if shuffle_partitions is not None:
-        settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    for key, value in {**settings, **extra}.items():
+    settings = {**SETTINGS, "spark.sql.shuffle.partitions": str(shuffle_partitions), **extra}
+    for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

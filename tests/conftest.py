@@ -51,13 +51,20 @@ def lifecycle_db(tables):
     return connection
 
 
+def both_engines(tables, folder):
+    """Operators' inputs and a DuckDB connection over the same tables, stored as one file each."""
+    stored = {}
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(f"{folder}/{name}")
+        stored[name] = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+    return Inputs(stored), lifecycle_db(stored)
+
+
 @pytest.fixture(scope="session")
-def edge(spark):
-    tables = edge_tables(spark)
-    return Inputs(tables), lifecycle_db(tables)
+def edge(spark, tmp_path_factory):
+    return both_engines(edge_tables(spark), tmp_path_factory.mktemp("edge"))
 
 
 @pytest.fixture(scope="session")
-def empty(spark):
-    tables = empty_tables(spark)
-    return Inputs(tables), lifecycle_db(tables)
+def empty(spark, tmp_path_factory):
+    return both_engines(empty_tables(spark), tmp_path_factory.mktemp("empty"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import pytest
 from compare import differences
-from conftest import STAR, lifecycle_db
+from conftest import STAR, both_engines
 from edge_tables import random_tables
 
 from spanledger.oracle import STATEMENTS, statement
-from spanledger.registry import OPERATORS, Inputs, decimals_as_double, query
+from spanledger.registry import OPERATORS, decimals_as_double, query
 
 NAMES = list(OPERATORS)
 
@@ -44,9 +44,8 @@ def test_empty_tables(empty, name):
 
 
 @pytest.fixture(scope="module")
-def skewed(spark):
-    tables = random_tables(spark, seed=1)
-    return Inputs(tables), lifecycle_db(tables)
+def skewed(spark, tmp_path_factory):
+    return both_engines(random_tables(spark, seed=1), tmp_path_factory.mktemp("skewed"))
 
 
 @pytest.mark.parametrize("name", NAMES)
