@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanledger.llm import bpe, exact_dedup
+from spanledger.llm import bpe, exact_dedup, mixing, quality_rules, simhash
 from spanledger.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -17,12 +17,24 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
 
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, folder, "documents"), VOCABULARY)
 
 
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, folder, "documents"))
+
+
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed_sizes(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_exact_dedup, op6_bpe)
+    f.__name__: f for f in (op3_exact_dedup, op5_simhash, op6_bpe, op8_quality_rules, op9_mixing)
 }
 
 ORACLE: dict[str, str] = {
@@ -35,4 +47,73 @@ ORACLE: dict[str, str] = {
                doc_id = min(doc_id) over same as kept, text_sha256
         from texts window same as (partition by text_sha256)
     """,
+    "op9_mixing": r"""
+        with docs as (
+          select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size
+          from documents
+        ), sizes as (
+          select source, sum(size)::bigint as source_size from docs group by source
+        ), numbered as (
+          select *, row_number() over (order by source nulls last) - 1 as src from sizes
+        ), weighed as (
+          select *, case src % 3 when 0 then 5 when 1 then 2 else 1 end as weight, 2 * source_size as cap,
+                 1.5::double * (select sum(source_size) from sizes)::bigint as total
+          from numbered
+        ), levels as (
+          -- the level at which the total is shared when sources up to this limit are full
+          select a.*, (select coalesce(sum(b.cap), 0)::bigint from weighed b
+                       where (b.cap / b.weight, b.src) < (a.cap / a.weight, a.src)) as before,
+                 (select sum(b.weight)::bigint from weighed b
+                  where (b.cap / b.weight, b.src) >= (a.cap / a.weight, a.src)) as open_weight
+          from weighed a
+        ), shared as (
+          select *, (total - before) / open_weight as level from levels
+        ), targets as (
+          select src, source, source_size,
+                 case when cap <= level * weight then cap::double
+                      else least(cap::double, weight * (select min_by(level, (cap / weight, src)) from shared
+                                                        where cap > level * weight)) end as target,
+                 case when source_size > 0
+                      then ceil(source_size / ceil(source_size / 32))::bigint else 1 end as block
+          from shared
+        ), blocked as (
+          select *, ceil(source_size / block)::bigint as blocks from targets
+        ), slotted as (
+          select *, case when source_size > 0
+                         then round(target * blocks / source_size * 1024)::bigint else 0 end as slots
+          from blocked
+        ), spans as (
+          select *, (select sum(slots) from slotted)::bigint as all_slots,
+                 (select coalesce(sum(slots), 0) from slotted b where b.src < a.src)::bigint as slots_before
+          from slotted a where slots > 0
+        ), points as (
+          select slot, ((slot::hugeint * 679535556991) % 1099511627776)::bigint as point
+          from range((select ceil(max(all_slots) / 1024)::bigint from spans)) t(slot)
+        ), ranked as (
+          select src, blocks, row_number() over (partition by src order by slot) - 1 as rank
+          from points join spans
+            on point >= floor(slots_before::double / all_slots * 1099511627776)
+           and point < floor((slots_before + slots)::double / all_slots * 1099511627776)
+        ), copies as (
+          select src, rank % blocks as block_no, count(*) as copies from ranked
+          where rank < 2 * blocks group by all
+        ), placed as (
+          select doc_id, size, src, source_size, target, block,
+                 sum(size) over (partition by src order by md5(coalesce(doc_id::varchar, '')), doc_id, size
+                                 rows unbounded preceding)::bigint - size as start
+          from docs join blocked on docs.source is not distinct from blocked.source
+        ), shares as (
+          select src, start, size,
+                 unnest(range(start // block, (start + size - 1) // block + 1)) as block_no, block
+          from placed where size > 0
+        ), taken as (
+          select shares.src, start,
+                 sum(copies * (least(start + size, (shares.block_no + 1) * block)
+                               - greatest(start, shares.block_no * block)))::bigint as taken
+          from shares join copies using (src, block_no) group by all
+        )
+        select doc_id, size, source_size, target,
+               case when size > 0 then coalesce(taken, 0) else 0 end::bigint as taken
+        from placed left join taken using (src, start)
+    """,
 }
