@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanledger.llm import bpe, exact_dedup, mixing, quality_rules, simhash
+from spanledger.llm import bpe, exact_dedup, mixing, quality_rules, simhash, warc
 from spanledger.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived(table(spark, folder, "pages"))
+
+
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
@@ -34,10 +38,29 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_exact_dedup, op5_simhash, op6_bpe, op8_quality_rules, op9_mixing)
+    f.__name__: f for f in (op2_warc, op3_exact_dedup, op5_simhash, op6_bpe, op8_quality_rules, op9_mixing)
 }
 
 ORACLE: dict[str, str] = {
+    "op2_warc": r"""
+        with payloads as (
+          select page_id, coalesce(html, '') as payload from pages
+        ), digests as (
+          select page_id, strlen(payload)::bigint as payload_bytes, sha1(payload) as hex from payloads
+        ), digits as (
+          -- five hex digits at a time are four of base 32
+          select *, array_to_string([
+                   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                          ((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::bigint >> (15 - 5 * (i % 4))) & 31)::bigint + 1, 1)
+                   for i in range(32)], '') as payload_digest,
+                 max(page_id) over (partition by hex) as last
+          from digests
+        )
+        select page_id, payload_bytes, payload_digest,
+               case when page_id = last then 'response' else 'revisit' end as record_type,
+               case when page_id <> last then last end as refers_to
+        from digits
+    """,
     "op3_exact_dedup": r"""
         with texts as (
           select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256
