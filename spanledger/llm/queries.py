@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanledger.llm import bpe, exact_dedup, mixing, quality_rules, simhash, warc
+from spanledger.llm import bpe, exact_dedup, mixing, quality_rules, secrets, simhash, warc
 from spanledger.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +29,10 @@ def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, folder, "documents"), VOCABULARY)
 
 
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secret_spans(table(spark, folder, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, folder, "documents"))
 
@@ -38,7 +42,7 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_warc, op3_exact_dedup, op5_simhash, op6_bpe, op8_quality_rules, op9_mixing)
+    f.__name__: f for f in (op2_warc, op3_exact_dedup, op5_simhash, op6_bpe, op7_secrets, op8_quality_rules, op9_mixing)
 }
 
 ORACLE: dict[str, str] = {
@@ -70,6 +74,7 @@ ORACLE: dict[str, str] = {
                doc_id = min(doc_id) over same as kept, text_sha256
         from texts window same as (partition by text_sha256)
     """,
+    "op7_secrets": secrets.oracle(),
     "op9_mixing": r"""
         with docs as (
           select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size
