@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanledger.llm import bpe, exact_dedup, mixing, quality_rules, secrets, simhash, warc
+from spanledger.llm import bpe, exact_dedup, html_text, language_id, mixing, quality_rules, secrets, simhash, warc
 from spanledger.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.languages(table(spark, folder, "documents"))
+
+
 def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archived(table(spark, folder, "pages"))
 
@@ -41,8 +45,23 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, folder, "documents"))
 
 
+def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.main_texts(table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_warc, op3_exact_dedup, op5_simhash, op6_bpe, op7_secrets, op8_quality_rules, op9_mixing)
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op2_warc,
+        op3_exact_dedup,
+        op5_simhash,
+        op6_bpe,
+        op7_secrets,
+        op8_quality_rules,
+        op9_mixing,
+        op10_html_text,
+    )
 }
 
 ORACLE: dict[str, str] = {
