@@ -218,7 +218,8 @@ def mixed(docs: DataFrame) -> DataFrame:
     """The mix: each document whole, as often as the words taken of it make it up, rounded."""
     staged = with_rows(docs, "mixed", doc_id=F.col("doc_id"), source=F.col("source"), size=n_words(text_or_empty()))
     taken = mix(staged.select("row", "doc_id", "source", "size")).select(
-        F.col("row").alias("of"), F.round(F.col("taken") / F.col("size")).cast("int").alias("times")
+        F.col("row").alias("of"),
+        F.round(F.col("taken") / F.when(F.col("size") > 0, F.col("size"))).cast("int").alias("times"),
     )
     return (
         staged.join(taken.where("times > 0"), F.col("row") == F.col("of"))
