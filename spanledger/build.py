@@ -9,16 +9,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanledger.operators import acquisition, churn, conversion, engagement, retention, revenue, support
+from spanledger.operators.quality import dq02_key_uniqueness
 from spanledger.plans.spine import calendar_month_spine
 from spanledger.sources.marts import MART_PATHS, read_mart, write_mart
 
 
-def shared_folder(spark: SparkSession, fallback: str) -> str:
-    """Folder for intermediate tables: the cluster's checkpoint folder, else ``fallback``."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or fallback
+def shared_folder(spark: SparkSession, work: str | None = None) -> str:
+    """A new folder for intermediate tables under ``work``, else the cluster's checkpoint folder."""
+    root = work or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        raise ValueError("set spark.checkpoint.dir or name a folder that all executors share")
     return f"{root.rstrip('/')}/spanledger-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that holds it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def check_keys(tables: Mapping[str, DataFrame]) -> None:
+    """Raise when a declared key repeats or is missing; counts of records rest on them."""
+    bad = dq02_key_uniqueness(tables).filter("total_rows <> distinct_values").collect()
+    if bad:
+        found = ", ".join(f"{r.key_column}: {r.distinct_values} values in {r.total_rows} rows" for r in bad)
+        raise ValueError(f"declared keys are not unique ({found})")
+
+
 def _written(df: DataFrame, path: str) -> DataFrame:
     """``df`` written as a table and read back, so its readers do not depend on its lineage."""
     df.write.parquet(path)
@@ -57,15 +74,31 @@ def mart_frames(
     }
 
 
-def build_marts(tables: Mapping[str, DataFrame], out: str, fmt: str = "csv") -> dict[str, str]:
+def build_marts(
+    tables: Mapping[str, DataFrame], out: str, fmt: str = "csv", work: str | None = None
+) -> dict[str, str]:
     """Write every mart under ``out`` and return their paths.
 
-    The spine and the usage totals serve several marts and are written once to
-    the shared folder.  Raises when a written mart does not add up to its table.
+    The five tables are parsed once and staged as Parquet in the shared folder
+    (``work``, else spark.checkpoint.dir), and so are the spine and the usage
+    totals, which serve several marts; the folder is removed when the build ends.
+    Raises when a declared key repeats, before any mart is written, and when a
+    written mart does not add up to its table.
     """
+    spark = tables["accounts"].sparkSession
+    folder = shared_folder(spark, work)
+    try:
+        staged = {name: _written(df, f"{folder}/{name}") for name, df in tables.items()}
+        check_keys(staged)
+        return _build(spark, staged, out, fmt, folder)
+    finally:
+        remove(spark, folder)
+
+
+def _build(
+    spark: SparkSession, tables: Mapping[str, DataFrame], out: str, fmt: str, work: str
+) -> dict[str, str]:
     accounts, events = tables["accounts"], tables["churn_events"]
-    spark = accounts.sparkSession
-    work = shared_folder(spark, f"{out.rstrip('/')}/_shared")
     spine = _written(
         calendar_month_spine(
             accounts, tables["subscriptions"], tables["feature_usage"], events

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanledger.functions.measures import count_where, pct
@@ -17,19 +17,25 @@ from spanledger.plans.relations import account_cohorts
 
 
 def _trials_with_outcome(subscriptions: DataFrame) -> DataFrame:
-    """Trial records counted per account, plan and start day, with their outcome."""
-    trials = (
-        subscriptions.filter("is_trial")
-        .groupBy("account_id", "plan_tier", "start_date")
-        .agg(F.count("*").alias("n"))
-    )
-    last_paid = (
-        subscriptions.filter("NOT is_trial")
-        .groupBy("account_id")
-        .agg(F.max("start_date").alias("last_paid_start"))
-    )
-    return trials.join(last_paid, "account_id", "left").withColumn(
-        "converted", F.when(F.col("last_paid_start") >= F.col("start_date"), F.col("n")).otherwise(0)
+    """Trial records counted per account, plan and start day, with their outcome.
+
+    One pass: an account's paid records become one row with their latest start,
+    which a window over the account's few rows brings to its trials.
+    """
+    trial = F.col("is_trial")
+    combined = subscriptions.groupBy(
+        "account_id",
+        trial.alias("is_trial"),
+        F.when(trial, F.col("plan_tier")).alias("plan_tier"),
+        F.when(trial, F.col("start_date")).alias("start_date"),
+    ).agg(F.count("*").alias("n"), F.max(F.when(~trial, F.col("start_date"))).alias("paid_start"))
+    last_paid = F.max("paid_start").over(Window.partitionBy("account_id"))
+    return (
+        combined.withColumn("last_paid_start", last_paid)
+        .filter("is_trial")
+        .withColumn(
+            "converted", F.when(F.col("last_paid_start") >= F.col("start_date"), F.col("n")).otherwise(0)
+        )
     )
 
 

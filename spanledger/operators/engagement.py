@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanledger.functions.measures import mean_half_up, pct, rank_desc, ratio_half_up
-from spanledger.plans.relations import churn_status, usage_per_account, usage_totals
+from spanledger.plans.relations import churn_status, usage_per_account, usage_with_account
 
 
 def _totals() -> dict[str, Column]:
@@ -46,11 +46,11 @@ def top_features(by_account: DataFrame) -> DataFrame:
 def eng_feature_errors(usage: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Features by errors, with the error rate per use."""
     return (
-        usage_totals(usage, subscriptions, _totals(), ["feature_name"])
+        usage_with_account(usage, subscriptions)
         .groupBy("feature_name")
         .agg(
-            F.sum("errors").alias("total_errors"),
-            F.sum("uses").alias("total_usage_count"),
+            F.sum("error_count").alias("total_errors"),
+            F.sum("usage_count").alias("total_usage_count"),
         )
         .select(
             "feature_name",
@@ -124,9 +124,9 @@ def summary_by_churn(by_account: DataFrame, churn: DataFrame) -> DataFrame:
 def eng_reconcile(usage: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Features, and usage rows that survive the join to their record."""
     return (
-        usage_totals(usage, subscriptions, {"events": F.count("*")}, ["feature_name"])
+        usage_with_account(usage, subscriptions)
         .groupBy("feature_name")
-        .agg(F.sum("events").alias("events"))
+        .agg(F.count("*").alias("events"))
         .agg(
             F.count("feature_name").alias("distinct_features"),
             F.coalesce(F.sum("events"), F.lit(0)).alias("total_usage_events_after_join"),

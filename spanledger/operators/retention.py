@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from spanledger.functions.measures import count_where, mean_half_up, pct
 from spanledger.functions.months import month_label, month_number, month_start
 from spanledger.plans.relations import cohort_sizes
-from spanledger.plans.spine import last_spine_month, last_start_month
+from spanledger.plans.spine import first_spine_month, last_spine_month, last_start_month
 from spanledger.plans.steps import account_segments, account_spans
 
-# Months since signup reported unless told otherwise.
+# Months since signup reported unless told otherwise; None reports the whole history.
 DEFAULT_MONTHS = 18
 
 
@@ -36,23 +36,28 @@ def cohort_activity(
     accounts: DataFrame,
     subscriptions: DataFrame,
     last_month: Column,
-    max_m: int,
+    max_m: int | None,
     amounts: Mapping[str, Column],
+    spine: DataFrame | None = None,
 ) -> DataFrame:
     """Active accounts, open records and summed amounts per cohort and months since signup.
 
     An account's segments are disjoint, so it enters each month once: at most
-    ``max_m + 1`` rows per account are made, however many records it holds.
+    ``max_m + 1`` rows per account are made, or one per month up to ``last_month``,
+    however many records it holds.  With a ``spine`` only its months count; it is
+    joined with the summed cells.
     """
     columns = ["open_records", *amounts]
-    horizon = F.least(F.lit(max_m), last_month - F.col("cohort_no"))
-    return (
+    cohort = F.col("cohort_no")
+    horizon = last_month - cohort if max_m is None else F.least(F.lit(max_m), last_month - cohort)
+    earliest = F.lit(0) if spine is None else F.greatest(first_spine_month(spine) - cohort, F.lit(0))
+    cells = (
         account_segments(subscriptions, amounts)
         .join(cohort_numbers(accounts), "account_id")
         .withColumns(
             {
-                "m_from": F.greatest(F.col("seg_from") - F.col("cohort_no"), F.lit(0)),
-                "m_to": F.least(F.col("seg_to") - F.col("cohort_no"), horizon),
+                "m_from": F.greatest(F.col("seg_from") - cohort, earliest),
+                "m_to": F.least(F.col("seg_to") - cohort, horizon),
             }
         )
         .filter(F.col("m_from") <= F.col("m_to"))
@@ -60,6 +65,12 @@ def cohort_activity(
         .groupBy("cohort_no", "m")
         .agg(F.count("*").alias("active_accounts"), *[F.sum(c).alias(c) for c in columns])
     )
+    if spine is None:
+        return cells
+    months = spine.select(month_number(F.col("month_start")).alias("month_no"))
+    return (
+        cells.withColumn("month_no", cohort + F.col("m")).join(months, "month_no", "left_semi").drop("month_no")
+    )
 
 
 def with_cohort_size(activity: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -76,16 +87,17 @@ def ret_matrix(
     accounts: DataFrame,
     subscriptions: DataFrame,
     spine: DataFrame,
-    max_m: int = DEFAULT_MONTHS,
+    max_m: int | None = DEFAULT_MONTHS,
     cap_to_observed: bool = False,
 ) -> DataFrame:
     """Retention per cohort and months since signup, populated cells only.
 
-    By default months run to the end of the spine, so its buffer months count
+    Months after the 18th since signup are left out by default; ``max_m=None``
+    reports all.  Months outside the spine are left out.  By default months run to the end of the spine, so its buffer months count
     open records beyond the data; ``cap_to_observed`` stops at the latest start.
     """
     last = last_start_month(subscriptions) if cap_to_observed else last_spine_month(spine)
-    activity = cohort_activity(accounts, subscriptions, last, max_m, {})
+    activity = cohort_activity(accounts, subscriptions, last, max_m, {}, spine)
     active = F.col("active_accounts")
     return (
         with_cohort_size(activity, accounts)
@@ -103,15 +115,22 @@ def ret_matrix(
     )
 
 
-def ret_pooled_curve(accounts: DataFrame, subscriptions: DataFrame, max_m: int = DEFAULT_MONTHS) -> DataFrame:
+def ret_pooled_curve(
+    accounts: DataFrame, subscriptions: DataFrame, max_m: int | None = DEFAULT_MONTHS
+) -> DataFrame:
     """Retention per months since signup over the cohorts old enough to have reached them.
 
+    Months after the 18th since signup are left out by default; ``max_m=None``
+    reports all.
+
     Cohorts whose month M lies after the latest subscription start are left out
     of numerator and denominator alike, so young cohorts do not look lost.  The
     spine reaches beyond that month, so it is not needed here.
     """
     last = last_start_month(subscriptions)
-    oldest = F.least(F.lit(max_m), last - F.col("cohort_no"))
+    oldest = last - F.col("cohort_no")
+    if max_m is not None:
+        oldest = F.least(F.lit(max_m), oldest)
     eligible = (
         numbered_cohort_sizes(accounts)
         .withColumn("oldest", oldest)

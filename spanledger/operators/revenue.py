@@ -18,25 +18,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanledger.functions.measures import from_hundredths, hundredths, sum_where
-from spanledger.functions.months import month_label, month_number, month_start
-from spanledger.plans.spine import last_start_month, start_months
-from spanledger.plans.steps import monthly_steps, open_spans, running_over_spine
+from spanledger.functions.months import month_label, month_start
+from spanledger.plans.spine import last_start_month
+from spanledger.plans.steps import monthly_steps_and_starts, running_between_starts, running_over_spine
 from spanledger.schema import PLAN_TIERS
 
 
 def _monthly_totals(
     subscriptions: DataFrame, spine: DataFrame | None, amounts: Mapping[str, Column]
 ) -> DataFrame:
-    """Totals per month with an open record, to the month of the latest start."""
+    """Totals per month with an open record, to the month of the latest start, in one pass."""
     columns = {"records": F.lit(1), **amounts}
-    steps = monthly_steps(open_spans(subscriptions), columns)
+    steps = monthly_steps_and_starts(subscriptions, columns)
     if spine is None:
-        months = start_months(subscriptions)
+        totals = running_between_starts(steps, list(columns))
     else:
-        months = spine.filter(
-            month_number(F.col("month_start")) <= last_start_month(subscriptions)
-        )
-    return running_over_spine(steps, months, list(columns)).filter("records > 0")
+        totals = running_over_spine(steps, spine, list(columns), to_last_start=True)
+    return totals.filter("records > 0")
 
 
 def _only(condition: Column, amount: Column) -> Column:

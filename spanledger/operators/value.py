@@ -28,12 +28,16 @@ def value_by_cohort(
     accounts: DataFrame,
     subscriptions: DataFrame,
     spine: DataFrame,
-    max_m: int = DEFAULT_MONTHS,
+    max_m: int | None = DEFAULT_MONTHS,
     cap_to_observed: bool = False,
 ) -> DataFrame:
-    """Open records, their amount, and the amount so far, per cohort and months since signup."""
+    """Open records, their amount, and the amount so far, per cohort and months since signup.
+
+    Months after the 18th since signup are left out by default; ``max_m=None``
+    reports all.  Months outside the spine are left out, of the running amount too.
+    """
     last = last_start_month(subscriptions) if cap_to_observed else last_spine_month(spine)
-    activity = cohort_activity(accounts, subscriptions, last, max_m, {"mrr": hundredths(subscriptions, _MRR)})
+    activity = cohort_activity(accounts, subscriptions, last, max_m, {"mrr": hundredths(subscriptions, _MRR)}, spine)
     so_far = Window.partitionBy("cohort_no").orderBy("m").rowsBetween(*RUNNING)
     return (
         with_cohort_size(activity, accounts)
@@ -87,9 +91,9 @@ def value_first_6_months(
 
 
 def value_reconcile(
-    accounts: DataFrame, subscriptions: DataFrame, spine: DataFrame, months: int = 24
+    accounts: DataFrame, subscriptions: DataFrame, spine: DataFrame, months: int | None = None
 ) -> DataFrame:
-    """Monthly amount through the cohorts against the direct sum, first ``months`` months."""
+    """Monthly amount through the cohorts against the direct sum, in every month or the first ``months``."""
     spans = open_spans(subscriptions)
     amounts = {"records": F.lit(1), "mrr": hundredths(subscriptions, _MRR)}
 
@@ -101,7 +105,7 @@ def value_reconcile(
         .agg(*[F.sum(a).alias(a) for a in amounts])
     )
     cohorts = running_over_spine(of_accounts, spine, list(amounts))
-    return (
+    result = (
         cohorts.filter("records > 0")
         .select("month_start", from_hundredths(F.col("mrr")).alias("mrr_via_cohort_path"))
         .join(
@@ -117,5 +121,5 @@ def value_reconcile(
             (F.col("mrr_via_cohort_path") == F.col("mrr_via_direct_path")).alias("reconciles"),
         )
         .orderBy("month")
-        .limit(months)
     )
+    return result if months is None else result.limit(months)

@@ -32,33 +32,26 @@ def usage_with_account(usage: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return usage.join(bridge, "subscription_id")
 
 
-def usage_totals(
+def usage_per_account(
     usage: DataFrame,
     subscriptions: DataFrame,
     totals: Mapping[str, Column],
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """Usage totals per subscription record, and per ``by`` column, with the account.
+    """Usage totals per account, and per ``by`` column.
 
-    Totals are taken before the join, so a record with very many events enters
-    it as a few combined rows.
+    Without ``by``, usage is summed per record first: the join needs that
+    distribution anyway, so usage moves once, already combined.  With ``by`` that
+    would be a shuffle of its own which combines next to nothing, so usage is
+    joined as it is (a hot record is split by the adaptive skew join) and combined
+    before the next exchange.
     """
-    per_record = usage.groupBy("subscription_id", *by).agg(
-        *[total.alias(name) for name, total in totals.items()]
-    )
-    return usage_with_account(per_record, subscriptions)
-
-
-def usage_per_account(
-    usage: DataFrame,
-    subscriptions: DataFrame,
-    totals: Mapping[str, Column],
-    by: Sequence[str] = (),
-) -> DataFrame:
-    """Usage totals per account, and per ``by`` column."""
+    named = [total.alias(name) for name, total in totals.items()]
+    if by:
+        return usage_with_account(usage, subscriptions).groupBy(*by, "account_id").agg(*named)
     return (
-        usage_totals(usage, subscriptions, totals, by)
-        .groupBy(*by, "account_id")
+        usage_with_account(usage.groupBy("subscription_id").agg(*named), subscriptions)
+        .groupBy("account_id")
         .agg(*[F.sum(name).alias(name) for name in totals])
     )
 

@@ -57,9 +57,9 @@ def calendar_month_spine(
     return _months(reduce(DataFrame.unionByName, ranges), buffer_months)
 
 
-def start_months(subscriptions: DataFrame) -> DataFrame:
-    """The months from the first to the latest subscription start, in spine columns."""
-    return _months(_date_range(subscriptions, F.min("start_date"), F.max("start_date")))
+def signup_months(accounts: DataFrame) -> DataFrame:
+    """The months from the first to the latest signup, in spine columns."""
+    return _months(_date_range(accounts, F.min("signup_date"), F.max("signup_date")))
 
 
 def spine_validate(spine: DataFrame) -> DataFrame:
@@ -77,6 +77,11 @@ def last_spine_month(spine: DataFrame) -> Column:
     return spine.agg(month_number(F.max("month_start"))).scalar()
 
 
+def first_spine_month(spine: DataFrame) -> Column:
+    """Month number of the start of the spine, as a scalar subquery."""
+    return spine.agg(month_number(F.min("month_start"))).scalar()
+
+
 def last_start_month(subscriptions: DataFrame) -> Column:
     """Month number of the latest subscription start, as a scalar subquery."""
     return subscriptions.agg(month_number(F.max("start_date"))).scalar()
@@ -86,19 +91,21 @@ def open_month_records(subscriptions: DataFrame, spine: DataFrame) -> DataFrame:
     """Every subscription record once per spine month in which it is open.
 
     A record is open from the month of its start to the month of its end, or to
-    the end of the spine.  Bounding the sequence replaces an interval-overlap
-    join.  The aggregating operators do not use this relation: it has one row
-    per record and month, and ``plans.steps`` gives the same totals without it.
+    the end of the spine.  Its months, bounded by the spine's first and last, are
+    kept where the spine has them, which replaces an interval-overlap join; the
+    spine enters as one row that lists its months.  The aggregating operators do
+    not use this relation: it has one row per record and month, and
+    ``plans.steps`` gives the same totals without it.
     """
-    first = first_of_month(F.col("start_date"))
-    last = F.least(first_of_month(F.col("end_date")), F.col("spine_end"))
+    months = spine.agg(F.sort_array(F.collect_set("month_start"))).scalar()
+    first = F.greatest(first_of_month(F.col("start_date")), F.element_at("spine_months", 1))
+    last = F.least(first_of_month(F.col("end_date")), F.element_at("spine_months", -1))
+    open_months = F.sequence("open_first", "open_last", F.expr("interval 1 month"))
     return (
-        subscriptions.withColumn("spine_end", spine.agg(F.max("month_start")).scalar())
+        subscriptions.withColumn("spine_months", months)
+        .filter(F.size("spine_months") > 0)
         .withColumns({"open_first": first, "open_last": last})
-        .filter(F.col("open_first") <= F.col("open_last"))
-        .withColumn(
-            "month_start",
-            F.explode(F.sequence("open_first", "open_last", F.expr("interval 1 month"))),
-        )
-        .drop("spine_end", "open_first", "open_last")
+        .filter((F.col("open_first") <= F.col("open_last")) & F.col("start_date").isNotNull())
+        .withColumn("month_start", F.explode(F.array_intersect(open_months, "spine_months")))
+        .drop("spine_months", "open_first", "open_last")
     )

@@ -44,9 +44,66 @@ def monthly_steps(
     )
 
 
-def running_over_spine(steps: DataFrame, spine: DataFrame, amounts: Sequence[str]) -> DataFrame:
+def monthly_steps_and_starts(subscriptions: DataFrame, amounts: Mapping[str, Column]) -> DataFrame:
+    """``monthly_steps`` of all records, and ``starts``, the records that start in a month.
+
+    A record that ends before it starts changes no amount, but its start counts,
+    so the range of starts comes out of the same pass.
+    """
+    spans = subscriptions.withColumns(
+        {
+            "open_from": month_number(F.col("start_date")),
+            "open_to": F.coalesce(month_number(F.col("end_date")), F.lit(NEVER_ENDS)),
+        }
+    ).filter(F.col("open_from").isNotNull())
+    real = F.col("open_from") <= F.col("open_to")
+    counted = {name: F.when(real, amount).otherwise(F.lit(0)) for name, amount in amounts.items()}
+    closing = F.when(real, F.col("open_to")).otherwise(F.lit(NEVER_ENDS))
+    opens, closes = F.col("open_from"), closing + 1
+    months = F.when(closing < NEVER_ENDS, F.array(opens, closes)).otherwise(F.array(opens))
+    return (
+        spans.select(
+            *[amount.alias(name) for name, amount in counted.items()],
+            F.posexplode(months).alias("closing", "month_no"),
+        )
+        .groupBy("month_no")
+        .agg(
+            F.count(F.when(F.col("closing") == 0, F.lit(1))).alias("starts"),
+            *[F.sum(F.when(F.col("closing") == 0, F.col(a)).otherwise(-F.col(a))).alias(a) for a in counted],
+        )
+    )
+
+
+def _last_start() -> Column:
+    return F.max(F.when(F.col("starts") > 0, F.col("month_no"))).over(Window.partitionBy())
+
+
+def running_between_starts(steps: DataFrame, amounts: Sequence[str]) -> DataFrame:
+    """Totals in every month from the first start to the last, from steps with ``starts``.
+
+    The windows have no partition key; they see one row per month with a step.
+    """
+    by_month = Window.orderBy("month_no")
+    following = F.lead("month_no").over(by_month) - 1
+    return (
+        steps.select(
+            "month_no",
+            F.least(F.coalesce(following, _last_start()), _last_start()).alias("until"),
+            *[F.sum(a).over(by_month.rowsBetween(*RUNNING)).alias(a) for a in amounts],
+        )
+        .filter(F.col("month_no") <= F.col("until"))
+        .select(F.explode(F.sequence("month_no", "until")).alias("month_no"), *amounts)
+        .withColumn("month_start", month_start(F.col("month_no")))
+        .drop("month_no")
+    )
+
+
+def running_over_spine(
+    steps: DataFrame, spine: DataFrame, amounts: Sequence[str], to_last_start: bool = False
+) -> DataFrame:
     """Totals at every spine month, from steps that hold at most one row per month.
 
+    ``to_last_start`` stops at the month of the last of the steps' ``starts``.
     The window has no partition key; it sees one row per calendar month.
     """
     months = spine.select(
@@ -56,8 +113,14 @@ def running_over_spine(steps: DataFrame, spine: DataFrame, amounts: Sequence[str
         steps.withColumn("in_spine", F.lit(False))
         .unionByName(months, allowMissingColumns=True)
         .groupBy("month_no")
-        .agg(F.max("in_spine").alias("in_spine"), *[F.sum(a).alias(a) for a in amounts])
+        .agg(
+            F.max("in_spine").alias("in_spine"),
+            *[F.sum(a).alias(a) for a in [*amounts, *(["starts"] if to_last_start else [])]],
+        )
     )
+    if to_last_start:
+        merged = merged.withColumn("last", _last_start()).filter(F.col("month_no") <= F.col("last"))
+        merged = merged.drop("starts", "last")
     run = Window.orderBy("month_no").rowsBetween(*RUNNING)
     return (
         merged.withColumns({a: F.coalesce(F.sum(a).over(run), F.lit(0)) for a in amounts})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
@@ -20,25 +20,21 @@ from spanledger.operators import summary as summ
 from spanledger.operators import support as sup
 from spanledger.operators import value as val
 from spanledger.plans import spine as sp
-from spanledger.plans.relations import cohort_sizes
+from spanledger.plans.relations import account_cohorts, churn_status, cohort_sizes, usage_with_account
 from spanledger.sources import orders_star as star
 from spanledger.sources.raw import load_row_counts
 
-# The row counts the checks compare with.
-EXPECTED_ROWS = {
-    "accounts": 500,
-    "subscriptions": 5000,
-    "feature_usage": 25000,
-    "support_tickets": 2000,
-    "churn_events": 600,
-}
-EXPECTED_CHURNED_ACCOUNTS = 352
-
-
 class Inputs:
-    """The five lifecycle tables, and what several operators take besides them."""
+    """The five lifecycle tables, and what several operators take besides them.
+
+    ``expected`` has the rows each table should have, and ``churned_accounts``;
+    without it every table is expected to be empty.
+    """
 
-    def __init__(self, tables: Mapping[str, DataFrame]) -> None:
+    def __init__(
+        self, tables: Mapping[str, DataFrame], expected: Mapping[str, int | Column] | None = None
+    ) -> None:
+        self.expected = expected or dict.fromkeys([*tables, "churned_accounts"], 0)
         self.accounts = tables["accounts"]
         self.subscriptions = tables["subscriptions"]
         self.usage = tables["feature_usage"]
@@ -47,7 +43,12 @@ class Inputs:
 
     @property
     def profiles(self) -> DataFrame:
-        """Accounts, for operators that do not use the signup date."""
+        """Accounts, for operators that use neither the signup date nor the country."""
+        return self.accounts
+
+    @property
+    def located(self) -> DataFrame:
+        """Accounts, for operators that use the country but not the signup date."""
         return self.accounts
 
     @cached_property
@@ -66,11 +67,11 @@ class Inputs:
 
     def marts(self) -> dict[str, DataFrame]:
         return {
-            "acq_monthly": acq.acq_monthly(self.accounts, _signup_spine(self)),
+            "acq_monthly": acq.acq_monthly(self.accounts, sp.signup_months(self.accounts)),
             "churn_repeat_summary": ch.churn_repeat_summary(self.churn),
             "conv_subscription_overall": conv.conv_subscription_overall(self.subscriptions),
             "mrr_monthly": rev.mrr_monthly(self.subscriptions),
-            "ret_pooled_curve": ret.ret_pooled_curve(self.accounts, self.subscriptions),
+            "ret_pooled_curve": ret.ret_pooled_curve(self.accounts, self.subscriptions, 6),
         }
 
 
@@ -82,13 +83,21 @@ class StarInputs(Inputs):
 
     @cached_property
     def accounts(self) -> DataFrame:
-        return star.accounts(self.spark, self.folder)
+        return star.accounts(self.spark, self.folder, country=False)
 
     @cached_property
     def profiles(self) -> DataFrame:
         """Without the signup date, which alone needs a scan of the orders."""
+        return star.accounts(self.spark, self.folder, signup=False, country=False)
+
+    @cached_property
+    def located(self) -> DataFrame:
         return star.accounts(self.spark, self.folder, signup=False)
 
+    @cached_property
+    def expected(self) -> dict[str, Column]:
+        return star.expected_counts(self.spark, self.folder)
+
     @cached_property
     def subscriptions(self) -> DataFrame:
         return star.subscriptions(self.spark, self.folder)
@@ -120,19 +129,24 @@ def _headline_check(i: Inputs) -> DataFrame:
     return summ.summary_reconcile(
         i.profiles,
         i.churn,
-        EXPECTED_ROWS["accounts"],
-        EXPECTED_ROWS["churn_events"],
-        EXPECTED_CHURNED_ACCOUNTS,
+        *[i.expected[name] for name in ("accounts", "churn_events", "churned_accounts")],
     )
 
 
+def _row_counts(i: Inputs) -> DataFrame:
+    return dq.dq01_row_counts(i.tables, {name: i.expected[name] for name in i.tables})
+
+
 OPERATORS: dict[str, Callable[[Inputs], DataFrame]] = {
     "load_row_counts": lambda i: load_row_counts(i.tables),
     "calendar_month_spine": lambda i: i.spine,
     "spine_validate": lambda i: sp.spine_validate(i.spine),
     "open_month_records": _open_months,
+    "churn_status": lambda i: churn_status(i.profiles.select("account_id", "plan_tier"), i.churn),
+    "usage_with_account": lambda i: usage_with_account(i.usage, i.subscriptions),
+    "account_cohorts": lambda i: account_cohorts(i.accounts),
     "cohort_sizes": lambda i: cohort_sizes(i.accounts),
-    "dq01_row_counts": lambda i: dq.dq01_row_counts(i.tables, EXPECTED_ROWS),
+    "dq01_row_counts": _row_counts,
     "dq02_key_uniqueness": lambda i: dq.dq02_key_uniqueness(i.tables),
     "dq03_duplicate_keys": lambda i: dq.dq03_duplicate_keys(i.usage),
     "dq03_duplicate_summary": lambda i: dq.dq03_duplicate_summary(i.usage),
@@ -157,7 +171,7 @@ OPERATORS: dict[str, Callable[[Inputs], DataFrame]] = {
     "acq_by_referral": lambda i: acq.acq_by_referral(i.profiles),
     "acq_by_plan": lambda i: acq.acq_by_plan(i.profiles),
     "acq_by_industry": lambda i: acq.acq_by_industry(i.profiles),
-    "acq_by_country": lambda i: acq.acq_by_country(i.profiles),
+    "acq_by_country": lambda i: acq.acq_by_country(i.located),
     "acq_referral_by_plan": lambda i: acq.acq_referral_by_plan(i.profiles),
     "acq_reconcile": lambda i: acq.acq_reconcile(i.accounts, _signup_spine(i)),
     "acq_rolling_mean": lambda i: acq.acq_rolling_mean(

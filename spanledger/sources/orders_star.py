@@ -7,7 +7,7 @@ usage event, an event a support ticket, and every ninth order a churn event.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SOURCE_SCHEMAS = {
@@ -26,23 +26,31 @@ def _source(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(_SOURCE_SCHEMAS[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def accounts(spark: SparkSession, folder: str, signup: bool = True) -> DataFrame:
-    """Accounts; ``signup=False`` leaves out ``signup_date`` and with it the scan of orders."""
-    nation = _source(spark, folder, "nation").selectExpr(
-        "n_nationkey AS c_nationkey", "n_name AS country"
-    )
-    customers = _source(spark, folder, "customer").join(nation, "c_nationkey")
+def accounts(
+    spark: SparkSession, folder: str, signup: bool = True, country: bool = True
+) -> DataFrame:
+    """Accounts, one per customer; a customer of an unknown nation has no country.
+
+    ``signup=False`` leaves out ``signup_date`` and with it the scan of orders,
+    ``country=False`` the country and with it the join with the nations.
+    """
+    customers = _source(spark, folder, "customer")
     columns = [
         "c_custkey AS account_id",
         "c_name AS account_name",
         "c_mktsegment AS industry",
-        "country",
         "element_at(array('organic', 'other', 'ads', 'event', 'partner'), c_nationkey % 5 + 1) AS referral_source",
         "CASE floor(abs(c_acctbal)) % 3 WHEN 0 THEN 'Basic' WHEN 1 THEN 'Pro' ELSE 'Enterprise' END AS plan_tier",
         "int(1 + c_custkey % 50) AS seats",
         "c_custkey % 5 = 0 AS is_trial",
         "c_custkey % 4 = 0 AS churn_flag",
     ]
+    if country:
+        nation = _source(spark, folder, "nation").selectExpr(
+            "n_nationkey AS c_nationkey", "n_name AS country"
+        )
+        customers = customers.join(nation, "c_nationkey", "left")
+        columns.insert(3, "country")
     if signup:
         first_order = (
             _source(spark, folder, "orders")
@@ -124,6 +132,24 @@ def churn_events(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def expected_counts(spark: SparkSession, folder: str) -> dict[str, Column]:
+    """Rows that each lifecycle table must have, and churned accounts, told from the order tables."""
+    churning = "o_orderkey % 9 = 4"
+    counts = {
+        name: _source(spark, folder, source).agg(F.count(key)).scalar()
+        for name, source, key in (
+            ("accounts", "customer", "c_custkey"),
+            ("subscriptions", "orders", "o_orderkey"),
+            ("feature_usage", "lineitem", "l_orderkey"),
+            ("support_tickets", "events", "event_id"),
+        )
+    }
+    orders = _source(spark, folder, "orders")
+    counts["churn_events"] = orders.agg(F.expr(f"count_if({churning})")).scalar()
+    counts["churned_accounts"] = orders.agg(F.expr(f"count(DISTINCT if({churning}, o_custkey, NULL))")).scalar()
+    return counts
+
+
 def lifecycle_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The five lifecycle tables, lazily."""
     return {

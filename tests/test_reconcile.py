@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spanledger.operators import churn, conversion, engagement, retention, revenue, value
 from spanledger.plans.relations import account_cohorts, churn_status, usage_with_account
 from spanledger.plans.spine import calendar_month_spine, open_month_records
-from spanledger.registry import StarInputs, query
+from spanledger.registry import OPERATORS, Inputs, StarInputs, query
 
 
 @pytest.fixture(scope="module")
@@ -135,7 +135,78 @@ def test_first_six_months_are_the_sixth_running_total(star):
 
 def test_value_paths_agree_where_every_record_has_its_account(star):
     rows = value.value_reconcile(star.accounts, star.subscriptions, star.spine).collect()
-    assert len(rows) == 24 and all(r.reconciles for r in rows)
+    months = revenue.mrr_monthly(star.subscriptions, star.spine).count()
+    assert len(rows) >= months > 24 and all(r.reconciles for r in rows)
+    first = value.value_reconcile(star.accounts, star.subscriptions, star.spine, months=24).collect()
+    assert first == rows[:24]
+
+
+def _overlap(subscriptions, spine):
+    """Records and months by the overlap join itself."""
+    return spine.join(
+        subscriptions,
+        (F.col("start_date") <= F.col("month_end"))
+        & (F.col("end_date").isNull() | (F.col("end_date") >= F.col("month_start"))),
+    )
+
+
+@pytest.mark.parametrize(
+    "months",
+    [
+        "month_start >= '1996-01-01'",
+        "month_start >= '1996-01-01' AND month(month_start) NOT IN (5, 6) AND month_start < '1998-01-01'",
+        "month_start = '1997-03-01'",
+        "false",
+    ],
+)
+def test_only_months_of_the_spine_count(star, months):
+    spine = star.spine.filter(months)
+    overlap = _overlap(star.subscriptions, spine)
+    keys = ["subscription_id", "month_start"]
+    ours = open_month_records(star.subscriptions, spine).select(*keys)
+    assert sorted(ours.collect()) == sorted(overlap.select(*keys).collect())
+
+    since = F.months_between("month_start", "cohort_month").cast("int")
+    cells = (
+        overlap.join(account_cohorts(star.accounts), "account_id")
+        .filter("month_start >= cohort_month")
+        .groupBy(F.date_format("cohort_month", "yyyy-MM").alias("cohort"), since.alias("m"))
+        .agg(
+            F.countDistinct("account_id").alias("accounts"),
+            F.countDistinct("subscription_id").alias("records"),
+            F.sum("mrr_amount").alias("mrr"),
+        )
+    )
+    for max_m in (18, None):
+        want = sorted(cells.filter("true" if max_m is None else f"m <= {max_m}").collect())
+        matrix = retention.ret_matrix(star.accounts, star.subscriptions, spine, max_m)
+        got = matrix.select("cohort_month", "months_since_signup", "active_accounts").collect()
+        assert sorted(map(tuple, got)) == [(r.cohort, r.m, r.accounts) for r in want]
+        by_cohort = value.value_by_cohort(star.accounts, star.subscriptions, spine, max_m)
+        got = by_cohort.select(
+            "cohort_month", "months_since_signup", "open_subscription_records", "observed_subscription_mrr"
+        ).collect()
+        assert sorted(map(tuple, got)) == [(r.cohort, r.m, r.records, r.mrr) for r in want]
+
+
+def test_the_whole_history_extends_the_default_one(star):
+    short = retention.ret_pooled_curve(star.accounts, star.subscriptions).collect()
+    whole = retention.ret_pooled_curve(star.accounts, star.subscriptions, max_m=None).collect()
+    assert len(short) == 19 and len(whole) > 19 and whole[:19] == short
+
+
+def test_expectations_that_hold_and_that_do_not(spark, edge):
+    assert all(r.actual_rows == r.expected_rows > 0 for r in query("dq01_row_counts")(spark, STAR).collect())
+    assert set(one(query("summary_reconcile")(spark, STAR)).values()) == {True}
+    tables = edge[0].tables
+    right = {name: df.count() for name, df in tables.items()}
+    right["churned_accounts"] = tables["churn_events"].select("account_id").distinct().count()
+    counts = OPERATORS["dq01_row_counts"](Inputs(tables, right)).collect()
+    assert all(r.actual_rows == r.expected_rows for r in counts)
+    for wrong in ("accounts", "churn_events", "churned_accounts"):
+        row = one(OPERATORS["summary_reconcile"](Inputs(tables, right | {wrong: right[wrong] + 1})))
+        assert list(row.values()).count(False) == 1
+    assert set(one(OPERATORS["summary_reconcile"](Inputs(tables, right))).values()) == {True}
 
 
 def test_value_paths_differ_by_the_records_without_account(edge):

@@ -7,12 +7,14 @@ from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
+from conftest import STAR
 from edge_tables import ROWS, edge_tables
 from pyspark.sql import functions as F
 
 from spanledger import build
 from spanledger.operators.acquisition import acq_by_plan
 from spanledger.schema import TABLES
+from spanledger.sources import orders_star
 from spanledger.sources.marts import MART_PATHS, load_marts, read_mart, write_mart
 from spanledger.sources.raw import load_row_counts, read_raw
 
@@ -71,7 +73,8 @@ def test_mart_round_trip(spark, edge, tmp_path, fmt):
 
 def test_build_writes_every_mart(spark, edge, tmp_path):
     inputs, _ = edge
-    paths = build.build_marts(inputs.tables, str(tmp_path / "out"))
+    paths = build.build_marts(inputs.tables, str(tmp_path / "out"), work=str(tmp_path / "work"))
+    assert not any((tmp_path / "work").iterdir())
     assert set(paths) == set(MART_PATHS) and len(paths) == 19
     marts = load_marts(spark, str(tmp_path / "out"))
     assert all(mart is not None and mart.columns for mart in marts.values())
@@ -85,12 +88,48 @@ def test_build_writes_every_mart(spark, edge, tmp_path):
         assert _rows(back) == _rows(lazily[name])
 
 
-def test_shared_folder_is_the_clusters_where_it_names_one():
+def test_shared_folder_is_the_given_or_the_clusters():
     def with_setting(value):
         return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: value or default))
 
-    assert build.shared_folder(with_setting(None), "/out").startswith("/out/spanledger-")
-    assert build.shared_folder(with_setting("/cluster/"), "/out").startswith("/cluster/spanledger-")
+    assert build.shared_folder(with_setting("/cluster/")).startswith("/cluster/spanledger-")
+    assert build.shared_folder(with_setting("/cluster/"), "/own").startswith("/own/spanledger-")
+    with pytest.raises(ValueError, match="share"):
+        build.shared_folder(with_setting(None))
+
+
+def test_build_refuses_repeated_keys_and_writes_no_mart(spark, edge, tmp_path):
+    tables = dict(edge[0].tables)
+    records = tables["subscriptions"]
+    tables["subscriptions"] = records.union(records.limit(1))
+    with pytest.raises(ValueError, match="raw_subscriptions.subscription_id"):
+        build.build_marts(tables, str(tmp_path / "out"), work=str(tmp_path / "work"))
+    assert not (tmp_path / "out").exists() and not any((tmp_path / "work").iterdir())
+
+
+def test_build_parses_each_table_once(spark, tmp_path):
+    _write_csv(tmp_path)
+    tables = read_raw(spark, str(tmp_path))
+    staged = []
+    written = build._written
+    try:
+        build._written = lambda df, path: staged.append(df) or written(df, path)
+        build.build_marts(tables, str(tmp_path / "out"), work=str(tmp_path / "work"))
+    finally:
+        build._written = written
+    read = [plan for df in staged[5:] if "csv" in (plan := df._jdf.queryExecution().optimizedPlan().toString()).lower()]
+    assert len(staged) == 7 and not read
+
+
+def test_an_account_of_an_unknown_nation_stays(spark, tmp_path):
+    for name in ("nation", "orders"):
+        spark.read.parquet(f"{STAR}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    customers = spark.read.parquet(f"{STAR}/customer.parquet")
+    lost = F.when(F.col("c_custkey") % 3 == 0, F.lit(99)).otherwise(F.col("c_nationkey")).cast("int")
+    customers.withColumn("c_nationkey", lost).write.parquet(f"{tmp_path}/customer.parquet")
+    accounts = orders_star.accounts(spark, str(tmp_path))
+    assert accounts.count() == customers.count()
+    assert accounts.filter("country IS NULL").count() == customers.filter("c_custkey % 3 = 0").count()
 
 
 def test_build_refuses_marts_that_do_not_add_up(spark, edge, tmp_path):
@@ -99,4 +138,5 @@ def test_build_refuses_marts_that_do_not_add_up(spark, edge, tmp_path):
         "signup_date", F.when(F.col("account_id") != "plain", F.col("signup_date"))
     )
     with pytest.raises(ValueError, match="acq_monthly"):
-        build.build_marts(tables, str(tmp_path / "out"))
+        build.build_marts(tables, str(tmp_path / "out"), work=str(tmp_path / "work"))
+    assert not any((tmp_path / "work").iterdir())
