@@ -34,10 +34,11 @@ SAMPLE_DOCS = 150
 SAMPLE_CHARS = 4000
 MAX_LANGUAGES = 100
 DICTIONARY_BYTES = 110 << 10
-#: Bytes of text encoded at a time; texts shorter than SHORT get the finest search.
+#: Bytes of text encoded at a time.  Texts shorter than SHORT are encoded several times over:
+#: alone they would be stored as they are, at the same size by any dictionary.
 PIECE = 2048
-SHORT = 256
-LEVEL, SHORT_LEVEL = 6, 19
+SHORT, SHORT_TIMES = 256, 6
+LEVEL = 6
 #: Least lead of the best size over the next, in relation to it and in bytes.
 NARROW, NARROW_BYTES = 0.01, 2
 
@@ -85,12 +86,11 @@ def dictionaries(labelled: DataFrame) -> list[tuple[str, bytes]]:
 
 
 class Coders:
-    """One encoder per language and level."""
+    """One encoder per language."""
 
     def __init__(self, made: list[tuple[str, bytes]]):
         self.names = [lang for lang, _ in made]
-        self.long = [self._coder(content, LEVEL) for _, content in made]
-        self.short = [self._coder(content, SHORT_LEVEL) for _, content in made]
+        self.coders = [self._coder(content, LEVEL) for _, content in made]
 
     @staticmethod
     def _coder(content: bytes, level: int) -> zstandard.ZstdCompressor:
@@ -102,9 +102,9 @@ class Coders:
 
     def sizes(self, text: bytes) -> list[int]:
         if len(text) < SHORT:
-            return [len(c.compress(text)) for c in self.short]
+            text = (b" " + text) * SHORT_TIMES + b" "
         pieces = [text[at : at + PIECE] for at in range(0, len(text), PIECE)]
-        return [sum([len(c.compress(p)) for p in pieces]) for c in self.long]
+        return [sum([len(c.compress(p)) for p in pieces]) for c in self.coders]
 
     def predict(self, text: str | None) -> tuple[str, float, float, bool]:
         """Language, score, margin, rejected.

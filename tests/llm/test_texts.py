@@ -197,9 +197,9 @@ def test_held_out_languages_are_found(spark):
     got = tuples(language_id.languages(frame(spark, rows, extra=True)), "doc_id", "held_out", "lang_pred", "rejected")
     held = [r for r in got if r[1]]
     assert len(got) == len(rows) and 250 < len(held) < 420
-    assert sum(lang[r[0]] == r[2] for r in held) / len(held) > 0.97
+    assert sum(lang[r[0]] == r[2] for r in held) / len(held) > 0.985
     sure = [r for r in held if not r[3]]
-    assert sum(lang[r[0]] == r[2] for r in sure) / len(sure) > 0.985 and len(sure) > 0.95 * len(held)
+    assert sum(lang[r[0]] == r[2] for r in sure) / len(sure) > 0.99 and len(sure) > 0.95 * len(held)
 
 
 def test_language_of_edge_texts(spark):
