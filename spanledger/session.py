@@ -17,16 +17,30 @@ SETTINGS = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
-# A shuffle starts from this many partitions and is coalesced to the advisory
-# size; it is never split beyond them, so the number must suit the largest.
-# At 128 MB each it holds 2 TB.
-CLUSTER_PARTITIONS = 16_384
+# Shuffle partitions for about 100 TB of tables, by what a job shuffles at most.  A
+# shuffle starts from this many and is coalesced to the advisory size, never split
+# beyond them; every map task keeps account of each, so a job that shuffles a few
+# rows a month wants few.
+#   months: monthly revenue, plain checks, shares by a category
+#   accounts: retention, cohort value, conversion, churn, support, the summary
+#   usage: engagement by feature, usage in window, duplicate keys, marts
+PARTITIONS = {"months": 64, "accounts": 4_096, "usage": 65_536}
+
+
+def partitions_for(shuffled_bytes: int, size: int = 128 << 20) -> int:
+    """Partitions of about ``size`` for a job whose largest shuffle is known."""
+    return max(8, -(-shuffled_bytes // size))
 
 
 def session(
-    name: str = "spanledger", shuffle_partitions: int = CLUSTER_PARTITIONS, **extra: str
+    name: str = "spanledger", shuffle_partitions: int | str = "accounts", **extra: str
 ) -> SparkSession:
-    """A session with these settings; master and resources come from spark-submit or ``extra``."""
+    """A session with these settings; master and resources come from spark-submit or ``extra``.
+
+    ``shuffle_partitions`` is a number, or a kind of job in PARTITIONS.
+    """
+    if isinstance(shuffle_partitions, str):
+        shuffle_partitions = PARTITIONS[shuffle_partitions]
     builder = SparkSession.builder.appName(name)
     settings = {**SETTINGS, "spark.sql.shuffle.partitions": str(shuffle_partitions), **extra}
     for key, value in settings.items():
