@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from spanledger.llm import bpe, exact_dedup, mixing, quality_rules, simhash
-from spanledger.llm.common import stage, table
+from spanledger.llm.common import MADE, settled, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -51,7 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, used = table(spark, sf_dir, "documents"), []
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        # What a stage leaves on its way goes when its result is written, and so does its input.
+        docs = settled(lambda step=step, docs=docs: step(spark, docs, sf_dir), name.replace(" ", "-"), used)
+        used = [MADE[-1]]
     return docs

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,8 +38,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Folders and tables that this driver has made and not removed, oldest first.
+MADE: list[str] = []
+MADE_TABLES: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def new_table(name: str) -> str:
+    MADE_TABLES.append(f"{name}_{uuid.uuid4().hex}")
+    return MADE_TABLES[-1]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -55,6 +67,24 @@ def discard(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(conf).delete(target, True)
+        if path in MADE:
+            MADE.remove(path)
+
+
+def settled(make: Callable[[], DataFrame], name: str, used: Sequence[str] = ()) -> DataFrame:
+    """What ``make`` returns, staged, after which the folders and tables made on the way are removed.
+
+    ``used`` names older folders that are not needed any more once the result is written.
+    """
+    folders, tables = len(MADE), len(MADE_TABLES)
+    df = make()
+    done = stage(df, name)
+    spark = df.sparkSession
+    discard(spark, *MADE[folders:-1], *used)
+    for table_name in MADE_TABLES[tables:]:
+        spark.sql(f"DROP TABLE IF EXISTS {table_name}")
+    del MADE_TABLES[tables:]
+    return done
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

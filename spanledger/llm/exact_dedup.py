@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanledger.llm.common import SPACE, kept_documents, stage, text_or_empty, with_rows
+from spanledger.llm.common import SPACE, kept_documents, new_table, stage, text_or_empty, with_rows
 
 #: Increments in which a query feeds its documents to a fresh index.
 INCREMENTS = 2
@@ -99,7 +99,7 @@ class DigestIndex:
 def new_index(spark: SparkSession) -> DigestIndex:
     """An empty index with as many buckets as shuffles have partitions."""
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", buckets)
+    return DigestIndex(spark, new_table("digest_index"), buckets)
 
 
 def increments(rows: DataFrame, parts: int) -> list[DataFrame]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from spanledger.llm import bpe, exact_dedup, html_text, language_id, mixing, quality_rules, secrets, simhash, warc
-from spanledger.llm.common import table
+from spanledger.llm.common import settled, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -18,15 +18,15 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
-    return warc.archived(table(spark, folder, "pages"))
+    return settled(lambda: warc.archived(table(spark, folder, "pages")), "op2_warc")
 
 
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
+    return settled(lambda: exact_dedup.exact_duplicates(table(spark, folder, "documents")), "op3_exact_dedup")
 
 
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, folder, "documents"))
+    return settled(lambda: simhash.near_duplicates(table(spark, folder, "documents")), "op5_simhash")
 
 
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,15 +34,15 @@ def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    return secrets.secret_spans(table(spark, folder, "documents"))
+    return settled(lambda: secrets.secret_spans(table(spark, folder, "documents")), "op7_secrets")
 
 
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return quality_rules.quality_rules(table(spark, folder, "documents"))
+    return settled(lambda: quality_rules.quality_rules(table(spark, folder, "documents")), "op8_quality_rules")
 
 
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mixed_sizes(table(spark, folder, "documents"))
+    return settled(lambda: mixing.mixed_sizes(table(spark, folder, "documents")), "op9_mixing")
 
 
 def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:

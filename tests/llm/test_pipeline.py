@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import brute
 from helpers import edge_rows, frame, prose, row, tuples
 
@@ -51,8 +53,14 @@ def test_each_operator_has_its_query():
     assert numbers == [1, 2, 3, 5, 6, 7, 8, 9, 10] and set(ORACLE) <= set(QUERIES)
 
 
-def test_staged_folders_can_be_discarded(spark, tmp_path):
-    path = common.new_path(spark, "test")
-    spark.range(3).write.parquet(path)
-    common.discard(spark, path)
-    spark.range(3).write.parquet(path)
+def test_only_the_result_stays_in_the_shared_folder(spark, tmp_path):
+    frame(spark, corpus()).write.parquet(f"{tmp_path}/documents.parquet")
+    pages = spark.createDataFrame([(1, "http://a/", "<p>x")], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    folder = Path(common.shared_folder(spark).removeprefix("file://"))
+    queries = [QUERIES[q] for q in ("op2_warc", "op3_exact_dedup", "op5_simhash", "op9_mixing")]
+    for query in [*queries, corpus_pipeline.run]:
+        before, tables = set(folder.iterdir()), spark.catalog.listTables()
+        result = query(spark, str(tmp_path))
+        assert len(set(folder.iterdir()) - before) == 1 and spark.catalog.listTables() == tables
+        assert result.count() > 0
