@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\f\r"
 
+#: Row keys that are broadcast, at about 80 bytes each in memory.
+BROADCAST_ROWS = 400_000
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -95,19 +98,40 @@ def text_or_empty(text: Column | str = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def with_rows(docs: DataFrame, name: str, **computed: Column) -> DataFrame:
-    """Stage documents whole as ``doc``, with computed columns and a tag ``row`` of their own.
+class Rows:
+    """Documents whose rows have a key, ``row``, that is the same however often they are read.
 
-    The columns of the input sit inside ``doc``, so no name of theirs can clash.
-    The tags stay as they are because the staged table is what later steps read.
+    It is the file and the place in it, so documents read from Parquet, as a
+    pipeline's stages get them, need no copy; others are staged first.  The
+    columns of the input sit inside ``doc``, so no name of theirs can clash.
     """
-    own = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
-        *[column.alias(key) for key, column in computed.items()],
-    )
-    return stage(own.withColumn("row", F.monotonically_increasing_id()), name)
-
 
-def kept_documents(staged: DataFrame, rows_to_drop: DataFrame) -> DataFrame:
-    """The documents of a staged table without the given rows; ``row`` is unique, so no key is hot."""
-    return staged.join(rows_to_drop.select("row"), "row", "left_anti").select("doc.*")
+    def __init__(self, docs: DataFrame, name: str):
+        doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+        plan = docs._jdf.queryExecution().analyzed()
+        read = plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().toString() == "parquet"
+        if not read or "_metadata" in docs.columns:
+            docs = stage(docs.select(doc), name)
+            doc = F.col("doc")
+        place = F.struct(
+            F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")
+        )
+        self.docs = docs.select(doc, place.alias("row"))
+
+    def values(self, **computed: Column) -> DataFrame:
+        """``row`` and columns computed of ``doc``."""
+        return self.docs.select("row", *[column.alias(name) for name, column in computed.items()])
+
+    def without(self, dropped: DataFrame) -> DataFrame:
+        """The documents whose rows are not in ``dropped``, with their own columns."""
+        return self.docs.join(_small(dropped.select("row"), "dropped"), "row", "left_anti").select("doc.*")
+
+    def with_values(self, values: DataFrame) -> DataFrame:
+        """``doc`` with the columns of ``values`` (row and others), where there are some."""
+        return self.docs.join(_small(values, "values"), "row")
+
+
+def _small(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` staged, and broadcast if they are counted to be few; else a join shuffles both sides by row."""
+    rows = stage(rows, name)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanledger.llm.common import SPACE, kept_documents, new_table, stage, text_or_empty, with_rows
+from spanledger.llm.common import SPACE, Rows, new_table, stage, text_or_empty
 
 #: Increments in which a query feeds its documents to a fresh index.
 INCREMENTS = 2
@@ -139,6 +139,6 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, parts: i
 
 def without_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their own columns."""
-    staged = with_rows(docs, "texts", doc_id=F.col("doc_id"), digest=digest())
-    decided = deduplicate(staged.select("row", "doc_id", "digest"), new_index(docs.sparkSession))
-    return kept_documents(staged, decided.where(~F.col("kept")))
+    rows = Rows(docs, "texts")
+    digests = stage(rows.values(doc_id=F.col("doc.doc_id"), digest=digest("doc.text")), "digests")
+    return rows.without(deduplicate(digests, new_index(docs.sparkSession)).where(~F.col("kept")))

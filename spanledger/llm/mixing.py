@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanledger.llm.common import SPACE, SPACE_CHARS, stage, text_or_empty, with_rows
+from spanledger.llm.common import SPACE, SPACE_CHARS, Rows, stage, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -216,13 +216,12 @@ def mixed_sizes(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix: each document whole, as often as the words taken of it make it up, rounded."""
-    staged = with_rows(docs, "mixed", doc_id=F.col("doc_id"), source=F.col("source"), size=n_words(text_or_empty()))
-    taken = mix(staged.select("row", "doc_id", "source", "size")).select(
-        F.col("row").alias("of"),
-        F.round(F.col("taken") / F.when(F.col("size") > 0, F.col("size"))).cast("int").alias("times"),
-    )
+    rows = Rows(docs, "mixed")
+    sizes = rows.values(doc_id=F.col("doc.doc_id"), source=F.col("doc.source"), size=n_words(text_or_empty("doc.text")))
+    times = F.round(F.col("taken") / F.when(F.col("size") > 0, F.col("size"))).cast("int")
+    taken = mix(stage(sizes, "sizes")).select("row", times.alias("times")).where("times > 0")
     return (
-        staged.join(taken.where("times > 0"), F.col("row") == F.col("of"))
+        rows.with_values(taken)
         .withColumn("n", F.explode(F.sequence(F.lit(1), F.col("times"))))
         .select("doc.*")
     )

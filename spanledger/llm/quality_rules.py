@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanledger.llm.common import SPACE, SPACE_CHARS, kept_documents, stage, text_or_empty
+from spanledger.llm.common import SPACE, SPACE_CHARS, Rows, stage, text_or_empty
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -263,11 +263,6 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def passing(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
-    packed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
-        "lang",
-        "source",
-        text_or_empty().alias("text"),
-    )
-    staged = stage(with_counts(packed).withColumn("row", F.monotonically_increasing_id()), "counted")
-    return kept_documents(staged, judge(staged.drop("doc")).where("not kept"))
+    rows = Rows(docs, "texts")
+    texts = rows.values(lang=F.col("doc.lang"), source=F.col("doc.source"), text=text_or_empty("doc.text"))
+    return rows.without(judge(stage(with_counts(texts), "counts")).where("not kept"))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanledger.llm.common import kept_documents, ship, stage, with_rows
+from spanledger.llm.common import Rows, ship, stage
 from spanledger.llm.components import components
 
 BITS = 64
@@ -306,12 +306,13 @@ def without_near_duplicates(
     docs: DataFrame, width: int = SHINGLE, distance: int = DISTANCE, plan: tuple[tuple[str, int], ...] = PLAIN
 ) -> DataFrame:
     """One document of each class, that of the smallest id, with its own columns."""
-    staged = with_rows(docs, "near", doc_id=F.col("doc_id").cast("long"), text=F.col("text"))
-    rows = stage(fingerprints(staged.select("row", "doc_id", "text"), width), "simhash")
+    documents = Rows(docs, "near")
+    texts = documents.values(doc_id=F.col("doc.doc_id").cast("long"), text=F.col("doc.text"))
+    rows = stage(fingerprints(texts, width), "simhash")
     named = classes(rows, plan, distance).withColumnRenamed("fp", "of")
     tagged = rows.join(named, F.col("fp") == F.col("of"))
     first = tagged.groupBy("component_id").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
     )
     keep = first.select(F.col("first.row").alias("row"))
-    return kept_documents(staged, rows.select("row").join(keep, "row", "left_anti"))
+    return documents.without(rows.select("row").join(keep, "row", "left_anti"))

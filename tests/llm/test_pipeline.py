@@ -43,6 +43,27 @@ def test_all_but_the_last_stage_keep_the_columns(spark):
         assert staged.schema.simpleString() == docs.schema.simpleString()
 
 
+def test_rows_of_parquet_files_are_told_apart_without_a_copy(spark, tmp_path):
+    frame(spark, corpus()).write.parquet(f"{tmp_path}/documents.parquet")
+    made = len(common.MADE)
+    rows = common.Rows(spark.read.parquet(f"{tmp_path}/documents.parquet"), "test")
+    assert len(common.MADE) == made
+    assert rows.docs.select("row").distinct().count() == len(corpus())
+    derived = common.Rows(spark.read.parquet(f"{tmp_path}/documents.parquet").union(frame(spark, corpus())), "test")
+    assert len(common.MADE) == made + 1
+    assert derived.docs.select("row").distinct().count() == 2 * len(corpus())
+
+
+def test_rows_joined_by_shuffle_give_the_same(spark, monkeypatch):
+    docs = frame(spark, corpus())
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        small = step(spark, docs, "").select("doc_id", "text").collect()
+        with monkeypatch.context() as patch:
+            patch.setattr(common, "BROADCAST_ROWS", -1)
+            large = step(spark, docs, "").select("doc_id", "text").collect()
+        assert sorted(map(repr, small)) == sorted(map(repr, large))
+
+
 def test_empty_tables_pass_through(spark, tmp_path):
     frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
