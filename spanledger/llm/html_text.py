@@ -75,8 +75,10 @@ ASIDE_WORDS = frozenset(
     "menu breadcrumb breadcrumbs sidebar aside complementary footer contentinfo masthead cookie cookies consent gdpr "
     "notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "related recommended recommendations comment comments disqus reply replies respond widget widgets pagination pager "
-    "search form toolbar skip".split()
+    "search form toolbar skip copyright commentlist discussion topbar sidenav subnav".split()
 )
+#: Names of a page's header; other names with the word, like an entry's, may hold the headline.
+HEADER_WORDS = frozenset("header site page top main global container wrapper".split())
 #: Elements whose own class says nothing against their text.
 MAIN_TAGS = frozenset("html body main".split())
 
@@ -228,7 +230,7 @@ class Page:
         if tag in VOID:
             return
         written, words = _words(attributes)
-        said = tag not in MAIN_TAGS and bool(words & ASIDE_WORDS)
+        said = tag not in MAIN_TAGS and (bool(words & ASIDE_WORDS) or "header" in words <= HEADER_WORDS)
         if tag in ("article", "main") and not said:
             # An article is not part of a menu or header: their end tags are missing, or wrap the page.
             first = next((k for k, e in enumerate(self._open) if e.tag in ASIDE_TAGS and e.tag != "form"), None)

@@ -156,6 +156,8 @@ def test_menus_headers_and_the_like_are_left_out():
         ("<!-- open <p>x</p>", ""),
         ("<p>1&nbsp;&#8203;2&#x41;&unknown;</p>", "1 ​2A&unknown;"),
         ('<p class="shadow">kept</p><p class="ad-slot">not</p>', "kept"),
+        ('<div id="site-header">Site</div><div class="entry-header">Head</div><p>x', "Head\n\nx"),
+        ('<p>x</p><ol class="commentlist"><li>y</ol><div class="copyright">z', "x"),
         ("<article>a</article>between<article>b</article>", "a\n\nb"),
         ('<div aria-label="unclosed>x</div><p>y', "x\n\ny"),
     ],
