@@ -70,10 +70,11 @@ class DigestIndex:
     def decide(self, rows: DataFrame, run: str) -> DataFrame:
         """Each of ``rows`` with keep_id, group_size and kept.
 
-        Only digests that repeat, in this run or before it, are joined back; the
-        join can be split where one digest has a large share of the rows.
+        Only digests that repeat, in this run or before it, are joined back.  They
+        are staged, so that the join with the rows deals out both sides itself and
+        can be split where one digest has a large share of the rows.
         """
-        groups = (
+        groups = stage(
             rows.groupBy("digest")
             .agg(F.count("*").alias("group_size"))
             .join(self.table().hint("merge"), "digest")
@@ -83,7 +84,8 @@ class DigestIndex:
                 "group_size",
                 "keep_id",
                 F.when(F.col("run") == run, F.col("keep_row")).alias("keep_row"),
-            )
+            ),
+            "repeated",
         )
         alone = F.col("group").isNull()
         return rows.join(groups, F.col("digest") == F.col("group"), "left").select(
