@@ -8,8 +8,9 @@ last tokens are stored, and following them back from the end gives the ids.
 The work is linear in the length of a word, however long, and equals what
 applying merges one by one in rank order gives.
 
-Words repeat, so a worker keeps the finished ids of words it has met, up to
-CACHE_CHARS characters; beyond that it starts anew, which changes no result.
+Words repeat, so a worker keeps the finished ids of words it has met, in a new
+and an old generation of up to CACHE_CHARS characters each: when the new one is
+full it becomes the old one, and what is still in use moves on from there.
 
 Defined results: a null text is an empty text and has no ids; rows, ties and
 repeats are independent of each other; extra columns are ignored.
@@ -32,9 +33,9 @@ from pyspark.sql import functions as F
 
 from spanledger.llm.common import ship
 
-#: Characters of words whose ids a worker remembers at a time, and compatible pairs.
-CACHE_CHARS = 4_000_000
-CACHE_PAIRS = 1_000_000
+#: Characters of words whose ids a worker remembers in a generation, and compatible pairs.
+CACHE_CHARS = 1_500_000
+CACHE_PAIRS = 300_000
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 NEVER = 1 << 60
@@ -95,6 +96,8 @@ class WordEndBpe:
         self.compatible: dict[int, bool] = {}
         self.known: dict[str, tuple[str, str]] = {}
         self.known_words: dict[str, tuple[str, str]] = {}
+        self.old: dict[str, tuple[str, str]] = {}
+        self.old_words: dict[str, tuple[str, str]] = {}
         self.known_chars = 0
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
@@ -160,23 +163,28 @@ class WordEndBpe:
         return ids[::-1]
 
     def remember(self, known: dict[str, tuple[str, str]], text: str, entry: tuple[str, str]) -> None:
-        if self.known_chars > CACHE_CHARS:
-            self.known_words.clear()
-            self.known.clear()
-            self.known_chars = 0
         known[text] = entry
         self.known_chars += len(text)
+        if self.known_chars > CACHE_CHARS:
+            self.old, self.old_words = self.known, self.known_words
+            self.known, self.known_words, self.known_chars = {}, {}, 0
 
     def word(self, word: str) -> tuple[str, str]:
         """Ids and tokens of a word, each joined by a space."""
         if (entry := self.known_words.get(word)) is None:
-            ids = self.encode_word(word)
-            entry = (" ".join([self.numbers[i] for i in ids]), " ".join([self.names[i] for i in ids]))
+            if (entry := self.old_words.get(word)) is None:
+                ids = self.encode_word(word)
+                entry = (" ".join([self.numbers[i] for i in ids]), " ".join([self.names[i] for i in ids]))
             self.remember(self.known_words, word, entry)
         return entry
 
     def chunk(self, chunk: str) -> tuple[str, str]:
         """The same for text between white space, which no word of the pattern crosses."""
+        if (entry := self.known.get(chunk)) is not None:
+            return entry
+        if (entry := self.old.get(chunk)) is not None:
+            self.remember(self.known, chunk, entry)
+            return entry
         words = [self.word(w) for w in self.words(chunk)]
         entry = words[0] if len(words) == 1 else (
             " ".join([w[0] for w in words]),
