@@ -136,8 +136,13 @@ def _grouped(rows: DataFrame) -> DataFrame:
             rows = rows.withColumn("grp", own)
         else:
             rows = rows.withColumn("grp", F.when(F.col("grp").isNull(), own).otherwise(F.col("grp")))
-        small = (
-            rows.where("usable").groupBy(F.col("grp").alias("of")).agg(F.count("*").alias("n")).where(F.col("n") >= MIN_ROWS)
+        # Staged, its size is known before the join, which then moves no rows to their group.
+        small = stage(
+            rows.where("usable")
+            .groupBy(F.col("grp").alias("of"))
+            .agg(F.count("*").alias("n"))
+            .where(F.col("n") >= MIN_ROWS),
+            "groups",
         )
         rows = rows.join(small, F.col("grp") == F.col("of"), "left")
         rows = rows.withColumn("grp", F.when(F.col("of").isNotNull(), F.col("grp"))).drop("of", "n")
@@ -238,7 +243,8 @@ def estimates(rows: DataFrame) -> DataFrame:
     for _ in range(STEPS):
         model = stage(_moments(_nearest(rows, model)), "mcd")
     best = Window.partitionBy("grp").orderBy("log_det", "start")
-    return model.withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank", "start")
+    ranked = model.withColumn("rank", F.row_number().over(best))
+    return stage(ranked.where("rank = 1").drop("rank", "start"), "models")
 
 
 def judge(counts: DataFrame) -> DataFrame:
