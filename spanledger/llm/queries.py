@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanledger.llm import bpe, exact_dedup, html_text, language_id, mixing, quality_rules, secrets, simhash, warc
+from spanledger.llm import bpe, exact_dedup, html_text, language_id, license_scan, mixing, quality_rules, secrets, simhash, warc
 from spanledger.llm.common import settled, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -25,6 +25,10 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return settled(lambda: exact_dedup.exact_duplicates(table(spark, folder, "documents")), "op3_exact_dedup")
 
 
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.licenses(table(spark, folder, "documents"))
+
+
 def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return settled(lambda: simhash.near_duplicates(table(spark, folder, "documents")), "op5_simhash")
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_language_id,
         op2_warc,
         op3_exact_dedup,
+        op4_license_scan,
         op5_simhash,
         op6_bpe,
         op7_secrets,
