@@ -281,14 +281,18 @@ def links(fps: DataFrame, plan: tuple[tuple[str, int], ...] = PLAIN, distance: i
 
 
 def classes(rows: DataFrame, plan: tuple[tuple[str, int], ...] = PLAIN, distance: int = DISTANCE) -> DataFrame:
-    """(fp, component_id) of every distinct fingerprint of ``rows`` (doc_id, fp)."""
+    """(fp, root, component_id) of every distinct fingerprint of ``rows`` (doc_id, fp).
+
+    The root, a fingerprint, tells classes apart.  Their component_ids need not: they are null
+    where all ids are, and ids that are repeated give several classes the same.
+    """
     groups = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     roots = components(links(groups, plan, distance))
     named = groups.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "least"
     )
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.join(least, "root").select("fp", "component_id")
+    return named.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(
@@ -311,7 +315,7 @@ def without_near_duplicates(
     rows = stage(fingerprints(texts, width), "simhash")
     named = classes(rows, plan, distance).withColumnRenamed("fp", "of")
     tagged = rows.join(named, F.col("fp") == F.col("of"))
-    first = tagged.groupBy("component_id").agg(
+    first = tagged.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first")
     )
     keep = first.select(F.col("first.row").alias("row"))

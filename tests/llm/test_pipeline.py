@@ -36,6 +36,28 @@ def test_stages_chain_as_brute_force_does(spark, tmp_path):
     assert brute.near_equal(tuples(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"), brute.encode(want))
 
 
+def test_rows_without_an_id_or_with_a_repeated_one_are_told_apart_by_their_texts(spark):
+    rows = corpus() + [row(None, prose(5000 + k, 60)) for k in range(60)]
+    rows += [row(7, prose(6000 + k, 60)) for k in range(20)]
+    rows += [row(None, prose(5000 + k, 60).replace("a", "ä", 1)) for k in range(10)]
+    kept = [r for r, q in zip(rows, brute.quality(rows)) if q[-1]]
+    kept = [r for r, e in zip(kept, brute.exact(kept)) if e[3]]
+    classes = {}
+    for r, named in zip(kept, brute.near([{**r, "doc_id": k} for k, r in enumerate(kept)])):
+        classes.setdefault(named[2], []).append(r)
+    assert sum(all(r["doc_id"] is None for r in c) for c in classes.values()) >= 50
+    assert sum(min(r["doc_id"] or 9999 for r in c) == 7 for c in classes.values()) >= 20
+    docs = frame(spark, rows)
+    for _, step in corpus_pipeline.STAGES[:3]:
+        docs = common.stage(step(spark, docs, ""), "test")
+    texts = {r["text"]: name for name, c in classes.items() for r in c}
+    got = tuples(docs, "doc_id", "text")
+    assert sorted(texts[text] for _, text in got) == sorted(classes)
+    for doc_id, text in got:
+        members = classes[texts[text]]
+        assert doc_id == min((r["doc_id"] for r in members if r["doc_id"] is not None), default=None)
+
+
 def test_all_but_the_last_stage_keep_the_columns(spark):
     docs = frame(spark, corpus()[:60], extra=True)
     for _, step in corpus_pipeline.STAGES[:-1]:
