@@ -81,6 +81,11 @@ ASIDE_WORDS = frozenset(
 HEADER_WORDS = frozenset("header site page top main global container wrapper".split())
 #: Elements whose own class says nothing against their text.
 MAIN_TAGS = frozenset("html body main".split())
+#: Words of names like has-sidebar, which tell how a page is laid out, not what an element holds.
+LAYOUT_WORDS = frozenset("has no with without long".split())
+#: Words of readers' own texts, and what follows them in names that say whether these are allowed.
+TALK_WORDS = frozenset("comment comments disqus reply replies respond discussion commentlist".split())
+STATE_WORDS = frozenset("open closed enabled disabled".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -114,33 +119,104 @@ class Element(NamedTuple):
     header: bool
     #: The text of an inline element that is set aside is left out of its block.
     link: bool
+    #: Whether a tag around or of it says that it is set aside; whether an article is around it.
+    tagged: bool
+    nested: bool
+    #: The innermost element around it, or itself, that a name sets aside; the text before it.
+    named: int
+    own: bool
+    begin: int
+
+
+class Named:
+    """An element that a word of its names sets aside."""
+
+    def __init__(self, up: int, words: frozenset[str], whole: bool):
+        self.up = up
+        self.words = words
+        #: Whether some name of it is nothing but such words.
+        self.whole = whole
+        self.chars = 0
 
 
 def digest(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def _words(attributes: str) -> tuple[str, frozenset[str]]:
-    """The class, id and role of a tag as written, and their words."""
+def _words(attributes: str) -> tuple[str, frozenset[str], bool, frozenset[str]]:
+    """The class, id and role of a tag as written, their words that set it aside, whether a name has
+    no others, and all words."""
     if "=" not in attributes:
-        return "", frozenset()
-    named = [next(filter(None, m[1:]), "") for m in ATTRIBUTE.findall(attributes)]
-    return " ".join(named), frozenset(w.lower() for name in named for w in WORDS.findall(name))
+        return "", frozenset(), False, frozenset()
+    written = " ".join(next(filter(None, m[1:]), "") for m in ATTRIBUTE.findall(attributes))
+    every, aside, whole = set(), set(), False
+    for name in written.split():
+        words = [w.lower() for w in WORDS.findall(name)]
+        every.update(words)
+        found = ASIDE_WORDS.intersection(words)
+        if not found or LAYOUT_WORDS.intersection(words[:-1]):
+            continue
+        if words[-1] in STATE_WORDS and TALK_WORDS.intersection(words):
+            continue
+        aside |= found
+        whole = whole or len(found) == len(set(words))
+    return written, frozenset(aside), whole, frozenset(every)
 
 
 class Page:
     """The blocks and tag tokens of one page."""
 
     def __init__(self, html: str):
+        self._lifted: frozenset[int] = frozenset()
+        self._read(html)
+        # What is set aside by name alone is known when all of the page has been seen.
+        if lifted := self._overruled():
+            self._lifted = lifted
+            self._read(html)
+
+    def _overruled(self) -> frozenset[int]:
+        """Elements that are set aside by name but hold the article or most of the page's text."""
+        if not self._named:
+            return frozenset()
+        most = [2 * n.chars > self._chars for n in self._named]
+        chains = []
+        for tag, named, chars in self._articles:
+            chain, plain, talk = [], True, False
+            while named >= 0:
+                n = self._named[named]
+                chain.append(named)
+                plain, talk = plain and not n.whole, talk or n.whole and bool(n.words & TALK_WORDS)
+                named = n.up
+            # A name that says nothing else stands, unless the article is most of the page and no comment.
+            if chars and (plain or 2 * chars > self._chars and not talk):
+                chains.append((tag, chain, chars))
+        chains = [c for c in chains if c[0] == "article"] or chains
+        lifted: set[int] = set()
+        if chains and (least := min(len(chain) for _, chain, _ in chains)):
+            sizes: Counter[tuple[frozenset[str], ...]] = Counter()
+            alike = {}
+            for _, chain, chars in chains:
+                if len(chain) == least:
+                    names = tuple(self._named[k].words for k in chain)
+                    sizes[names] += chars
+                    alike.setdefault(names, set()).update(chain)
+            lifted = alike[max(sizes, key=lambda names: sizes[names])]
+        lifted |= {k for k, n in enumerate(self._named) if most[k] and not n.whole and not n.words & TALK_WORDS}
+        if not lifted and all(b.aside for b in self.blocks):
+            lifted = {k for k, n in enumerate(self._named) if most[k]}
+        return frozenset(lifted)
+
+    def _read(self, html: str) -> None:
         self.blocks: list[Block] = []
         self.tags: Counter[tuple[int, int]] = Counter()
         self.title = ""
-        self._open = [Element("", 0, False, False, False, False, False)]
+        self._open = [Element("", 0, False, False, False, False, False, False, False, -1, False, 0)]
         self._text: list[str] = []
         self._links = 0
-        self._read(html)
-
-    def _read(self, html: str) -> None:
+        #: Elements set aside by name; outermost articles and mains with their names and text; the page's text.
+        self._named: list[Named] = []
+        self._articles: list[tuple[str, int, int]] = []
+        self._chars = 0
         at, end = 0, len(html)
         while at < end:
             found = TOKEN.search(html, at)
@@ -163,11 +239,14 @@ class Page:
             else:
                 self._start(tag, attributes)
         self._flush()
+        self._pop(1)
 
     def _add(self, raw: str) -> None:
         if not raw:
             return
         top = self._open[-1]
+        if not top.tagged:
+            self._chars += len(raw) - sum(map(raw.count, " \n\t\r"))
         if top.aside and top.tag in INLINE and not self._block_aside():
             return
         text = unescape(raw) if "&" in raw else raw
@@ -194,8 +273,17 @@ class Page:
     def _pop(self, at: int) -> None:
         if any(e.tag not in INLINE for e in self._open[at:]):
             self._flush()
+        for e in self._open[at:]:
+            self._count(e)
         del self._open[at:]
 
+    def _count(self, e: Element) -> None:
+        """Takes down how much text an element that ends held."""
+        if e.own:
+            self._named[e.named].chars = self._chars - e.begin
+        if e.tag in ("article", "main") and not e.nested:
+            self._articles.append((e.tag, e.named, self._chars - e.begin))
+
     def _close(self, tag: str) -> None:
         if tag not in INLINE:
             self._flush()
@@ -229,14 +317,20 @@ class Page:
                 self._end_open(*SIBLINGS[tag])
         if tag in VOID:
             return
-        written, words = _words(attributes)
-        said = tag not in MAIN_TAGS and (bool(words & ASIDE_WORDS) or "header" in words <= HEADER_WORDS)
+        written, aside, whole, words = _words(attributes)
+        header = "header" in words <= HEADER_WORDS
+        own = tag not in MAIN_TAGS and (bool(aside) or header)
+        said = own and len(self._named) not in self._lifted
         if tag in ("article", "main") and not said:
             # An article is not part of a menu or header: their end tags are missing, or wrap the page.
             first = next((k for k, e in enumerate(self._open) if e.tag in ASIDE_TAGS and e.tag != "form"), None)
             if first is not None:
                 self._pop(first)
         up = self._open[-1]
+        named = up.named
+        if own:
+            named = len(self._named)
+            self._named.append(Named(up.named, aside or frozenset({"header"}), whole or header))
         inline = tag in INLINE
         path = up.path if inline else digest(f"{up.path}/{tag} {written}")
         if not inline:
@@ -251,6 +345,11 @@ class Page:
                 (up.form and not fresh) or (tag == "form" and not up.aside),
                 up.header or (tag == "header" and not up.aside),
                 up.link or tag == "a",
+                (up.tagged and not fresh) or tag in ASIDE_TAGS,
+                up.nested or up.tag == "article",
+                named,
+                own,
+                self._chars,
             )
         )
 

@@ -166,6 +166,25 @@ def test_main_text_of_odd_pages(html, want):
     assert text(html) == want
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<div class='layout has-sidebar'><article><p>a</article><div class=sidebar>b</div></div>", "a"),
+        ("<div class='no-sidebar'><main><p>a</main><div class=comments><article>b</article></div></div>", "a"),
+        ("<div id='with-comments'><div class='long-form'><article>a<div class=ad>b</div></article></div></div>", "a"),
+        ("<article class='post comments-open'><p>a</p><section id=comments><p>b</section></article>", "a"),
+        ("<article class='post share-post'>a</article><article class=comment>b</article>", "a"),
+        ("<div class='two-col-sidebar'><article>a b c</article><div class=comments><article>d</article></div></div>", "a b c"),
+        ("<div class='layout form'><article>most of it</article></div><p>x", "most of it"),
+        ("<div class='page-search'><p>most of it</p></div><p>x", "most of it\n\nx"),
+        ("<div id=post>a</div><div id=comments><article>most of it</article></div>", "a"),
+        ("<article>a<section id=comments><article>most of it</article></section></article>", "a"),
+    ],
+)
+def test_names_with_an_aside_word_do_not_hide_the_article(html, want):
+    assert text(html) == want
+
+
 def test_very_long_and_deep_pages_are_linear():
     assert len(text("<p>" + "word " * 300_000)) == 300_000 * 5 - 1
     assert text("<div>" * 3000 + "x" + "</div>" * 3000) == "x"
