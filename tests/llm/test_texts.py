@@ -70,6 +70,15 @@ def test_counts_and_verdicts_are_those_of_brute_force(spark):
     assert sorted(r[0] or -1 for r in tuples(kept, "doc_id")) == sorted(w[0] or -1 for w in want if w[-1])
 
 
+def test_a_third_of_a_group_in_copies_of_one_outlier_is_rejected(spark):
+    good = [row(k, prose(k, 40 + k % 30), source="x") for k in range(200)]
+    bad = " ".join(f"{w}$$$$" for w in prose(999, 60).split())
+    rows = good + [row(1000 + k, bad, source="x") for k in range(100)]
+    rows += [row(2000 + k, f"{w}$$$$ ".join(prose(999 + k, 60).split()), source="x") for k, w in enumerate("abcde")]
+    got = tuples(quality_rules.quality_rules(frame(spark, rows)), "doc_id", "kept")
+    assert sorted(d for d, kept in got if kept) == list(range(200))
+
+
 def test_quality_of_an_empty_table(spark):
     assert tuples(quality_rules.quality_rules(frame(spark, []))) == []
     assert tuples(quality_rules.passing(frame(spark, []))) == []
