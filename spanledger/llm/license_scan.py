@@ -1,8 +1,9 @@
 """License scans by sentence rules.
 
 A text is cut into sentences; each is normalised (lower case, words and versions
-only, comment marks gone) and mapped to the identifier of a known license
-sentence, or to none.  The sequence of identifiers is then matched against
+only, comment marks gone) and mapped to the identifiers of the known license
+sentences in it, in order; where it holds several, each reaches up to the next.
+The sequence of identifiers is then matched against
 ordered rules: at each place the first rule whose sentences follow each other,
 with at most GAP other sentences between two of them, gives the license and
 takes its sentences.  Known sentences that no rule takes are reported too.
@@ -18,6 +19,7 @@ repeated rows and ties get equal results; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -39,7 +41,7 @@ WORDS = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*\+?")
 # Sentences of public licenses, normalised, with the license that one names by itself.
 SENTENCES = (
     ("spdx", r"spdx-license-identifier ([a-z0-9.+-]+)", "{0}"),
-    ("apache-named", r"under (?:the )?(?:terms of the )?apache license (?:version )?(2\.0)", "apache-{0}"),
+    ("apache-named", r"(?:under (?:the )?(?:terms of the )?|\b(?:or|and) (?:the )?)apache license (?:version )?(2\.0)(?![a-z0-9])", "apache-{0}"),
     ("apache-may-not", r"you may not use this file except in compliance with the license", ""),
     ("apache-obtain", r"you may obtain a copy of the license at", ""),
     ("apache-unless", r"unless required by applicable law or agreed to in writing software distributed under the license", ""),
@@ -48,7 +50,7 @@ SENTENCES = (
     ("mit-notice", r"the above copyright notice and this permission notice shall be included in all copies", ""),
     ("mit-as-is", r"the software is provided as is without warranty of any kind", ""),
     ("mit-liable", r"in no event shall the authors or copyright holders be liable", ""),
-    ("mit-named", r"(?:under (?:the )?(?:terms of the )?|^the )mit license", "mit"),
+    ("mit-named", r"(?:under (?:the )?(?:terms of the )?|^the |\b(?:or|and) (?:the )?)mit license", "mit"),
     ("bsd-use", r"redistribution and use in source and binary forms with or without modification are permitted", ""),
     ("bsd-source", r"redistributions of source code must retain the above copyright notice", ""),
     ("bsd-binary", r"redistributions in binary form must reproduce the above copyright notice", ""),
@@ -107,8 +109,50 @@ class Known(NamedTuple):
     names: str
 
 
+def lowered(piece: str) -> str:
+    """``piece`` in lower case, as long as it is: letters that grow would move what follows."""
+    lower = piece.lower()
+    return lower if len(lower) == len(piece) else "".join(c.lower()[0] for c in piece)
+
+
 def normal(sentence: str) -> str:
-    return " ".join(WORDS.findall(sentence.lower().replace("licence", "license")))
+    return " ".join(WORDS.findall(lowered(sentence).replace("licence", "license")))
+
+
+def matches(words: str) -> list[tuple[int, str, re.Match[str], str]]:
+    """(place, name, match, license) of known sentences, in order; of those that overlap the first of the table counts."""
+    found: list[tuple[int, str, re.Match[str], str]] = []
+    for name, pattern, names in PATTERNS:
+        for match in pattern.finditer(words):
+            if all(match.end() <= m.start() or m.end() <= match.start() for _, _, m, _ in found):
+                # A license named without its number of clauses is its family.
+                named = names.format(*[g or "" for g in match.groups()]).replace("--clause", "")
+                found.append((match.start(), name, match, named))
+    return sorted(found, key=lambda m: m[0])
+
+
+def places(piece: str) -> list[tuple[int, int, int]]:
+    """(place in the normal sentence, start, end) of each word of ``piece``."""
+    out, at = [], 0
+    for m in WORDS.finditer(lowered(piece)):
+        out.append((at, m.start(), m.end()))
+        at += m.end() - m.start() + 1
+    return out
+
+
+def expression(piece: str, words: str, where: list[tuple[int, int, int]], match: re.Match[str]) -> list[str]:
+    """The further licenses of the SPDX expression that begins with ``match``, up to its line's end."""
+    k = bisect_left(where, (match.start(1),))
+    others: list[str] = []
+    while k + 2 < len(where) and "\n" not in piece[where[k][1] : where[k + 2][2]]:
+        joint, name = (words[at : at + end - start] for at, start, end in where[k + 1 : k + 3])
+        if joint not in ("or", "and", "with"):
+            break
+        # What follows "with" is an exception, not a license.
+        if joint != "with":
+            others.append(name)
+        k += 2
+    return others
 
 
 def known_sentences(text: str) -> list[Known]:
@@ -124,13 +168,18 @@ def known_sentences(text: str) -> list[Known]:
         number += 1
         if not TRIGGER.search(piece):
             continue
-        words = normal(piece)
-        for name, pattern, names in PATTERNS:
-            if match := pattern.search(words):
-                # A license named without its number of clauses is its family.
-                named = names.format(*[g or "" for g in match.groups()]).replace("--clause", "")
-                found.append(Known(name, number, start, start + len(piece.strip()), named))
-                break
+        words, piece = normal(piece), piece.strip()
+        here = matches(words)
+        if len(here) == 1 and here[0][1] != "spdx":
+            _, name, _, named = here[0]
+            found.append(Known(name, number, start, start + len(piece), named))
+        elif here:
+            where = places(piece)
+            starts = [0, *(where[min(bisect_left(where, (m[0],)), len(where) - 1)][1] for m in here[1:])]
+            for k, (_, name, match, named) in enumerate(here):
+                ends = len(piece[: starts[k + 1]].rstrip()) if k + 1 < len(here) else len(piece)
+                all_named = [named, *(expression(piece, words, where, match) if name == "spdx" else ())]
+                found += [Known(name, number, start + starts[k], start + ends, n) for n in all_named]
     return found
 
 

@@ -83,6 +83,68 @@ def test_spans_are_code_points_of_the_sentences():
     assert (name, text[int(start) : int(end)]) == ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0.")
 
 
+APACHE = """/*
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */"""
+VERBATIM_BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+    * Redistributions of source code must retain the above copyright
+      notice, this list of conditions and the following disclaimer.
+    * Redistributions in binary form must reproduce the above copyright
+      notice, this list of conditions and the following disclaimer in the
+      documentation and/or other materials provided with the distribution.
+    * Neither the name of the X nor the names of its contributors may be used to
+      endorse or promote products derived from this software without specific prior written permission.
+"""
+VERBATIM_GPL = (
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+    "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any "
+    "later version."
+)
+
+
+@pytest.mark.parametrize(
+    ("text", "names", "found"),
+    [
+        (APACHE, "apache-named,apache-may-not,apache-obtain,apache-unless,apache-see", "apache-2.0"),
+        (VERBATIM_BSD, "bsd-use,bsd-source,bsd-binary,bsd-endorse", "bsd-3-clause"),
+        (VERBATIM_GPL, "gpl-free", "gpl-2"),
+        ("// SPDX-License-Identifier: (MIT OR Apache-2.0)\nor that", "spdx,spdx", "mit,apache-2.0"),
+        ("SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note AND ISC", "spdx,spdx", "gpl-2.0,isc"),
+        ("# SPDX-License-Identifier: MIT\n# SPDX-License-Identifier: ISC\n", "spdx,spdx", "mit,isc"),
+        ("under the MIT License and under the Apache License, Version 2.0", "mit-named,apache-named", "mit,apache-2.0"),
+        (
+            "Licensed under the Apache License, Version 2.0 <LICENSE-APACHE or http://www.apache.org/licenses/LICENSE-2.0>"
+            " or the MIT license <LICENSE-MIT>, at your option.",
+            "apache-named,mit-named",
+            "apache-2.0,mit",
+        ),
+    ],
+)
+def test_each_known_sentence_of_a_piece_counts(text, names, found):
+    _, sentences, licenses, _, left = license_scan.scanned(text)
+    assert (sentences, licenses, left) == (names, found, "")
+
+
+def test_several_licenses_of_a_sentence_have_spans_of_their_own():
+    text = "İ x. Eitİher under the MIT License; or under the Apache License, Version 2.0. After"
+    spans = [s.split(":") for s in license_scan.scanned(text)[3].split(",")]
+    assert [text[int(a) : int(b)] for _, a, b in spans] == [
+        "Eitİher under the MIT License; or",
+        "under the Apache License, Version 2.0.",
+    ]
+
+
 def test_license_lines_of_the_given_documents(spark):
     rows = [r.asDict() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     lines = {
