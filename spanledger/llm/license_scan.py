@@ -32,8 +32,9 @@ from spanledger.llm.common import ship
 #: Unknown sentences allowed between two of a rule.
 GAP = 2
 
+#: Single words, as only those are the same in a text and its normal form; each known sentence has one.
 TRIGGER = re.compile(
-    r"licen[sc]|permission|redistribut|spdx|public\s+domain|warrant|liable|endorse|copyright|\bMPL\b|\bGNU\b", re.I
+    r"licen[sc]|permission|redistribut|spdx|domain|warrant|liable|endorse|creative|(?<![a-z0-9])(?:mpl|cc)(?![a-z0-9])", re.I
 )
 END = re.compile(r"(?<!\bv)[.!?](?=\s|\Z)|\n[\s*#/;-]*\n", re.I)
 WORDS = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*\+?")

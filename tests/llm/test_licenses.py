@@ -145,6 +145,57 @@ def test_several_licenses_of_a_sentence_have_spans_of_their_own():
     ]
 
 
+#: A text of each known sentence, broken by comment marks.
+EXAMPLES = {
+    "spdx": "SPDX-License-Identifier: MIT",
+    "apache-named": "under the Apache License, Version 2.0",
+    "apache-may-not": "you may not use this file except in compliance with the License",
+    "apache-obtain": "You may obtain a copy of the License at",
+    "apache-unless": "Unless required by applicable law or agreed to in writing, software distributed under the License",
+    "apache-see": "See the License for the specific language governing permissions and limitations",
+    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+    "mit-notice": "The above copyright notice and this permission notice shall be included in all copies",
+    "mit-as-is": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND',
+    "mit-liable": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE",
+    "mit-named": "under the MIT license",
+    "bsd-use": "Redistribution and use in source and binary forms, with or without modification, are permitted",
+    "bsd-source": "Redistributions of source code must retain the above copyright notice",
+    "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice",
+    "bsd-endorse": "Neither the name of X may be used to endorse or promote products",
+    "bsd-as-is": 'This software is provided by X "as is" and any express or implied warranties',
+    "bsd-liable": "In no event shall X be liable for any direct, indirect, incidental",
+    "bsd-named": "under the 3-clause BSD license",
+    "lgpl-free": "redistribute it and/or modify it under the terms of the GNU Lesser General Public License version 2.1",
+    "agpl-free": "redistribute it and/or modify it under the terms of the GNU Affero General Public License version 3",
+    "gpl-free": "redistribute it and/or modify it under the terms of the GNU General Public License version 3",
+    "gpl-hope": "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
+    "gpl-received": "You should have received a copy of the GNU General Public License",
+    "lgpl-named": "under the GNU Lesser General Public License v3",
+    "agpl-named": "under the GNU Affero General Public License v3",
+    "gpl-named": "under the GNU General Public License v3",
+    "mpl-subject": "subject to the terms of the Mozilla Public License, v. 2.0",
+    "mpl-obtain": "If a copy of the MPL was not distributed with this file, You can obtain one",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+    "hereby granted",
+    "isc-as-is": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES',
+    "cc-named": "under CC BY-SA 4.0",
+    "unlicense": "This is free and unencumbered software released into the public domain",
+    "public-domain": "placed in the public domain",
+}
+
+
+def test_each_known_sentence_has_a_trigger():
+    assert list(EXAMPLES) == [name for name, _, _ in license_scan.SENTENCES]
+    for name, text in EXAMPLES.items():
+        for spread in (text, text.replace(" ", "\n * "), f"_{text}_"):
+            assert license_scan.scanned(spread)[1] == name
+
+
+@pytest.mark.parametrize("text", ["available under CC BY-SA 4.0.", "under a Creative Commons BY 4.0", "under the\n# CC\n# BY 4.0"])
+def test_creative_commons_without_other_words_is_found(text):
+    assert license_scan.scanned(text)[2].startswith("cc-by")
+
+
 def test_license_lines_of_the_given_documents(spark):
     rows = [r.asDict() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     lines = {
