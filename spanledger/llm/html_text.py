@@ -11,8 +11,9 @@ footers, sidebars, notices, adverts, forms and comments are the main text.
 
 Occurrence vectors are never gathered: a token's vector is a digest of its
 (page, count) pairs, aggregated in Spark by host and token, so a host with most
-of the pages is many groups.  Pages that share a title count as one page, else
-copies of one article would make it a template.  Pages meet their host's
+of the pages is many groups.  Pages of the same text outside of links and what is
+set aside count as one page, else copies of one article would make it a template;
+on hosts of few such pages a template is on all of them.  Pages meet their host's
 template in a second pass; the templates are broadcast when they are counted to
 be few and joined by shuffle when not.
 
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from spanledger.llm.common import ship, stage
 
-#: Pages of different titles that a token must be on to count as template.
+#: Different pages that a token must be on to count as template; all, and two at least, where a host has fewer.
 LEAST_PAGES = 8
 #: Share of a slot's characters inside links from which it is a menu.
 MENU_LINKS = 0.9
@@ -209,7 +210,6 @@ class Page:
     def _read(self, html: str) -> None:
         self.blocks: list[Block] = []
         self.tags: Counter[tuple[int, int]] = Counter()
-        self.title = ""
         self._open = [Element("", 0, False, False, False, False, False, False, False, -1, False, 0)]
         self._text: list[str] = []
         self._links = 0
@@ -232,10 +232,7 @@ class Page:
                 self._close(tag)
             elif tag in RAW and not attributes.endswith("/"):
                 shut = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
-                inside = html[at : shut.start() if shut else end]
                 at = shut.end() if shut else end
-                if tag == "title" and not self.title:
-                    self.title = " ".join(unescape(inside).split())
             else:
                 self._start(tag, attributes)
         self._flush()
@@ -355,8 +352,8 @@ class Page:
 
     def key(self) -> int:
         """Pages with equal keys are copies of each other as far as templates go."""
-        own = self.title or next((b.text for b in self.blocks), "")
-        return digest(own)
+        own = [b.text for b in self.blocks if not b.aside and b.links < MENU_LINKS * len("".join(b.text.split()))]
+        return digest("\n".join(own))
 
     def main(self, template: frozenset[int], menus: frozenset[int]) -> str:
         """The slots that hold the main text."""
@@ -393,7 +390,8 @@ TOKENS = pa.schema(
         ("links", pa.int64()),
     ]
 )
-TAG, TEXT = 0, 1
+#: A page has one token of its own kind, so that its host's pages are counted with the tokens.
+TAG, TEXT, PAGE = 0, 1, 2
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,6 +410,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not b.aside:
                     texts[b.path, b.token] += 1
             rows += [(host, t, up, TAG, key, n, chars[t], links[t]) for (up, t), n in page.tags.items()]
+            rows.append((host, 0, 0, PAGE, key, 1, 0, 0))
             rows += [(host, t, up, TEXT, key, n, 0, 0) for (up, t), n in texts.items()]
         columns = zip(*rows) if rows else [[] for _ in TOKENS.names]
         yield pa.RecordBatch.from_pydict(dict(zip(TOKENS.names, columns)), schema=TOKENS)
@@ -434,9 +433,13 @@ def templates(pages: DataFrame) -> DataFrame:
             F.sum("chars").alias("chars"),
             F.sum("links").alias("links"),
         )
-        .where(F.col("pages") >= LEAST_PAGES),
+        .where("pages >= 2"),
         "tokens",
     )
+    hosts = tokens.where(F.col("kind") == PAGE).select(
+        F.col("host").alias("of"), F.least("pages", F.lit(LEAST_PAGES)).alias("least")
+    )
+    tokens = tokens.join(hosts, F.col("host").eqNullSafe(F.col("of"))).where("pages >= least").drop("of", "least")
     tags = tokens.where(F.col("kind") == TAG)
     # Container and text are one class when their occurrence vectors are equal.
     text = (

@@ -217,6 +217,20 @@ def test_template_texts_and_menus_are_deduced_from_a_host_s_pages(spark, monkeyp
     assert got[500] == "Always the same words"
 
 
+@pytest.mark.parametrize(("n", "head"), [(20, "<title>Site</title>"), (20, ""), (2, "<title>t{k}</title>"), (5, "")])
+def test_templates_need_no_titles_and_no_number_of_pages(spark, n, head):
+    rows = []
+    for k in range(n):
+        own = f"<div class=z><p>story {k}</p><p>second part {k * k}</p></div>"
+        html = f"{head.format(k=k)}<div class=h>Site name</div><div class=y>Always the same words</div>{own}"
+        rows.append((k, "http://host.example/", html))
+        rows.append((100 + k, "http://host.example/copy", rows[0][2]))
+        rows.append((200 + k, None, html))
+    got = dict(tuples(html_text.main_texts(pages(spark, rows)), "page_id", "text"))
+    for k in range(n):
+        assert got[k] == got[200 + k] == f"story {k}\n\nsecond part {k * k}" and got[100 + k] == got[0]
+
+
 def test_pages_of_the_given_table(spark):
     df = spark.read.parquet(f"{STAR}/pages.parquet")
     rows = [(1000 + r[0], *r[1:]) for r in tuples(df, "page_id", "url", "html")] + EDGE
