@@ -7,8 +7,9 @@ the smallest total wins.  Margins that are narrow for the text's size are
 rejected: ``rejected`` is true there, beside the best guess.
 
 The sample is SAMPLE_DOCS texts a language, by the digest of the document id,
-and SAMPLE_CHARS characters of each; it is all that meets the driver.  Languages
-beyond the MAX_LANGUAGES most frequent ones are not learned.  Predictions read
+and SAMPLE_CHARS characters of each; it is all that meets the driver.  Every label
+is learned: where there are so many that these samples would exceed TOTAL_CHARS,
+or the dictionaries TOTAL_BYTES, each has an equal share.  Predictions read
 whole texts in tasks of their own and shuffle nothing.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
@@ -32,8 +33,12 @@ from spanledger.llm.common import ship
 UNKNOWN = "und"
 SAMPLE_DOCS = 150
 SAMPLE_CHARS = 4000
-MAX_LANGUAGES = 100
 DICTIONARY_BYTES = 110 << 10
+#: Bounds of all samples and of all dictionaries; a language's share of them is LEAST at least.
+TOTAL_CHARS, TOTAL_BYTES = 1 << 26, 1 << 24
+LEAST = 512
+#: Rows of a language that may be looked at where its share is a few texts, so that one of them passes.
+FEW = 20
 #: Bytes of text encoded at a time.  Texts shorter than SHORT are encoded several times over:
 #: alone they would be stored as they are, at the same size by any dictionary.
 PIECE = 2048
@@ -61,27 +66,31 @@ def dictionaries(labelled: DataFrame) -> list[tuple[str, bytes]]:
         .groupBy("lang")
         .agg(F.count("*").alias("n"))
         .orderBy(F.desc("n"), "lang")
-        .limit(MAX_LANGUAGES)
         .collect()
     )
     if not counts:
         return []
+    chars = max(LEAST, min(SAMPLE_CHARS, TOTAL_CHARS // len(counts)))
+    docs = max(1, min(SAMPLE_DOCS, TOTAL_CHARS // (len(counts) * chars)))
+    size = max(LEAST, min(DICTIONARY_BYTES, TOTAL_BYTES // len(counts)))
     # Twice the number wanted passes the threshold, so that hardly ever fewer than wanted do.
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    share = F.lit(0.0)
-    for row in counts:
-        share = F.when(F.col("lang") == row.lang, min(1.0, 2 * SAMPLE_DOCS / row.n)).otherwise(share)
+    shares = labelled.sparkSession.createDataFrame(
+        [(row.lang, min(1.0, max(2 * docs, FEW) / row.n)) for row in counts], "of string, share double"
+    )
     sample = (
-        labelled.where(place < share)
-        .select("lang", place.alias("place"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+        labelled.select("lang", place.alias("place"), F.substring("text", 1, chars).alias("text"))
         .where("text is not null")
+        .join(F.broadcast(shares), F.col("lang") == F.col("of"))
+        .where("place < share")
+        .select("lang", "place", "text")
         .collect()
     )
     texts: dict[str, dict[bytes, None]] = {row.lang: {} for row in counts}
     for row in sorted(sample, key=lambda r: (r.place, r.text)):
-        if len(texts[row.lang]) < SAMPLE_DOCS:
+        if len(texts[row.lang]) < docs:
             texts[row.lang].setdefault(normal(row.text))
-    made = [(lang, b" ".join(found)[:DICTIONARY_BYTES]) for lang, found in texts.items()]
+    made = [(lang, b" ".join(found)[:size]) for lang, found in texts.items()]
     return [(lang, content) for lang, content in made if len(content) >= 8]
 
 

@@ -235,3 +235,16 @@ def test_labels_of_held_out_rows_are_not_learned(spark):
 
 def test_language_of_an_empty_table(spark):
     assert tuples(language_id.languages(frame(spark, []))) == []
+
+
+def test_every_label_is_learned_within_the_bounds(spark, monkeypatch):
+    rows = [row(10 * k + j, prose(k, 40), lang=f"l{k:03}") for k in range(130) for j in range(5)]
+    rows += [row(10 * k + 5 + j, prose(k, 40), lang=f"l{k:03}") for k in range(100) for j in range(3)]
+    learned = language_id.dictionaries(frame(spark, rows))
+    assert {lang for lang, _ in learned} == {f"l{k:03}" for k in range(130)}
+    coders = language_id.Coders(learned)
+    assert all(coders.predict(prose(k, 40))[0] == f"l{k:03}" for k in range(130))
+    monkeypatch.setattr(language_id, "TOTAL_CHARS", 130 * 600)
+    monkeypatch.setattr(language_id, "TOTAL_BYTES", 1)
+    learned = language_id.dictionaries(frame(spark, rows))
+    assert len(learned) == 130 and max(len(content) for _, content in learned) <= language_id.LEAST
