@@ -4,7 +4,7 @@ The counts are taken inside a row by built-in functions; texts are read once and
 never move.  Their transformed vectors are staged and, for each language and
 source, a robust centre and covariance are found: from several deterministic
 starts, concentration steps take the half of the rows nearest to the centre and
-estimate anew from them, until the determinant stays as it is; the start that
+estimate anew from them, until the determinant falls no more; the start that
 ends with the least determinant counts.  A step is two aggregations (the distance
 that the nearest part lies within, then moments) of fixed-point integers, so a
 source with most of the rows is pre-aggregated in every task and reruns agree
@@ -30,7 +30,7 @@ SYMBOLS = "#*$%&|<>"
 
 #: Part of a group's rows that the estimate rests on, and the factor that makes the covariance of
 #: that part consistent for four normal variables: 0.5 / P(chi2(6) <= quantile of chi2(4) at 0.5).
-#: Half of the rows may be anything; steps go on until no start moves, which STEPS is far beyond.
+#: Nearly half of the rows may be anything; steps go on until no determinant falls, for which STEPS is ample.
 PART = 0.5
 CONSISTENT = 2.109
 STEPS = 60
@@ -240,14 +240,15 @@ def estimates(rows: DataFrame) -> DataFrame:
         ],
     )
     whole = _moments(rows.withColumn("start", F.lit(0)))
-    model = stage(whole.unionByName(flat), "mcd")
+    # Those of the starts are not of half of the rows: the first step always counts.
+    model = stage(whole.unionByName(flat).withColumn("log_det", F.lit(float("inf"))), "mcd")
     ended = model.limit(0)
     for _ in range(STEPS):
-        # Sums are exact, so a determinant that stays is that of the same rows.
         last = model.select("grp", "start", F.col("log_det").alias("last"))
-        model = stage(_moments(_nearest(rows, model)).join(last, ["grp", "start"]), "mcd")
-        ended = ended.unionByName(model.where("log_det = last").drop("last"))
-        model = model.where("log_det <> last").drop("last")
+        after = stage(_moments(_nearest(rows, model)).join(last, ["grp", "start"]), "mcd")
+        # The floors may let a determinant rise again; then the model before it counts.
+        ended = ended.unionByName(model.join(after.where("log_det >= last"), ["grp", "start"], "left_semi"))
+        model = after.where("log_det < last").drop("last")
         if model.isEmpty():
             break
     model = ended.unionByName(model)
