@@ -11,10 +11,8 @@ sys.path[:0] = [str(HERE), str(HERE.parent)]
 
 from compare import star_views  # noqa: E402
 from edge_tables import edge_tables, empty_tables  # noqa: E402
-from spanledger.registry import Inputs  # noqa: E402
 from spanledger.session import session  # noqa: E402
-
-STAR = "/root/testdata/sf0.001"
+from star import STAR, both_engines  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -41,25 +39,6 @@ def star_db():
     return connection
 
 
-def lifecycle_db(tables):
-    """The same lifecycle tables in DuckDB."""
-    connection = duckdb.connect()
-    for name, df in tables.items():
-        rows = df.toArrow()
-        connection.register(f"{name}_arrow", rows)
-        connection.sql(f"create table {name} as select * from {name}_arrow")
-    return connection
-
-
-def both_engines(tables, folder):
-    """Operators' inputs and a DuckDB connection over the same tables, stored as one file each."""
-    stored = {}
-    for name, df in tables.items():
-        df.coalesce(1).write.parquet(f"{folder}/{name}")
-        stored[name] = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
-    return Inputs(stored), lifecycle_db(stored)
-
-
 @pytest.fixture(scope="session")
 def edge(spark, tmp_path_factory):
     return both_engines(edge_tables(spark), tmp_path_factory.mktemp("edge"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import pytest
 from compare import differences
-from conftest import STAR, both_engines
 from edge_tables import random_tables
+from star import STAR, both_engines
 
 from spanledger.oracle import STATEMENTS, statement
 from spanledger.registry import OPERATORS, decimals_as_double, query

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
-from conftest import STAR
+from star import STAR
 
 from spanledger.operators import engagement
 from spanledger.registry import OPERATORS, query

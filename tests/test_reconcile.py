@@ -6,8 +6,8 @@ from datetime import date
 from decimal import Decimal
 
 import pytest
-from conftest import STAR
 from pyspark.sql import functions as F
+from star import STAR
 
 from spanledger.operators import churn, conversion, engagement, retention, revenue, value
 from spanledger.plans.relations import account_cohorts, churn_status, usage_with_account

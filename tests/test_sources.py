@@ -7,9 +7,9 @@ from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
-from conftest import STAR
 from edge_tables import ROWS, edge_tables
 from pyspark.sql import functions as F
+from star import STAR
 
 from spanledger import build
 from spanledger.operators.acquisition import acq_by_plan
