@@ -1,4 +1,4 @@
-"""The queries of the ten operators over the given tables, with production parameters, and their SQL."""
+"""The queries of the thirteen operators over the given tables, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,10 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanledger.llm import bpe, exact_dedup, html_text, language_id, license_scan, mixing, quality_rules, secrets, simhash, warc
+from spanledger.llm import alignment, bpe, exact_dedup, html_text, language_id, license_scan, mixing, quality_rules, secrets, simhash, warc
 from spanledger.llm.common import settled, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,6 +55,13 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.main_texts(table(spark, folder, "pages"))
 
 
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return settled(
+        lambda: alignment.alignments(table(spark, folder, "documents"), BYTE_VOCABULARY, PIECE_VOCABULARY),
+        "op13_alignment",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -66,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_mixing,
         op10_html_text,
+        op13_alignment,
     )
 }
 
