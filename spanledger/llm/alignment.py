@@ -3,10 +3,16 @@
 Both tokenizers encode each whole text.  Where a token of either begins with a
 space at the same byte, the tokens before it end together: such verified shared
 ends are anchors, and cut the text into windows of token ids.  A window is
-aligned by its byte ends into groups, and a worker keeps alignments by the tuple
+aligned by its byte ends into groups, and a worker keeps alignments by the tuples
 of ids, since windows repeat.  The tokens of a group are linked, each of the one
 tokenizer with each of the other.
 
+Neither vocabulary merges over a lone space between other characters (checked
+when it is loaded; where it could, whole texts are encoded at once).  So the ids
+of a text are those of its chunks, cut before such spaces, and the ids, anchors
+and windows of chunks met before are remembered: a chunk's first tokens are space
+marked, and its bytes are compared with what its tokens stand for.
+
 How many documents hold an id pair is counted over the corpus: a block of
 documents (``blocks``) sends each distinct pair once with its number of
 documents, and gets the corpus-wide count back, so a pair that every document
@@ -25,14 +31,17 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -40,25 +49,34 @@ from spanledger.llm.blocks import BLOCK_TOKENS, expand, first_block, id_type, pa
 from spanledger.llm.bpe import byte_symbols
 from spanledger.llm.common import BROADCAST_ROWS, ship, stage
 
-#: Bytes of window keys whose alignments a worker remembers; then it begins anew.
-MEMO_BYTES = 16_000_000
+#: What a worker remembers, in two generations of chunks (characters of texts and groups) and one of
+#: windows (ids).
+CHUNK_BYTES, WINDOW_IDS = 4_000_000, 1_000_000
 #: Bytes of texts that are encoded in one call.
 BATCH_BYTES = 1 << 20
 
 SPACE_MARK = "▁"
-BETWEEN = b"\xff\xff\xff\xff"
-NO_WINDOWS = np.zeros(0, np.int64)
+#: A lone space that something else follows; Python's white space holds all of the tokenizer's.
+CUT = re.compile(rf"(?<=[^ {SPACE_MARK}])(?= \S)")
+
+#: Groups as text, their number, and (id pair, links), pairs as a << 32 | b.
+Window = tuple[str, int, tuple[tuple[int, int], ...]]
+#: Tokens of each tokenizer, then as a window.
+Chunk = tuple[int, int, str, int, tuple[tuple[int, int], ...]]
 
 
-def byte_level_tokens(path: str) -> tuple[Tokenizer, list[bytes]]:
-    """A byte-level tokenizer that takes special strings for text, and the bytes of each id."""
+def byte_level_tokens(path: str) -> tuple[Tokenizer, list[bytes], bool]:
+    """A byte-level tokenizer that takes special strings for text, the bytes of each id, and
+    whether it takes words apart, each with the space before it, and merges within words alone."""
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     back = {s: b for b, s in enumerate(byte_symbols())}
     names = {i: bytes(back[s] for s in token) for token, i in spec["model"]["vocab"].items()}
-    return tokenizer, [names.get(i, b"") for i in range(max(names) + 1)]
+    words = spec["pre_tokenizer"] or {}
+    apart = words.get("type") == "ByteLevel" and words.get("use_regex", True) and not spec["normalizer"]
+    return tokenizer, [names.get(i, b"") for i in range(max(names) + 1)], apart
 
 
 def piece_tokens(path: str) -> tuple[sentencepiece.SentencePieceProcessor, list[bytes]]:
@@ -71,8 +89,8 @@ def piece_tokens(path: str) -> tuple[sentencepiece.SentencePieceProcessor, list[
     return pieces, names
 
 
-def align(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> tuple[str, int, list[tuple[int, int]]]:
-    """Groups of a window as text, their number, and (id pair, links) with pairs as a << 32 | b."""
+def align(a: tuple[int, ...], b: tuple[int, ...], a_bytes: list[bytes], b_bytes: list[bytes]) -> Window:
+    """The groups of a window."""
     groups, links = [], Counter()
     i = j = from_i = from_j = a_end = b_end = 0
     while i < len(a):
@@ -97,60 +115,93 @@ def align(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]
                     for y, m in rights.items():
                         links[x << 32 | y] += n * m
             from_i, from_j = i, j
-    return ";".join(groups), len(groups), list(links.items())
+    return ";".join(groups), len(groups), tuple(links.items())
 
 
 class Aligner:
-    """Both tokenizers and the alignments of windows met so far."""
+    """Both tokenizers, and what a worker remembers of chunks and windows met so far."""
 
     def __init__(self, byte_path: str, piece_path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.a, self.a_bytes = byte_level_tokens(byte_path)
+        self.a, self.a_bytes, words_apart = byte_level_tokens(byte_path)
         self.b, self.b_bytes = piece_tokens(piece_path)
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in ts], np.int64) for ts in (self.a_bytes, self.b_bytes))
         self.a_spaced, self.b_spaced = (np.array([t[:1] == b" " for t in ts]) for ts in (self.a_bytes, self.b_bytes))
-        self.memo: dict[bytes, tuple[str, int, list[tuple[int, int]]]] = {}
-        self.memo_bytes = 0
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids by both tokenizers; none where either does not give the text back."""
-        spaced = [" " + t for t in texts]
+        # A merge over the border would make a piece with a space behind another character.
+        self.cut = CUT.split if words_apart and not any(b" " in t.lstrip(b" ") for t in self.b_bytes) else None
+        self.windows: dict[tuple, Window] = {}
+        self.window_size = 0
+        self.chunks: dict[str, Chunk] = {}
+        self.old_chunks: dict[str, Chunk] = {}
+        self.chunk_size = 0
+
+    def split(self, text: str) -> list[str]:
+        """A space and the text, cut before every lone space that something else follows."""
+        if not text:
+            return []
+        spaced = " " + text
+        return self.cut(spaced) if self.cut else [spaced]
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Encode and align the chunks of some texts that are not known yet."""
+        new = list({c: None for chunks in texts for c in chunks if c not in self.chunks})
+        for chunk in new:
+            if chunk in self.old_chunks:
+                self.remember(chunk, self.old_chunks[chunk])
+        new = [c for c in new if c not in self.chunks]
+        spaced = [c if c[:1] == " " else " " + c for c in new]
         first = self.a.encode_batch_fast(spaced, add_special_tokens=False)
-        second = self.b.encode(texts, num_threads=1)
-        for n, text in enumerate(spaced):
-            a, b = first[n].ids, second[n]
-            raw = text.encode()
-            if len(raw) == 1 or b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
-                a, b = [], []
-            yield np.array(a, "<i4"), np.array(b, "<i4")
-
-    def cuts(self, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
-        """Where windows begin among the tokens of each, and the ends of both."""
+        second = self.b.encode([c[1:] for c in spaced], num_threads=1)
+        for chunk, text, x, y in zip(new, spaced, first, second):
+            self.remember(chunk, self.chunk(text.encode(), x.ids, y))
+
+    def remember(self, text: str, chunk: Chunk) -> None:
+        if self.chunk_size > CHUNK_BYTES:
+            self.chunks, self.old_chunks, self.chunk_size = {}, self.chunks, 0
+        self.chunks[text] = chunk
+        self.chunk_size += len(text) + len(chunk[2])
+
+    def known(self, text: str) -> Chunk:
+        """A chunk that has been learned with the texts at hand."""
+        found = self.chunks.get(text) or self.old_chunks.get(text)
+        if found is None:
+            self.learn([[text]])
+            found = self.chunks[text]
+        return found
+
+    def chunk(self, raw: bytes, a: list[int], b: list[int]) -> Chunk:
+        """Tokens of each, groups as text, number of groups, links; no groups where the bytes differ."""
+        if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
+            return 0, 0, "", 0, ()
+        i, j = self.anchors(a, b) if raw.find(b" ", 1) > 0 else ([0, len(a)], [0, len(b)])
+        parts = [self.window(tuple(a[i[k] : i[k + 1]]), tuple(b[j[k] : j[k + 1]])) for k in range(len(i) - 1)]
+        if len(parts) == 1:
+            return len(a), len(b), *parts[0]
+        links = Counter()
+        for _, _, found in parts:
+            for pair, n in found:
+                links[pair] += n
+        return len(a), len(b), ";".join([p[0] for p in parts]), sum([p[1] for p in parts]), tuple(links.items())
+
+    def anchors(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+        """Where windows begin among the tokens of each, and the ends of both.
+
+        They begin at tokens of both that a space marks, at the same byte: there the tokens before
+        them end together.
+        """
         a_size, b_size = self.a_sizes[a], self.b_sizes[b]
         a_start, b_start = np.cumsum(a_size) - a_size, np.cumsum(b_size) - b_size
         at = np.intersect1d(a_start[self.a_spaced[a]], b_start[self.b_spaced[b]], assume_unique=True)
         return [*np.searchsorted(a_start, at).tolist(), len(a)], [*np.searchsorted(b_start, at).tolist(), len(b)]
 
-    def windows(self, a: np.ndarray, b: np.ndarray) -> list[bytes]:
-        """The key of each window: its ids of both tokenizers."""
-        if not len(a):
-            return []
-        i, j = self.cuts(a, b)
-        a_raw, b_raw = a.tobytes(), b.tobytes()
-        return [
-            a_raw[4 * i[k] : 4 * i[k + 1]] + BETWEEN + b_raw[4 * j[k] : 4 * j[k + 1]] for k in range(len(i) - 1)
-        ]
-
-    def aligned(self, key: bytes) -> tuple[str, int, list[tuple[int, int]]]:
-        found = self.memo.get(key)
+    def window(self, a: tuple[int, ...], b: tuple[int, ...]) -> Window:
+        found = self.windows.get((a, b))
         if found is None:
-            ids = np.frombuffer(key, "<i4").tolist()
-            middle = ids.index(-1)
-            found = align(ids[:middle], ids[middle + 1 :], self.a_bytes, self.b_bytes)
-            if self.memo_bytes > MEMO_BYTES:
-                self.memo, self.memo_bytes = {}, 0
-            self.memo[key] = found
-            self.memo_bytes += len(key)
+            found = align(a, b, self.a_bytes, self.b_bytes)
+            if self.window_size > WINDOW_IDS:
+                self.windows, self.window_size = {}, 0
+            self.windows[a, b] = found
+            self.window_size += len(a) + len(b)
         return found
 
 
@@ -159,67 +210,78 @@ def aligner(byte_path: str, piece_path: str) -> Aligner:
     return Aligner(byte_path, piece_path)
 
 
+class Numbers(dict):
+    """Numbers from 0 for whatever is looked up, in the order of the first time."""
+
+    def __missing__(self, key):
+        self[key] = number = len(self)
+        return number
+
+
 class Block:
-    """Aligned documents that share one list of windows and one list of id pairs."""
+    """Aligned documents that share one list of chunks and one list of id pairs."""
 
     def __init__(self, kit: Aligner):
         self.kit = kit
         self.ids: list = []
-        self.rows: list[tuple[int, int, int, str]] = []
-        self.places: dict[bytes, int] = {}
-        self.found: list[tuple[str, int, list[tuple[int, int]]]] = []
+        self.digests: list[str] = []
+        self.numbers = Numbers()
+        self.found: list[Chunk] = []
+        self.groups: list[str] = []
         self.texts: list[np.ndarray] = []
-        self.tokens = 0
-
-    def add(self, doc_id, a: np.ndarray, b: np.ndarray) -> None:
-        places, found, aligned = self.places, self.found, self.kit.aligned
-        own = []
-        for key in self.kit.windows(a, b):
-            place = places.get(key)
-            if place is None:
-                place = places[key] = len(found)
-                found.append(aligned(key))
-            own.append(place)
-        digest = hashlib.sha256(";".join([found[k][0] for k in own]).encode()).hexdigest() if own else ""
+        self.size = 0
+
+    def add(self, doc_id, chunks: list[str]) -> None:
+        """``chunks`` have been learned."""
         self.ids.append(doc_id)
-        self.rows.append((len(a), len(b), sum([found[k][1] for k in own]), digest))
-        self.texts.append(np.array(own, np.int64) if own else NO_WINDOWS)
-        self.tokens += len(a)
+        own = [self.numbers[c] for c in chunks]
+        if len(self.numbers) > len(self.found):
+            for text in islice(self.numbers, len(self.found), None):
+                self.found.append(self.kit.known(text))
+                self.groups.append(self.found[-1][2])
+        groups = [self.groups[k] for k in own]
+        if not all(groups):
+            own, groups = [], []
+        self.digests.append(hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else "")
+        self.texts.append(np.array(own, np.int64))
+        self.size += len(own)
 
     def row(self, number: int, id_kind: pa.DataType) -> pa.RecordBatch:
-        pairs = np.array([p for w in self.found for p, _ in w[2]], np.int64)
-        links = np.array([n for w in self.found for _, n in w[2]], np.int64)
-        sizes = np.array([len(w[2]) for w in self.found], np.int64)
+        pairs = np.fromiter((p for c in self.found for p, _ in c[4]), np.int64)
+        links = np.fromiter((n for c in self.found for _, n in c[4]), np.int64)
+        sizes = np.array([len(c[4]) for c in self.found], np.int64)
         known, of = np.unique(pairs, return_inverse=True)
         counts = np.array([len(t) for t in self.texts], np.int64)
-        windows = np.concatenate(self.texts) if self.texts else NO_WINDOWS
-        # Documents that hold a pair: their distinct windows, then their distinct pairs.
+        chunks = np.concatenate(self.texts) if self.texts else np.zeros(0, np.int64)
+        totals = [
+            sums(np.array([c[k] for c in self.found], np.int64)[chunks], counts) for k in (0, 1, 3)
+        ]
+        # Documents that hold a pair: their distinct chunks, then their distinct pairs.
         docs = np.repeat(np.arange(len(counts), dtype=np.int64), counts)
-        distinct = np.unique(docs << 32 | windows)
-        docs, of_window = distinct >> 32, distinct & 0xFFFFFFFF
+        distinct = np.unique(docs << 32 | chunks)
+        docs, of_chunk = distinct >> 32, distinct & 0xFFFFFFFF
         starts = np.cumsum(sizes) - sizes
         held = np.unique(
-            np.repeat(docs, sizes[of_window]) * max(1, len(known)) + of[expand(starts[of_window], sizes[of_window])]
+            np.repeat(docs, sizes[of_chunk]) * max(1, len(known)) + of[expand(starts[of_chunk], sizes[of_chunk])]
         )
         holding = np.bincount(held % max(1, len(known)), minlength=len(known))
-        n_a, n_b, n_groups, digests = zip(*self.rows)
         columns = {
             "block": pa.array([number], pa.int64()),
             "doc_ids": pa.array([self.ids], pa.list_(id_kind)),
-            "counts": pa.array([pack(np.array([n_a, n_b, n_groups]).ravel(), "<i4")], pa.binary()),
-            "digests": pa.array([digests], pa.list_(pa.string())),
-            "n_windows": pa.array([pack(counts, "<i4")], pa.binary()),
-            "windows": pa.array([pack(windows, "<i4")], pa.binary()),
-            "window_sizes": pa.array([pack(sizes, "<i4")], pa.binary()),
-            "window_pairs": pa.array([pack(of, "<i4")], pa.binary()),
-            "window_links": pa.array([pack(links, "<i4")], pa.binary()),
+            "totals": pa.array([pack(np.concatenate(totals), "<i8")], pa.binary()),
+            "digests": pa.array([self.digests], pa.list_(pa.string())),
+            "n_chunks": pa.array([pack(counts, "<i4")], pa.binary()),
+            "chunks": pa.array([pack(chunks, "<i4")], pa.binary()),
+            "chunk_sizes": pa.array([pack(sizes, "<i4")], pa.binary()),
+            "chunk_pairs": pa.array([pack(of, "<i4")], pa.binary()),
+            "chunk_links": pa.array([pack(links, "<i8")], pa.binary()),
             "pairs": pa.array([known], pa.list_(pa.int64())),
             "holding": pa.array([holding], pa.list_(pa.int64())),
         }
         return pa.RecordBatch.from_pydict(columns)
 
 
-PACKED = "counts binary, digests array<string>, n_windows binary, windows binary, window_sizes binary, window_pairs binary, window_links binary"
+PACKED = "totals binary, digests array<string>, n_chunks binary, chunks binary, chunk_sizes binary, chunk_pairs binary, chunk_links binary"
 
 
 def aligned_blocks(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
@@ -235,13 +297,15 @@ def aligned_blocks(docs: DataFrame, byte_path: str, piece_path: str) -> DataFram
             while at < batch.num_rows:
                 ids, texts, size = [], [], 0
                 while at < batch.num_rows and size < BATCH_BYTES:
+                    text = batch.column(1)[at].as_py() or ""
                     ids.append(batch.column(0)[at].as_py())
-                    texts.append(batch.column(1)[at].as_py() or "")
-                    size += len(texts[-1])
+                    texts.append(kit.split(text))
+                    size += len(text)
                     at += 1
-                for doc_id, (a, b) in zip(ids, kit.encode(texts)):
-                    block.add(doc_id, a, b)
-                    if block.tokens >= BLOCK_TOKENS:
+                kit.learn(texts)
+                for doc_id, chunks in zip(ids, texts):
+                    block.add(doc_id, chunks)
+                    if block.size >= BLOCK_TOKENS:
                         yield block.row(number, id_kind)
                         number, block = number + 1, Block(kit)
         if block.ids:
@@ -259,7 +323,7 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
         .agg(F.sum("p.holding").alias("n"))
     )
     # At most as many rows share a first id as the second vocabulary has ids.
-    same = Window.partitionBy(F.shiftright("pair", 32))
+    same = Over.partitionBy(F.shiftright("pair", 32))
     return counts.withColumn("best", F.col("n") == F.max("n").over(same))
 
 
@@ -281,16 +345,16 @@ def alignments(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
         order = np.argsort(right.column("place").to_numpy())
         n = right.column("n").to_numpy()[order]
         best = right.column("best").to_numpy(zero_copy_only=False)[order]
-        of, links = unpack(row["window_pairs"], "<i4"), unpack(row["window_links"], "<i4").astype(np.int64)
-        sizes = unpack(row["window_sizes"], "<i4")
-        per_window = [sums(x, sizes) for x in (links, links * best[of], links * n[of])]
-        windows, n_windows = unpack(row["windows"], "<i4"), unpack(row["n_windows"], "<i4")
-        per_doc = [sums(x[windows], n_windows) for x in per_window]
-        counted = unpack(row["counts"], "<i4").astype(np.int64).reshape(3, -1)
+        of, links = unpack(row["chunk_pairs"], "<i4"), unpack(row["chunk_links"], "<i8")
+        sizes = unpack(row["chunk_sizes"], "<i4")
+        per_chunk = [sums(x, sizes) for x in (links, links * best[of], links * n[of])]
+        chunks, n_chunks = unpack(row["chunks"], "<i4"), unpack(row["n_chunks"], "<i4")
+        per_doc = [sums(x[chunks], n_chunks) for x in per_chunk]
+        totals = unpack(row["totals"], "<i8").reshape(3, -1)
         return pa.table(
             {
                 "doc_id": pa.array(row["doc_ids"], left.schema.field("doc_ids").type.value_type),
-                **{name: counted[k] for k, name in enumerate(("n_a", "n_b", "n_groups"))},
+                **{name: totals[k] for k, name in enumerate(("n_a", "n_b", "n_groups"))},
                 **{name: per_doc[k] for k, name in enumerate(("n_links", "n_best", "count_sum"))},
                 "groups_sha256": pa.array(row["digests"], pa.string()),
             }
