@@ -28,14 +28,16 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -45,13 +47,13 @@ from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spanledger.llm.blocks import BLOCK_TOKENS, expand, first_block, id_type, pack, sums, unpack
+from spanledger.llm.blocks import BLOCK_TOKENS, distinct, expand, first_block, id_type, pack, sums, unpack
 from spanledger.llm.bpe import byte_symbols
 from spanledger.llm.common import BROADCAST_ROWS, ship, stage
 
 #: What a worker remembers, in two generations of chunks (characters of texts and groups) and one of
 #: windows (ids).
-CHUNK_BYTES, WINDOW_IDS = 4_000_000, 1_000_000
+CHUNK_BYTES, WINDOW_IDS = 14_000_000, 1_000_000
 #: Bytes of texts that are encoded in one call.
 BATCH_BYTES = 1 << 20
 
@@ -59,10 +61,14 @@ SPACE_MARK = "▁"
 #: A lone space that something else follows; Python's white space holds all of the tokenizer's.
 CUT = re.compile(rf"(?<=[^ {SPACE_MARK}])(?= \S)")
 
-#: Groups as text, their number, and (id pair, links), pairs as a << 32 | b.
-Window = tuple[str, int, tuple[tuple[int, int], ...]]
+#: Links of a group up to which they are listed one by one.
+FEW_LINKS = 64
+
+#: Groups as text, their number, and as eight bytes each the id pairs, a << 32 | b, and the links
+#: of each (none: one each).  Flat values keep the collector of cycles from visiting the memory.
+Window = tuple[str, int, bytes, bytes]
 #: Tokens of each tokenizer, then as a window.
-Chunk = tuple[int, int, str, int, tuple[tuple[int, int], ...]]
+Chunk = tuple[int, int, str, int, bytes, bytes]
 
 
 def byte_level_tokens(path: str) -> tuple[Tokenizer, list[bytes], bool]:
@@ -89,33 +95,53 @@ def piece_tokens(path: str) -> tuple[sentencepiece.SentencePieceProcessor, list[
     return pieces, names
 
 
-def align(a: tuple[int, ...], b: tuple[int, ...], a_bytes: list[bytes], b_bytes: list[bytes]) -> Window:
-    """The groups of a window."""
-    groups, links = [], Counter()
-    i = j = from_i = from_j = a_end = b_end = 0
-    while i < len(a):
-        if a_end <= b_end:
-            a_end += len(a_bytes[a[i]])
-            i += 1
+def align(a: tuple[int, ...], b: tuple[int, ...], a_sizes: list[int], b_sizes: list[int]) -> Window:
+    """The groups of a window, which are cut where a token of each ends at the same byte."""
+    a_ends = list(accumulate([a_sizes[x] for x in a]))
+    b_ends = list(accumulate([b_sizes[y] for y in b]))
+    if a_ends == b_ends:
+        pairs = [x << 32 | y for x, y in zip(a, b)]
+        groups = [f"{x}|{y}" for x, y in zip(a, b)]
+        many: Counter[int] = Counter()
+    else:
+        groups, pairs, many = _groups(a, b, a_ends, b_ends)
+    links = b""
+    if many or len(set(pairs)) < len(pairs):
+        many.update(pairs)
+        pairs = list(many)
+        links = array("q", many.values()).tobytes()
+    return ";".join(groups), len(groups), array("q", pairs).tobytes(), links
+
+
+def _groups(
+    a: tuple[int, ...], b: tuple[int, ...], a_ends: list[int], b_ends: list[int]
+) -> tuple[list[str], list[int], Counter[int]]:
+    """Groups as text, the pairs of small groups listed, and those of long ones counted."""
+    groups, pairs, many = [], [], Counter()
+    shared = set(b_ends).intersection(a_ends)
+    i = j = 0
+    for end in sorted(shared):
+        to_i, to_j = i + 1, j + 1
+        while a_ends[to_i - 1] < end:
+            to_i += 1
+        while b_ends[to_j - 1] < end:
+            to_j += 1
+        if to_i - i == to_j - j == 1:
+            groups.append(f"{a[i]}|{b[j]}")
+            pairs.append(a[i] << 32 | b[j])
         else:
-            b_end += len(b_bytes[b[j]])
-            j += 1
-        while b_end < a_end:
-            b_end += len(b_bytes[b[j]])
-            j += 1
-        if a_end == b_end:
-            left, right = a[from_i:i], b[from_j:j]
-            groups.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-            if len(left) == len(right) == 1:
-                links[left[0] << 32 | right[0]] += 1
+            left, right = a[i:to_i], b[j:to_j]
+            groups.append(f"{','.join([str(x) for x in left])}|{','.join([str(y) for y in right])}")
+            if len(left) * len(right) <= FEW_LINKS:
+                pairs += [x << 32 | y for x in left for y in right]
             else:
-                # A group's links are products, so equal ids are multiplied, not listed.
+                # A group's links are products, so equal ids of a long one are multiplied, not listed.
                 rights = Counter(right)
                 for x, n in Counter(left).items():
                     for y, m in rights.items():
-                        links[x << 32 | y] += n * m
-            from_i, from_j = i, j
-    return ";".join(groups), len(groups), tuple(links.items())
+                        many[x << 32 | y] += n * m
+        i, j = to_i, to_j
+    return groups, pairs, many
 
 
 class Aligner:
@@ -126,6 +152,7 @@ class Aligner:
         self.a, self.a_bytes, words_apart = byte_level_tokens(byte_path)
         self.b, self.b_bytes = piece_tokens(piece_path)
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in ts], np.int64) for ts in (self.a_bytes, self.b_bytes))
+        self.a_lengths, self.b_lengths = self.a_sizes.tolist(), self.b_sizes.tolist()
         self.a_spaced, self.b_spaced = (np.array([t[:1] == b" " for t in ts]) for ts in (self.a_bytes, self.b_bytes))
         # A merge over the border would make a piece with a space behind another character.
         self.cut = CUT.split if words_apart and not any(b" " in t.lstrip(b" ") for t in self.b_bytes) else None
@@ -172,16 +199,17 @@ class Aligner:
     def chunk(self, raw: bytes, a: list[int], b: list[int]) -> Chunk:
         """Tokens of each, groups as text, number of groups, links; no groups where the bytes differ."""
         if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
-            return 0, 0, "", 0, ()
+            return 0, 0, "", 0, b"", b""
         i, j = self.anchors(a, b) if raw.find(b" ", 1) > 0 else ([0, len(a)], [0, len(b)])
         parts = [self.window(tuple(a[i[k] : i[k + 1]]), tuple(b[j[k] : j[k + 1]])) for k in range(len(i) - 1)]
         if len(parts) == 1:
             return len(a), len(b), *parts[0]
-        links = Counter()
-        for _, _, found in parts:
-            for pair, n in found:
-                links[pair] += n
-        return len(a), len(b), ";".join([p[0] for p in parts]), sum([p[1] for p in parts]), tuple(links.items())
+        links: Counter[int] = Counter()
+        for _, _, pairs, counts in parts:
+            listed = array("q", pairs)
+            links.update(dict(zip(listed, array("q", counts))) if counts else listed)
+        flat = array("q", links).tobytes(), array("q", links.values()).tobytes()
+        return len(a), len(b), ";".join([p[0] for p in parts]), sum([p[1] for p in parts]), *flat
 
     def anchors(self, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
         """Where windows begin among the tokens of each, and the ends of both.
@@ -197,7 +225,7 @@ class Aligner:
     def window(self, a: tuple[int, ...], b: tuple[int, ...]) -> Window:
         found = self.windows.get((a, b))
         if found is None:
-            found = align(a, b, self.a_bytes, self.b_bytes)
+            found = align(a, b, self.a_lengths, self.b_lengths)
             if self.window_size > WINDOW_IDS:
                 self.windows, self.window_size = {}, 0
             self.windows[a, b] = found
@@ -207,14 +235,20 @@ class Aligner:
 
 @lru_cache(1)
 def aligner(byte_path: str, piece_path: str) -> Aligner:
+    # Memories are large and have no cycles: look for cycles more rarely.
+    gc.set_threshold(200_000, 20, 100)
     return Aligner(byte_path, piece_path)
 
 
 class Numbers(dict):
-    """Numbers from 0 for whatever is looked up, in the order of the first time."""
+    """Numbers from 0 for whatever is looked up, in the order of ``keys_in_order``."""
+
+    def __init__(self):
+        self.keys_in_order: list = []
 
     def __missing__(self, key):
-        self[key] = number = len(self)
+        self[key] = number = len(self.keys_in_order)
+        self.keys_in_order.append(key)
         return number
 
 
@@ -236,7 +270,7 @@ class Block:
         self.ids.append(doc_id)
         own = [self.numbers[c] for c in chunks]
         if len(self.numbers) > len(self.found):
-            for text in islice(self.numbers, len(self.found), None):
+            for text in self.numbers.keys_in_order[len(self.found) :]:
                 self.found.append(self.kit.known(text))
                 self.groups.append(self.found[-1][2])
         groups = [self.groups[k] for k in own]
@@ -247,9 +281,10 @@ class Block:
         self.size += len(own)
 
     def row(self, number: int, id_kind: pa.DataType) -> pa.RecordBatch:
-        pairs = np.fromiter((p for c in self.found for p, _ in c[4]), np.int64)
-        links = np.fromiter((n for c in self.found for _, n in c[4]), np.int64)
-        sizes = np.array([len(c[4]) for c in self.found], np.int64)
+        pairs = np.frombuffer(b"".join([c[4] for c in self.found]), "<i8")
+        ones = array("q", [1]).tobytes()
+        links = np.frombuffer(b"".join([c[5] or ones * (len(c[4]) >> 3) for c in self.found]), "<i8")
+        sizes = np.array([len(c[4]) >> 3 for c in self.found], np.int64)
         known, of = np.unique(pairs, return_inverse=True)
         counts = np.array([len(t) for t in self.texts], np.int64)
         chunks = np.concatenate(self.texts) if self.texts else np.zeros(0, np.int64)
@@ -258,10 +293,10 @@ class Block:
         ]
         # Documents that hold a pair: their distinct chunks, then their distinct pairs.
         docs = np.repeat(np.arange(len(counts), dtype=np.int64), counts)
-        distinct = np.unique(docs << 32 | chunks)
-        docs, of_chunk = distinct >> 32, distinct & 0xFFFFFFFF
+        held = distinct(docs << 32 | chunks)
+        docs, of_chunk = held >> 32, held & 0xFFFFFFFF
         starts = np.cumsum(sizes) - sizes
-        held = np.unique(
+        held = distinct(
             np.repeat(docs, sizes[of_chunk]) * max(1, len(known)) + of[expand(starts[of_chunk], sizes[of_chunk])]
         )
         holding = np.bincount(held % max(1, len(known)), minlength=len(known))

@@ -67,3 +67,11 @@ def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         starts = (np.cumsum(sizes) - sizes)[full]
         out[full] = np.add.reduceat(values, starts)
     return out
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted, each once; sorting is several times faster than np.unique, which hashes first."""
+    if not len(values):
+        return values
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))]
