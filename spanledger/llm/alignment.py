@@ -47,7 +47,7 @@ from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spanledger.llm.blocks import BLOCK_TOKENS, distinct, expand, first_block, id_type, pack, sums, unpack
+from spanledger.llm.blocks import BLOCK_TOKENS, Numbers, distinct, expand, first_block, id_type, pack, sums, unpack
 from spanledger.llm.bpe import byte_symbols
 from spanledger.llm.common import BROADCAST_ROWS, ship, stage
 
@@ -240,18 +240,6 @@ def aligner(byte_path: str, piece_path: str) -> Aligner:
     return Aligner(byte_path, piece_path)
 
 
-class Numbers(dict):
-    """Numbers from 0 for whatever is looked up, in the order of ``keys_in_order``."""
-
-    def __init__(self):
-        self.keys_in_order: list = []
-
-    def __missing__(self, key):
-        self[key] = number = len(self.keys_in_order)
-        self.keys_in_order.append(key)
-        return number
-
-
 class Block:
     """Aligned documents that share one list of chunks and one list of id pairs."""
 

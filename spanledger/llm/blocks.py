@@ -20,6 +20,18 @@ from pyspark.sql import DataFrame
 BLOCK_TOKENS = 2_000_000
 
 
+class Numbers(dict):
+    """Numbers from 0 for whatever is looked up, in the order of ``keys_in_order``."""
+
+    def __init__(self):
+        self.keys_in_order: list = []
+
+    def __missing__(self, key):
+        self[key] = number = len(self.keys_in_order)
+        self.keys_in_order.append(key)
+        return number
+
+
 def first_block() -> int:
     """The number of a task's first block; the next ones follow it."""
     return TaskContext.get().partitionId() << 32

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanledger.llm import alignment, bpe, exact_dedup, html_text, language_id, license_scan, mixing, quality_rules, secrets, simhash, warc
+from spanledger.llm import alignment, bpe, exact_dedup, html_text, language_id, license_scan, lm_scoring, mixing, quality_rules, secrets, simhash, warc
 from spanledger.llm.common import settled, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -55,6 +55,10 @@ def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.main_texts(table(spark, folder, "pages"))
 
 
+def op11_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return settled(lambda: lm_scoring.lm_scores(table(spark, folder, "documents")), "op11_lm_scores")
+
+
 def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return settled(
         lambda: alignment.alignments(table(spark, folder, "documents"), BYTE_VOCABULARY, PIECE_VOCABULARY),
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_mixing,
         op10_html_text,
+        op11_lm_scores,
         op13_alignment,
     )
 }
