@@ -43,23 +43,24 @@ def id_type(docs: DataFrame, column: str = "doc_id") -> str:
 
 
 def pack(values: Sequence | np.ndarray, kind: str) -> bytes:
-    """An array of numbers, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values, dtype=kind).tobytes())
+    """An array of numbers, compressed plane by plane: first all lowest bytes, then all next ones."""
+    values = np.ascontiguousarray(values, dtype=kind)
+    planes = values.view(np.uint8).reshape(-1, values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpack(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def narrow(values: np.ndarray) -> tuple[bytes, str]:
-    """Packed in four bytes each where they fit, else in eight."""
-    kind = "<i4" if not len(values) or int(values.max()) < 1 << 31 else "<i8"
-    return pack(values, kind), kind
+def pack_steps(values: np.ndarray) -> bytes:
+    """Numbers as differences from the one before: small where they are sorted or repeat."""
+    return pack(np.diff(values, prepend=0), "<i8")
 
 
-def lists(offsets: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-    """Arrow lists cut out of ``values`` at ``offsets``, without a loop over them."""
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+def unpack_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, "<i8"))
 
 
 def expand(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -87,3 +88,20 @@ def distinct(values: np.ndarray) -> np.ndarray:
         return values
     values = np.sort(values)
     return values[np.concatenate(([True], values[1:] != values[:-1]))]
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct keys (0 or more) and which of them each is, as np.unique gives them.
+
+    Where a key and its place fit one number, one sort of these takes the place of an indirect sort.
+    """
+    n = len(keys)
+    place_bits = max(1, (n - 1).bit_length()) if n else 1
+    if not n or int(keys.max()).bit_length() + place_bits > 62:
+        return np.unique(keys, return_inverse=True)
+    both = np.sort(keys << place_bits | np.arange(n, dtype=np.int64))
+    keys = both >> place_bits
+    new = np.concatenate(([True], keys[1:] != keys[:-1]))
+    of = np.empty(n, np.int64)
+    of[both & ((1 << place_bits) - 1)] = np.cumsum(new) - 1
+    return keys[new], of

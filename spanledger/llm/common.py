@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -67,9 +68,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(*staged: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more."""
+    """Delete staged tables that nothing reads any more, and let go the shuffles that made them.
+
+    Spark removes the files of a shuffle when the driver's collector finds it unreachable, which by
+    itself can take as long as the job.
+    """
     for df in staged:
         discard(df.sparkSession, df.staged_at)
+    gc.collect()
+    staged[0].sparkSession._jvm.System.gc()
 
 
 def discard(spark: SparkSession, *paths: str) -> None:

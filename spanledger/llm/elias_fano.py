@@ -42,7 +42,7 @@ class Monotone:
         n, top = len(values), int(values[-1]) if len(values) else 0
         bits = max(0, ((top + 1) // n).bit_length() - 1) if n else 0
         index = np.arange(n, dtype=np.int64)
-        unary = np.zeros(-(-(n + (top >> bits) + 2) // 64) * 64, np.uint8)
+        unary = np.zeros(-(-(n + (top >> bits) + 3) // 64) * 64, np.uint8)
         unary[(values >> bits) + index] = 1
         high = np.packbits(unary, bitorder="little").view("<u8")
         ones = np.bitwise_count(high).astype(np.int64)
@@ -64,13 +64,27 @@ class Monotone:
         value |= (self.low[at + 1] << (U64(63) - shift)) << U64(1)
         return (value & U64((1 << self.bits) - 1)).astype(np.int64)
 
-    def _at_high(self, high: np.ndarray) -> np.ndarray:
-        """How many values have a smaller high part: the ones before the zero that ends the part before."""
+    def _range(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From and to which place the values have this high part.
+
+        The ones before the zero that ends the part before come first; the part's own ones follow it.
+        """
         zeros = np.arange(len(self.before), dtype=np.int64) * 64 - self.before
         want = np.maximum(high - 1, 0)
         word = np.searchsorted(zeros, want, side="right") - 1
-        place = word * 64 + _select(~self.high[word], want - zeros[word])
-        return np.where(high > 0, place - want, 0)
+        place = np.where(high > 0, word * 64 + _select(~self.high[word], want - zeros[word]) + 1, 0)
+        start = place - high
+        word, shift = place >> 6, (place & 63).astype(U64)
+        after = self.high[word] >> shift
+        follow = self.high[np.minimum(word + 1, len(self.high) - 1)]
+        after |= (follow << (U64(63) - shift)) << U64(1)
+        gap = ~after
+        run = np.bitwise_count((gap & (~gap + U64(1))) - U64(1)).astype(np.int64)
+        # Parts of 64 values or more end where the next part begins.
+        long = np.flatnonzero(run >= 64)
+        if len(long):
+            run[long] = self._range(high[long] + 1)[0] - start[long]
+        return start, start + run
 
     def get(self, index: np.ndarray) -> np.ndarray:
         """The values at these places."""
@@ -86,7 +100,7 @@ class Monotone:
         if not len(asked):
             return out
         high, target = values[asked] >> self.bits, values[asked] & ((1 << self.bits) - 1)
-        left, end = self._at_high(high), self._at_high(high + 1)
+        left, end = self._range(high)
         right = end.copy()
         open_ = np.flatnonzero(left < right)
         # Successor search among the values of one high part.

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanledger.llm.blocks import BLOCK_TOKENS, Numbers, first_block, id_type, narrow, pack, sums, unpack
+from spanledger.llm.blocks import BLOCK_TOKENS, Numbers, first_block, grouped, id_type, pack, pack_steps, sums, unpack, unpack_steps
 from spanledger.llm.common import release, ship, stage
 from spanledger.llm.elias_fano import Mapped, Monotone
 
@@ -151,7 +151,7 @@ def numbered_blocks(blocks: DataFrame, words: DataFrame) -> DataFrame:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(right.column("place").to_numpy())
-        kept = left.drop_columns(["words", "n_learn", "n_all", "n_words"])
+        kept = left
         for name in ("number", "learned", "everywhere"):
             kept = kept.append_column(name, pa.array([pack(right.column(name).to_numpy()[order], "<i8")], pa.binary()))
         return kept
@@ -162,7 +162,8 @@ def numbered_blocks(blocks: DataFrame, words: DataFrame) -> DataFrame:
         "number binary, learned binary, everywhere binary"
     )
     asked = words.select("of", "place", "number", "learned", "everywhere")
-    return blocks.groupBy("block").cogroup(asked.groupBy("of")).applyInArrow(run, schema)
+    packed = blocks.drop("words", "n_learn", "n_all", "n_words")
+    return packed.groupBy("block").cogroup(asked.groupBy("of")).applyInArrow(run, schema)
 
 
 class Grams:
@@ -188,9 +189,9 @@ class Grams:
         before_that[1:] = before[:-1]
         before_that[begins] = start
         base = start + 1
-        bigrams, self.bigram_of_token = np.unique(before * base + self.tokens, return_inverse=True)
+        bigrams, self.bigram_of_token = grouped(before * base + self.tokens)
         self.v, self.w = bigrams // base, bigrams % base
-        trigrams, self.trigram_of_token = np.unique(self.bigram_of_token * base + before_that, return_inverse=True)
+        trigrams, self.trigram_of_token = grouped(self.bigram_of_token * base + before_that)
         self.bigram, self.u = trigrams // base, trigrams % base
 
     def counted(self, of_token: np.ndarray, n: int) -> np.ndarray:
@@ -205,62 +206,73 @@ def _spread(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(32))) % np.uint64(n)).astype(np.int64)
 
 
-NUMBERS = ("u", "v", "w", "n", "context", "counted")
-QUESTION = "of long, shard long, place binary, " + ", ".join(f"{x} binary, {x}_kind string" for x in NUMBERS)
+NUMBERS = ("v", "w", "u", "n", "context", "counted")
+QUESTION = "of long, shard long, " + ", ".join(f"{x} binary" for x in NUMBERS)
+
+
+class Asked:
+    """The n-grams of a block that are asked for, dealt over shards and in the order they are sent.
+
+    ``place`` is the n-gram's place among the block's trigrams, then among its bigrams, which have
+    u = -1 and are asked for only where the word before them is dealt over shards.
+    """
+
+    def __init__(self, grams: Grams, shards: int, shard_tokens: int):
+        parts = -(-grams.context_everywhere[grams.v] // shard_tokens)
+        # A context that no training document holds needs no answer.
+        known = grams.context[grams.v] > 0
+        three = np.flatnonzero(known[grams.bigram])
+        two = np.flatnonzero(known & (parts > 1))
+        of = np.concatenate([grams.bigram[three], two])
+        u = np.concatenate([grams.number[grams.u[three]], np.full(len(two), -1)])
+        v, w = grams.number[grams.v[of]], grams.number[grams.w[of]]
+        shard = _spread(v, np.where(u >= 0, u, w) % np.maximum(parts[of], 1), shards)
+        order = np.lexsort((u, w, v, shard))
+        self.u, self.v, self.w, self.shard, self.of = u[order], v[order], w[order], shard[order], of[order]
+        self.place = np.concatenate([three, len(grams.u) + two])[order]
+        self.dealt = parts[self.of] > 1
+        ends = np.flatnonzero(np.append(np.diff(self.shard) != 0, True)) + 1 if len(order) else []
+        #: shard, and from and to which place its n-grams stand.
+        self.ranges = [
+            (int(self.shard[begin]), int(begin), int(end)) for begin, end in zip([0, *ends[:-1]], ends)
+        ]
 
 
 def questions(blocks: DataFrame, shards: int, shard_tokens: int) -> DataFrame:
     """The distinct n-grams of each block for each shard, with their counts in its training documents.
 
-    ``place`` is the n-gram's place among the block's trigrams, then among its bigrams, which have
-    u = -1 and go only where the word before is dealt over shards.  ``context`` and ``counted`` are the
-    distinct v of the row and their counts, negative where they are dealt over shards.
+    ``context`` and ``counted`` are the distinct v of the row and their counts, negative where they
+    are dealt over shards.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield from asked(row)
+                yield from rows(row["block"], Grams(row))
 
-    def asked(row: dict) -> Iterator[pa.RecordBatch]:
-        grams = Grams(row)
-        v, w = grams.v, grams.w
-        parts = -(-grams.context_everywhere[v] // shard_tokens)
-        # A context that no training document holds needs no answer.
-        known = grams.context[v] > 0
-        tri = np.flatnonzero(known[grams.bigram])
-        two = np.flatnonzero(known & (parts > 1))
-        of = np.concatenate([grams.bigram[tri], two])
-        u = np.concatenate([grams.number[grams.u[tri]], np.full(len(two), -1)])
-        place = np.concatenate([tri, len(grams.u) + two])
+    def rows(block: int, grams: Grams) -> Iterator[pa.RecordBatch]:
+        asked = Asked(grams, shards, shard_tokens)
         n = np.concatenate(
             [
-                grams.counted(grams.trigram_of_token, len(grams.u))[tri],
-                grams.counted(grams.bigram_of_token, len(v))[two],
+                grams.counted(grams.trigram_of_token, len(grams.u)),
+                grams.counted(grams.bigram_of_token, len(grams.v)),
             ]
-        )
-        v_number, w_number = grams.number[v[of]], grams.number[w[of]]
-        part = np.where(u >= 0, u, w_number) % np.maximum(parts[of], 1)
-        shard = _spread(v_number, part, shards)
-        order = np.lexsort((place, v_number, shard))
-        ends = np.flatnonzero(np.append(np.diff(shard[order]) != 0, True)) + 1 if len(order) else []
-        begin = 0
-        for end in ends:
-            mine = order[begin:end]
-            contexts, first = np.unique(v_number[mine], return_index=True)
-            counted = grams.context[v[of[mine[first]]]]
-            counted = np.where(parts[of[mine[first]]] > 1, -counted, counted)
-            values = dict(zip(NUMBERS, (u[mine], v_number[mine], w_number[mine], n[mine], contexts, counted)))
-            columns = {
-                "of": pa.array([row["block"]], pa.int64()),
-                "shard": pa.array([shard[mine[0]]], pa.int64()),
-                "place": pa.array([pack(place[mine], "<i4")], pa.binary()),
-            }
-            for name in NUMBERS:
-                data, kind = narrow(values[name])
-                columns[name] = pa.array([data], pa.binary())
-                columns[f"{name}_kind"] = pa.array([kind], pa.string())
-            begin = end
+        )[asked.place]
+        counted = grams.context[grams.v[asked.of]]
+        counted = np.where(asked.dealt, -counted, counted)
+        for shard, begin, end in asked.ranges:
+            v = asked.v[begin:end]
+            first = begin + np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+            columns = {"of": pa.array([block], pa.int64()), "shard": pa.array([shard], pa.int64())}
+            packed = (
+                pack_steps(v),
+                pack_steps(asked.w[begin:end]),
+                pack(asked.u[begin:end], "<i8"),
+                pack(n[begin:end], "<i4"),
+                pack_steps(asked.v[first]),
+                pack(counted[first], "<i8"),
+            )
+            columns |= {name: pa.array([x], pa.binary()) for name, x in zip(NUMBERS, packed)}
             yield pa.RecordBatch.from_pydict(columns)
 
     return blocks.mapInArrow(run, QUESTION)
@@ -268,10 +280,10 @@ def questions(blocks: DataFrame, shards: int, shard_tokens: int) -> DataFrame:
 
 def _merged(keys: tuple[np.ndarray, ...], n: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
     """Distinct rows of sort keys, the first the main one, with the sums of n."""
-    order = np.lexsort(keys[::-1])
-    keys, n = tuple(k[order] for k in keys), n[order]
     if not len(n):
         return keys, n
+    order = np.lexsort(keys[::-1])
+    keys, n = tuple(k[order] for k in keys), n[order]
     new = np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0)))
     return tuple(k[new] for k in keys), np.add.reduceat(n, np.flatnonzero(new))
 
@@ -279,15 +291,15 @@ def _merged(keys: tuple[np.ndarray, ...], n: np.ndarray) -> tuple[tuple[np.ndarr
 class Trie:
     """A shard's levels, built of counted n-grams and then searched."""
 
-    def __init__(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, counts: dict[int, int]):
+    def __init__(
+        self, u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, roots: np.ndarray, counted: np.ndarray
+    ):
+        """``roots`` are all v, sorted, and ``counted`` their counts, negative where they are dealt over shards."""
         seen = n > 0
-        u, v, w, n = u[seen], v[seen], w[seen], n[seen]
-        roots = np.unique(v)
-        count = np.array([abs(counts[x]) for x in roots.tolist()], np.float64)
-        dealt = np.array([counts[x] < 0 for x in roots.tolist()], bool)
-        v = np.searchsorted(roots, v)
+        u, v, w, n = u[seen], np.searchsorted(roots, v[seen]), w[seen], n[seen]
+        count, dealt = np.abs(counted).astype(np.float64), counted < 0
         # Bigrams: of words dealt over shards those sent as such, of others all that trigrams hold.
-        own = np.where(u < 0, n, np.where(dealt[v], 0, n)) if len(v) else n
+        own = np.where(dealt[v] & (u >= 0), 0, n)
         (b_v, b_w), b_n = _merged((v, w), own)
         self.span = int(w.max()) + 1 if len(w) else 1
         self.span = max(self.span, int(u.max()) + 1 if len(u) else 1)
@@ -320,14 +332,18 @@ class Trie:
     def answer(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes of p's own part of order 2, own part of order 3, and weight of the context (u, v)."""
         level, codes = self.levels, self.mapped.arrays
-        root = level["roots"].find(v)
-        inside = (root >= 0) & (w < self.span) & (u < self.span)
-        bigram = level["successors"].find(root * self.span + w, (root >= 0) & (w < self.span))
+        # Questions come in the order of v, then w: what repeats is searched once.
+        new = np.append(True, v[1:] != v[:-1])
+        root = level["roots"].find(v[new])[np.cumsum(new) - 1]
+        new = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])))
+        bigram = level["successors"].find((root * self.span + w)[new], ((root >= 0) & (w < self.span))[new])
+        first = level["firsts"].get(np.maximum(root[new], 0))
+        place = np.where(bigram >= 0, bigram - first, -1)
+        times = np.diff(np.append(new, len(v)))
+        bigram, place = np.repeat(bigram, times), np.repeat(place, times)
         context = level["contexts"].find(root * self.span + u, (root >= 0) & (u >= 0) & (u < self.span))
-        place = np.full(len(v), -1, np.int64)
-        found = np.flatnonzero((bigram >= 0) & (context >= 0) & inside)
-        place[found] = bigram[found] - level["firsts"].get(root[found])
-        deep = level["deep"].find(context * self.width + place, (place >= 0) & (place < self.width))
+        inside = (context >= 0) & (place >= 0) & (place < self.width)
+        deep = level["deep"].find(context * self.width + place, inside)
 
         def coded(name: str, at: np.ndarray) -> np.ndarray:
             out = np.full(len(at), NONE, "<u2")
@@ -337,7 +353,7 @@ class Trie:
         return coded("own_2", bigram), coded("own_3", deep), coded("weight_3", context)
 
 
-ANSWER = "of long, place binary, own_2 binary, own_3 binary, weight_3 binary"
+ANSWER = "of long, shard long, own_2 binary, own_3 binary, weight_3 binary"
 
 
 def answers(asked: DataFrame) -> DataFrame:
@@ -345,16 +361,18 @@ def answers(asked: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        read = {x: [unpack(r[x], r[f"{x}_kind"]) for r in rows] for x in NUMBERS}
-        u, v, w, n, contexts, counted = (np.concatenate(read[x]).astype(np.int64) for x in NUMBERS)
-        trie = Trie(u, v, w, n, dict(zip(contexts.tolist(), counted.tolist())))
+        readers = (unpack_steps, unpack_steps, *[lambda x, k=k: unpack(x, k) for k in ("<i8", "<i4")], unpack_steps)
+        readers += (lambda x: unpack(x, "<i8"),)
+        read = {x: [reader(r[x]) for r in rows] for x, reader in zip(NUMBERS, readers)}
+        v, w, u, n, contexts, counted = (np.concatenate(read[x]).astype(np.int64) for x in NUMBERS)
+        trie = Trie(u, v, w, n, *_merged((contexts, counted), np.ones_like(contexts))[0])
         found = trie.answer(u, v, w)
         ends = np.cumsum([len(x) for x in read["v"]])[:-1]
         cut = [np.split(x, ends) for x in found]
         return pa.table(
             {
                 "of": pa.array([r["of"] for r in rows], pa.int64()),
-                "place": pa.array([r["place"] for r in rows], pa.binary()),
+                "shard": table.column("shard"),
                 **{
                     name: pa.array([pack(x, "<u2") for x in parts], pa.binary())
                     for name, parts in zip(("own_2", "own_3", "weight_3"), cut)
@@ -365,7 +383,9 @@ def answers(asked: DataFrame) -> DataFrame:
     return asked.groupBy("shard").applyInArrow(run, ANSWER)
 
 
-def scored(blocks: DataFrame, found: DataFrame, tokens: int, words: int) -> DataFrame:
+def scored(
+    blocks: DataFrame, found: DataFrame, tokens: int, words: int, shards: int, shard_tokens: int
+) -> DataFrame:
     """Scores of the documents of all blocks, of the answers to their n-grams."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -374,15 +394,17 @@ def scored(blocks: DataFrame, found: DataFrame, tokens: int, words: int) -> Data
         three = len(grams.u)
         own_2 = np.full(len(grams.v), NONE, "<u2")
         own_3, weight_3 = np.full(three, NONE, "<u2"), np.full(three, NONE, "<u2")
+        asked = Asked(grams, shards, shard_tokens)
+        ranges = {shard: slice(begin, end) for shard, begin, end in asked.ranges}
         for answer in right.to_pylist():
-            place = unpack(answer["place"], "<i4")
-            codes = [unpack(answer[x], "<u2") for x in ("own_2", "own_3", "weight_3")]
+            mine = ranges[answer["shard"]]
+            place, of = asked.place[mine], asked.of[mine]
+            two, three_own, weight = (unpack(answer[x], "<u2") for x in ("own_2", "own_3", "weight_3"))
             trigram = place < three
             at = place[trigram]
-            own_3[at], weight_3[at] = codes[1][trigram], codes[2][trigram]
-            of = np.concatenate([grams.bigram[at], place[~trigram] - three])
-            code = np.concatenate([codes[0][trigram], codes[0][~trigram]])
-            own_2[of[code != NONE]] = code[code != NONE]
+            own_3[at], weight_3[at] = three_own[trigram], weight[trigram]
+            there = two != NONE
+            own_2[of[there]] = two[there]
         single = (grams.learned + 1) / (tokens + words + 1)
         weight_2 = PRIOR_2 / (grams.context[grams.v] + PRIOR_2)
         pair = _value(own_2, 0.0) + weight_2 * single[grams.w]
@@ -418,4 +440,4 @@ def lm_scores(docs: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     release(plain, words)
     shards = max(1, -(-everywhere // shard_tokens))
     found = stage(answers(questions(blocks, shards, shard_tokens)), "answers")
-    return scored(blocks, found, tokens, distinct)
+    return scored(blocks, found, tokens, distinct, shards, shard_tokens)
