@@ -90,18 +90,23 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return values[np.concatenate(([True], values[1:] != values[:-1]))]
 
 
-def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct keys (0 or more) and which of them each is, as np.unique gives them.
+def placed(keys: np.ndarray) -> np.ndarray:
+    """The places of the keys (0 or more) in sorted order, equal ones in their own.
 
     Where a key and its place fit one number, one sort of these takes the place of an indirect sort.
     """
     n = len(keys)
-    place_bits = max(1, (n - 1).bit_length()) if n else 1
-    if not n or int(keys.max()).bit_length() + place_bits > 62:
-        return np.unique(keys, return_inverse=True)
-    both = np.sort(keys << place_bits | np.arange(n, dtype=np.int64))
-    keys = both >> place_bits
-    new = np.concatenate(([True], keys[1:] != keys[:-1]))
-    of = np.empty(n, np.int64)
-    of[both & ((1 << place_bits) - 1)] = np.cumsum(new) - 1
+    bits = max(1, (n - 1).bit_length())
+    if not n or int(keys.max()).bit_length() + bits > 62:
+        return np.argsort(keys, kind="stable")
+    return np.sort(keys << bits | np.arange(n, dtype=np.int64)) & ((1 << bits) - 1)
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct keys (0 or more) and which of them each is, as np.unique gives them."""
+    order = placed(keys)
+    keys = keys[order]
+    new = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
+    of = np.empty(len(keys), np.int64)
+    of[order] = np.cumsum(new) - 1
     return keys[new], of

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanledger.llm.blocks import BLOCK_TOKENS, Numbers, first_block, grouped, id_type, pack, pack_steps, sums, unpack, unpack_steps
+from spanledger.llm.blocks import Numbers, first_block, grouped, id_type, pack, pack_steps, placed, sums, unpack, unpack_steps
 from spanledger.llm.common import release, ship, stage
 from spanledger.llm.elias_fano import Mapped, Monotone
 
@@ -47,8 +47,9 @@ HELD_OUT, FOLDS = 2, 7
 PRIOR_2, PRIOR_3 = 200.0, 50.0
 #: Steps a decade of the stored logarithms, and the stored value of what is not there.
 STEPS, NONE = 4096, 65535
-#: Tokens of a shard of the trie, and rows of a bucket of the vocabulary.
-SHARD_TOKENS, BUCKET_ROWS = 1_000_000, 100_000
+#: Tokens of a block, of a shard of the trie, and rows of a bucket of the vocabulary.  A task holds some
+#: 200 bytes a token of the first two.
+BLOCK_TOKENS, SHARD_TOKENS, BUCKET_ROWS = 1_000_000, 400_000, 100_000
 #: The end of a text is the word without a letter; the start of a text has number 0.
 END, START = b"", 0
 
@@ -227,7 +228,10 @@ class Asked:
         u = np.concatenate([grams.number[grams.u[three]], np.full(len(two), -1)])
         v, w = grams.number[grams.v[of]], grams.number[grams.w[of]]
         shard = _spread(v, np.where(u >= 0, u, w) % np.maximum(parts[of], 1), shards)
-        order = np.lexsort((u, w, v, shard))
+        # By shard, then v, then w, so that v and w are sent as small steps.
+        rank = np.empty(len(grams.v), np.int64)
+        rank[np.lexsort((grams.number[grams.w], grams.number[grams.v]))] = np.arange(len(grams.v))
+        order = placed(shard * len(grams.v) + rank[of])
         self.u, self.v, self.w, self.shard, self.of = u[order], v[order], w[order], shard[order], of[order]
         self.place = np.concatenate([three, len(grams.u) + two])[order]
         self.dealt = parts[self.of] > 1
