@@ -16,17 +16,20 @@ import numpy as np
 U64 = np.uint64
 
 
+#: The place of the one of each rank in each byte.
+IN_BYTE = np.array(
+    [[([k for k in range(8) if byte >> k & 1] + [0] * 8)[rank] for rank in range(8)] for byte in range(256)], np.uint8
+).ravel()
+
+
 def _select(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The place of the one of this rank in each word."""
-    place = np.zeros(len(words), np.int64)
-    rank = rank.copy()
-    for half in (32, 16, 8, 4, 2, 1):
-        ones = np.bitwise_count(words & U64((1 << half) - 1)).astype(np.int64)
-        right = rank >= ones
-        rank -= np.where(right, ones, 0)
-        words = np.where(right, words >> U64(half), words)
-        place += np.where(right, half, 0)
-    return place
+    parts = words.astype("<u8").view(np.uint8).reshape(-1, 8)
+    ones = np.cumsum(np.bitwise_count(parts), axis=1, dtype=np.uint8)
+    part = np.count_nonzero(ones <= rank.astype(np.uint8)[:, None], axis=1)
+    at = np.arange(0, 8 * len(words), 8) + part
+    before = np.where(part > 0, ones.ravel()[at - 1], 0)
+    return 8 * part + IN_BYTE[parts.ravel()[at].astype(np.int64) * 8 + (rank - before)]
 
 
 class Monotone:
@@ -35,6 +38,7 @@ class Monotone:
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.low, self.high, self.before = (arrays[k] for k in ("low", "high", "before"))
         self.n, self.bits, self.top = (int(x) for x in arrays["shape"])
+        self.zeros = np.arange(len(self.before), dtype=np.int64) * 64 - self.before
 
     @staticmethod
     def arrays(values: np.ndarray) -> dict[str, np.ndarray]:
@@ -64,15 +68,15 @@ class Monotone:
         value |= (self.low[at + 1] << (U64(63) - shift)) << U64(1)
         return (value & U64((1 << self.bits) - 1)).astype(np.int64)
 
-    def _range(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """From and to which place the values have this high part.
-
-        The ones before the zero that ends the part before come first; the part's own ones follow it.
-        """
-        zeros = np.arange(len(self.before), dtype=np.int64) * 64 - self.before
+    def _begin(self, high: np.ndarray) -> np.ndarray:
+        """The bit behind the zero that ends the part before: there the ones of this high part begin."""
         want = np.maximum(high - 1, 0)
-        word = np.searchsorted(zeros, want, side="right") - 1
-        place = np.where(high > 0, word * 64 + _select(~self.high[word], want - zeros[word]) + 1, 0)
+        word = np.searchsorted(self.zeros, want, side="right") - 1
+        return np.where(high > 0, word * 64 + _select(~self.high[word], want - self.zeros[word]) + 1, 0)
+
+    def _range(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From and to which place the values have this high part."""
+        place = self._begin(high)
         start = place - high
         word, shift = place >> 6, (place & 63).astype(U64)
         after = self.high[word] >> shift
@@ -83,7 +87,7 @@ class Monotone:
         # Parts of 64 values or more end where the next part begins.
         long = np.flatnonzero(run >= 64)
         if len(long):
-            run[long] = self._range(high[long] + 1)[0] - start[long]
+            run[long] = self._begin(high[long] + 1) - (high[long] + 1) - start[long]
         return start, start + run
 
     def get(self, index: np.ndarray) -> np.ndarray:

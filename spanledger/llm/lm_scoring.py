@@ -32,6 +32,7 @@ own size; an empty table gives no row; ids keep their type; extra columns are ig
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -282,14 +283,22 @@ def questions(blocks: DataFrame, shards: int, shard_tokens: int) -> DataFrame:
     return blocks.mapInArrow(run, QUESTION)
 
 
-def _merged(keys: tuple[np.ndarray, ...], n: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
-    """Distinct rows of sort keys, the first the main one, with the sums of n."""
+def _merged(keys: tuple[np.ndarray, ...], n: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
+    """Distinct rows of sort keys (0 or more), the first the main one; the sums of n; and the order that sorts them."""
     if not len(n):
-        return keys, n
-    order = np.lexsort(keys[::-1])
-    keys, n = tuple(k[order] for k in keys), n[order]
-    new = np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0)))
-    return tuple(k[new] for k in keys), np.add.reduceat(n, np.flatnonzero(new))
+        return keys, n, n
+    spans = [int(k.max()) + 1 for k in keys]
+    if math.prod(spans) < 1 << 62:
+        whole = keys[0]
+        for key, span in zip(keys[1:], spans[1:]):
+            whole = whole * span + key
+        order = placed(whole)
+        whole = whole[order]
+        new = np.flatnonzero(np.append(True, whole[1:] != whole[:-1]))
+    else:
+        order = np.lexsort(keys[::-1])
+        new = np.flatnonzero(np.append(True, np.any([np.diff(k[order]) != 0 for k in keys], axis=0)))
+    return tuple(k[order[new]] for k in keys), np.add.reduceat(n[order], new), order
 
 
 class Trie:
@@ -304,16 +313,17 @@ class Trie:
         count, dealt = np.abs(counted).astype(np.float64), counted < 0
         # Bigrams: of words dealt over shards those sent as such, of others all that trigrams hold.
         own = np.where(dealt[v] & (u >= 0), 0, n)
-        (b_v, b_w), b_n = _merged((v, w), own)
+        (b_v, b_w), b_n, _ = _merged((v, w), own)
         self.span = int(w.max()) + 1 if len(w) else 1
         self.span = max(self.span, int(u.max()) + 1 if len(u) else 1)
         with np.errstate(divide="ignore"):
             b_code = np.where(b_n > 0, _code(np.maximum(b_n, 1) / (count[b_v] + PRIOR_2)), NONE).astype("<u2")
         first = np.searchsorted(b_v, np.arange(len(roots) + 1))
         three = u >= 0
-        (t_v, t_u, t_w), t_n = _merged((v[three], u[three], w[three]), n[three])
-        (c_v, c_u), c_n = _merged((t_v, t_u), t_n)
-        context = np.searchsorted(c_v * self.span + c_u, t_v * self.span + t_u)
+        (t_v, t_u, t_w), t_n, _ = _merged((v[three], u[three], w[three]), n[three])
+        new = np.append(True, (t_v[1:] != t_v[:-1]) | (t_u[1:] != t_u[:-1]))[: len(t_n)]
+        c_v, c_u, context = t_v[new], t_u[new], np.cumsum(new) - 1
+        c_n = np.add.reduceat(t_n, np.flatnonzero(new)) if len(t_n) else t_n
         place = np.searchsorted(b_v * self.span + b_w, t_v * self.span + t_w) - first[t_v]
         self.width = int(place.max()) + 1 if len(place) else 1
         levels = {
