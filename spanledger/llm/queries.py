@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanledger.llm import alignment, bpe, exact_dedup, html_text, language_id, license_scan, lm_scoring, mixing, quality_rules, secrets, simhash, warc
+from spanledger.llm import alignment, bpe, exact_dedup, html_text, language_id, lexical_search, license_scan, lm_scoring, mixing, quality_rules, secrets, simhash, warc
 from spanledger.llm.common import settled, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -59,6 +59,13 @@ def op11_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return settled(lambda: lm_scoring.lm_scores(table(spark, folder, "documents")), "op11_lm_scores")
 
 
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return settled(
+        lambda: lexical_search.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark")),
+        "op12_lexical_search",
+    )
+
+
 def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return settled(
         lambda: alignment.alignments(table(spark, folder, "documents"), BYTE_VOCABULARY, PIECE_VOCABULARY),
@@ -80,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_mixing,
         op10_html_text,
         op11_lm_scores,
+        op12_lexical_search,
         op13_alignment,
     )
 }
@@ -183,4 +191,38 @@ ORACLE: dict[str, str] = {
                case when size > 0 then coalesce(taken, 0) else 0 end::bigint as taken
         from placed left join taken using (src, start)
     """,
+    "op12_lexical_search": r"""
+        with texts as (
+          select row_number() over () as row, doc_id,
+                 regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+          from documents
+        ), lengths as (
+          select row, doc_id, len(terms) as n from texts where len(terms) > 0
+        ), totals as (
+          select count(*) as docs, sum(n)::bigint as all_terms from lengths
+        ), times as (
+          select row, term, count(*) as tf from (select row, unnest(terms) as term from texts) group by all
+        ), items as (
+          select row_number() over () as item, item_id,
+                 list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as terms
+          from benchmark
+        ), asked as (
+          select item, item_id, unnest(terms) as term from items
+        ), weights as (
+          select term, floor(1000 * ln((2.0::double * any_value(docs) + 2) / (2 * count(*) + 1)))::bigint as w
+          from times, totals where term in (select term from asked) group by term
+        ), scores as (
+          select item, item_id, row, doc_id,
+                 sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // all_terms))))::bigint as score
+          from asked join weights using (term) join times using (term) join lengths using (row), totals
+          group by all
+        ), ranked as (
+          select item_id, row_number() over (partition by item order by score desc, doc_id nulls last, row)::int as rank,
+                 doc_id, score
+          from scores where score > 0
+        )
+        select item_id, rank, doc_id, score from ranked where rank <= 50
+    """,
 }
