@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanledger.functions.months import first_of_month, month_label, month_number
+from spanledger.functions.months import first_of_month, month_label, month_number, month_start
 
 
 def _date_range(df: DataFrame, low: Column | None, high: Column) -> DataFrame:
@@ -92,20 +92,31 @@ def open_month_records(subscriptions: DataFrame, spine: DataFrame) -> DataFrame:
 
     A record is open from the month of its start to the month of its end, or to
     the end of the spine.  Its months, bounded by the spine's first and last, are
-    kept where the spine has them, which replaces an interval-overlap join; the
-    spine enters as one row that lists its months.  The aggregating operators do
-    not use this relation: it has one row per record and month, and
-    ``plans.steps`` gives the same totals without it.
+    kept where the spine has them, which replaces an interval-overlap join.  The
+    spine enters as one array by month number, from its first month to its last:
+    the month's date where the spine has it, else NULL, so a record's month is one
+    lookup.  The aggregating operators do not use this relation: it has one row
+    per record and month, and ``plans.steps`` gives the same totals without it.
     """
-    months = spine.agg(F.sort_array(F.collect_set("month_start"))).scalar()
-    first = F.greatest(first_of_month(F.col("start_date")), F.element_at("spine_months", 1))
-    last = F.least(first_of_month(F.col("end_date")), F.element_at("spine_months", -1))
-    open_months = F.sequence("open_first", "open_last", F.expr("interval 1 month"))
+    numbers = spine.agg(F.collect_set(month_number(F.col("month_start"))).alias("had"))
+    first, last = F.array_min("had"), F.array_max("had")
+    indexed = numbers.select(
+        first.alias("first"),
+        last.alias("last"),
+        F.transform(
+            F.sequence(first, last), lambda m: F.when(F.array_contains("had", m), month_start(m))
+        ).alias("months"),
+    )
+    bounds = indexed.select(F.struct("first", "last", "months")).scalar()
+    open_from = F.greatest(month_number(F.col("start_date")), F.col("_spine.first"))
+    open_to = F.least(month_number(F.col("end_date")), F.col("_spine.last"))
     return (
-        subscriptions.withColumn("spine_months", months)
-        .filter(F.size("spine_months") > 0)
-        .withColumns({"open_first": first, "open_last": last})
-        .filter((F.col("open_first") <= F.col("open_last")) & F.col("start_date").isNotNull())
-        .withColumn("month_start", F.explode(F.array_intersect(open_months, "spine_months")))
-        .drop("spine_months", "open_first", "open_last")
+        subscriptions.withColumn("_spine", bounds)
+        .filter(F.col("start_date").isNotNull() & F.col("_spine.first").isNotNull())
+        .withColumns({"open_from": open_from, "open_to": open_to})
+        .filter(F.col("open_from") <= F.col("open_to"))
+        .withColumn("month_no", F.explode(F.sequence("open_from", "open_to")))
+        .withColumn("month_start", F.get("_spine.months", F.col("month_no") - F.col("_spine.first")))
+        .filter(F.col("month_start").isNotNull())
+        .drop("_spine", "open_from", "open_to", "month_no")
     )
