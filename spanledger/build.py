@@ -5,13 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from spanledger.operators import acquisition, churn, conversion, engagement, retention, revenue, support
 from spanledger.operators.quality import dq02_key_uniqueness
 from spanledger.plans.spine import calendar_month_spine
-from spanledger.sources.marts import MART_PATHS, read_mart, write_mart
+from spanledger.sources.files import exists, remove
+from spanledger.sources.marts import MART_PATHS, publish, write_mart
 
 
 def shared_folder(spark: SparkSession, work: str | None = None) -> str:
@@ -22,12 +23,6 @@ def shared_folder(spark: SparkSession, work: str | None = None) -> str:
     return f"{root.rstrip('/')}/spanledger-{uuid.uuid4().hex}"
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder through the file system that holds it."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def check_keys(tables: Mapping[str, DataFrame]) -> None:
     """Raise when a declared key repeats or is missing; counts of records rest on them."""
     bad = dq02_key_uniqueness(tables).filter("total_rows <> distinct_values").collect()
@@ -43,9 +38,16 @@ def _written(df: DataFrame, path: str) -> DataFrame:
 
 
 def mart_frames(
-    tables: Mapping[str, DataFrame], spine: DataFrame, by_feature_account: DataFrame
+    tables: Mapping[str, DataFrame],
+    spine: DataFrame,
+    by_feature_account: DataFrame,
+    groupings: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Every mart, lazily, under its operator name."""
+    """Every mart, lazily, under its operator name.
+
+    ``groupings`` are the accounts counted by each of their categories at once
+    (``acq_groupings``), from which four marts follow without a scan of their own.
+    """
     accounts, subscriptions = tables["accounts"], tables["subscriptions"]
     tickets, events = tables["support_tickets"], tables["churn_events"]
     by_account = by_feature_account.groupBy("account_id").agg(
@@ -53,10 +55,10 @@ def mart_frames(
     )
     return {
         "acq_monthly": acquisition.acq_monthly(accounts, spine),
-        "acq_by_referral": acquisition.acq_by_referral(accounts),
-        "acq_by_plan": acquisition.acq_by_plan(accounts),
-        "acq_by_industry": acquisition.acq_by_industry(accounts),
-        "acq_by_country": acquisition.acq_by_country(accounts),
+        "acq_by_referral": acquisition.acq_by_referral(accounts, groupings),
+        "acq_by_plan": acquisition.acq_by_plan(accounts, groupings),
+        "acq_by_industry": acquisition.acq_by_industry(accounts, groupings),
+        "acq_by_country": acquisition.acq_by_country(accounts, groupings),
         "mrr_monthly": revenue.mrr_monthly(subscriptions, spine),
         "mrr_by_plan": revenue.mrr_by_plan(subscriptions, spine),
         "conv_subscription_overall": conversion.conv_subscription_overall(subscriptions),
@@ -74,6 +76,10 @@ def mart_frames(
     }
 
 
+#: Marts that must add up to the rows of a table, and the measure that does.
+ADDS_UP = {"acq_monthly": ("new_accounts", "accounts"), "churn_monthly": ("churn_events", "churn_events")}
+
+
 def build_marts(
     tables: Mapping[str, DataFrame], out: str, fmt: str = "csv", work: str | None = None
 ) -> dict[str, str]:
@@ -82,22 +88,40 @@ def build_marts(
     The five tables are parsed once and staged as Parquet in the shared folder
     (``work``, else spark.checkpoint.dir), and so are the spine and the usage
     totals, which serve several marts; the folder is removed when the build ends.
-    Raises when a declared key repeats, before any mart is written, and when a
-    written mart does not add up to its table.
+
+    The marts are written to a folder of their own under ``out``, compared with
+    their tables, and only then put in the place of the marts of an earlier build,
+    which stay as they are when anything fails before.  Raises when a declared key
+    repeats and when a written mart does not add up to its table.
     """
     spark = tables["accounts"].sparkSession
-    folder = shared_folder(spark, work)
+    folder, out = shared_folder(spark, work), out.rstrip("/")
+    built = f"{out}/_building-{uuid.uuid4().hex}"
+    fresh = not exists(spark, out)
+    done = False
     try:
-        staged = {name: _written(df, f"{folder}/{name}") for name, df in tables.items()}
+        rows = {name: Observation() for name in tables}
+        staged = {
+            name: _written(df.observe(rows[name], F.count(F.lit(1)).alias("rows")), f"{folder}/{name}")
+            for name, df in tables.items()
+        }
         check_keys(staged)
-        return _build(spark, staged, out, fmt, folder)
+        totals = _build(spark, staged, built, fmt, folder)
+        for name, (measure, table) in ADDS_UP.items():
+            if totals[name] != (found := rows[table].get["rows"]):
+                raise ValueError(f"{name}: {measure} adds up to {totals[name]}, the table has {found} rows")
+        publish(spark, built, out, MART_PATHS.values())
+        done = True
+        return {name: f"{out}/{stem}" for name, stem in MART_PATHS.items()}
     finally:
         remove(spark, folder)
+        remove(spark, built if done or not fresh else out)
 
 
 def _build(
-    spark: SparkSession, tables: Mapping[str, DataFrame], out: str, fmt: str, work: str
-) -> dict[str, str]:
+    spark: SparkSession, tables: Mapping[str, DataFrame], built: str, fmt: str, work: str
+) -> dict[str, int]:
+    """Write every mart under ``built``; the totals of ADDS_UP are taken from the rows as they are written."""
     accounts, events = tables["accounts"], tables["churn_events"]
     spine = _written(
         calendar_month_spine(
@@ -109,19 +133,11 @@ def _build(
         engagement.usage_by_feature_account(tables["feature_usage"], tables["subscriptions"]),
         f"{work}/usage_by_feature_account",
     )
-    paths, schemas = {}, {}
-    for name, frame in mart_frames(tables, spine, by_feature_account).items():
-        paths[name] = f"{out.rstrip('/')}/{MART_PATHS[name]}"
-        schemas[name] = frame.schema
-        write_mart(frame, paths[name], fmt)
-
-    for name, measure, source in (
-        ("acq_monthly", "new_accounts", accounts),
-        ("churn_monthly", "churn_events", events),
-    ):
-        mart = read_mart(spark, paths[name], fmt, schemas[name])
-        total = mart.agg(F.coalesce(F.sum(measure), F.lit(0))).first()[0]
-        rows = source.count()
-        if total != rows:
-            raise ValueError(f"{name}: {measure} adds up to {total}, the table has {rows} rows")
-    return paths
+    groupings = _written(acquisition.acq_groupings(accounts), f"{work}/groupings")
+    totals = {name: Observation() for name in ADDS_UP}
+    for name, frame in mart_frames(tables, spine, by_feature_account, groupings).items():
+        if name in totals:
+            total = F.coalesce(F.sum(ADDS_UP[name][0]), F.lit(0)).alias("total")
+            frame = frame.observe(totals[name], total)
+        write_mart(frame, f"{built}/{MART_PATHS[name]}", fmt)
+    return {name: seen.get["total"] for name, seen in totals.items()}

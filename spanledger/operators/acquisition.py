@@ -26,46 +26,65 @@ def acq_monthly(accounts: DataFrame, spine: DataFrame) -> DataFrame:
     )
 
 
-def _ranked(accounts: DataFrame, by: str, rank: str) -> DataFrame:
+#: The categories of an account by which it is counted.
+GROUPINGS = ("referral_source", "plan_tier", "industry", "country")
+
+
+def acq_groupings(accounts: DataFrame, by: Sequence[str] = GROUPINGS) -> DataFrame:
+    """Accounts by each of several columns, in one pass: ``field``, ``value`` and the counts.
+
+    Rows are combined per value on the map side, so what moves is bounded by the
+    number of values.  Store it to derive the four ``acq_by_`` results of one scan.
+    """
+    source = F.col("referral_source")
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in by]))
     return (
-        accounts.groupBy(by)
-        .agg(F.count("*").alias("account_count"))
-        .select(
-            by,
-            "account_count",
-            share_of_total(F.col("account_count")).alias("pct_of_total_accounts"),
-            rank_desc(F.col("account_count")).alias(rank),
+        accounts.select(source, values.alias("of"))
+        .groupBy(F.col("of.field").alias("field"), F.col("of.value").alias("value"))
+        .agg(
+            F.count("*").alias("account_count"),
+            count_where(source == "organic").alias("organic_accounts"),
+            count_where(source == "partner").alias("partner_accounts"),
         )
-        .orderBy(F.col("account_count").desc(), by)
     )
 
 
-def acq_by_referral(accounts: DataFrame) -> DataFrame:
-    return _ranked(accounts, "referral_source", "acquisition_rank").withColumnRenamed(
+def _counted(accounts: DataFrame, by: str, groupings: DataFrame | None) -> DataFrame:
+    """Accounts per value of one column, from ``groupings`` where they are given."""
+    groupings = acq_groupings(accounts, [by]) if groupings is None else groupings
+    return groupings.filter(F.col("field") == by).withColumnRenamed("value", by).drop("field")
+
+
+def _ranked(counts: DataFrame, by: str, rank: str) -> DataFrame:
+    return counts.select(
+        by,
+        "account_count",
+        share_of_total(F.col("account_count")).alias("pct_of_total_accounts"),
+        rank_desc(F.col("account_count")).alias(rank),
+    ).orderBy(F.col("account_count").desc(), by)
+
+
+def acq_by_referral(accounts: DataFrame, groupings: DataFrame | None = None) -> DataFrame:
+    counts = _counted(accounts, "referral_source", groupings)
+    return _ranked(counts, "referral_source", "acquisition_rank").withColumnRenamed(
         "account_count", "accounts_acquired"
     )
 
 
-def acq_by_plan(accounts: DataFrame) -> DataFrame:
+def acq_by_plan(accounts: DataFrame, groupings: DataFrame | None = None) -> DataFrame:
     """Accounts by their current plan; the plan at signup is not recorded."""
     return (
-        accounts.groupBy("plan_tier")
-        .agg(F.count("*").alias("account_count"))
+        _counted(accounts, "plan_tier", groupings)
+        .select("plan_tier", "account_count")
         .withColumn("pct_of_total_accounts", share_of_total(F.col("account_count")))
         .orderBy(F.col("account_count").desc(), "plan_tier")
     )
 
 
-def acq_by_industry(accounts: DataFrame) -> DataFrame:
+def acq_by_industry(accounts: DataFrame, groupings: DataFrame | None = None) -> DataFrame:
     """Accounts by industry, with those that came organically or through a partner."""
-    source = F.col("referral_source")
     return (
-        accounts.groupBy("industry")
-        .agg(
-            F.count("*").alias("account_count"),
-            count_where(source == "organic").alias("organic_accounts"),
-            count_where(source == "partner").alias("partner_accounts"),
-        )
+        _counted(accounts, "industry", groupings)
         .select(
             "industry",
             "account_count",
@@ -78,8 +97,8 @@ def acq_by_industry(accounts: DataFrame) -> DataFrame:
     )
 
 
-def acq_by_country(accounts: DataFrame) -> DataFrame:
-    return _ranked(accounts, "country", "country_rank")
+def acq_by_country(accounts: DataFrame, groupings: DataFrame | None = None) -> DataFrame:
+    return _ranked(_counted(accounts, "country", groupings), "country", "country_rank")
 
 
 def acq_referral_by_plan(accounts: DataFrame, tiers: Sequence[str] = PLAN_TIERS) -> DataFrame:

@@ -279,14 +279,18 @@ def dq14_impossible_dates(
 def dq15_category_inventory(
     tables: Tables, fields: Sequence[tuple[str, str, str]] = CATEGORY_FIELDS
 ) -> DataFrame:
-    """Every value of each (label, table, column) with its rows."""
+    """Every value of each (label, table, column) with its rows; one pass of each table."""
+    of_table: dict[str, list[Column]] = {}
+    for label, table, column in fields:
+        field = F.struct(F.lit(label).alias("field"), F.col(column).alias("value"))
+        of_table.setdefault(table, []).append(field)
     return _stack(
         [
             tables[table]
-            .groupBy(F.col(column).alias("value"))
+            .select(F.explode(F.array(*values)).alias("of"))
+            .groupBy(F.col("of.field").alias("field"), F.col("of.value").alias("value"))
             .agg(F.count("*").alias("row_count"))
-            .select(F.lit(label).alias("field"), "value", "row_count")
-            for label, table, column in fields
+            for table, values in of_table.items()
         ]
     ).orderBy("field", "value")
 

@@ -133,3 +133,8 @@ def test_a_hot_record_is_split_over_tasks(spark, tmp_path):
             spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
     assert "SortMergeJoin(skew=true)" in plan
     assert sum(r.usage_events for r in rows) == 400_000
+
+
+def test_categories_are_counted_in_one_pass_of_each_table(as_planned):
+    plan = plan_of(query("dq15_category_inventory")(as_planned, STAR))
+    assert scans(plan, "customer") == 1 and scans(plan, "events") == 1

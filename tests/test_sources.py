@@ -14,7 +14,7 @@ from star import STAR
 from spanledger import build
 from spanledger.operators.acquisition import acq_by_plan
 from spanledger.schema import TABLES
-from spanledger.sources import orders_star
+from spanledger.sources import marts, orders_star
 from spanledger.sources.marts import MART_PATHS, load_marts, read_mart, write_mart
 from spanledger.sources.raw import load_row_counts, read_raw
 
@@ -118,7 +118,7 @@ def test_build_parses_each_table_once(spark, tmp_path):
     finally:
         build._written = written
     read = [plan for df in staged[5:] if "csv" in (plan := df._jdf.queryExecution().optimizedPlan().toString()).lower()]
-    assert len(staged) == 7 and not read
+    assert len(staged) == 8 and not read
 
 
 def test_an_account_of_an_unknown_nation_stays(spark, tmp_path):
@@ -140,3 +140,80 @@ def test_build_refuses_marts_that_do_not_add_up(spark, edge, tmp_path):
     with pytest.raises(ValueError, match="acq_monthly"):
         build.build_marts(tables, str(tmp_path / "out"), work=str(tmp_path / "work"))
     assert not any((tmp_path / "work").iterdir())
+
+
+def test_marts_come_back_with_the_types_they_were_written_with(spark, edge, tmp_path):
+    inputs, _ = edge
+    paths = build.build_marts(inputs.tables, str(tmp_path / "out"), work=str(tmp_path / "work"))
+    usage = build.engagement.usage_by_feature_account(inputs.usage, inputs.subscriptions)
+    frames = build.mart_frames(inputs.tables, inputs.spine, usage)
+    marts = load_marts(spark, str(tmp_path / "out"))
+    for name, frame in frames.items():
+        assert marts[name].dtypes == frame.dtypes, name
+    # Without the stored schema CSV types are guessed, and differ.
+    Path(paths["mrr_monthly"], "_schema.json").unlink()
+    assert read_mart(spark, paths["mrr_monthly"]).dtypes != frames["mrr_monthly"].dtypes
+
+
+def _broken(tables):
+    return {
+        **tables,
+        "accounts": tables["accounts"].withColumn(
+            "signup_date", F.when(F.col("account_id") != "plain", F.col("signup_date"))
+        ),
+    }
+
+
+def test_a_failing_build_leaves_the_earlier_marts(spark, edge, tmp_path):
+    tables, out = dict(edge[0].tables), tmp_path / "out"
+    paths = build.build_marts(tables, str(out), work=str(tmp_path / "work"))
+    before = {name: _rows(read_mart(spark, path)) for name, path in paths.items()}
+    with pytest.raises(ValueError, match="acq_monthly"):
+        build.build_marts(_broken(tables), str(out), work=str(tmp_path / "work"))
+    assert {name: _rows(read_mart(spark, path)) for name, path in paths.items()} == before
+    assert not [p for p in out.iterdir() if p.name.startswith("_")]
+
+
+def test_a_second_build_replaces_the_marts(spark, edge, tmp_path):
+    tables, out = dict(edge[0].tables), tmp_path / "out"
+    paths = build.build_marts(tables, str(out), work=str(tmp_path / "work"))
+    fewer = {**tables, "support_tickets": tables["support_tickets"].limit(0)}
+    build.build_marts(fewer, str(out), work=str(tmp_path / "work"))
+    assert read_mart(spark, paths["sup_volume_by_churn"]).count() == 0
+    assert not [p for p in out.iterdir() if p.name.startswith("_")]
+
+
+def test_a_failing_switch_takes_back_what_it_changed(spark, tmp_path, monkeypatch):
+    out, built = tmp_path / "out", tmp_path / "out" / "_building"
+    for root, text in ((out, "old"), (built, "new")):
+        for stem in ("a/x", "b/y", "c"):
+            (root / stem).mkdir(parents=True)
+            (root / stem / "part").write_text(text)
+    move = marts.move
+
+    def failing(spark, old, new):
+        if old.endswith("_building/b/y"):
+            raise OSError("lost")
+        move(spark, old, new)
+
+    monkeypatch.setattr(marts, "move", failing)
+    with pytest.raises(OSError, match="lost"):
+        marts.publish(spark, str(built), str(out), ["a/x", "b/y", "c"])
+    assert {(out / stem / "part").read_text() for stem in ("a/x", "b/y", "c")} == {"old"}
+    monkeypatch.setattr(marts, "move", move)
+    (built / "a" / "x").mkdir(parents=True, exist_ok=True)
+    (built / "a" / "x" / "part").write_text("new")
+    marts.publish(spark, str(built), str(out), ["a/x", "b/y", "c"])
+    assert {(out / stem / "part").read_text() for stem in ("a/x", "b/y", "c")} == {"new"}
+
+
+def test_checks_of_a_build_start_no_job(spark, edge, tmp_path, monkeypatch):
+    """Totals are observed while tables and marts are written; no written mart is read again."""
+    read = []
+    monkeypatch.setattr(marts, "read_mart", lambda *a, **b: read.append(a))
+    counted = []
+    frame = type(edge[0].accounts)
+    count = frame.count
+    monkeypatch.setattr(frame, "count", lambda self: counted.append(1) or count(self))
+    build.build_marts(edge[0].tables, str(tmp_path / "out"), work=str(tmp_path / "work"))
+    assert not read and not counted
