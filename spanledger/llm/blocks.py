@@ -8,10 +8,11 @@ every document is then one row per block, and no text moves.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -42,6 +43,18 @@ def id_type(docs: DataFrame, column: str = "doc_id") -> str:
     return docs.schema[column].dataType.simpleString()
 
 
+def parts(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose texts have about ``size`` bytes together; a row is never cut."""
+    texts = batch.column(column)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < batch.num_rows:
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def pack(values: Sequence | np.ndarray, kind: str) -> bytes:
     """An array of numbers, compressed plane by plane: first all lowest bytes, then all next ones."""
     values = np.ascontiguousarray(values, dtype=kind)

@@ -133,7 +133,8 @@ class Mapped:
                     raw = values.tobytes()
                     out.write(raw + bytes(-len(raw) % 8))
             size = os.path.getsize(path)
-            whole = np.memmap(path, np.uint8, "r") if size else np.zeros(0, np.uint8)
+            # A plain view of the map: results of its own class are slower to make.
+            whole = np.asarray(np.memmap(path, np.uint8, "r")) if size else np.zeros(0, np.uint8)
         finally:
             os.unlink(path)
         self.arrays = {

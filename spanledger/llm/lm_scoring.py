@@ -37,10 +37,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanledger.llm.blocks import Numbers, first_block, grouped, id_type, pack, pack_steps, placed, sums, unpack, unpack_steps
+from spanledger.llm.blocks import Numbers, first_block, grouped, id_type, pack, pack_steps, parts, placed, sums, unpack, unpack_steps
 from spanledger.llm.common import release, ship, stage
 from spanledger.llm.elias_fano import Mapped, Monotone
 
@@ -50,7 +51,9 @@ PRIOR_2, PRIOR_3 = 200.0, 50.0
 STEPS, NONE = 4096, 65535
 #: Tokens of a block, of a shard of the trie, and rows of a bucket of the vocabulary.  A task holds some
 #: 200 bytes a token of the first two.
-BLOCK_TOKENS, SHARD_TOKENS, BUCKET_ROWS = 1_000_000, 400_000, 100_000
+BLOCK_TOKENS, SHARD_TOKENS, BUCKET_ROWS = 1_500_000, 400_000, 100_000
+#: Bytes of texts that are cut into words in one call.
+PART_BYTES = 2_000_000
 #: The end of a text is the word without a letter; the start of a text has number 0.
 END, START = b"", 0
 
@@ -72,19 +75,27 @@ class Block:
         self.words = Numbers()
         self.words[END]  # noqa: B018  (number 0)
         self.texts: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, doc_id, held_out: bool, learn: bool, text: bytes) -> None:
-        # bytes.lower() and bytes.split() know A-Z and the six white spaces of the contract alone.
-        tokens = [self.words[w] for w in text.lower().split()]
-        tokens.append(0)
-        self.ids.append(doc_id)
-        self.flags.append((held_out, learn))
-        self.texts.append(np.array(tokens, "<i4"))
-        self.size += len(tokens)
+    def add(self, ids: list, held: list[bool], learn: list[bool], texts: pa.StringArray) -> None:
+        # Of ASCII these know A-Z and the six white spaces of the contract alone; ends give empty words.
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        words = split.flatten().dictionary_encode()
+        numbers = np.array([self.words[w] for w in words.dictionary.cast(pa.binary()).to_pylist()], np.int32)
+        places = words.indices.to_numpy()
+        numbers = numbers[places] if len(places) else np.zeros(0, np.int32)
+        sizes = split.value_lengths().to_numpy().astype(np.int64)
+        real = numbers > 0
+        ends = np.cumsum(sums(real.astype(np.int64), sizes))
+        self.texts.append(np.insert(numbers[real], ends, 0))
+        self.sizes.append(np.diff(ends, prepend=0) + 1)
+        self.ids += ids
+        self.flags += zip(held, learn)
+        self.size += len(self.texts[-1])
 
     def row(self, number: int, id_kind: pa.DataType) -> pa.RecordBatch:
-        tokens, sizes = np.concatenate(self.texts), np.array([len(t) for t in self.texts], "<i4")
+        tokens, sizes = np.concatenate(self.texts), np.concatenate(self.sizes).astype("<i4")
         held, learn = (np.array(x, bool) for x in zip(*self.flags))
         n = len(self.words)
         columns = {
@@ -110,8 +121,8 @@ def token_blocks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, block = first_block(), Block()
         for batch in batches:
-            for doc_id, held, learn, text in zip(*batch.columns):
-                block.add(doc_id.as_py(), held.as_py(), learn.as_py(), text.as_py())
+            for part in parts(batch, "text", PART_BYTES):
+                block.add(*[part.column(k).to_pylist() for k in range(3)], part.column(3))
                 if block.size >= BLOCK_TOKENS:
                     yield block.row(number, batch.column(0).type)
                     number, block = number + 1, Block()
@@ -120,7 +131,7 @@ def token_blocks(docs: DataFrame) -> DataFrame:
 
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
     flags = [F.coalesce(x, F.lit(False)) for x in (fold == HELD_OUT, fold != HELD_OUT)]
-    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    text = F.coalesce("text", F.lit(""))
     schema = (
         f"block long, doc_ids array<{kind}>, held binary, learn binary, sizes binary, tokens binary, "
         "words array<binary>, n_learn array<long>, n_all array<long>, n_words long"
@@ -220,22 +231,22 @@ class Asked:
     """
 
     def __init__(self, grams: Grams, shards: int, shard_tokens: int):
-        parts = -(-grams.context_everywhere[grams.v] // shard_tokens)
+        dealt_over = -(-grams.context_everywhere[grams.v] // shard_tokens)
         # A context that no training document holds needs no answer.
         known = grams.context[grams.v] > 0
         three = np.flatnonzero(known[grams.bigram])
-        two = np.flatnonzero(known & (parts > 1))
+        two = np.flatnonzero(known & (dealt_over > 1))
         of = np.concatenate([grams.bigram[three], two])
         u = np.concatenate([grams.number[grams.u[three]], np.full(len(two), -1)])
         v, w = grams.number[grams.v[of]], grams.number[grams.w[of]]
-        shard = _spread(v, np.where(u >= 0, u, w) % np.maximum(parts[of], 1), shards)
+        shard = _spread(v, np.where(u >= 0, u, w) % np.maximum(dealt_over[of], 1), shards)
         # By shard, then v, then w, so that v and w are sent as small steps.
         rank = np.empty(len(grams.v), np.int64)
         rank[np.lexsort((grams.number[grams.w], grams.number[grams.v]))] = np.arange(len(grams.v))
         order = placed(shard * len(grams.v) + rank[of])
         self.u, self.v, self.w, self.shard, self.of = u[order], v[order], w[order], shard[order], of[order]
         self.place = np.concatenate([three, len(grams.u) + two])[order]
-        self.dealt = parts[self.of] > 1
+        self.dealt = dealt_over[self.of] > 1
         ends = np.flatnonzero(np.append(np.diff(self.shard) != 0, True)) + 1 if len(order) else []
         #: shard, and from and to which place its n-grams stand.
         self.ranges = [
@@ -339,8 +350,8 @@ class Trie:
             "weight_3": _code(PRIOR_3 / (c_n + PRIOR_3)),
             "own_3": _code(np.maximum(t_n, 1) / (c_n[context] + PRIOR_3)) if len(t_n) else np.zeros(0, "<u2"),
         }
-        parts = {f"{name}.{k}": x for name, values in levels.items() for k, x in Monotone.arrays(values).items()}
-        self.mapped = Mapped(parts | codes)
+        stored = {f"{name}.{k}": x for name, values in levels.items() for k, x in Monotone.arrays(values).items()}
+        self.mapped = Mapped(stored | codes)
         self.levels = {name: self.mapped.monotone(name) for name in levels}
 
     def answer(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
