@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spanledger.operators import acquisition, churn, conversion, engagement, retention, revenue, support
 from spanledger.operators.quality import dq02_key_uniqueness
+from spanledger.plans.observed import seen
 from spanledger.plans.spine import calendar_month_spine
 from spanledger.sources.files import exists, remove
 from spanledger.sources.marts import MART_PATHS, publish, write_mart
@@ -108,7 +109,7 @@ def build_marts(
         check_keys(staged)
         totals = _build(spark, staged, built, fmt, folder)
         for name, (measure, table) in ADDS_UP.items():
-            if totals[name] != (found := rows[table].get["rows"]):
+            if totals[name] != (found := seen(rows[table], "rows", 0)):
                 raise ValueError(f"{name}: {measure} adds up to {totals[name]}, the table has {found} rows")
         publish(spark, built, out, MART_PATHS.values())
         done = True
@@ -140,4 +141,4 @@ def _build(
             total = F.coalesce(F.sum(ADDS_UP[name][0]), F.lit(0)).alias("total")
             frame = frame.observe(totals[name], total)
         write_mart(frame, f"{built}/{MART_PATHS[name]}", fmt)
-    return {name: seen.get["total"] for name, seen in totals.items()}
+    return {name: seen(total, "total", 0) for name, total in totals.items()}

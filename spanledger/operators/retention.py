@@ -2,20 +2,22 @@
 
 An account is active in a month when at least one of its subscription records
 is open in it.  A cohort is the month of signup.
+
+Operators that take ``DataFrame | History`` read the records, or the stretches
+stored by ``plans.history`` that several of them share.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanledger.functions.measures import count_where, mean_half_up, pct
 from spanledger.functions.months import month_label, month_number, month_start
+from spanledger.plans.history import History, last_start_of, segments_of
 from spanledger.plans.relations import cohort_sizes
-from spanledger.plans.spine import first_spine_month, last_spine_month, last_start_month
-from spanledger.plans.steps import account_segments, account_spans
+from spanledger.plans.spine import first_spine_month, last_spine_month
+from spanledger.plans.steps import account_spans
 
 # Months since signup reported unless told otherwise; None reports the whole history.
 DEFAULT_MONTHS = 18
@@ -34,25 +36,25 @@ def numbered_cohort_sizes(accounts: DataFrame) -> DataFrame:
 
 def cohort_activity(
     accounts: DataFrame,
-    subscriptions: DataFrame,
+    records: DataFrame | History,
     last_month: Column,
     max_m: int | None,
-    amounts: Mapping[str, Column],
+    with_mrr: bool = False,
     spine: DataFrame | None = None,
 ) -> DataFrame:
-    """Active accounts, open records and summed amounts per cohort and months since signup.
+    """Active accounts, open records and their amount (``mrr``) per cohort and months since signup.
 
     An account's segments are disjoint, so it enters each month once: at most
     ``max_m + 1`` rows per account are made, or one per month up to ``last_month``,
     however many records it holds.  With a ``spine`` only its months count; it is
     joined with the summed cells.
     """
-    columns = ["open_records", *amounts]
+    columns = ["open_records", "mrr"] if with_mrr else ["open_records"]
     cohort = F.col("cohort_no")
     horizon = last_month - cohort if max_m is None else F.least(F.lit(max_m), last_month - cohort)
     earliest = F.lit(0) if spine is None else F.greatest(first_spine_month(spine) - cohort, F.lit(0))
     cells = (
-        account_segments(subscriptions, amounts)
+        segments_of(records, with_mrr)
         .join(cohort_numbers(accounts), "account_id")
         .withColumns(
             {
@@ -85,7 +87,7 @@ def with_cohort_size(activity: DataFrame, accounts: DataFrame) -> DataFrame:
 
 def ret_matrix(
     accounts: DataFrame,
-    subscriptions: DataFrame,
+    subscriptions: DataFrame | History,
     spine: DataFrame,
     max_m: int | None = DEFAULT_MONTHS,
     cap_to_observed: bool = False,
@@ -96,8 +98,8 @@ def ret_matrix(
     reports all.  Months outside the spine are left out.  By default months run to the end of the spine, so its buffer months count
     open records beyond the data; ``cap_to_observed`` stops at the latest start.
     """
-    last = last_start_month(subscriptions) if cap_to_observed else last_spine_month(spine)
-    activity = cohort_activity(accounts, subscriptions, last, max_m, {}, spine)
+    last = last_start_of(subscriptions) if cap_to_observed else last_spine_month(spine)
+    activity = cohort_activity(accounts, subscriptions, last, max_m, spine=spine)
     active = F.col("active_accounts")
     return (
         with_cohort_size(activity, accounts)
@@ -116,7 +118,7 @@ def ret_matrix(
 
 
 def ret_pooled_curve(
-    accounts: DataFrame, subscriptions: DataFrame, max_m: int | None = DEFAULT_MONTHS
+    accounts: DataFrame, subscriptions: DataFrame | History, max_m: int | None = DEFAULT_MONTHS
 ) -> DataFrame:
     """Retention per months since signup over the cohorts old enough to have reached them.
 
@@ -127,7 +129,7 @@ def ret_pooled_curve(
     of numerator and denominator alike, so young cohorts do not look lost.  The
     spine reaches beyond that month, so it is not needed here.
     """
-    last = last_start_month(subscriptions)
+    last = last_start_of(subscriptions)
     oldest = last - F.col("cohort_no")
     if max_m is not None:
         oldest = F.least(F.lit(max_m), oldest)
@@ -140,7 +142,7 @@ def ret_pooled_curve(
         .agg(F.sum("cohort_size").alias("eligible_accounts"))
     )
     active = (
-        cohort_activity(accounts, subscriptions, last, max_m, {})
+        cohort_activity(accounts, subscriptions, last, max_m)
         .groupBy("m")
         .agg(F.sum("active_accounts").alias("n"))
     )
@@ -159,25 +161,29 @@ def ret_pooled_curve(
     )
 
 
-def _active_in(cohorts: DataFrame, subscriptions: DataFrame, month: str) -> DataFrame:
+def _active_in(cohorts: DataFrame, subscriptions: DataFrame | History, month: str) -> DataFrame:
     """Accounts of ``cohorts``, and whether one of their records is open in month ``month``.
 
     The join sees at most one span per account and first month.
     """
     is_open = (F.col("open_from") <= F.col(month)) & (F.col("open_to") >= F.col(month))
+    if isinstance(subscriptions, History):
+        spans = subscriptions.segments.selectExpr("account_id", "seg_from AS open_from", "seg_to AS open_to")
+    else:
+        spans = account_spans(subscriptions)
     return (
-        cohorts.join(account_spans(subscriptions), "account_id", "left")
+        cohorts.join(spans, "account_id", "left")
         .groupBy("account_id")
         .agg(F.bool_or(is_open).alias("active"))
     )
 
 
-def ret_month_m_check(accounts: DataFrame, subscriptions: DataFrame, m: int = 6) -> DataFrame:
+def ret_month_m_check(accounts: DataFrame, subscriptions: DataFrame | History, m: int = 6) -> DataFrame:
     """Retention at one month since signup, by a direct look at that month."""
     eligible = (
         cohort_numbers(accounts)
         .withColumn("target", F.col("cohort_no") + m)
-        .filter(F.col("target") <= last_start_month(subscriptions))
+        .filter(F.col("target") <= last_start_of(subscriptions))
     )
     in_all, still = f"eligible_accounts_month{m}", f"active_accounts_month{m}"
     return (

@@ -29,11 +29,15 @@ def _monthly_totals(
 ) -> DataFrame:
     """Totals per month with an open record, to the month of the latest start, in one pass."""
     columns = {"records": F.lit(1), **amounts}
-    steps = monthly_steps_and_starts(subscriptions, columns)
+    return _totals_of(monthly_steps_and_starts(subscriptions, columns), spine, list(columns))
+
+
+def _totals_of(steps: DataFrame, spine: DataFrame | None, columns: Sequence[str]) -> DataFrame:
+    """The same totals from steps with ``starts``."""
     if spine is None:
-        totals = running_between_starts(steps, list(columns))
+        totals = running_between_starts(steps, columns)
     else:
-        totals = running_over_spine(steps, spine, list(columns), to_last_start=True)
+        totals = running_over_spine(steps, spine, columns, to_last_start=True)
     return totals.filter("records > 0")
 
 
@@ -48,9 +52,16 @@ def _by_month(df: DataFrame, *columns: Column | str) -> DataFrame:
 
 def mrr_monthly(subscriptions: DataFrame, spine: DataFrame | None = None) -> DataFrame:
     """Open records and their summed monthly amount."""
-    totals = _monthly_totals(
-        subscriptions, spine, {"mrr": hundredths(subscriptions, "mrr_amount")}
-    )
+    amounts = {"mrr": hundredths(subscriptions, "mrr_amount")}
+    return _mrr_monthly(_monthly_totals(subscriptions, spine, amounts))
+
+
+def mrr_monthly_of(steps: DataFrame, spine: DataFrame | None = None) -> DataFrame:
+    """``mrr_monthly`` from ``plan_steps``, also from those of several batches added up."""
+    return _mrr_monthly(_totals_of(steps.select("month_no", "starts", "records", "mrr"), spine, ["records", "mrr"]))
+
+
+def _mrr_monthly(totals: DataFrame) -> DataFrame:
     return _by_month(
         totals,
         F.col("records").alias("active_subscription_records"),
@@ -58,19 +69,42 @@ def mrr_monthly(subscriptions: DataFrame, spine: DataFrame | None = None) -> Dat
     )
 
 
-def mrr_by_plan(
-    subscriptions: DataFrame,
-    spine: DataFrame | None = None,
-    tiers: Sequence[str] = PLAN_TIERS,
-) -> DataFrame:
-    """Summed monthly amount per plan; NULL where a plan has no open record."""
+def _plan_amounts(subscriptions: DataFrame, tiers: Sequence[str]) -> dict[str, Column]:
     mrr = hundredths(subscriptions, "mrr_amount")
     amounts = {"mrr": mrr}
     for tier in tiers:
         on_tier = F.col("plan_tier") == tier
         amounts[f"{tier}_records"] = _only(on_tier, F.lit(1))
         amounts[f"{tier}_mrr"] = _only(on_tier, mrr)
-    totals = _monthly_totals(subscriptions, spine, amounts)
+    return amounts
+
+
+def plan_steps(subscriptions: DataFrame, tiers: Sequence[str] = PLAN_TIERS) -> DataFrame:
+    """What the records change per month, in all and per plan, and how many start: these add up
+    over disjoint sets of records."""
+    return monthly_steps_and_starts(
+        subscriptions, {"records": F.lit(1), **_plan_amounts(subscriptions, tiers)}
+    )
+
+
+def mrr_by_plan(
+    subscriptions: DataFrame,
+    spine: DataFrame | None = None,
+    tiers: Sequence[str] = PLAN_TIERS,
+) -> DataFrame:
+    """Summed monthly amount per plan; NULL where a plan has no open record."""
+    return _mrr_by_plan(_monthly_totals(subscriptions, spine, _plan_amounts(subscriptions, tiers)), tiers)
+
+
+def mrr_by_plan_of(
+    steps: DataFrame, spine: DataFrame | None = None, tiers: Sequence[str] = PLAN_TIERS
+) -> DataFrame:
+    """``mrr_by_plan`` from ``plan_steps``, also from those of several batches added up."""
+    columns = [c for c in steps.columns if c not in ("month_no", "starts")]
+    return _mrr_by_plan(_totals_of(steps, spine, columns), tiers)
+
+
+def _mrr_by_plan(totals: DataFrame, tiers: Sequence[str]) -> DataFrame:
     return _by_month(
         totals,
         *[

@@ -14,6 +14,7 @@ from spanledger.operators.retention import (
     numbered_cohort_sizes,
     with_cohort_size,
 )
+from spanledger.plans.history import History, last_start_of
 from spanledger.plans.spine import last_spine_month, last_start_month
 from spanledger.plans.steps import RUNNING, monthly_steps, open_spans, running_over_spine
 
@@ -26,7 +27,7 @@ def _per_account() -> Column:
 
 def value_by_cohort(
     accounts: DataFrame,
-    subscriptions: DataFrame,
+    subscriptions: DataFrame | History,
     spine: DataFrame,
     max_m: int | None = DEFAULT_MONTHS,
     cap_to_observed: bool = False,
@@ -36,8 +37,8 @@ def value_by_cohort(
     Months after the 18th since signup are left out by default; ``max_m=None``
     reports all.  Months outside the spine are left out, of the running amount too.
     """
-    last = last_start_month(subscriptions) if cap_to_observed else last_spine_month(spine)
-    activity = cohort_activity(accounts, subscriptions, last, max_m, {"mrr": hundredths(subscriptions, _MRR)}, spine)
+    last = last_start_of(subscriptions) if cap_to_observed else last_spine_month(spine)
+    activity = cohort_activity(accounts, subscriptions, last, max_m, with_mrr=True, spine=spine)
     so_far = Window.partitionBy("cohort_no").orderBy("m").rowsBetween(*RUNNING)
     return (
         with_cohort_size(activity, accounts)

@@ -217,3 +217,8 @@ def test_checks_of_a_build_start_no_job(spark, edge, tmp_path, monkeypatch):
     monkeypatch.setattr(frame, "count", lambda self: counted.append(1) or count(self))
     build.build_marts(edge[0].tables, str(tmp_path / "out"), work=str(tmp_path / "work"))
     assert not read and not counted
+
+
+def test_a_build_of_empty_tables(spark, empty, tmp_path):
+    paths = build.build_marts(empty[0].tables, str(tmp_path / "out"), work=str(tmp_path / "work"))
+    assert read_mart(spark, paths["acq_monthly"]).count() == 0
