@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Sequence
 from pathlib import Path
@@ -34,27 +36,41 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local session, as in tests, gets a temporary folder of its own; on a
+    cluster executors would not see that, so there it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spanledger-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-#: Folders and tables that this driver has made and not removed, oldest first.
-MADE: list[str] = []
-MADE_TABLES: list[str] = []
+class Made(threading.local):
+    """What the calls of ``settled`` that are under way in a thread have made, innermost last."""
+
+    def __init__(self):
+        self.folders: list[list[str]] = [[]]
+        self.tables: list[list[str]] = [[]]
+
+
+MADE = Made()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    MADE.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
-    return MADE[-1]
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    MADE.folders[-1].append(path)
+    return path
 
 
 def new_table(name: str) -> str:
-    MADE_TABLES.append(f"{name}_{uuid.uuid4().hex}")
-    return MADE_TABLES[-1]
+    table_name = f"{name}_{uuid.uuid4().hex}"
+    MADE.tables[-1].append(table_name)
+    return table_name
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -85,24 +101,33 @@ def discard(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(conf).delete(target, True)
-        if path in MADE:
-            MADE.remove(path)
+        for made in MADE.folders:
+            if path in made:
+                made.remove(path)
 
 
-def settled(make: Callable[[], DataFrame], name: str, used: Sequence[str] = ()) -> DataFrame:
-    """What ``make`` returns, staged, after which the folders and tables made on the way are removed.
+def settled(make: Callable[[], DataFrame], name: str, used: Sequence[DataFrame] = ()) -> DataFrame:
+    """What ``make`` returns, staged; the folders and tables made on the way are removed, also when it fails.
 
-    ``used`` names older folders that are not needed any more once the result is written.
+    ``used`` are older staged tables that are not needed any more once the result is written.
     """
-    folders, tables = len(MADE), len(MADE_TABLES)
-    df = make()
-    done = stage(df, name)
-    spark = df.sparkSession
-    discard(spark, *MADE[folders:-1], *used)
-    for table_name in MADE_TABLES[tables:]:
-        spark.sql(f"DROP TABLE IF EXISTS {table_name}")
-    del MADE_TABLES[tables:]
-    return done
+    MADE.folders.append([])
+    MADE.tables.append([])
+    done = None
+    try:
+        done = stage(make(), name)
+        for df in used:
+            discard(df.sparkSession, df.staged_at)
+        return done
+    finally:
+        folders, tables = MADE.folders.pop(), MADE.tables.pop()
+        spark = SparkSession.getActiveSession()
+        if done is not None:
+            folders.remove(done.staged_at)
+            MADE.folders[-1].append(done.staged_at)
+        discard(spark, *folders)
+        for table_name in tables:
+            spark.sql(f"DROP TABLE IF EXISTS {table_name}")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -52,7 +52,7 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
-    return html_text.main_texts(table(spark, folder, "pages"))
+    return settled(lambda: html_text.main_texts(table(spark, folder, "pages")), "op10_html_text")
 
 
 def op11_lm_scores(spark: SparkSession, folder: str) -> DataFrame:

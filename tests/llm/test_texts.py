@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 
@@ -248,3 +249,23 @@ def test_every_label_is_learned_within_the_bounds(spark, monkeypatch):
     monkeypatch.setattr(language_id, "TOTAL_BYTES", 1)
     learned = language_id.dictionaries(frame(spark, rows))
     assert len(learned) == 130 and max(len(content) for _, content in learned) <= language_id.LEAST
+
+
+def test_every_code_point_is_encoded_as_by_the_library():
+    """Alone between letters and between marks, so that its class decides where words end."""
+    ours = bpe.encoder(VOCABULARY)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 50_000):
+        texts = [f"a{c}b !{c}?" for c in points[at : at + 50_000]]
+        found = brute.TOKENIZER.encode_batch_fast(texts, add_special_tokens=False)
+        assert [t for t, e in zip(texts, found) if e.ids != ours.encode(t)] == []
+
+
+def test_runs_of_odd_code_points_are_encoded_as_by_the_library():
+    rng = random.Random(3)
+    ours = bpe.encoder(VOCABULARY)
+    edges = [int(x, 16) for part in (bpe.LATER_LETTERS + bpe.LATER_MARKS).split() for x in part.split("-")]
+    near = [chr(c + d) for c in edges for d in (-1, 0, 1)] + list("aZ1'é漢 \n\u0345\u0301\u0334") + ["'s", "'LL"]
+    for _ in range(3000):
+        text = "".join(rng.choice(near) for _ in range(rng.randint(1, 12)))
+        assert ours.encode(text) == brute.TOKENIZER.encode(text, add_special_tokens=False).ids
