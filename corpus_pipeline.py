@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from spanledger.llm import bpe, exact_dedup, mixing, quality_rules, simhash
-from spanledger.llm.common import MADE, settled, table
+from spanledger.llm.common import settled, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -55,5 +55,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, step in STAGES:
         # What a stage leaves on its way goes when its result is written, and so does its input.
         docs = settled(lambda step=step, docs=docs: step(spark, docs, sf_dir), name.replace(" ", "-"), used)
-        used = [MADE[-1]]
+        used = [docs]
     return docs
