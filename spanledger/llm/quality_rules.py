@@ -2,18 +2,21 @@
 
 The counts are taken inside a row by built-in functions; texts are read once and
 never move.  Their transformed vectors are staged and, for each language and
-source, a robust centre and covariance are found: from several deterministic
+source, a robust centre and covariance are found: from two deterministic
 starts, concentration steps take the half of the rows nearest to the centre and
 estimate anew from them, until the determinant falls no more; the start that
 ends with the least determinant counts.  A step is two aggregations (the distance
 that the nearest part lies within, then moments) of fixed-point integers, so a
 source with most of the rows is pre-aggregated in every task and reruns agree
-exactly.  Groups with fewer than MIN_ROWS rows are pooled by language, then all
-together; if those are too few as well, the method rejects none of them.
+exactly.  A group with fewer than MIN_ROWS rows is judged by the estimate of all
+usable rows of its language, and where those are too few as well, of the table:
+every document that passes the rules is judged.  A table with too few rows for a
+covariance is judged all the same, by the least standard deviations around its half.
 
 Defined results: a null text has no words and fails the rules; null languages
 and sources are groups of their own; a document is judged on its counts alone,
-so repeated rows and ties get equal verdicts; extra columns are ignored.
+so repeated rows and ties get equal verdicts; a very long text is counted whole in its
+own row; an empty table gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -125,29 +128,51 @@ def vector() -> dict[str, Column]:
     return {name: F.round(ratio * UNIT).cast("long") for name, ratio in ratios.items()}
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``grp``: language and source, or a pool where those are few."""
-    def key(level: int, *columns: str) -> Column:
-        parts = [x for c in columns for x in (F.col(c).isNull(), F.coalesce(c, F.lit("")))]
-        return F.xxhash64(F.lit(level), *parts)
-
-    for level, columns in ((2, ("lang", "source")), (1, ("lang",)), (0, ())):
-        own = key(level, *columns)
-        if level == 2:
-            rows = rows.withColumn("grp", own)
-        else:
-            rows = rows.withColumn("grp", F.when(F.col("grp").isNull(), own).otherwise(F.col("grp")))
-        # Staged, its size is known before the join, which then moves no rows to their group.
-        small = stage(
-            rows.where("usable")
-            .groupBy(F.col("grp").alias("of"))
-            .agg(F.count("*").alias("n"))
-            .where(F.col("n") >= MIN_ROWS),
-            "groups",
-        )
-        rows = rows.join(small, F.col("grp") == F.col("of"), "left")
-        rows = rows.withColumn("grp", F.when(F.col("of").isNotNull(), F.col("grp"))).drop("of", "n")
-    return rows
+def _models(rows: DataFrame) -> DataFrame:
+    """For each language and source (``of``): the model that judges it, ``judge``, and the models
+    that its rows enter, ``enters``; staged.
+
+    A group of MIN_ROWS usable rows or more has a model of its own.  A smaller one is judged by that of all
+    usable rows of its language, its large groups included, and where those are too few as well, by
+    that of the whole table, however few rows that has.  Models that judge no group are not made.
+    """
+    groups = (
+        rows.where("usable")
+        .groupBy(_key("lang", "source").alias("of"), _key("lang").alias("language"))
+        .agg(F.count("*").alias("n"))
+    )
+    language = Window.partitionBy("language")
+    enough = F.col("n") >= MIN_ROWS
+    groups = stage(
+        groups.select(
+            "of",
+            "language",
+            enough.alias("own"),
+            (F.sum("n").over(language) >= MIN_ROWS).alias("spoken"),
+            F.min(enough).over(language).alias("all_own"),
+        ),
+        "groups",
+    )
+    table = F.xxhash64(F.lit("table"))
+    # A language with fewer rows has no group with enough.
+    rare = groups.agg(F.coalesce(F.bool_or(~F.col("spoken")), F.lit(False))).scalar()
+    models = groups.select(
+        "of",
+        F.when(F.col("own"), F.col("of")).when(F.col("spoken"), F.col("language")).otherwise(table).alias("judge"),
+        F.array_compact(
+            F.array(
+                F.when(F.col("own"), F.col("of")),
+                F.when(F.col("spoken") & ~F.col("all_own"), F.col("language")),
+                F.when(rare, table),
+            )
+        ).alias("enters"),
+    )
+    # Staged, its size is known before the joins, which then move no rows to their group.
+    return stage(models, "models")
+
+
+def _key(*columns: str) -> Column:
+    return F.xxhash64(F.lit(len(columns)), *[x for c in columns for x in (F.col(c).isNull(), F.coalesce(c, F.lit("")))])
 
 
 def _moments(rows: DataFrame) -> DataFrame:
@@ -261,12 +286,16 @@ def judge(counts: DataFrame) -> DataFrame:
     """A staged table with lang, source and the counts, and base_failed and kept."""
     failed = base_failed()
     rows = stage(
-        _grouped(counts.withColumns({**vector(), "base_failed": failed, "usable": ~failed})),
+        counts.withColumns({**vector(), "base_failed": failed, "usable": ~failed, "grp": _key("lang", "source")}),
         "vectors",
     )
-    model = estimates(rows.where("usable and grp is not null").select("grp", *VARIABLES))
-    joined = rows.join(model.withColumnRenamed("grp", "of"), F.col("grp") == F.col("of"), "left")
-    near = F.coalesce(_distance() <= CUTOFF, F.lit(True))
+    models = _models(rows)
+    usable = rows.where("usable").join(models, F.col("grp") == F.col("of"))
+    model = estimates(usable.select(F.explode("enters").alias("grp"), *VARIABLES))
+    judged = models.join(model.withColumnRenamed("grp", "judge"), "judge").drop("enters")
+    joined = rows.join(stage(judged, "judges"), F.col("grp") == F.col("of"), "left")
+    # Only documents that failed the rules can be without a model.
+    near = F.coalesce(_distance() <= CUTOFF, F.lit(False))
     return joined.select(*counts.columns, "base_failed", (~F.col("base_failed") & near).alias("kept"))
 
 

@@ -96,16 +96,17 @@ def quality(rows: list[dict]) -> list[tuple]:
         axis=1,
     )
     failed = ((t.n_words < 10) | (100 * t.n_repeat_words > 20 * t.n_words)).to_numpy()
-    group = [None] * len(rows)
-    for level in range(3):
-        key = [(level, *[(r["lang"], r["source"]), (r["lang"],), ()][level]) for r in rows]
-        n = Counter(k for k, g, f in zip(key, group, failed) if g is None and not f)
-        group = [g if g is not None else k if n[k] >= Q.MIN_ROWS else None for k, g in zip(key, group)]
+    # Each row's groups by language and source, by language, and the table; judged by the first with enough.
+    levels = [[(2, r["lang"], r["source"]), (1, r["lang"]), (0,)] for r in rows]
+    n = Counter(key for keys, f in zip(levels, failed) if not f for key in keys)
+    group = [next((k for k in keys if n[k] >= Q.MIN_ROWS), (0,)) for keys in levels]
     floors = np.array([Q.FLOOR[v] * Q.UNIT for v in Q.VARIABLES])
     kept = ~failed
-    for g in {g for g in group if g is not None}:
+    for g in set(group):
         of = np.array([k for k, own in enumerate(group) if own == g])
-        y = x[of][~failed[of]]
+        y = x[[k for k, keys in enumerate(levels) if g in keys and not failed[k]]]
+        if not len(y):
+            continue
         best = None
 
         def moments(z):

@@ -80,6 +80,33 @@ def test_a_third_of_a_group_in_copies_of_one_outlier_is_rejected(spark):
     assert sorted(d for d, kept in got if kept) == list(range(200))
 
 
+def judged(n: int, lang: str, source: str, seed: int) -> list[dict]:
+    """n documents, every tenth an outlier."""
+    rows = []
+    for k in range(n):
+        words = prose(seed + k, 40 + k % 30).split()
+        rows.append(row(seed + k, " ".join(f"{w}$$$$" for w in words) if k % 10 == 9 else " ".join(words), lang, source))
+    return rows
+
+
+@pytest.mark.parametrize(
+    "groups",
+    [
+        [(150, "en", "big"), (20, "en", "small")],
+        [(30, "en", "only")],
+        [(3, "en", "only")],
+        [(100, "en", "big"), (25, "fr", "a"), (15, "fr", "b"), (40, None, None)],
+    ],
+)
+def test_small_groups_and_tables_are_judged(spark, groups):
+    rows = [r for k, g in enumerate(groups) for r in judged(*g, 1000 * k)]
+    want = brute.quality(rows)
+    assert brute.near_equal(tuples(quality_rules.quality_rules(frame(spark, rows)), *QUALITY), want)
+    for k, (n, *_) in enumerate(groups):
+        outliers = {w[-1] for w in want if 1000 * k <= w[0] < 1000 * k + n and w[0] % 10 == 9}
+        assert outliers <= {False}
+
+
 def test_quality_of_an_empty_table(spark):
     assert tuples(quality_rules.quality_rules(frame(spark, []))) == []
     assert tuples(quality_rules.passing(frame(spark, []))) == []
