@@ -6,16 +6,24 @@ the dictionary and not the text's own past explains it, and the language with
 the smallest total wins.  Margins that are narrow for the text's size are
 rejected: ``rejected`` is true there, beside the best guess.
 
-The sample is SAMPLE_DOCS texts a language, by the digest of the document id,
-and SAMPLE_CHARS characters of each; it is all that meets the driver.  Every label
-is learned: where there are so many that these samples would exceed TOTAL_CHARS,
-or the dictionaries TOTAL_BYTES, each has an equal share.  Predictions read
-whole texts in tasks of their own and shuffle nothing.
+The sample takes distinct whole texts of a language, by the digest of the text,
+until its dictionary is full, SAMPLE_DOCS at most; the last is cut where the
+dictionary is full, at DICTIONARY_BYTES or an equal share of TOTAL_BYTES where
+there are many languages.  Texts are drawn, told apart and ranked in Spark, so
+what meets the driver is at most SAMPLE_DOCS texts a language, and of each at most
+what fits the dictionary, whatever ids or texts repeat.  Predictions read whole
+texts in tasks of their own and shuffle nothing.
+
+Every piece is encoded TIMES times over in a row, whatever the length of the text:
+alone, what zstandard cannot shorten is stored as it is, at the same size by any
+dictionary, and a short text would tell nothing.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
 of equal sizes the language with more labelled texts wins, then the smaller
-name; without any labelled text everything is ``und``; a null id is neither
-held out nor learned from; extra columns are ignored.
+name; without any labelled text everything is ``und``; a language whose texts are
+all empty is not learned; a null id is neither held out nor learned from; repeated
+rows are judged alike and learned once; a very long text is read whole, piece by
+piece; an empty table gives no row; ids keep their type; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,29 +33,26 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanledger.llm.blocks import id_type
 from spanledger.llm.common import ship
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 150
-SAMPLE_CHARS = 4000
 DICTIONARY_BYTES = 110 << 10
-#: Bounds of all samples and of all dictionaries; a language's share of them is LEAST at least.
-TOTAL_CHARS, TOTAL_BYTES = 1 << 26, 1 << 24
-LEAST = 512
+#: All dictionaries together; each has what zstandard needs at least.
+TOTAL_BYTES, LEAST = 1 << 24, 8
 #: Rows of a language that may be looked at where its share is a few texts, so that one of them passes.
 FEW = 20
-#: Bytes of text encoded at a time.  Texts shorter than SHORT are encoded several times over:
-#: alone they would be stored as they are, at the same size by any dictionary.
-PIECE = 2048
-SHORT, SHORT_TIMES = 256, 6
+#: Bytes of text encoded at a time, and how often in a row.
+PIECE, TIMES = 2048, 6
 LEVEL = 6
 #: Least lead of the best size over the next, in relation to it and in bytes.
 NARROW, NARROW_BYTES = 0.01, 2
 
-RESULT = "doc_id long, held_out boolean, lang_pred string, score double, margin double, rejected boolean"
+RESULT = "held_out boolean, lang_pred string, score double, margin double, rejected boolean"
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -70,28 +75,34 @@ def dictionaries(labelled: DataFrame) -> list[tuple[str, bytes]]:
     )
     if not counts:
         return []
-    chars = max(LEAST, min(SAMPLE_CHARS, TOTAL_CHARS // len(counts)))
-    docs = max(1, min(SAMPLE_DOCS, TOTAL_CHARS // (len(counts) * chars)))
     size = max(LEAST, min(DICTIONARY_BYTES, TOTAL_BYTES // len(counts)))
     # Twice the number wanted passes the threshold, so that hardly ever fewer than wanted do.
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     shares = labelled.sparkSession.createDataFrame(
-        [(row.lang, min(1.0, max(2 * docs, FEW) / row.n)) for row in counts], "of string, share double"
+        [(row.lang, min(1.0, max(2 * SAMPLE_DOCS, FEW) / row.n)) for row in counts], "of string, share double"
     )
+    ranked = Window.partitionBy("lang").orderBy("place", "digest")
+    # Equal texts are combined in each task before they move, and no more of a text than fits does.
     sample = (
-        labelled.select("lang", place.alias("place"), F.substring("text", 1, chars).alias("text"))
+        labelled.select("lang", place.alias("place"), "text")
         .where("text is not null")
         .join(F.broadcast(shares), F.col("lang") == F.col("of"))
         .where("place < share")
-        .select("lang", "place", "text")
+        .select("lang", "place", F.sha2("text", 256).alias("digest"), F.substring("text", 1, size).alias("text"))
+        .groupBy("lang", "place", "digest")
+        .agg(F.min("text").alias("text"))
+        .withColumn("rank", F.row_number().over(ranked))
+        .withColumn("before", F.sum(F.octet_length("text")).over(ranked) - F.octet_length("text"))
+        .where((F.col("rank") <= SAMPLE_DOCS) & (F.col("before") < size))
+        .select("lang", "rank", "text")
         .collect()
     )
-    texts: dict[str, dict[bytes, None]] = {row.lang: {} for row in counts}
-    for row in sorted(sample, key=lambda r: (r.place, r.text)):
-        if len(texts[row.lang]) < docs:
-            texts[row.lang].setdefault(normal(row.text))
-    made = [(lang, b" ".join(found)[:size]) for lang, found in texts.items()]
-    return [(lang, content) for lang, content in made if len(content) >= 8]
+    texts: dict[str, list[bytes]] = {row.lang: [] for row in counts}
+    for row in sorted(sample, key=lambda r: r.rank):
+        texts[row.lang].append(normal(row.text))
+    made = [(lang, b" ".join(found).strip()) for lang, found in texts.items()]
+    # A dictionary of a few letters is repeated until it is long enough to be one.
+    return [(lang, (text if len(text) >= LEAST else (text + b" ") * LEAST)[:size]) for lang, text in made if text]
 
 
 class Coders:
@@ -110,9 +121,7 @@ class Coders:
         )
 
     def sizes(self, text: bytes) -> list[int]:
-        if len(text) < SHORT:
-            text = (b" " + text) * SHORT_TIMES + b" "
-        pieces = [text[at : at + PIECE] for at in range(0, len(text), PIECE)]
+        pieces = [(b" " + text[at : at + PIECE]) * TIMES for at in range(0, len(text), PIECE)]
         return [sum([len(c.compress(p)) for p in pieces]) for c in self.coders]
 
     def predict(self, text: str | None) -> tuple[str, float, float, bool]:
@@ -157,7 +166,7 @@ def predictions(docs: DataFrame, made: list[tuple[str, bytes]]) -> DataFrame:
             )
 
     held_out = F.coalesce(remainder() == 1, F.lit(False)).alias("held_out")
-    return docs.select(F.col("doc_id").cast("long"), held_out, "text").mapInArrow(run, RESULT)
+    return docs.select("doc_id", held_out, "text").mapInArrow(run, f"doc_id {id_type(docs)}, {RESULT}")
 
 
 def languages(docs: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import brute
 import pytest
+import xxhash
+import zstandard
 from helpers import EDGE_TEXTS, edge_rows, frame, prose, row, tuples
 
 from spanledger.llm import bpe, language_id, mixing, quality_rules, secrets
@@ -272,12 +276,67 @@ def test_every_label_is_learned_within_the_bounds(spark, monkeypatch):
     assert {lang for lang, _ in learned} == {f"l{k:03}" for k in range(130)}
     coders = language_id.Coders(learned)
     assert all(coders.predict(prose(k, 40))[0] == f"l{k:03}" for k in range(130))
-    monkeypatch.setattr(language_id, "TOTAL_CHARS", 130 * 600)
     monkeypatch.setattr(language_id, "TOTAL_BYTES", 1)
     learned = language_id.dictionaries(frame(spark, rows))
     assert len(learned) == 130 and max(len(content) for _, content in learned) <= language_id.LEAST
 
 
+def plain_languages(rows: list[dict]) -> list[tuple]:
+    """The same sample, dictionaries and sizes, without Spark."""
+    learn = [
+        r for r in rows if r["doc_id"] is not None and r["lang"] and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1
+    ]
+    n = Counter(r["lang"] for r in learn)
+    names = sorted(n, key=lambda x: (-n[x], x))
+    size = max(8, min(110 << 10, (1 << 24) // max(1, len(names))))
+    made = []
+    for name in names:
+        texts = {r["text"] for r in learn if r["lang"] == name and r["text"] is not None}
+        place = {t: (xxhash.xxh64_intdigest(t.encode(), 42) + 2**63) % 2**64 - 2**63 for t in texts}
+        near = sorted((place[t] % 2**40 / 2.0**40, hashlib.sha256(t.encode()).hexdigest(), t[:size]) for t in texts)
+        found, used = [], 0
+        for share, _, text in near:
+            if share < min(1.0, 300 / n[name]) and len(found) < 150 and used < size:
+                found.append(" ".join(text.lower().split()).encode())
+                used += len(text.encode())
+        content = b" ".join(found).strip()
+        if content:
+            made.append((name, (content if len(content) >= 8 else (content + b" ") * 8)[:size]))
+    coders = [zstandard.ZstdCompressor(
+        level=6, dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+        write_content_size=False, write_checksum=False, write_dict_id=False) for _, c in made]
+    out = []
+    for r in rows:
+        lang = "und"
+        if made and r["text"] and any(ch.isalpha() for ch in r["text"]):
+            raw = " ".join(r["text"].lower().split()).encode()
+            sizes = [sum(len(c.compress((b" " + raw[k : k + 2048]) * 6)) for k in range(0, len(raw), 2048)) for c in coders]
+            lang = made[sizes.index(min(sizes))][0]
+        out.append((r["doc_id"], lang))
+    return out
+
+
+def test_languages_are_those_of_a_version_without_spark(spark):
+    rows = given(spark) + edge_rows()
+    got = tuples(language_id.languages(frame(spark, rows)), "doc_id", "lang_pred")
+    assert sorted(got, key=repr) == sorted(plain_languages(rows), key=repr)
+
+
+def test_one_id_with_very_many_rows_sends_few_texts_to_the_driver(spark):
+    many = spark.range(100_000).selectExpr("7L as doc_id", "concat('some words of text number ', id) as text", "'en' as lang")
+    others = spark.createDataFrame([(k, prose(k, 50), "fr") for k in range(400)], "doc_id long, text string, lang string")
+    seen = []
+    collect = type(many).collect
+    try:
+        type(many).collect = lambda self: seen.append(rows := collect(self)) or rows
+        made = dict(language_id.dictionaries(many.union(others)))
+    finally:
+        type(many).collect = collect
+    assert set(made) == {"en", "fr"} and sum(map(len, seen)) <= 2 + 2 * language_id.SAMPLE_DOCS
+    copies = spark.range(100_000).selectExpr("id as doc_id", "'the very same text' as text", "'en' as lang")
+    assert dict(language_id.dictionaries(copies))["en"] == b"the very same text"
+
+
 def test_every_code_point_is_encoded_as_by_the_library():
     """Alone between letters and between marks, so that its class decides where words end."""
     ours = bpe.encoder(VOCABULARY)
