@@ -97,8 +97,8 @@ def piece_tokens(path: str) -> tuple[sentencepiece.SentencePieceProcessor, list[
 
 def align(a: tuple[int, ...], b: tuple[int, ...], a_sizes: list[int], b_sizes: list[int]) -> Window:
     """The groups of a window, which are cut where a token of each ends at the same byte."""
-    a_ends = list(accumulate([a_sizes[x] for x in a]))
-    b_ends = list(accumulate([b_sizes[y] for y in b]))
+    a_ends = list(accumulate(map(a_sizes.__getitem__, a)))
+    b_ends = list(accumulate(map(b_sizes.__getitem__, b)))
     if a_ends == b_ends:
         pairs = [x << 32 | y for x, y in zip(a, b)]
         groups = [f"{x}|{y}" for x, y in zip(a, b)]
@@ -152,6 +152,7 @@ class Aligner:
         self.a, self.a_bytes, words_apart = byte_level_tokens(byte_path)
         self.b, self.b_bytes = piece_tokens(piece_path)
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in ts], np.int64) for ts in (self.a_bytes, self.b_bytes))
+        self.a_token, self.b_token = self.a_bytes.__getitem__, self.b_bytes.__getitem__
         self.a_lengths, self.b_lengths = self.a_sizes.tolist(), self.b_sizes.tolist()
         self.a_spaced, self.b_spaced = (np.array([t[:1] == b" " for t in ts]) for ts in (self.a_bytes, self.b_bytes))
         # A merge over the border would make a piece with a space behind another character.
@@ -198,7 +199,7 @@ class Aligner:
 
     def chunk(self, raw: bytes, a: list[int], b: list[int]) -> Chunk:
         """Tokens of each, groups as text, number of groups, links; no groups where the bytes differ."""
-        if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
+        if b"".join(map(self.a_token, a)) != raw or b"".join(map(self.b_token, b)) != raw:
             return 0, 0, "", 0, b"", b""
         i, j = self.anchors(a, b) if raw.find(b" ", 1) > 0 else ([0, len(a)], [0, len(b)])
         parts = [self.window(tuple(a[i[k] : i[k + 1]]), tuple(b[j[k] : j[k + 1]])) for k in range(len(i) - 1)]
@@ -256,12 +257,12 @@ class Block:
     def add(self, doc_id, chunks: list[str]) -> None:
         """``chunks`` have been learned."""
         self.ids.append(doc_id)
-        own = [self.numbers[c] for c in chunks]
+        own = list(map(self.numbers.__getitem__, chunks))
         if len(self.numbers) > len(self.found):
             for text in self.numbers.keys_in_order[len(self.found) :]:
                 self.found.append(self.kit.known(text))
                 self.groups.append(self.found[-1][2])
-        groups = [self.groups[k] for k in own]
+        groups = list(map(self.groups.__getitem__, own))
         if not all(groups):
             own, groups = [], []
         self.digests.append(hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else "")
