@@ -7,6 +7,7 @@ import os
 import re
 import tempfile
 import threading
+import time
 import uuid
 from collections.abc import Callable, Sequence
 from pathlib import Path
@@ -84,15 +85,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(*staged: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more, and let go the shuffles that made them.
-
-    Spark removes the files of a shuffle when the driver's collector finds it unreachable, which by
-    itself can take as long as the job.
-    """
+    """Delete staged tables that nothing reads any more, and let go the shuffles that made them."""
     for df in staged:
         discard(df.sparkSession, df.staged_at)
+    let_go(staged[0].sparkSession)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Have Spark remove the files of shuffles that no table needs any more.
+
+    It does when the driver's collector finds them unreachable, which by itself can take as long as
+    the job.  Python's bridge tells the driver what Python has dropped within about a second.
+    """
     gc.collect()
-    staged[0].sparkSession._jvm.System.gc()
+    time.sleep(2)
+    spark._jvm.System.gc()
 
 
 def discard(spark: SparkSession, *paths: str) -> None:
@@ -164,14 +171,14 @@ class Rows:
 
     def without(self, dropped: DataFrame) -> DataFrame:
         """The documents whose rows are not in ``dropped``, with their own columns."""
-        return self.docs.join(_small(dropped.select("row"), "dropped"), "row", "left_anti").select("doc.*")
+        return self.docs.join(small(dropped.select("row"), "dropped"), "row", "left_anti").select("doc.*")
 
     def with_values(self, values: DataFrame) -> DataFrame:
         """``doc`` with the columns of ``values`` (row and others), where there are some."""
-        return self.docs.join(_small(values, "values"), "row")
+        return self.docs.join(small(values, "values"), "row")
 
 
-def _small(rows: DataFrame, name: str) -> DataFrame:
+def small(rows: DataFrame, name: str) -> DataFrame:
     """``rows`` staged, and broadcast if they are counted to be few; else a join shuffles both sides by row."""
     rows = stage(rows, name)
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanledger.llm.blocks import Numbers, first_block, grouped, id_type, pack, pack_steps, parts, placed, sums, unpack, unpack_steps
-from spanledger.llm.common import release, ship, stage
+from spanledger.llm.common import let_go, release, ship, stage
 from spanledger.llm.elias_fano import Mapped, Monotone
 
 HELD_OUT, FOLDS = 2, 7
@@ -465,4 +465,5 @@ def lm_scores(docs: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     release(plain, words)
     shards = max(1, -(-everywhere // shard_tokens))
     found = stage(answers(questions(blocks, shards, shard_tokens)), "answers")
+    let_go(docs.sparkSession)
     return scored(blocks, found, tokens, distinct, shards, shard_tokens)

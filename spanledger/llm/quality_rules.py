@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanledger.llm.common import SPACE, SPACE_CHARS, Rows, stage, text_or_empty
+from spanledger.llm.common import SPACE, SPACE_CHARS, Rows, small, stage, text_or_empty
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -167,8 +167,8 @@ def _models(rows: DataFrame) -> DataFrame:
             )
         ).alias("enters"),
     )
-    # Staged, its size is known before the joins, which then move no rows to their group.
-    return stage(models, "models")
+    # Counted before the joins, which then move no rows to their group.
+    return small(models, "models")
 
 
 def _key(*columns: str) -> Column:
@@ -293,7 +293,7 @@ def judge(counts: DataFrame) -> DataFrame:
     usable = rows.where("usable").join(models, F.col("grp") == F.col("of"))
     model = estimates(usable.select(F.explode("enters").alias("grp"), *VARIABLES))
     judged = models.join(model.withColumnRenamed("grp", "judge"), "judge").drop("enters")
-    joined = rows.join(stage(judged, "judges"), F.col("grp") == F.col("of"), "left")
+    joined = rows.join(small(judged, "judges"), F.col("grp") == F.col("of"), "left")
     # Only documents that failed the rules can be without a model.
     near = F.coalesce(_distance() <= CUTOFF, F.lit(False))
     return joined.select(*counts.columns, "base_failed", (~F.col("base_failed") & near).alias("kept"))
