@@ -128,7 +128,7 @@ def settled(make: Callable[[], DataFrame], name: str, used: Sequence[DataFrame]
         return done
     finally:
         folders, tables = MADE.folders.pop(), MADE.tables.pop()
-        spark = SparkSession.getActiveSession()
+        spark = SparkSession.active()
         if done is not None:
             folders.remove(done.staged_at)
             MADE.folders[-1].append(done.staged_at)
