@@ -243,8 +243,8 @@ def _nearest(rows: DataFrame, model: DataFrame) -> DataFrame:
         .groupBy("grp", "start")
         .agg(F.percentile(_grid(_distance()), F.lit(PART)).alias("cut"))
     )
-    # Staged, the small table's size is known before the join with the rows is planned.
-    reach = stage(model.join(cut, ["grp", "start"]), "mcd")
+    # Counted before the join with the rows is planned, which then moves no rows.
+    reach = small(model.join(cut, ["grp", "start"]), "mcd")
     return rows.join(reach, "grp").where(_grid(_distance()) <= F.col("cut"))
 
 
@@ -266,11 +266,11 @@ def estimates(rows: DataFrame) -> DataFrame:
     )
     whole = _moments(rows.withColumn("start", F.lit(0)))
     # Those of the starts are not of half of the rows: the first step always counts.
-    model = stage(whole.unionByName(flat).withColumn("log_det", F.lit(float("inf"))), "mcd")
+    model = small(whole.unionByName(flat).withColumn("log_det", F.lit(float("inf"))), "mcd")
     ended = model.limit(0)
     for _ in range(STEPS):
         last = model.select("grp", "start", F.col("log_det").alias("last"))
-        after = stage(_moments(_nearest(rows, model)).join(last, ["grp", "start"]), "mcd")
+        after = small(_moments(_nearest(rows, model)).join(last, ["grp", "start"]), "mcd")
         # The floors may let a determinant rise again; then the model before it counts.
         ended = ended.unionByName(model.join(after.where("log_det >= last"), ["grp", "start"], "left_semi"))
         model = after.where("log_det < last").drop("last")
