@@ -1,13 +1,22 @@
 """HTML extraction by deduction of templates from equivalence classes.
 
 A page is a sequence of tokens: tags and text blocks, each told apart by the path
-of its containers.  Across the pages of a host the tokens that occur equally
-often on every page, page by page, form an equivalence class.  Classes nest by
-their containers' paths.  A text block that is in one class with its container
-is there whenever the container is: it belongs to the template, like menus whose
-slots hold links alone.  What remains are the slots, of which those within the
-article (or the page, where there is none) and outside of menus, headers,
-footers, sidebars, notices, adverts, forms and comments are the main text.
+of its containers.  Tokens of one path are told apart further by their place, as
+the i-th of k alike in their container.  Across the pages of a host the tokens
+that occur equally often on every page, page by page, form an equivalence class.
+A token's container is part of it, so classes are nested, and places keep those
+alike in order; what is not alike may change places, as a slot is the content of
+an element and no gap between two.  A text block that is in one class with its
+container is there whenever the container is: it belongs to the template, like
+menus whose slots hold links alone.  What remains are the slots.
+
+The main slot is found from the page's root down.  An element that is once on
+each page of its class, differs between them and holds most of its container's
+text outside of links is gone into, until none does, with the headings before it.
+Names come after that: of the main slot, the part in an article, if there is one,
+and outside of what is named a menu, header, footer, sidebar, notice, advert, form
+or comment is the main text.  An article that the main slot does not hold
+overrules it.
 
 Occurrence vectors are never gathered: a token's vector is a digest of its
 (page, count) pairs, aggregated in Spark by host and token, so a host with most
@@ -42,6 +51,8 @@ from spanledger.llm.common import ship, stage
 LEAST_PAGES = 8
 #: Share of a slot's characters inside links from which it is a menu.
 MENU_LINKS = 0.9
+#: Share of its container's text from which a slot is gone into; above a half, so that it is the only one.
+MAIN_SHARE = 0.6
 #: Hosts whose templates are broadcast, and tokens of all of them together.
 BROADCAST_HOSTS, BROADCAST_TOKENS = 100_000, 1_000_000
 
@@ -68,6 +79,8 @@ SIBLINGS = {
 }
 P_SCOPE = CLOSES_P - {"p"} | {"td", "th", "li", "body", "html"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are one text or part of a list or table, not containers of a page's parts.
+PARTS = HEADINGS | frozenset("p pre li dt dd tr td th caption figcaption summary blockquote address legend".split())
 
 #: Containers that are never main text, and words of classes, ids and roles that say the same.
 ASIDE_TAGS = frozenset("nav header footer aside form head button select dialog menu".split())
@@ -99,9 +112,10 @@ HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)")
 
 
 class Block(NamedTuple):
-    """A run of text between block tags: its container's path, where it is, how much of it is links."""
+    """A run of text between block tags: its container, where it is, how much of it is links."""
 
     path: int
+    node: int
     token: int
     text: str
     links: int
@@ -110,9 +124,25 @@ class Block(NamedTuple):
     form: bool
 
 
+class Node:
+    """A block element: its container, paths without and with its place, and the blocks in it."""
+
+    __slots__ = ("up", "tag", "name", "path", "role", "begin", "end")
+
+    def __init__(self, up: int, tag: str, name: str, path: int, begin: int):
+        self.up = up
+        self.tag = tag
+        self.name = name
+        self.path = path
+        self.role = path
+        self.begin = begin
+        self.end = begin
+
+
 class Element(NamedTuple):
     tag: str
     path: int
+    node: int
     article: bool
     #: Whether the element or one around it is set aside; as a form only; as a header.
     aside: bool
@@ -209,8 +239,8 @@ class Page:
 
     def _read(self, html: str) -> None:
         self.blocks: list[Block] = []
-        self.tags: Counter[tuple[int, int]] = Counter()
-        self._open = [Element("", 0, False, False, False, False, False, False, False, -1, False, 0)]
+        self.nodes = [Node(-1, "", "", 0, 0)]
+        self._open = [Element("", 0, 0, False, False, False, False, False, False, False, -1, False, 0)]
         self._text: list[str] = []
         self._links = 0
         #: Elements set aside by name; outermost articles and mains with their names and text; the page's text.
@@ -237,6 +267,7 @@ class Page:
                 self._start(tag, attributes)
         self._flush()
         self._pop(1)
+        self.nodes[0].end = len(self.blocks)
 
     def _add(self, raw: str) -> None:
         if not raw:
@@ -263,7 +294,7 @@ class Page:
                 token = digest(f"{top.path} {text}")
                 # A heading in an article's header is part of the article.
                 aside = top.aside and not (top.header and top.article and top.tag in HEADINGS)
-                self.blocks.append(Block(top.path, token, text, self._links, top.article, aside, top.form))
+                self.blocks.append(Block(top.path, top.node, token, text, self._links, top.article, aside, top.form))
             self._text.clear()
         self._links = 0
 
@@ -272,6 +303,8 @@ class Page:
             self._flush()
         for e in self._open[at:]:
             self._count(e)
+            if e.tag not in INLINE:
+                self.nodes[e.node].end = len(self.blocks)
         del self._open[at:]
 
     def _count(self, e: Element) -> None:
@@ -329,14 +362,17 @@ class Page:
             named = len(self._named)
             self._named.append(Named(up.named, aside or frozenset({"header"}), whole or header))
         inline = tag in INLINE
-        path = up.path if inline else digest(f"{up.path}/{tag} {written}")
+        path, node = up.path, up.node
         if not inline:
-            self.tags[up.path, path] += 1
+            name = f"{tag} {written}"
+            path, node = digest(f"{up.path}/{name}"), len(self.nodes)
+            self.nodes.append(Node(up.node, tag, name, path, len(self.blocks)))
         fresh = tag in ("article", "main") and not said and up.form
         self._open.append(
             Element(
                 tag,
                 path,
+                node,
                 up.article or tag == "article" and not said,
                 (up.aside and not fresh) or said or tag in ASIDE_TAGS,
                 (up.form and not fresh) or (tag == "form" and not up.aside),
@@ -355,21 +391,83 @@ class Page:
         own = [b.text for b in self.blocks if not b.aside and b.links < MENU_LINKS * len("".join(b.text.split()))]
         return digest("\n".join(own))
 
-    def main(self, template: frozenset[int], menus: frozenset[int]) -> str:
-        """The slots that hold the main text."""
-        slots = [b for b in self.blocks if b.token not in template]
+    def place(self) -> None:
+        """Tells elements of one path apart by their place among those alike in their container."""
+        alike = Counter((n.up, n.path) for n in self.nodes)
+        seen: Counter[tuple[int, int]] = Counter()
+        for n in self.nodes[1:]:
+            kind = n.up, n.path
+            seen[kind] += 1
+            of = alike[kind]
+            up = self.nodes[n.up]
+            if of > 1:
+                n.role = digest(f"{up.role}/{n.name} {seen[kind]} of {of}")
+            elif up.role != up.path:
+                n.role = digest(f"{up.role}/{n.name}")
+
+    def sums(self) -> tuple[list[int], list[int], list[int], list[int]]:
+        """Running sums over the blocks: characters, those in links, those of possible main text, digests."""
+        chars, links, own, texts = [0], [0], [0], [0]
+        for b in self.blocks:
+            n = len("".join(b.text.split()))
+            chars.append(chars[-1] + n)
+            links.append(links[-1] + b.links)
+            own.append(own[-1] + (0 if b.aside else n - b.links))
+            texts.append(texts[-1] + digest(b.text))
+        return chars, links, own, texts
+
+    def main(self, template: frozenset[int], menus: frozenset[int], slots: frozenset[int]) -> str:
+        """The main text, given the host's template texts, its menus and the elements to go into."""
+        self.place()
+        inside = self._main_slot(slots)
+        if not any(b.article and not b.aside and k in inside for k, b in enumerate(self.blocks)) and any(
+            b.article and not b.aside for b in self.blocks
+        ):
+            inside = set(range(len(self.blocks)))
+        listed: set[int] = set()
+        done = 0
+        for n in self.nodes:
+            # Elements are in the order of their starts: one within a menu ends before it.
+            if n.end > done and (n.path in menus or n.role in menus):
+                listed.update(range(max(n.begin, done), n.end))
+                done = n.end
+        left = [
+            (k, b)
+            for k, b in enumerate(self.blocks)
+            if k in inside and not template.intersection(self.text_tokens(b))
+        ]
         within = any(b.article and not b.aside for b in self.blocks)
         for forms in (False, True):
             kept = [
                 b.text
-                for b in slots
-                if (not b.aside or forms and b.form)
-                and (b.article if within else b.path not in menus)
+                for k, b in left
+                if (not b.aside or forms and b.form) and (b.article if within else k not in listed)
             ]
             if kept:
                 break
         return "\n\n".join(kept)
 
+    def text_tokens(self, b: Block) -> set[int]:
+        """A text's tokens by its container's path without and with places."""
+        role = self.nodes[b.node].role
+        return {b.token} if role == b.path else {b.token, digest(f"{role} {b.text}")}
+
+    def _main_slot(self, slots: frozenset[int]) -> set[int]:
+        """The blocks of the innermost element reached, and of the headings before it."""
+        *_, own, _ = self.sums()
+        children: dict[int, list[int]] = {}
+        for k, n in enumerate(self.nodes[1:], 1):
+            children.setdefault(n.up, []).append(k)
+        at, heads = 0, []
+        while self.nodes[at].tag != "article":
+            below = [k for k in children.get(at, ()) if self.nodes[k].role in slots]
+            if not below:
+                break
+            into = max(below, key=lambda k: own[self.nodes[k].end] - own[self.nodes[k].begin])
+            heads += [k for k in children[at] if k < into and self.nodes[k].tag in HEADINGS]
+            at = into
+        return {k for j in (at, *heads) for k in range(self.nodes[j].begin, self.nodes[j].end)}
+
 
 def host_of(url: str | None) -> str | None:
     if url is None:
@@ -386,12 +484,52 @@ TOKENS = pa.schema(
         ("kind", pa.int8()),
         ("key", pa.int64()),
         ("n", pa.int32()),
+        ("text", pa.int64()),
         ("chars", pa.int64()),
         ("links", pa.int64()),
+        ("own", pa.int64()),
+        ("around", pa.int64()),
     ]
 )
 #: A page has one token of its own kind, so that its host's pages are counted with the tokens.
 TAG, TEXT, PAGE = 0, 1, 2
+#: What is decided of a token: text of the template, a menu, an element to go into.
+MENU, SLOT = 2, 3
+
+
+def page_tokens(page: Page) -> list[tuple]:
+    """(token, parent, kind, n, text, chars, links, own, around) of every token of a page.
+
+    ``text`` is a digest of all text in an element; ``own`` counts what may be main text in it,
+    ``around`` that of its container, for an element that is a container and alone of its kind.
+    """
+    page.place()
+    chars, links, own, texts = page.sums()
+    counts: Counter[tuple[int, int, int]] = Counter()
+    sums: dict[int, list[int]] = {}
+    for n in page.nodes[1:]:
+        up = page.nodes[n.up]
+        # A container that is one of several of its path counts by its place alone.
+        for token, parent in {(n.path, up.path), (n.role, up.role)}:
+            counts[token, parent, TAG] += 1
+            of = sums.setdefault(token, [0, 0, 0, 0, 0])
+            of[0] += texts[n.end] - texts[n.begin]
+            of[1] += chars[n.end] - chars[n.begin]
+            of[2] += links[n.end] - links[n.begin]
+            if token == n.role and n.tag not in PARTS:
+                of[3] += own[n.end] - own[n.begin]
+                of[4] += own[up.end] - own[up.begin]
+    for b in page.blocks:
+        # What is set aside anyway needs no template.
+        if not b.aside:
+            role = page.nodes[b.node].role
+            for token in page.text_tokens(b):
+                counts[token, b.path if token == b.token else role, TEXT] += 1
+    rows = []
+    for (token, parent, kind), n in counts.items():
+        text, *rest = sums[token] if kind == TAG else (0, 0, 0, 0, 0)
+        rows.append((token, parent, kind, n, (text + (1 << 63)) % (1 << 64) - (1 << 63), *rest))
+    return rows
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,38 +538,32 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for url, html in zip(*batch.columns):
             page = Page(html.as_py() or "")
             host, key = host_of(url.as_py()), page.key()
-            chars: Counter[int] = Counter()
-            links: Counter[int] = Counter()
-            texts: Counter[tuple[int, int]] = Counter()
-            for b in page.blocks:
-                chars[b.path] += len("".join(b.text.split()))
-                links[b.path] += b.links
-                # What is set aside anyway needs no template.
-                if not b.aside:
-                    texts[b.path, b.token] += 1
-            rows += [(host, t, up, TAG, key, n, chars[t], links[t]) for (up, t), n in page.tags.items()]
-            rows.append((host, 0, 0, PAGE, key, 1, 0, 0))
-            rows += [(host, t, up, TEXT, key, n, 0, 0) for (up, t), n in texts.items()]
+            rows.append((host, 0, 0, PAGE, key, 1, 0, 0, 0, 0, 0))
+            rows += [(host, t, up, kind, key, *rest) for t, up, kind, *rest in page_tokens(page)]
         columns = zip(*rows) if rows else [[] for _ in TOKENS.names]
         yield pa.RecordBatch.from_pydict(dict(zip(TOKENS.names, columns)), schema=TOKENS)
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template, menus): tokens of template text, and paths of slots that hold links alone."""
+    """(host, template, menus, slots): tokens of template text, elements of links alone, and elements to go into."""
     ship(pages.sparkSession)
     rows = pages.select("url", "html").mapInArrow(
-        _tokens, "host string, token long, parent long, kind byte, key long, n int, chars long, links long"
+        _tokens,
+        "host string, token long, parent long, kind byte, key long, n int, text long, chars long, links long, "
+        "own long, around long",
     )
     same = ("host", "token", "parent", "kind")
+    sums = ("chars", "links", "own", "around")
     tokens = stage(
         rows.groupBy(*same, "key")
-        .agg(F.max("n").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+        .agg(F.max("n").alias("n"), F.max("text").alias("text"), *[F.max(c).alias(c) for c in sums])
         .groupBy(*same)
         .agg(
             F.count("*").alias("pages"),
             F.bit_xor(F.xxhash64("key", "n")).alias("vector"),
-            F.sum("chars").alias("chars"),
-            F.sum("links").alias("links"),
+            F.max("n").alias("n"),
+            (F.min("text") != F.max("text")).alias("varies"),
+            *[F.sum(c).alias(c) for c in sums],
         )
         .where("pages >= 2"),
         "tokens",
@@ -439,6 +571,10 @@ def templates(pages: DataFrame) -> DataFrame:
     hosts = tokens.where(F.col("kind") == PAGE).select(
         F.col("host").alias("of"), F.least("pages", F.lit(LEAST_PAGES)).alias("least")
     )
+    # Nothing is left out for being in an element to go into, so two pages are enough to tell that it differs.
+    slots = tokens.where((F.col("kind") == TAG) & (F.col("n") == 1) & F.col("varies") & (F.col("own") > 0)).where(
+        F.col("own") >= MAIN_SHARE * F.col("around")
+    )
     tokens = tokens.join(hosts, F.col("host").eqNullSafe(F.col("of"))).where("pages >= least").drop("of", "least")
     tags = tokens.where(F.col("kind") == TAG)
     # Container and text are one class when their occurrence vectors are equal.
@@ -455,21 +591,22 @@ def templates(pages: DataFrame) -> DataFrame:
         .select("host", "token", F.lit(TEXT).alias("kind"))
     )
     menus = tags.where((F.col("chars") > 0) & (F.col("links") >= MENU_LINKS * F.col("chars"))).select(
-        "host", "token", F.lit(TAG).alias("kind")
+        "host", "token", F.lit(MENU).alias("kind")
     )
-    found = text.union(menus).groupBy("host")
+    found = text.union(menus).union(slots.select("host", "token", F.lit(SLOT).alias("kind"))).groupBy("host")
     return found.agg(
-        F.collect_set(F.when(F.col("kind") == TEXT, F.col("token"))).alias("template"),
-        F.collect_set(F.when(F.col("kind") == TAG, F.col("token"))).alias("menus"),
+        *[
+            F.collect_set(F.when(F.col("kind") == kind, F.col("token"))).alias(name)
+            for kind, name in ((TEXT, "template"), (MENU, "menus"), (SLOT, "slots"))
+        ]
     )
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for html, template, menus in zip(batch.column(2), batch.column(3), batch.column(4)):
-            known = frozenset(template.as_py() or ()), frozenset(menus.as_py() or ())
-            texts.append(Page(html.as_py() or "").main(*known))
+        for html, *known in zip(*batch.columns[2:]):
+            texts.append(Page(html.as_py() or "").main(*(frozenset(tokens.as_py() or ()) for tokens in known)))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
             names=["page_id", "url", "text", "n_chars"],
@@ -480,7 +617,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     ship(pages.sparkSession)
     known = stage(templates(pages).withColumnRenamed("host", "of"), "templates")
-    hosts, tokens = known.agg(F.count("*"), F.sum(F.size("template") + F.size("menus"))).first()
+    size = F.size("template") + F.size("menus") + F.size("slots")
+    hosts, tokens = known.agg(F.count("*"), F.sum(size)).first()
     if hosts <= BROADCAST_HOSTS and (tokens or 0) <= BROADCAST_TOKENS:
         known = F.broadcast(known)
     authority = F.regexp_extract("url", HOST.pattern, 1)
@@ -488,6 +626,6 @@ def main_texts(pages: DataFrame) -> DataFrame:
     joined = pages.select(F.col("page_id").cast("long"), "url", "html", host.alias("host")).join(
         known, F.col("host").eqNullSafe(F.col("of")), "left"
     )
-    return joined.select("page_id", "url", "html", "template", "menus").mapInArrow(
+    return joined.select("page_id", "url", "html", "template", "menus", "slots").mapInArrow(
         _texts, "page_id long, url string, text string, n_chars long"
     )

@@ -6,9 +6,11 @@ import base64
 import gzip
 import hashlib
 import io
+import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from html import unescape
+from xml.etree import ElementTree
 
 import brute
 import pytest
@@ -127,7 +129,7 @@ def test_damaged_payloads_are_noticed(spark, tmp_path):
 
 
 def text(html: str) -> str:
-    return html_text.Page(html).main(frozenset(), frozenset())
+    return html_text.Page(html).main(frozenset(), frozenset(), frozenset())
 
 
 def test_menus_headers_and_the_like_are_left_out():
@@ -231,6 +233,148 @@ def test_templates_need_no_titles_and_no_number_of_pages(spark, n, head):
         assert got[k] == got[200 + k] == f"story {k}\n\nsecond part {k * k}" and got[100 + k] == got[0]
 
 
+def plain_article(html: str) -> str:
+    article = re.search(r"<article>(.*?)</article>", html, re.S)[1]
+    blocks = re.split(r"</?(?:p|h1)>", article.replace("<br>", " "))
+    return "\n\n".join(filter(None, (" ".join(unescape(re.sub("<[^>]*>", "", b)).split()) for b in blocks)))
+
+
+def neutral(html: str, without_advert: bool) -> str:
+    """A given page without telling names, and on request without its advert."""
+    html = re.sub(r' class="[^"]*"', "", re.sub(r"<(/?)(article|nav|footer)\b", r"<\1div", html))
+    return re.sub(r"<!-- ad.*?--><div>.*?</div>", "", html, flags=re.S) if without_advert else html
+
+
+@pytest.mark.parametrize("some_without", [False, True])
+def test_pages_without_telling_names_give_the_same_text(spark, some_without):
+    df = spark.read.parquet(f"{STAR.replace('0.001', '0.01')}/pages.parquet")
+    rows = tuples(df, "page_id", "url", "html")
+    changed = [(i, u, neutral(h, some_without and i % 3 == 0)) for i, u, h in rows]
+    got = dict(tuples(html_text.main_texts(pages(spark, changed)), "page_id", "text"))
+    layouts = Counter((html_text.host_of(u), some_without and i % 3 == 0) for i, u, _ in rows)
+    # A layout that a host has on one page only has nothing to be compared with.
+    want = {
+        i: plain_article(h) for i, u, h in rows if layouts[html_text.host_of(u), some_without and i % 3 == 0] > 1
+    }
+    assert len(want) > 180
+    right = sum(got[i] == text for i, text in want.items())
+    assert right >= 0.95 * len(want)
+    # It is the classes that find them: without, adverts and footers come in.
+    assert not any(text(h) == plain_article(rows[k][2]) for k, (_, _, h) in enumerate(changed))
+
+
+def random_page(rng: random.Random, layout: list, k: int) -> str:
+    """A page of a random layout: fixed texts, texts of its own, lists of links, nested."""
+    out = []
+    for part in layout:
+        if isinstance(part, list):
+            out.append(f"<div>{random_page(rng, part, k)}</div>")
+        elif part == "fixed":
+            out.append("<p>Always the same</p>")
+        elif part == "links":
+            out.append("<ul>" + "".join(f"<li><a>go {k} {j}</a></li>" for j in range(rng.randint(1, 4))) + "</ul>")
+        elif part == "often":
+            out.append("".join(f"<div><p>More</p><p>own {k} {j}</p></div>" for j in range(rng.randint(1, 3))))
+        elif part == "seldom":
+            out.append(f"<div>now {k}</div>" if rng.random() < 0.5 else "")
+        else:
+            out.append("".join(f"<p>{'word ' * rng.randint(1, 30)}{k} {j}</p>" for j in range(rng.randint(1, 4))))
+    return "".join(out)
+
+
+def random_layout(rng: random.Random, depth: int = 0) -> list:
+    parts = ["fixed", "links", "own", "often", "seldom"]
+    return [
+        random_layout(rng, depth + 1) if depth < 3 and rng.random() < 0.4 else rng.choice(parts)
+        for _ in range(rng.randint(1, 4))
+    ]
+
+
+def deduced(htmls: list[str]) -> list[str]:
+    """Classes, menus and slots of one host's pages by brute force, on parsed trees with paths written out."""
+    read = []
+    for html in htmls:
+        elements, blocks = [], []
+
+        def walk(element, plain, placed, elements=elements, blocks=blocks):
+            begin = len(blocks)
+            at = len(elements)
+            elements.append(None)
+            kids = [e for e in element if e.tag != "a"]
+            words = " ".join("".join(t for e in [element, *element.findall("a")] for t in [e.text or ""]).split())
+            if words:
+                size = len(words.replace(" ", ""))
+                blocks.append((plain, placed, words, size, size if element.find("a") is not None else 0))
+            for k, kid in enumerate(kids):
+                alike = [j for j, other in enumerate(kids) if other.tag == kid.tag]
+                place = (kid.tag, alike.index(k), len(alike)) if len(alike) > 1 else (kid.tag,)
+                walk(kid, (*plain, (kid.tag,)), (*placed, place))
+            elements[at] = (element.tag, plain, placed, begin, len(blocks))
+
+        walk(ElementTree.fromstring(f"<r>{html}</r>"), (), ())
+        read.append((elements, blocks))
+    keys = [tuple(b[2] for b in blocks if b[4] < 0.9 * b[3]) for _, blocks in read]
+    first = {key: k for k, key in reversed(list(enumerate(keys)))}
+    vectors, held = defaultdict(Counter), defaultdict(list)
+    for k in first.values():
+        elements, blocks = read[k]
+        inside = {e[2]: blocks[e[3] : e[4]] for e in elements}
+        for tag, plain, placed, begin, end in elements[1:]:
+            for token in {plain, placed}:
+                vectors[token][k] += 1
+                held[token].append((tag, blocks[begin:end], inside[placed[:-1]], token == placed))
+        for plain, placed, words, *_ in blocks:
+            for token in {plain, placed}:
+                vectors[token, words][k] += 1
+    pages_of = len(first)
+    least = min(pages_of, html_text.LEAST_PAGES)
+    template, menus, slots = set(), set(), set()
+    for token, vector in vectors.items():
+        if len(vector) < 2:
+            continue
+        if len(token) == 2 and isinstance(token[1], str):
+            if len(vector) >= least and vector == vectors.get(token[0]):
+                template.add(token)
+            continue
+        chars = sum(b[3] for _, of, *_ in held[token] for b in of)
+        links = sum(b[4] for _, of, *_ in held[token] for b in of)
+        if len(vector) >= least and chars and links >= html_text.MENU_LINKS * chars:
+            menus.add(token)
+        own = sum(b[3] - b[4] for _, of, *_ in held[token] for b in of)
+        around = sum(b[3] - b[4] for *_, of, _ in held[token] for b in of)
+        contents = {tuple(sorted(b[2] for b in of)) for _, of, *_ in held[token]}
+        alone = max(vector.values()) == 1 and held[token][0][0] == "div" and all(h[3] for h in held[token])
+        if alone and len(contents) > 1 and own and own >= html_text.MAIN_SHARE * around:
+            slots.add(token)
+    out = []
+    for elements, blocks in read:
+        at = ()
+        while below := [e for e in elements[1:] if e[2][:-1] == at and e[2] in slots]:
+            at = max(below, key=lambda e: sum(b[3] - b[4] for b in blocks[e[3] : e[4]]))[2]
+        kept = []
+        for plain, placed, words, *_ in blocks:
+            if placed[: len(at)] != at or {(plain, words), (placed, words)} & template:
+                continue
+            if not any(p[:n] in menus for p in (plain, placed) for n in range(1, len(p) + 1)):
+                kept.append(words)
+        out.append("\n\n".join(kept))
+    return out
+
+
+def test_classes_and_slots_against_brute_force(spark):
+    rng, rows, want = random.Random(5), [], []
+    for host in range(40):
+        layout = random_layout(rng)
+        htmls = [random_page(rng, layout, k) for k in range(rng.choice([1, 2, 5, 12]))]
+        rows += [(1000 * host + k, f"http://h{host}.example/{k}", html) for k, html in enumerate(htmls)]
+        want += deduced(htmls)
+    got = dict(tuples(html_text.main_texts(pages(spark, rows)), "page_id", "text"))
+    assert [got[r[0]] for r in rows] == want
+    # The layouts have all that there is to deduce.
+    whole = [text(r[2]) for r in rows]
+    assert sum(a != b for a, b in zip(whole, want)) > len(rows) / 3
+
+
 def test_pages_of_the_given_table(spark):
     df = spark.read.parquet(f"{STAR}/pages.parquet")
     rows = [(1000 + r[0], *r[1:]) for r in tuples(df, "page_id", "url", "html")] + EDGE
@@ -238,10 +382,7 @@ def test_pages_of_the_given_table(spark):
     assert len(got) == len(rows) and all(r[3] == len(r[2]) for r in got)
     by_id = {r[0]: r[2] for r in got}
     for page, _, html in rows[: -len(EDGE)]:
-        article = re.search(r"<article>(.*?)</article>", html, re.S)[1]
-        blocks = re.split(r"</?(?:p|h1)>", article.replace("<br>", " "))
-        blocks = (" ".join(unescape(re.sub("<[^>]*>", "", b)).split()) for b in blocks)
-        assert by_id[page] == "\n\n".join(filter(None, blocks))
+        assert by_id[page] == plain_article(html)
     assert by_id[9] == by_id[4] == ""
 
 
