@@ -14,18 +14,24 @@ split, when it is not.
 
 Defined results: a null or empty page has an empty payload; a null url is
 ``unknown:``; white space in urls is percent-encoded; of repeated page ids with
-equal payloads the first in the archives is the response; null ids come last; a
-line that is no record header is skipped, and a record cut off by the end of its
-archive is marked truncated; an empty table gives no records.
+equal payloads the first in the archives is the response; null ids come last; an
+empty table gives no records; other columns of the pages, whatever their names, are
+left out.  Archives may be plain or compressed.  In an ARC file a line that is no
+record header is skipped; where the compressed bytes are damaged or end early the
+archive ends, and its last record is marked truncated.  A version block without
+field names leaves the fields as they were.  A block that does not start as an HTTP
+response is all payload, and a resource.  Parts missing in a date are the first
+ones.  A WARC file that is damaged fails the read.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
@@ -50,6 +56,10 @@ BROADCAST_DIGESTS = 200_000
 BATCH_BYTES = 8 << 20
 
 PAGE_HEADER = "X-Page-Id"
+NUMBER = re.compile(r"-?[0-9]{1,19}")
+EMPTY_LINE = re.compile(rb"\r?\n\r?\n")
+#: What a date in an archive is completed with.
+FIRST_DATE = "19700101000000"
 WRITE = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": str(RECORDS_PER_FILE)}
 
 
@@ -99,11 +109,77 @@ def write_arc(pages: DataFrame, path: str, date: str = "20000101000000") -> None
     own.mapInArrow(run, "value string").write.options(**WRITE).option("lineSep", "\n").text(path)
 
 
-def opened(content: pa.Scalar) -> BinaryIO:
-    raw = pa.BufferReader(content.as_buffer())
-    head = raw.read(2)
-    raw.seek(0)
-    return gzip.GzipFile(fileobj=raw) if head == b"\x1f\x8b" else raw
+class Inflated(io.RawIOBase):
+    """The content of gzip members one after the other, as far as it is sound."""
+
+    PIECE = 1 << 16
+
+    def __init__(self, raw: memoryview, strict: bool):
+        self._raw = raw
+        self._strict = strict
+        self._at = 0
+        self._member = zlib.decompressobj(31)
+        self._out = b""
+        self._given = 0
+        self._ended = False
+
+    def readable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self._given
+
+    def readinto(self, into: memoryview) -> int:
+        while not self._out and not self._ended:
+            self._more()
+        n = min(len(into), len(self._out))
+        into[:n] = self._out[:n]
+        self._out = self._out[n:]
+        self._given += n
+        return n
+
+    def _more(self) -> None:
+        if self._member.eof:
+            # Members follow each other; zeros may fill up the end.
+            while self._at < len(self._raw) and self._raw[self._at] == 0:
+                self._at += 1
+            if self._at == len(self._raw):
+                self._ended = True
+                return
+            self._member = zlib.decompressobj(31)
+        piece = bytes(self._raw[self._at : self._at + self.PIECE])
+        if not piece:
+            self._damaged()
+            return
+        before = self._member.copy()
+        try:
+            self._out = self._member.decompress(piece, 16 * self.PIECE)
+            self._at += len(piece) - len(self._member.unused_data) - len(self._member.unconsumed_tail)
+        except zlib.error:
+            self._out = b"".join(self._sound(before, piece))
+            self._damaged()
+
+    @staticmethod
+    def _sound(member: object, piece: bytes) -> Iterator[bytes]:
+        """What a piece holds before its damage."""
+        try:
+            for k in range(len(piece)):
+                yield member.decompress(piece[k : k + 1])
+        except zlib.error:
+            return
+
+    def _damaged(self) -> None:
+        if self._strict:
+            raise ValueError("the compressed bytes are damaged or end early")
+        self._ended = True
+
+
+def opened(content: pa.Scalar, strict: bool = False) -> BinaryIO:
+    """An archive's bytes, inflated where they are compressed; if ``strict``, damage is an error."""
+    raw = content.as_buffer()
+    if raw.size >= 2 and raw[:2].to_pybytes() == b"\x1f\x8b":
+        return io.BufferedReader(Inflated(memoryview(raw), strict), 1 << 16)
+    return io.BytesIO(raw)
 
 
 def lines_of(file: BinaryIO) -> Iterator[tuple[int, bytes]]:
@@ -120,10 +196,11 @@ def read_arc(file: BinaryIO) -> Iterator[dict]:
     fields = len(FIELDS[1].split())
     for offset, line in lines_of(file):
         if line.startswith(b"filedesc://"):
-            size = int(line.rsplit(b" ", 1)[1])
-            block = file.read(size)
+            size = line.rpartition(b" ")[2]
             # The second line of the block names the fields of the headers that follow.
-            fields = len(block.split(b"\n")[1].split())
+            names = (file.read(int(size)) if size.isdigit() else b"").split(b"\n")[1:2]
+            if names and len(names[0].split()) >= len(FIELDS[1].split()):
+                fields = len(names[0].split())
             continue
         parts = line.rsplit(b" ", fields - 1)
         if len(parts) < fields or not parts[-1].isdigit():
@@ -143,22 +220,27 @@ def read_arc(file: BinaryIO) -> Iterator[dict]:
 
 
 def http_parts(block: bytes) -> tuple[bytes, bytes, dict[str, str]]:
-    """Head (with its empty line), body and header fields of an HTTP response."""
-    head, empty, body = block.partition(b"\r\n\r\n")
+    """Head (with its empty line), body and header fields of an HTTP response; a block of another kind is all body."""
+    if not block.startswith(b"HTTP/"):
+        return b"", block, {}
+    empty = EMPTY_LINE.search(block)
+    head = block[: empty.end()] if empty else block
     fields = {}
-    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+    for line in head.decode("utf-8", "replace").splitlines()[1:]:
         name, _, value = line.partition(":")
         fields[name.strip().lower()] = value.strip()
-    return head + empty, body, fields
+    return head, block[len(head) :], fields
 
 
 def page_of(fields: dict[str, str]) -> int | None:
-    value = fields.get(PAGE_HEADER.lower())
-    return int(value) if value is not None else None
+    value = fields.get(PAGE_HEADER.lower(), "")
+    if not NUMBER.fullmatch(value) or not -(1 << 63) <= int(value) < 1 << 63:
+        return None
+    return int(value)
 
 
 def archives(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,arc,warc}").load(path).select("path", "content")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,8 +275,11 @@ def record_id(path: str, offset: int) -> str:
 
 
 def warc_date(date: str) -> str:
-    d = date.ljust(14, "0")
-    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+    d = "".join(re.findall("[0-9]", date))[:14]
+    d += FIRST_DATE[len(d) :]
+    # No month or day is 00, though archives have them.
+    month, day = (part if part != "00" else "01" for part in (d[4:6], d[6:8]))
+    return f"{d[:4]}-{month}-{day}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +296,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     f"WARC-Target-URI: {record['url']}",
                     f"WARC-IP-Address: {record['ip']}",
                     f"WARC-Payload-Digest: sha1:{digest}",
-                    "Content-Type: application/http; msgtype=response",
+                    f"Content-Type: {'application/http; msgtype=response' if http else record['type']}",
                     *(["WARC-Truncated: length"] if record["truncated"] else []),
                 ]
                 rows.append((digest, name, record["offset"], "\r\n".join(head), http, body))
@@ -255,7 +340,7 @@ def convert(spark: SparkSession, arc: str, warc: str, least: int = LEAST_REVISIT
     )
     head = F.concat(
         F.lit("WARC/1.0\r\nWARC-Type: "),
-        F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")),
+        F.when(revisit, F.lit("revisit")).when(F.length("http") == 0, F.lit("resource")).otherwise(F.lit("response")),
         F.lit("\r\n"),
         F.when(revisit, refers).otherwise(F.lit("")),
         F.col("head"),
@@ -319,7 +404,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(*batch.columns):
             rows = []
-            for record in read_warc(opened(content)):
+            for record in read_warc(opened(content, strict=True)):
                 _, body, http = http_parts(record["block"])
                 declared = record["warc-payload-digest"].removeprefix("sha1:")
                 size = None

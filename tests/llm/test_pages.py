@@ -125,6 +125,105 @@ def test_damaged_payloads_are_noticed(spark, tmp_path):
         warc.warc_records(spark, f"file://{tmp_path}/w").collect()
 
 
+def arc_records(spark, folder) -> list[dict]:
+    """The records of WARC files converted from the ARC files of a folder."""
+    out = folder.parent / "converted"
+    warc.convert(spark, f"file://{folder}", f"file://{out}")
+    return [r for path in out.glob("*.gz") for r in warc.read_warc(io.BytesIO(gzip.decompress(path.read_bytes())))]
+
+
+def test_plain_and_damaged_archives_are_converted_as_far_as_they_are_sound(spark, tmp_path):
+    folder = tmp_path / "arc"
+    folder.mkdir()
+    rng = random.Random(1)
+    bodies = [rng.randbytes(3000) for _ in range(60)]
+    blocks = [b"HTTP/1.0 200 OK\r\n\r\n" + b for b in bodies]
+    one = [foreign(1, [b]) for b in blocks]
+    (folder / "plain.arc").write_bytes(b"".join(one[:10]))
+    whole = gzip.compress(foreign(1, blocks[10:40]))
+    (folder / "cut.arc.gz").write_bytes(whole[: len(whole) // 2])
+    tail = bytearray(gzip.compress(one[40]) + gzip.compress(one[41]))
+    tail[-6] ^= 255
+    (folder / "tail.arc.gz").write_bytes(tail)
+    (folder / "padded.arc.gz").write_bytes(b"".join(map(gzip.compress, one[42:50])) + bytes(512))
+    (folder / "noise.arc.gz").write_bytes(gzip.compress(one[50]) + b"no gzip at all")
+    (folder / "empty.arc").write_bytes(b"")
+    (folder / "stub.arc.gz").write_bytes(b"\x1f\x8b")
+    found = arc_records(spark, folder)
+    payloads = {warc.http_parts(r["block"])[1] for r in found if "warc-truncated" not in r}
+    assert payloads >= set(bodies[:10] + bodies[40:51]) and payloads <= set(bodies)
+    # The cut archive gives all that can be inflated: whole records and the part of one.
+    assert 10 <= len(payloads & set(bodies[10:40])) <= 16
+    part = [r for r in found if "warc-truncated" in r]
+    assert len(part) == 1 and any(b.startswith(part[0]["block"]) for b in blocks[10:40])
+
+
+def test_a_damaged_warc_file_is_an_error(spark, tmp_path):
+    warc.write_arc(pages(spark, [(k, "http://a.example/", f"page {k}") for k in range(50)]).coalesce(1), f"file://{tmp_path}/a")
+    warc.convert(spark, f"file://{tmp_path}/a", f"file://{tmp_path}/w")
+    (tmp_path / "cut").mkdir()
+    whole = next((tmp_path / "w").glob("*.gz")).read_bytes()
+    (tmp_path / "cut" / "a.gz").write_bytes(whole[: len(whole) // 2])
+    with pytest.raises(Exception, match="damaged"):
+        warc.warc_records(spark, f"file://{tmp_path}/cut").collect()
+
+
+@pytest.mark.parametrize(
+    "block",
+    [
+        b"filedesc://x 0.0.0.0 20010101000000 text/plain 11\n1 0 someone\n",
+        b"filedesc://x 0.0.0.0 20010101000000 text/plain many\n",
+        b"filedesc://x\n",
+        b"filedesc://x 0.0.0.0 20010101000000 text/plain 12\n1 0 some\nURL\n",
+        b"",
+    ],
+)
+def test_version_blocks_without_field_names(block):
+    record = b"http://a.example/ 10.0.0.1 20010203040506 text/html 5\nhello\n"
+    bad = b"http://a.example/ 10.0.0.1 20010203040506 text/html -5\n"
+    found = list(warc.read_arc(io.BytesIO(block + record + bad + record)))
+    assert [(r["url"], r["block"], r["truncated"]) for r in found] == [("http://a.example/", b"hello", False)] * 2
+
+
+@pytest.mark.parametrize(
+    ("block", "head", "body", "page"),
+    [
+        (b"HTTP/1.0 200 OK\nX-Page-Id: 7\n\nbody\r\n\r\nmore", b"HTTP/1.0 200 OK\nX-Page-Id: 7\n\n", b"body\r\n\r\nmore", 7),
+        (b"HTTP/1.0 200 OK\r\nX-Page-Id: -7\r\n\r\n\n\nbody", b"HTTP/1.0 200 OK\r\nX-Page-Id: -7\r\n\r\n", b"\n\nbody", -7),
+        (b"HTTP/1.0 200 OK\r\nX-Page-Id: seven\r\n\r\n", b"HTTP/1.0 200 OK\r\nX-Page-Id: seven\r\n\r\n", b"", None),
+        (b"HTTP/1.0 200 OK\nX-Page-Id: 99999999999999999999\n\n", b"HTTP/1.0 200 OK\nX-Page-Id: 99999999999999999999\n\n", b"", None),
+        (b"HTTP/1.0 204 None", b"HTTP/1.0 204 None", b"", None),
+        (b"20010101 dns answer\n\nof two parts", b"", b"20010101 dns answer\n\nof two parts", None),
+    ],
+)
+def test_heads_of_any_form(block, head, body, page):
+    assert warc.http_parts(block)[:2] == (head, body)
+    assert warc.page_of(warc.http_parts(block)[2]) == page
+
+
+def test_a_record_of_another_protocol_is_a_resource(spark, tmp_path):
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "a.arc").write_bytes(foreign(1, [b"an answer\n\nin two parts"]))
+    (record,) = arc_records(spark, tmp_path / "arc")
+    assert record["warc-type"] == "resource" and record["content-type"] == "image/gif"
+    assert record["block"] == b"an answer\n\nin two parts"
+
+
+@pytest.mark.parametrize(
+    ("date", "want"),
+    [
+        ("20010203040506", "2001-02-03T04:05:06Z"),
+        ("2000", "2000-01-01T00:00:00Z"),
+        ("200012", "2000-12-01T00:00:00Z"),
+        ("20000000000000", "2000-01-01T00:00:00Z"),
+        ("2001020304050607", "2001-02-03T04:05:06Z"),
+        ("-", "1970-01-01T00:00:00Z"),
+    ],
+)
+def test_dates_are_completed(date, want):
+    assert warc.warc_date(date) == want
+
+
 # Main texts
 
 
