@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import brute
@@ -78,7 +79,7 @@ def test_every_known_sentence_is_in_a_rule_or_reported():
 
 def test_spans_are_code_points_of_the_sentences():
     text = "é漢🤯 before.  Licensed under CC BY-NC 4.0. After"
-    _, _, _, spans, _ = license_scan.scanned(text)
+    spans = license_scan.scanned(text)[3]
     name, start, end = spans.split(":")
     assert (name, text[int(start) : int(end)]) == ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0.")
 
@@ -132,7 +133,7 @@ VERBATIM_GPL = (
     ],
 )
 def test_each_known_sentence_of_a_piece_counts(text, names, found):
-    _, sentences, licenses, _, left = license_scan.scanned(text)
+    _, sentences, licenses, _, left, _ = license_scan.scanned(text)
     assert (sentences, licenses, left) == (names, found, "")
 
 
@@ -145,6 +146,84 @@ def test_several_licenses_of_a_sentence_have_spans_of_their_own():
     ]
 
 
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty.  In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:"""
+
+
+@pytest.mark.parametrize(
+    ("text", "found", "later"),
+    [
+        ("Licensed under GPL-3.0", "gpl-3.0", ""),
+        ("Licensed under the GPLv2.", "gpl-2", ""),
+        ("It is GNU GPL v3 or later.", "gpl-3", "gpl-3"),
+        ("under the AGPL-3.0-only, that is", "agpl-3.0", ""),
+        ("under the GNU LGPL version 2.1 or any later version", "lgpl-2.1", "lgpl-2.1"),
+        ("under the GPLv3+", "gpl-3", "gpl-3"),
+        (VERBATIM_GPL, "gpl-2", "gpl-2"),
+        (f"{VERBATIM_GPL} Released under the MIT License.", "gpl-2,mit", "gpl-2"),
+        ("License: MIT", "mit", ""),
+        ("Text before.\n\nLicence: GPL-2.0-or-later\n\nText after", "gpl-2.0-or-later", ""),
+        ("licensed under the ISC license", "isc", ""),
+        ("a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa-4.0", ""),
+        ("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0", "cc-by-nc-nd-4.0", ""),
+        ("Marked CC0 1.0 Universal", "cc0-1.0", ""),
+        ("made available under the terms of the Eclipse Public License v2.0 which is there", "epl-2.0", ""),
+        ("Distributed under the Boost Software License, Version 1.0.", "bsl-1.0", ""),
+        ("under the terms of the EUPL v1.2", "eupl-1.2", ""),
+        ("Distributed under the zlib/libpng license", "zlib", ""),
+        ("under the terms of the Mozilla Public License, v. 2.0", "mpl-2.0", ""),
+        (ZLIB, "zlib", ""),
+        ("Die License mit allen Rechten", "", ""),
+        ("A license mit hand, 3 gplots and the GNU project", "", ""),
+    ],
+)
+def test_short_forms_and_later_versions(text, found, later):
+    got = license_scan.scanned(text)
+    assert (got[2], got[5]) == (found, later)
+
+
+def plain_rules(known: list) -> list[tuple[str, int, int]]:
+    """Licenses by brute force: at each place every rule is tried, and the first of the list that fits is taken."""
+    out, at = [], 0
+    while at < len(known):
+        fits = []
+        for order, (names, license_) in enumerate(license_scan.RULES):
+            part = known[at : at + len(names)]
+            gaps = [b.number - a.number - 1 for a, b in zip(part, part[1:])]
+            if [k.name for k in part] == list(names) and all(g <= license_scan.GAP for g in gaps):
+                fits.append((order, license_ or [k.names for k in part if k.names][0], part))
+        if fits:
+            _, license_, part = min(fits, key=lambda f: f[0])
+            out.append((license_, part[0].start, part[-1].end))
+        at += len(fits and min(fits, key=lambda f: f[0])[2]) or 1
+    return out
+
+
+def test_random_texts_against_brute_force():
+    rng, seen = random.Random(3), set()
+    for _ in range(3000):
+        parts = rng.choices([*EXAMPLES.values(), "Something else"], k=rng.randint(1, 12))
+        # Whole licenses come up when some of their sentences are kept in order.
+        whole = [EXAMPLES[n] for n in rng.choice(license_scan.RULES)[0]]
+        others = ["And this"] * rng.randint(0, 3)
+        sentences = parts + [s for w in whole for s in (*others, w)] + ["The end"]
+        text = ". ".join(sentences)
+        known = license_scan.known_sentences(text)
+        want = [(name, part) for part in sentences for name, example in EXAMPLES.items() if part == example]
+        assert [k.name for k in known] == [name for name, _ in want]
+        for k, (_, part) in zip(known, want):
+            assert text[k.start : k.end].rstrip(".") == part
+        found, _ = license_scan.licenses_of(known)
+        assert [f[:3] for f in found] == plain_rules(known)
+        seen.update(f[0] for f in found)
+    assert seen >= {"mit", "zlib", "isc", "bsd-2-clause", "bsd-3-clause", "bsl-1.0"}
+
+
 #: A text of each known sentence, broken by comment marks.
 EXAMPLES = {
     "spdx": "SPDX-License-Identifier: MIT",
@@ -181,6 +260,26 @@ EXAMPLES = {
     "cc-named": "under CC BY-SA 4.0",
     "unlicense": "This is free and unencumbered software released into the public domain",
     "public-domain": "placed in the public domain",
+    "gpl-short": "under GPL-3.0",
+    "license-field": "License: MIT",
+    "isc-named": "under the ISC license",
+    "zlib-named": "under the zlib license",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose",
+    "boost-named": "under the Boost Software License, Version 1.0",
+    "boost-grant": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the "
+    "software and accompanying documentation covered by this license",
+    "epl-named": "under the terms of the Eclipse Public License v2.0",
+    "eupl-named": "under the EUPL, Version 1.2",
+    "mpl-named": "under the Mozilla Public License 2.0",
+    "cc-by-long": "Creative Commons Attribution 4.0",
+    "cc-by-sa-long": "Creative Commons Attribution-ShareAlike 4.0",
+    "cc-by-nd-long": "Creative Commons Attribution-NoDerivatives 4.0",
+    "cc-by-nc-long": "Creative Commons Attribution-NonCommercial 4.0",
+    "cc-by-nc-sa-long": "Creative Commons Attribution-NonCommercial-ShareAlike 3.0",
+    "cc-by-nc-nd-long": "Creative Commons Attribution-NonCommercial-NoDerivs 3.0",
+    "cc0-named": "CC0 1.0",
+    "cc0-long": "Creative Commons Zero v1.0",
 }
 
 
