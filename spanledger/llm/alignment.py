@@ -35,9 +35,9 @@ import os
 import re
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +53,9 @@ from spanledger.llm.common import BROADCAST_ROWS, ship, stage
 
 #: What a worker remembers, in two generations of chunks (characters of texts and groups) and one of
 #: windows (ids).
-CHUNK_BYTES, WINDOW_IDS = 14_000_000, 1_000_000
+CHUNK_BYTES, WINDOW_IDS = 12_000_000, 1_000_000
+#: Pairs that documents of a block hold, listed at a time.
+PART_PAIRS = 1_000_000
 #: Bytes of texts that are encoded in one call.
 BATCH_BYTES = 1 << 20
 
@@ -97,16 +99,26 @@ def piece_tokens(path: str) -> tuple[sentencepiece.SentencePieceProcessor, list[
 
 def align(a: tuple[int, ...], b: tuple[int, ...], a_sizes: list[int], b_sizes: list[int]) -> Window:
     """The groups of a window, which are cut where a token of each ends at the same byte."""
-    a_ends = list(accumulate(map(a_sizes.__getitem__, a)))
-    b_ends = list(accumulate(map(b_sizes.__getitem__, b)))
+    return aligned(a, b, _ends(a, a_sizes), _ends(b, b_sizes))
+
+
+def _ends(ids: Sequence[int], sizes: list[int]) -> list[int]:
+    return list(accumulate(map(sizes.__getitem__, ids)))
+
+
+def aligned(a: Sequence[int], b: Sequence[int], a_ends: list[int], b_ends: list[int]) -> Window:
+    """The same of the tokens and where they end."""
+    if len(a) == len(b) == 1:
+        return f"{a[0]}|{b[0]}", 1, (a[0] << 32 | b[0]).to_bytes(8, "little"), b""
+    many: Counter[int] | None = None
     if a_ends == b_ends:
         pairs = [x << 32 | y for x, y in zip(a, b)]
         groups = [f"{x}|{y}" for x, y in zip(a, b)]
-        many: Counter[int] = Counter()
     else:
         groups, pairs, many = _groups(a, b, a_ends, b_ends)
     links = b""
     if many or len(set(pairs)) < len(pairs):
+        many = many or Counter()
         many.update(pairs)
         pairs = list(many)
         links = array("q", many.values()).tobytes()
@@ -114,18 +126,21 @@ def align(a: tuple[int, ...], b: tuple[int, ...], a_sizes: list[int], b_sizes: l
 
 
 def _groups(
-    a: tuple[int, ...], b: tuple[int, ...], a_ends: list[int], b_ends: list[int]
-) -> tuple[list[str], list[int], Counter[int]]:
-    """Groups as text, the pairs of small groups listed, and those of long ones counted."""
-    groups, pairs, many = [], [], Counter()
-    shared = set(b_ends).intersection(a_ends)
+    a: Sequence[int], b: Sequence[int], a_ends: list[int], b_ends: list[int]
+) -> tuple[list[str], list[int], Counter[int] | None]:
+    """Groups as text, the pairs of small groups listed, and those of long ones, if any, counted."""
+    groups, pairs, many = [], [], None
     i = j = 0
-    for end in sorted(shared):
+    while i < len(a) and j < len(b):
         to_i, to_j = i + 1, j + 1
-        while a_ends[to_i - 1] < end:
-            to_i += 1
-        while b_ends[to_j - 1] < end:
-            to_j += 1
+        end, other = a_ends[i], b_ends[j]
+        while end != other:
+            if end < other:
+                end = a_ends[to_i]
+                to_i += 1
+            else:
+                other = b_ends[to_j]
+                to_j += 1
         if to_i - i == to_j - j == 1:
             groups.append(f"{a[i]}|{b[j]}")
             pairs.append(a[i] << 32 | b[j])
@@ -136,6 +151,7 @@ def _groups(
                 pairs += [x << 32 | y for x in left for y in right]
             else:
                 # A group's links are products, so equal ids of a long one are multiplied, not listed.
+                many = many or Counter()
                 rights = Counter(right)
                 for x, n in Counter(left).items():
                     for y, m in rights.items():
@@ -180,8 +196,18 @@ class Aligner:
         spaced = [c if c[:1] == " " else " " + c for c in new]
         first = self.a.encode_batch_fast(spaced, add_special_tokens=False)
         second = self.b.encode([c[1:] for c in spaced], num_threads=1)
-        for chunk, text, x, y in zip(new, spaced, first, second):
-            self.remember(chunk, self.chunk(text.encode(), x.ids, y))
+        first = [x.ids for x in first]
+        raws = [c.encode() for c in spaced]
+        a_ends = [_ends(x, self.a_lengths) for x in first]
+        b_ends = [_ends(y, self.b_lengths) for y in second]
+        # All chunks at once: where every one ends where its tokens do, one comparison holds for each.
+        sound = (
+            all([x and y and x[-1] == y[-1] == len(raw) for raw, x, y in zip(raws, a_ends, b_ends)])
+            and (whole := b"".join(raws)) == b"".join(map(self.a_token, chain.from_iterable(first)))
+            and whole == b"".join(map(self.b_token, chain.from_iterable(second)))
+        )
+        for chunk, *of in zip(new, raws, first, second, a_ends, b_ends):
+            self.remember(chunk, self.chunk(*of, sound))
 
     def remember(self, text: str, chunk: Chunk) -> None:
         if self.chunk_size > CHUNK_BYTES:
@@ -197,14 +223,20 @@ class Aligner:
             found = self.chunks[text]
         return found
 
-    def chunk(self, raw: bytes, a: list[int], b: list[int]) -> Chunk:
-        """Tokens of each, groups as text, number of groups, links; no groups where the bytes differ."""
-        if b"".join(map(self.a_token, a)) != raw or b"".join(map(self.b_token, b)) != raw:
+    def chunk(
+        self, raw: bytes, a: list[int], b: list[int], a_ends: list[int], b_ends: list[int], sound: bool
+    ) -> Chunk:
+        """Tokens of each, groups as text, number of groups, links; no groups where the bytes differ.
+
+        ``sound`` where they are known not to.
+        """
+        if not sound and (b"".join(map(self.a_token, a)) != raw or b"".join(map(self.b_token, b)) != raw):
             return 0, 0, "", 0, b"", b""
         i, j = self.anchors(a, b) if raw.find(b" ", 1) > 0 else ([0, len(a)], [0, len(b)])
+        if len(i) == 2:
+            # The only window of a chunk is remembered with the chunk.
+            return len(a), len(b), *aligned(a, b, a_ends, b_ends)
         parts = [self.window(tuple(a[i[k] : i[k + 1]]), tuple(b[j[k] : j[k + 1]])) for k in range(len(i) - 1)]
-        if len(parts) == 1:
-            return len(a), len(b), *parts[0]
         links: Counter[int] = Counter()
         for _, _, pairs, counts in parts:
             listed = array("q", pairs)
@@ -241,6 +273,29 @@ def aligner(byte_path: str, piece_path: str) -> Aligner:
     return Aligner(byte_path, piece_path)
 
 
+def holders(docs: np.ndarray, chunks: np.ndarray, sizes: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """How many documents hold each of n pairs: ``docs``, sorted, hold ``chunks``, of ``sizes`` pairs each (``of``).
+
+    Some documents at a time, so that what they hold is never listed for the whole block.
+    """
+    holding = np.zeros(n, np.int64)
+    starts = np.cumsum(sizes) - sizes
+    ends = np.cumsum(sizes[chunks])
+    begin = 0
+    while begin < len(docs):
+        before = ends[begin - 1] if begin else 0
+        # A document is never cut: its last chunk ends the part.
+        last = docs[min(int(np.searchsorted(ends, before + PART_PAIRS)), len(docs) - 1)]
+        end = int(np.searchsorted(docs, last, side="right"))
+        some = chunks[begin:end]
+        own = (docs[begin:end] - docs[begin]) * n
+        held = distinct(np.repeat(own, sizes[some]) + of[expand(starts[some], sizes[some])])
+        if n:
+            holding += np.bincount(held % n, minlength=n)
+        begin = end
+    return holding
+
+
 class Block:
     """Aligned documents that share one list of chunks and one list of id pairs."""
 
@@ -284,11 +339,7 @@ class Block:
         docs = np.repeat(np.arange(len(counts), dtype=np.int64), counts)
         held = distinct(docs << 32 | chunks)
         docs, of_chunk = held >> 32, held & 0xFFFFFFFF
-        starts = np.cumsum(sizes) - sizes
-        held = distinct(
-            np.repeat(docs, sizes[of_chunk]) * max(1, len(known)) + of[expand(starts[of_chunk], sizes[of_chunk])]
-        )
-        holding = np.bincount(held % max(1, len(known)), minlength=len(known))
+        holding = holders(docs, of_chunk, sizes, of, len(known))
         columns = {
             "block": pa.array([number], pa.int64()),
             "doc_ids": pa.array([self.ids], pa.list_(id_kind)),

@@ -6,6 +6,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import EDGE_TEXTS, edge_rows, frame, row
@@ -143,3 +144,42 @@ def test_forgotten_chunks_are_learned_again(spark, monkeypatch):
     for text in texts:
         block.add(0, kit.split(text))
     assert [d for d in block.digests] == [r[-1] for r in plain([row(0, t) for t in texts])]
+
+
+def test_only_windows_of_chunks_with_several_are_remembered():
+    """A chunk's only window is kept with the chunk; a second copy of each took memory and was never asked for."""
+    kit = alignment.Aligner(BYTE_VOCABULARY, PIECE_VOCABULARY)
+    kit.learn([kit.split("unbelievable things,  happening everywhere")])
+    assert len(kit.chunks) == 3 and sum(len(a) for a, _ in kit.windows) == len(
+        kit.a.encode(" things,  happening", add_special_tokens=False).ids
+    )
+    kit = alignment.Aligner(BYTE_VOCABULARY, PIECE_VOCABULARY)
+    kit.learn([kit.split("some plain words")])
+    assert len(kit.chunks) == 3 and not kit.windows
+
+
+def test_a_chunk_that_is_not_given_back_spoils_no_other():
+    """Chunks are compared all at once, and one by one where some differ."""
+    kit = alignment.Aligner(BYTE_VOCABULARY, PIECE_VOCABULARY)
+    good, bad = "plain words here", "a\u2581b \u2163 \ufb01sh"
+    kit.learn([kit.split(good), kit.split(bad)])
+    block = alignment.Block(kit)
+    for k, text in enumerate((good, bad)):
+        block.add(k, kit.split(text))
+    assert block.digests == [r[-1] for r in plain([row(0, good), row(1, bad)])]
+
+
+def test_holders_of_pairs_are_counted_in_parts_of_any_size(monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(0, 5, 30)
+    of = rng.integers(0, 40, sizes.sum())
+    held = alignment.distinct(rng.integers(0, 25, 200) << 32 | rng.integers(0, 30, 200))
+    docs, chunks = held >> 32, held & 0xFFFFFFFF
+    starts = np.cumsum(sizes) - sizes
+    pairs = {(d, p) for d, c in zip(docs, chunks) for p in of[starts[c] : starts[c] + sizes[c]].tolist()}
+    whole = [sum(p == k for _, p in pairs) for k in range(40)]
+    for part in (1, 7, 50, 1_000_000):
+        monkeypatch.setattr(alignment, "PART_PAIRS", part)
+        assert alignment.holders(docs, chunks, sizes, of, 40).tolist() == whole
+    nothing = np.zeros(0, np.int64)
+    assert alignment.holders(nothing, nothing, nothing, nothing, 0).tolist() == []
