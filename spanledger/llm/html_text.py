@@ -38,6 +38,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -78,6 +79,9 @@ SIBLINGS = {
     "option": (frozenset({"option"}), frozenset({"select"})),
 }
 P_SCOPE = CLOSES_P - {"p"} | {"td", "th", "li", "body", "html"}
+P = frozenset({"p"})
+#: What ends an element whose content is no markup.
+SHUT = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are one text or part of a list or table, not containers of a page's parts.
 PARTS = HEADINGS | frozenset("p pre li dt dd tr td th caption figcaption summary blockquote address legend".split())
@@ -174,11 +178,20 @@ def digest(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
+def n_chars(text: str) -> int:
+    """Characters of a block's text but its white space, which is single spaces."""
+    return len(text) - text.count(" ")
+
+
+#: What ``_words`` finds in a tag without attributes.
+NAMELESS = "", frozenset(), False, frozenset()
+
+
 def _words(attributes: str) -> tuple[str, frozenset[str], bool, frozenset[str]]:
     """The class, id and role of a tag as written, their words that set it aside, whether a name has
     no others, and all words."""
     if "=" not in attributes:
-        return "", frozenset(), False, frozenset()
+        return NAMELESS
     written = " ".join(next(filter(None, m[1:]), "") for m in ATTRIBUTE.findall(attributes))
     every, aside, whole = set(), set(), False
     for name in written.split():
@@ -261,7 +274,7 @@ class Page:
             if close:
                 self._close(tag)
             elif tag in RAW and not attributes.endswith("/"):
-                shut = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
+                shut = SHUT[tag].search(html, at)
                 at = shut.end() if shut else end
             else:
                 self._start(tag, attributes)
@@ -287,22 +300,28 @@ class Page:
         return next(e.aside for e in reversed(self._open) if e.tag not in INLINE)
 
     def _flush(self) -> None:
-        if self._text:
-            text = " ".join("".join(self._text).split())
-            if text:
+        # Links are counted with their text.
+        if not self._text:
+            return
+        text = " ".join("".join(self._text).split())
+        if text:
+            top = self._open[-1]
+            if top.tag in INLINE:
                 top = next(e for e in reversed(self._open) if e.tag not in INLINE)
-                token = digest(f"{top.path} {text}")
-                # A heading in an article's header is part of the article.
-                aside = top.aside and not (top.header and top.article and top.tag in HEADINGS)
-                self.blocks.append(Block(top.path, top.node, token, text, self._links, top.article, aside, top.form))
-            self._text.clear()
+            token = digest(f"{top.path} {text}")
+            # A heading in an article's header is part of the article.
+            aside = top.aside and not (top.header and top.article and top.tag in HEADINGS)
+            self.blocks.append(Block(top.path, top.node, token, text, self._links, top.article, aside, top.form))
+        self._text.clear()
         self._links = 0
 
     def _pop(self, at: int) -> None:
-        if any(e.tag not in INLINE for e in self._open[at:]):
+        ended = self._open[at:]
+        if self._text and any(e.tag not in INLINE for e in ended):
             self._flush()
-        for e in self._open[at:]:
-            self._count(e)
+        for e in ended:
+            if e.own or e.tag == "article" or e.tag == "main":
+                self._count(e)
             if e.tag not in INLINE:
                 self.nodes[e.node].end = len(self.blocks)
         del self._open[at:]
@@ -315,43 +334,50 @@ class Page:
             self._articles.append((e.tag, e.named, self._chars - e.begin))
 
     def _close(self, tag: str) -> None:
-        if tag not in INLINE:
+        inline = tag in INLINE
+        if not inline and self._text:
             self._flush()
         for at in range(len(self._open) - 1, 0, -1):
-            if self._open[at].tag == tag:
+            open_tag = self._open[at].tag
+            if open_tag == tag:
                 self._pop(at)
                 return
             # An inline end tag without its start does not reach outside its block.
-            if tag in INLINE and self._open[at].tag not in INLINE:
+            if inline and open_tag not in INLINE:
                 return
 
     def _end_open(self, ends: frozenset[str], scope: frozenset[str]) -> None:
         for at in range(len(self._open) - 1, 0, -1):
-            if self._open[at].tag in ends:
+            tag = self._open[at].tag
+            if tag in ends:
                 self._pop(at)
-                if ends == {"p"} or ends == {"li"}:
+                if len(ends) == 1 and ("p" in ends or "li" in ends):
                     return
                 continue
-            if self._open[at].tag in scope:
+            if tag in scope:
                 return
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag == "br":
             self._text.append(" ")
             return
-        if tag not in INLINE:
-            self._flush()
+        inline = tag in INLINE
+        if not inline:
+            if self._text:
+                self._flush()
             if tag in CLOSES_P:
-                self._end_open(frozenset({"p"}), P_SCOPE)
+                self._end_open(P, P_SCOPE)
             if tag in SIBLINGS:
                 self._end_open(*SIBLINGS[tag])
         if tag in VOID:
             return
-        written, aside, whole, words = _words(attributes)
+        written, aside, whole, words = _words(attributes) if attributes else NAMELESS
         header = "header" in words <= HEADER_WORDS
-        own = tag not in MAIN_TAGS and (bool(aside) or header)
+        own = (bool(aside) or header) and tag not in MAIN_TAGS
         said = own and len(self._named) not in self._lifted
-        if tag in ("article", "main") and not said:
+        body = (tag == "article" or tag == "main") and not said
+        shunned = tag in ASIDE_TAGS
+        if body:
             # An article is not part of a menu or header: their end tags are missing, or wrap the page.
             first = next((k for k, e in enumerate(self._open) if e.tag in ASIDE_TAGS and e.tag != "form"), None)
             if first is not None:
@@ -361,24 +387,23 @@ class Page:
         if own:
             named = len(self._named)
             self._named.append(Named(up.named, aside or frozenset({"header"}), whole or header))
-        inline = tag in INLINE
         path, node = up.path, up.node
         if not inline:
             name = f"{tag} {written}"
             path, node = digest(f"{up.path}/{name}"), len(self.nodes)
             self.nodes.append(Node(up.node, tag, name, path, len(self.blocks)))
-        fresh = tag in ("article", "main") and not said and up.form
+        fresh = body and up.form
         self._open.append(
             Element(
                 tag,
                 path,
                 node,
                 up.article or tag == "article" and not said,
-                (up.aside and not fresh) or said or tag in ASIDE_TAGS,
+                (up.aside and not fresh) or said or shunned,
                 (up.form and not fresh) or (tag == "form" and not up.aside),
                 up.header or (tag == "header" and not up.aside),
                 up.link or tag == "a",
-                (up.tagged and not fresh) or tag in ASIDE_TAGS,
+                (up.tagged and not fresh) or shunned,
                 up.nested or up.tag == "article",
                 named,
                 own,
@@ -388,7 +413,7 @@ class Page:
 
     def key(self) -> int:
         """Pages with equal keys are copies of each other as far as templates go."""
-        own = [b.text for b in self.blocks if not b.aside and b.links < MENU_LINKS * len("".join(b.text.split()))]
+        own = [b.text for b in self.blocks if not b.aside and b.links < MENU_LINKS * n_chars(b.text)]
         return digest("\n".join(own))
 
     def place(self) -> None:
@@ -407,14 +432,16 @@ class Page:
 
     def sums(self) -> tuple[list[int], list[int], list[int], list[int]]:
         """Running sums over the blocks: characters, those in links, those of possible main text, digests."""
-        chars, links, own, texts = [0], [0], [0], [0]
-        for b in self.blocks:
-            n = len("".join(b.text.split()))
-            chars.append(chars[-1] + n)
-            links.append(links[-1] + b.links)
-            own.append(own[-1] + (0 if b.aside else n - b.links))
-            texts.append(texts[-1] + digest(b.text))
-        return chars, links, own, texts
+        sizes = [n_chars(b.text) for b in self.blocks]
+        chars = list(accumulate(sizes, initial=0))
+        links = list(accumulate([b.links for b in self.blocks], initial=0))
+        texts = list(accumulate([digest(b.text) for b in self.blocks], initial=0))
+        return chars, links, self.own(sizes), texts
+
+    def own(self, sizes: list[int]) -> list[int]:
+        """Running sums of the characters of possible main text, of the blocks' characters."""
+        own = [0 if b.aside else n - b.links for b, n in zip(self.blocks, sizes)]
+        return list(accumulate(own, initial=0))
 
     def main(self, template: frozenset[int], menus: frozenset[int], slots: frozenset[int]) -> str:
         """The main text, given the host's template texts, its menus and the elements to go into."""
@@ -434,7 +461,7 @@ class Page:
         left = [
             (k, b)
             for k, b in enumerate(self.blocks)
-            if k in inside and not template.intersection(self.text_tokens(b))
+            if k in inside and template.isdisjoint(self.text_tokens(b))
         ]
         within = any(b.article and not b.aside for b in self.blocks)
         for forms in (False, True):
@@ -454,7 +481,7 @@ class Page:
 
     def _main_slot(self, slots: frozenset[int]) -> set[int]:
         """The blocks of the innermost element reached, and of the headings before it."""
-        *_, own, _ = self.sums()
+        own = self.own([n_chars(b.text) for b in self.blocks])
         children: dict[int, list[int]] = {}
         for k, n in enumerate(self.nodes[1:], 1):
             children.setdefault(n.up, []).append(k)

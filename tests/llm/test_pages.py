@@ -487,3 +487,16 @@ def test_pages_of_the_given_table(spark):
 
 def test_no_pages_no_texts(spark):
     assert tuples(html_text.main_texts(pages(spark, []))) == []
+
+
+def test_blocks_are_measured_without_being_split_or_digested_again(monkeypatch):
+    """The second pass needs characters alone; texts of blocks have single spaces as their only white space."""
+    html = "<body><h1>a  b</h1><div><p>one\x0b two &nbsp; three<p><a href=x>four five</a> six</div><nav>menu</nav></body>"
+    page = html_text.Page(html)
+    page.place()
+    assert [html_text.n_chars(b.text) for b in page.blocks] == [len("".join(b.text.split())) for b in page.blocks]
+    chars, links, own, _ = page.sums()
+    assert (chars, links, own) == ([0, 2, 13, 24, 28], [0, 0, 0, 8, 8], [0, 2, 13, 16, 16])
+    calls = []
+    monkeypatch.setattr(html_text, "digest", calls.append)
+    assert page._main_slot(frozenset()) == {0, 1, 2, 3} and not calls
