@@ -58,8 +58,8 @@ def parts(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBa
 def pack(values: Sequence | np.ndarray, kind: str) -> bytes:
     """An array of numbers, compressed plane by plane: first all lowest bytes, then all next ones."""
     values = np.ascontiguousarray(values, dtype=kind)
-    planes = values.view(np.uint8).reshape(-1, values.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes)
 
 
 def unpack(data: bytes, kind: str) -> np.ndarray:

@@ -95,11 +95,14 @@ def let_go(spark: SparkSession) -> None:
     """Have Spark remove the files of shuffles that no table needs any more.
 
     It does when the driver's collector finds them unreachable, which by itself can take as long as
-    the job.  Python's bridge tells the driver what Python has dropped within about a second.
+    the job.  Python's bridge tells the driver what Python has dropped within about a second; Spark
+    removes the files in the background, slowly once executors are busy again, so that is waited for.
     """
-    gc.collect()
-    time.sleep(2)
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        time.sleep(1.5)
+        spark._jvm.System.gc()
+    time.sleep(1)
 
 
 def discard(spark: SparkSession, *paths: str) -> None:

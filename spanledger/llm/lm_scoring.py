@@ -32,16 +32,16 @@ own size; an empty table gives no row; ids keep their type; extra columns are ig
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pandas.util import hash_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanledger.llm.blocks import Numbers, first_block, grouped, id_type, pack, pack_steps, parts, placed, sums, unpack, unpack_steps
+from spanledger.llm.blocks import first_block, grouped, id_type, pack, pack_steps, parts, placed, sums, unpack, unpack_steps
 from spanledger.llm.common import let_go, release, ship, stage
 from spanledger.llm.elias_fano import Mapped, Monotone
 
@@ -51,7 +51,7 @@ PRIOR_2, PRIOR_3 = 200.0, 50.0
 STEPS, NONE = 4096, 65535
 #: Tokens of a block, of a shard of the trie, and rows of a bucket of the vocabulary.  A task holds some
 #: 200 bytes a token of the first two.
-BLOCK_TOKENS, SHARD_TOKENS, BUCKET_ROWS = 1_500_000, 400_000, 100_000
+BLOCK_TOKENS, SHARD_TOKENS, BUCKET_ROWS = 1_500_000, 400_000, 400_000
 #: Bytes of texts that are cut into words in one call.
 PART_BYTES = 2_000_000
 #: The end of a text is the word without a letter; the start of a text has number 0.
@@ -72,32 +72,32 @@ class Block:
     def __init__(self):
         self.ids: list = []
         self.flags: list[tuple[bool, bool]] = []
-        self.words = Numbers()
-        self.words[END]  # noqa: B018  (number 0)
-        self.texts: list[np.ndarray] = []
+        self.words: list[pa.DictionaryArray] = []
         self.sizes: list[np.ndarray] = []
         self.size = 0
 
     def add(self, ids: list, held: list[bool], learn: list[bool], texts: pa.StringArray) -> None:
         # Of ASCII these know A-Z and the six white spaces of the contract alone; ends give empty words.
         split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-        words = split.flatten().dictionary_encode()
-        numbers = np.array([self.words[w] for w in words.dictionary.cast(pa.binary()).to_pylist()], np.int32)
-        places = words.indices.to_numpy()
-        numbers = numbers[places] if len(places) else np.zeros(0, np.int32)
+        words = split.flatten()
+        real = pc.greater(pc.binary_length(words), 0)
         sizes = split.value_lengths().to_numpy().astype(np.int64)
-        real = numbers > 0
-        ends = np.cumsum(sums(real.astype(np.int64), sizes))
-        self.texts.append(np.insert(numbers[real], ends, 0))
-        self.sizes.append(np.diff(ends, prepend=0) + 1)
+        self.sizes.append(sums(real.to_numpy(zero_copy_only=False).astype(np.int64), sizes) + 1)
+        self.words.append(words.filter(real).cast(pa.binary()).dictionary_encode())
         self.ids += ids
         self.flags += zip(held, learn)
-        self.size += len(self.texts[-1])
+        self.size += int(self.sizes[-1].sum())
 
     def row(self, number: int, id_kind: pa.DataType) -> pa.RecordBatch:
-        tokens, sizes = np.concatenate(self.texts), np.concatenate(self.sizes).astype("<i4")
+        words, sizes = pa.concat_arrays(self.words), np.concatenate(self.sizes)
+        # Number 0 is the end, behind the words of each document.
+        tokens = np.zeros(self.size, np.int64)
+        inside = np.ones(self.size, bool)
+        inside[np.cumsum(sizes) - 1] = False
+        tokens[inside] = words.indices.to_numpy() + 1
         held, learn = (np.array(x, bool) for x in zip(*self.flags))
-        n = len(self.words)
+        n = len(words.dictionary) + 1
+        n_learn = np.bincount(tokens[np.repeat(learn, sizes)], minlength=n)
         columns = {
             "block": pa.array([number], pa.int64()),
             "doc_ids": pa.array([self.ids], pa.list_(id_kind)),
@@ -105,14 +105,21 @@ class Block:
             "learn": pa.array([pack(learn, "?")], pa.binary()),
             "sizes": pa.array([pack(sizes, "<i4")], pa.binary()),
             "tokens": pa.array([pack(tokens, "<i4")], pa.binary()),
-            "words": pa.array([self.words.keys_in_order], pa.list_(pa.binary())),
-            "n_learn": pa.array([np.bincount(tokens[np.repeat(learn, sizes)], minlength=n)], pa.list_(pa.int64())),
-            "n_all": pa.array([np.bincount(tokens, minlength=n)], pa.list_(pa.int64())),
+            "words": joined(pa.concat_arrays([pa.array([END], pa.binary()), words.dictionary]), [0, n]),
+            "n_learn": pa.array([pack(n_learn, "<i8")], pa.binary()),
+            "n_all": pa.array([pack(np.bincount(tokens, minlength=n), "<i8")], pa.binary()),
             "n_words": pa.array([n], pa.int64()),
+            "learned": pa.array([n_learn.sum()], pa.int64()),
+            "everywhere": pa.array([self.size], pa.int64()),
         }
         return pa.RecordBatch.from_pydict(columns)
 
 
+def joined(words: pa.BinaryArray, cuts: Sequence[int]) -> pa.BinaryArray:
+    """The words from each cut to the next as one value; no word holds a white space, and none is cut off."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), words), b" ")
+
+
 def token_blocks(docs: DataFrame) -> DataFrame:
     """Blocks of whole texts as token numbers, with the block's words and their counts."""
     ship(docs.sparkSession)
@@ -134,39 +141,87 @@ def token_blocks(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     schema = (
         f"block long, doc_ids array<{kind}>, held binary, learn binary, sizes binary, tokens binary, "
-        "words array<binary>, n_learn array<long>, n_all array<long>, n_words long"
+        "words binary, n_learn binary, n_all binary, n_words long, learned long, everywhere long"
     )
     return docs.select("doc_id", flags[0].alias("held"), flags[1].alias("learn"), text.alias("text")).mapInArrow(run, schema)
 
 
-def vocabulary(blocks: DataFrame) -> DataFrame:
-    """For each word of a block its number and counts over the corpus; ``first`` in one of its blocks."""
-    rows = blocks.agg(F.sum("n_words")).first()[0] or 0
-    buckets = max(1, -(-rows // BUCKET_ROWS))
-    words = blocks.select(
-        F.col("block").alias("of"), F.posexplode(F.arrays_zip("words", "n_learn", "n_all")).alias("place", "x")
-    ).select("of", "place", F.col("x.words").alias("word"), "x.n_learn", "x.n_all")
-    words = words.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)))
-    same = Window.partitionBy("bucket", "word")
-    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy("word")) - 1
-    return words.select(
-        "of",
-        "place",
-        (1 + rank * F.lit(buckets).cast("long") + F.col("bucket")).alias("number"),
-        F.sum("n_learn").over(same).alias("learned"),
-        F.sum("n_all").over(same).alias("everywhere"),
-        (F.col("of") == F.min("of").over(same)).alias("first"),
-    )
+def words_by_bucket(blocks: DataFrame, buckets: int) -> DataFrame:
+    """For each block and bucket the block's words that fall into it, their places in the block, and their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield rows(row)
+
+    def rows(row: dict) -> pa.RecordBatch:
+        words = pc.split_pattern(pa.array([row["words"]], pa.binary()), " ").flatten()
+        hashes = hash_array(words.to_numpy(zero_copy_only=False), categorize=False)
+        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+        place = placed(bucket)
+        bucket = bucket[place]
+        cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(place))
+        columns = [place, *[unpack(row[x], "<i8")[place] for x in ("n_learn", "n_all")]]
+        packed = [[pack(x[a:b], "<i8") for a, b in zip(cuts, cuts[1:])] for x in columns]
+        return pa.RecordBatch.from_pydict(
+            {
+                "of": pa.array(np.full(len(cuts) - 1, row["block"])),
+                "bucket": pa.array(bucket[cuts[:-1]]),
+                "words": joined(words.take(pa.array(place)), cuts),
+                **{x: pa.array(y, pa.binary()) for x, y in zip(("place", "n_learn", "n_all"), packed)},
+            }
+        )
+
+    schema = "of long, bucket long, words binary, place binary, n_learn binary, n_all binary"
+    return blocks.select("block", "words", "n_learn", "n_all").mapInArrow(run, schema)
+
+
+def vocabulary(blocks: DataFrame, buckets: int) -> DataFrame:
+    """For each word of a block, packed by block and bucket, its number and counts over the corpus.
+
+    ``distinct``, in one row of a bucket, is how many of its words training documents hold.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["of"])
+        split = [pc.split_pattern(pa.array([r["words"]], pa.binary()), " ").flatten().dictionary_encode() for r in rows]
+        ends = np.cumsum([len(x) for x in split])[:-1]
+        rank = pa.concat_arrays(split).indices.to_numpy().astype(np.int64)
+        of_word = [np.zeros(int(rank.max()) + 1, np.int64) for _ in range(2)]
+        for counts, name in zip(of_word, ("n_learn", "n_all")):
+            # A block has a word once.
+            for at, r in zip(np.split(rank, ends), rows):
+                counts[at] += unpack(r[name], "<i8")
+        number = 1 + rank * buckets + rows[0]["bucket"]
+        columns = {"number": number, "learned": of_word[0][rank], "everywhere": of_word[1][rank]}
+        distinct = np.zeros(len(rows), np.int64)
+        distinct[0] = np.count_nonzero(of_word[0])
+        return pa.table(
+            {
+                "of": pa.array([r["of"] for r in rows], pa.int64()),
+                "place": pa.array([r["place"] for r in rows], pa.binary()),
+                **{
+                    name: pa.array([pack(x, "<i8") for x in np.split(values, ends)], pa.binary())
+                    for name, values in columns.items()
+                },
+                "distinct": distinct,
+            }
+        )
+
+    schema = "of long, place binary, number binary, learned binary, everywhere binary, distinct long"
+    return words_by_bucket(blocks, buckets).groupBy("bucket").applyInArrow(run, schema)
 
 
 def numbered_blocks(blocks: DataFrame, words: DataFrame) -> DataFrame:
     """Blocks with the corpus-wide numbers and counts of their words instead of the words."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right.column("place").to_numpy())
+        rows = right.to_pylist()
+        order = np.argsort(np.concatenate([unpack(r["place"], "<i8") for r in rows]))
         kept = left
         for name in ("number", "learned", "everywhere"):
-            kept = kept.append_column(name, pa.array([pack(right.column(name).to_numpy()[order], "<i8")], pa.binary()))
+            values = np.concatenate([unpack(r[name], "<i8") for r in rows])[order]
+            kept = kept.append_column(name, pa.array([pack(values, "<i8")], pa.binary()))
         return kept
 
     kind = blocks.schema["doc_ids"].dataType.simpleString()
@@ -174,26 +229,32 @@ def numbered_blocks(blocks: DataFrame, words: DataFrame) -> DataFrame:
         f"block long, doc_ids {kind}, held binary, learn binary, sizes binary, tokens binary, "
         "number binary, learned binary, everywhere binary"
     )
-    asked = words.select("of", "place", "number", "learned", "everywhere")
-    packed = blocks.drop("words", "n_learn", "n_all", "n_words")
-    return packed.groupBy("block").cogroup(asked.groupBy("of")).applyInArrow(run, schema)
+    packed = blocks.select("block", "doc_ids", "held", "learn", "sizes", "tokens")
+    return packed.groupBy("block").cogroup(words.drop("distinct").groupBy("of")).applyInArrow(run, schema)
 
 
 class Grams:
     """The distinct n-grams of a block: bigrams (v, w), trigrams (u, v, w), and those of each token."""
 
     def __init__(self, row: dict):
-        self.tokens = unpack(row["tokens"], "<i4").astype(np.int64)
         self.sizes = unpack(row["sizes"], "<i4")
         self.learn = np.repeat(unpack(row["learn"], "?"), self.sizes)
         self.number, self.learned, self.everywhere = (
             unpack(row[x], "<i8") for x in ("number", "learned", "everywhere")
         )
-        # The start stands behind the block's words; it is a context as often as there are ends.
-        start = len(self.number)
-        self.number = np.append(self.number, START)
-        self.context = np.append(self.learned, self.learned[0])
-        self.context_everywhere = np.append(self.everywhere, self.everywhere[0])
+        # The start comes first, as its number does, then the block's words by their numbers, so that
+        # n-grams sorted here are sorted by numbers.  It is a context as often as there are ends.
+        order = np.argsort(self.number)
+        self.number, self.learned, self.everywhere = (
+            np.append(first, values[order])
+            for first, values in ((START, self.number), (0, self.learned), (0, self.everywhere))
+        )
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(1, len(order) + 1)
+        self.tokens = place[unpack(row["tokens"], "<i4")]
+        start, end = 0, place[0]
+        self.context, self.context_everywhere = self.learned.copy(), self.everywhere.copy()
+        self.context[start], self.context_everywhere[start] = self.learned[end], self.everywhere[end]
         begins = np.cumsum(self.sizes) - self.sizes
         before = np.empty_like(self.tokens)
         before[1:] = self.tokens[:-1]
@@ -201,11 +262,13 @@ class Grams:
         before_that = np.empty_like(self.tokens)
         before_that[1:] = before[:-1]
         before_that[begins] = start
-        base = start + 1
+        base = len(self.number)
         bigrams, self.bigram_of_token = grouped(before * base + self.tokens)
-        self.v, self.w = bigrams // base, bigrams % base
+        self.v = bigrams // base
+        self.w = bigrams - self.v * base
         trigrams, self.trigram_of_token = grouped(self.bigram_of_token * base + before_that)
-        self.bigram, self.u = trigrams // base, trigrams % base
+        self.bigram = trigrams // base
+        self.u = trigrams - self.bigram * base
 
     def counted(self, of_token: np.ndarray, n: int) -> np.ndarray:
         """How often each n-gram is in the block's training documents."""
@@ -231,7 +294,7 @@ class Asked:
     """
 
     def __init__(self, grams: Grams, shards: int, shard_tokens: int):
-        dealt_over = -(-grams.context_everywhere[grams.v] // shard_tokens)
+        dealt_over = -(-grams.context_everywhere // shard_tokens)[grams.v]
         # A context that no training document holds needs no answer.
         known = grams.context[grams.v] > 0
         three = np.flatnonzero(known[grams.bigram])
@@ -240,10 +303,8 @@ class Asked:
         u = np.concatenate([grams.number[grams.u[three]], np.full(len(two), -1)])
         v, w = grams.number[grams.v[of]], grams.number[grams.w[of]]
         shard = _spread(v, np.where(u >= 0, u, w) % np.maximum(dealt_over[of], 1), shards)
-        # By shard, then v, then w, so that v and w are sent as small steps.
-        rank = np.empty(len(grams.v), np.int64)
-        rank[np.lexsort((grams.number[grams.w], grams.number[grams.v]))] = np.arange(len(grams.v))
-        order = placed(shard * len(grams.v) + rank[of])
+        # By shard, then v, then w, as the bigrams are, so that v and w are sent as small steps.
+        order = placed(shard * len(grams.v) + of)
         self.u, self.v, self.w, self.shard, self.of = u[order], v[order], w[order], shard[order], of[order]
         self.place = np.concatenate([three, len(grams.u) + two])[order]
         self.dealt = dealt_over[self.of] > 1
@@ -294,88 +355,100 @@ def questions(blocks: DataFrame, shards: int, shard_tokens: int) -> DataFrame:
     return blocks.mapInArrow(run, QUESTION)
 
 
-def _merged(keys: tuple[np.ndarray, ...], n: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
-    """Distinct rows of sort keys (0 or more), the first the main one; the sums of n; and the order that sorts them."""
-    if not len(n):
-        return keys, n, n
-    spans = [int(k.max()) + 1 for k in keys]
-    if math.prod(spans) < 1 << 62:
-        whole = keys[0]
-        for key, span in zip(keys[1:], spans[1:]):
-            whole = whole * span + key
-        order = placed(whole)
-        whole = whole[order]
-        new = np.flatnonzero(np.append(True, whole[1:] != whole[:-1]))
-    else:
-        order = np.lexsort(keys[::-1])
-        new = np.flatnonzero(np.append(True, np.any([np.diff(k[order]) != 0 for k in keys], axis=0)))
-    return tuple(k[order[new]] for k in keys), np.add.reduceat(n[order], new), order
+class Levels:
+    """The n-grams asked of a shard, each once and sorted, as the levels of the trie are: v, then w or u below it, then both.
+
+    ``bigram``, ``context`` and ``trigram`` say which of them each question is, the latter two for the
+    questions ``three``, which have a u (others have -1).
+    """
+
+    def __init__(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, roots: np.ndarray):
+        """``roots`` are all v, sorted."""
+        self.roots = roots
+        # Questions come in the order of v: what repeats is looked up once.
+        new = np.append(True, v[1:] != v[:-1])[: len(v)]
+        root = np.searchsorted(roots, v[new])[np.cumsum(new) - 1]
+        self.three = np.flatnonzero(u >= 0)
+        self.span = int(max(w.max(initial=0), u.max(initial=0))) + 1
+        bigrams, self.bigram = grouped(root * self.span + w)
+        self.bigram_root = bigrams // self.span
+        self.w = bigrams - self.bigram_root * self.span
+        contexts, self.context = grouped((root * self.span + u)[self.three])
+        self.context_root = contexts // self.span
+        self.u = contexts - self.context_root * self.span
+        trigrams, self.trigram = grouped(self.context * max(1, len(bigrams)) + self.bigram[self.three])
+        self.trigram_context = trigrams // max(1, len(bigrams))
+        self.trigram_bigram = trigrams - self.trigram_context * len(bigrams)
+
+
+def _total(of: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount(of, n, size).astype(np.int64)
 
 
 class Trie:
     """A shard's levels, built of counted n-grams and then searched."""
 
-    def __init__(
-        self, u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, roots: np.ndarray, counted: np.ndarray
-    ):
-        """``roots`` are all v, sorted, and ``counted`` their counts, negative where they are dealt over shards."""
-        seen = n > 0
-        u, v, w, n = u[seen], np.searchsorted(roots, v[seen]), w[seen], n[seen]
+    def __init__(self, asked: Levels, n: np.ndarray, counted: np.ndarray):
+        """``n`` counts each question, ``counted`` each root, negative where it is dealt over shards."""
         count, dealt = np.abs(counted).astype(np.float64), counted < 0
+        self.span = asked.span
         # Bigrams: of words dealt over shards those sent as such, of others all that trigrams hold.
-        own = np.where(dealt[v] & (u >= 0), 0, n)
-        (b_v, b_w), b_n, _ = _merged((v, w), own)
-        self.span = int(w.max()) + 1 if len(w) else 1
-        self.span = max(self.span, int(u.max()) + 1 if len(u) else 1)
+        held = _total(asked.bigram, n, len(asked.w))
+        alone = n.copy()
+        alone[asked.three] = 0
+        own = np.where(dealt[asked.bigram_root], _total(asked.bigram, alone, len(asked.w)), held)
+        b_seen = held > 0
+        b_root, b_n = asked.bigram_root[b_seen], own[b_seen]
         with np.errstate(divide="ignore"):
-            b_code = np.where(b_n > 0, _code(np.maximum(b_n, 1) / (count[b_v] + PRIOR_2)), NONE).astype("<u2")
-        first = np.searchsorted(b_v, np.arange(len(roots) + 1))
-        three = u >= 0
-        (t_v, t_u, t_w), t_n, _ = _merged((v[three], u[three], w[three]), n[three])
-        new = np.append(True, (t_v[1:] != t_v[:-1]) | (t_u[1:] != t_u[:-1]))[: len(t_n)]
-        c_v, c_u, context = t_v[new], t_u[new], np.cumsum(new) - 1
-        c_n = np.add.reduceat(t_n, np.flatnonzero(new)) if len(t_n) else t_n
-        place = np.searchsorted(b_v * self.span + b_w, t_v * self.span + t_w) - first[t_v]
+            b_code = np.where(b_n > 0, _code(np.maximum(b_n, 1) / (count[b_root] + PRIOR_2)), NONE).astype("<u2")
+        first = np.searchsorted(b_root, np.arange(len(asked.roots) + 1))
+        t_n = _total(asked.trigram, n[asked.three], len(asked.trigram_bigram))
+        t_seen = t_n > 0
+        t_n, t_bigram, t_context = t_n[t_seen], asked.trigram_bigram[t_seen], asked.trigram_context[t_seen]
+        c_n = _total(t_context, t_n, len(asked.u))
+        c_seen = c_n > 0
+        place = (np.cumsum(b_seen) - 1)[t_bigram] - first[asked.bigram_root[t_bigram]]
         self.width = int(place.max()) + 1 if len(place) else 1
         levels = {
-            "roots": roots,
+            "roots": asked.roots,
             "firsts": first,
-            "successors": b_v * self.span + b_w,
-            "contexts": c_v * self.span + c_u,
+            "successors": b_root * self.span + asked.w[b_seen],
+            "contexts": asked.context_root[c_seen] * self.span + asked.u[c_seen],
             # Places follow w, so they rise within a context.
-            "deep": context * self.width + place,
+            "deep": (np.cumsum(c_seen) - 1)[t_context] * self.width + place,
         }
         codes = {
             "own_2": b_code,
-            "weight_3": _code(PRIOR_3 / (c_n + PRIOR_3)),
-            "own_3": _code(np.maximum(t_n, 1) / (c_n[context] + PRIOR_3)) if len(t_n) else np.zeros(0, "<u2"),
+            "weight_3": _code(PRIOR_3 / (c_n[c_seen] + PRIOR_3)),
+            "own_3": _code(t_n / (c_n[t_context] + PRIOR_3)),
         }
         stored = {f"{name}.{k}": x for name, values in levels.items() for k, x in Monotone.arrays(values).items()}
         self.mapped = Mapped(stored | codes)
         self.levels = {name: self.mapped.monotone(name) for name in levels}
 
-    def answer(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def answer(self, asked: Levels) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Codes of p's own part of order 2, own part of order 3, and weight of the context (u, v)."""
         level, codes = self.levels, self.mapped.arrays
-        # Questions come in the order of v, then w: what repeats is searched once.
-        new = np.append(True, v[1:] != v[:-1])
-        root = level["roots"].find(v[new])[np.cumsum(new) - 1]
-        new = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])))
-        bigram = level["successors"].find((root * self.span + w)[new], ((root >= 0) & (w < self.span))[new])
-        first = level["firsts"].get(np.maximum(root[new], 0))
-        place = np.where(bigram >= 0, bigram - first, -1)
-        times = np.diff(np.append(new, len(v)))
-        bigram, place = np.repeat(bigram, times), np.repeat(place, times)
-        context = level["contexts"].find(root * self.span + u, (root >= 0) & (u >= 0) & (u < self.span))
-        inside = (context >= 0) & (place >= 0) & (place < self.width)
-        deep = level["deep"].find(context * self.width + place, inside)
+        # Each n-gram is searched once, in the order of its level.
+        root = level["roots"].find(asked.roots)
+        first = level["firsts"].get(np.maximum(root, 0))
+        at = root[asked.bigram_root]
+        bigram = level["successors"].find(at * self.span + asked.w, (at >= 0) & (asked.w < self.span))
+        place = np.where(bigram >= 0, bigram - first[asked.bigram_root], -1)
+        at = root[asked.context_root]
+        context = level["contexts"].find(at * self.span + asked.u, (at >= 0) & (asked.u < self.span))
+        above, below = context[asked.trigram_context], place[asked.trigram_bigram]
+        deep = level["deep"].find(above * self.width + below, (above >= 0) & (below >= 0) & (below < self.width))
 
         def coded(name: str, at: np.ndarray) -> np.ndarray:
             out = np.full(len(at), NONE, "<u2")
             out[at >= 0] = codes[name][at[at >= 0]]
             return out
 
-        return coded("own_2", bigram), coded("own_3", deep), coded("weight_3", context)
+        own_3, weight_3 = (np.full(len(asked.bigram), NONE, "<u2") for _ in range(2))
+        own_3[asked.three] = coded("own_3", deep)[asked.trigram]
+        weight_3[asked.three] = coded("weight_3", context)[asked.context]
+        return coded("own_2", bigram)[asked.bigram], own_3, weight_3
 
 
 ANSWER = "of long, shard long, own_2 binary, own_3 binary, weight_3 binary"
@@ -390,8 +463,10 @@ def answers(asked: DataFrame) -> DataFrame:
         readers += (lambda x: unpack(x, "<i8"),)
         read = {x: [reader(r[x]) for r in rows] for x, reader in zip(NUMBERS, readers)}
         v, w, u, n, contexts, counted = (np.concatenate(read[x]).astype(np.int64) for x in NUMBERS)
-        trie = Trie(u, v, w, n, *_merged((contexts, counted), np.ones_like(contexts))[0])
-        found = trie.answer(u, v, w)
+        # A context's count is the same in all rows, and negative where it is dealt: no sort key.
+        roots, first = np.unique(contexts, return_index=True)
+        levels = Levels(u, v, w, roots)
+        found = Trie(levels, n, counted[first]).answer(levels)
         ends = np.cumsum([len(x) for x in read["v"]])[:-1]
         cut = [np.split(x, ends) for x in found]
         return pa.table(
@@ -457,10 +532,10 @@ def scored(
 def lm_scores(docs: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """The model's and the base score of every document, learned from those that are not held out."""
     plain = stage(token_blocks(docs), "tokens")
-    words = stage(vocabulary(plain), "words")
-    first = words.where("first")
-    total = first.agg(F.sum("learned"), F.count_if(F.col("learned") > 0), F.sum("everywhere")).first()
-    tokens, distinct, everywhere = (x or 0 for x in total)
+    total = plain.agg(*[F.sum(x) for x in ("n_words", "learned", "everywhere")]).first()
+    rows, tokens, everywhere = (x or 0 for x in total)
+    words = stage(vocabulary(plain, max(1, -(-rows // BUCKET_ROWS))), "words")
+    distinct = words.agg(F.sum("distinct")).first()[0] or 0
     blocks = stage(numbered_blocks(plain, words), "numbered")
     release(plain, words)
     shards = max(1, -(-everywhere // shard_tokens))

@@ -11,6 +11,7 @@ import pytest
 from helpers import edge_rows, frame, prose, row
 
 from spanledger.llm import elias_fano, lm_scoring
+from spanledger.llm.blocks import pack, pack_steps, unpack
 
 COLUMNS = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
@@ -91,6 +92,62 @@ def test_blocks_of_any_size_give_the_model(spark, monkeypatch):
     assert sorted(ours(spark, rows), key=repr) == whole
 
 
+def test_words_are_counted_by_rows_of_many_words(spark):
+    """A row for each block and bucket; a row for each word of a block took a seventh of the time."""
+    rows = corpus()
+    blocks = lm_scoring.token_blocks(frame(spark, rows).repartition(5)).localCheckpoint()
+    found = lm_scoring.vocabulary(blocks, 3).collect()
+    assert len(found) <= 3 * blocks.count()
+    learned, everywhere = Counter(), Counter()
+    for r in rows:
+        fold = zlib.crc32(str(r["doc_id"]).encode()) % 7
+        for w in [*(r["text"] or "").encode().lower().split(), b""]:
+            everywhere[w] += 1
+            learned[w] += fold != 2
+    words = {r["block"]: r["words"].split(b" ") for r in blocks.collect()}
+    numbers = {}
+    for r in found:
+        parts = [unpack(r[x], "<i8").tolist() for x in ("place", "number", "learned", "everywhere")]
+        for place, number, *counts in zip(*parts):
+            word = words[r["of"]][place]
+            assert numbers.setdefault(word, number) == number
+            assert counts == [learned[word], everywhere[word]]
+    assert set(numbers) == set(everywhere) and len(set(numbers.values())) == len(numbers) and min(numbers.values()) > 0
+    assert sum(r["distinct"] for r in found) == sum(n > 0 for n in learned.values())
+
+
+def asked(spark, *rows):
+    """Questions to one shard: for each block its (v, w, u, n), sorted, and counts of its contexts."""
+    made = []
+    for of, (grams, contexts) in enumerate(rows):
+        v, w, u, n = (np.array(x) for x in zip(*grams))
+        places, counted = (np.array(x) for x in zip(*contexts))
+        made.append((of, 0, pack_steps(v), pack_steps(w), pack(u, "<i8"), pack(n, "<i4"), pack_steps(places), pack(counted, "<i8")))
+    return spark.createDataFrame(made, lm_scoring.QUESTION).coalesce(1)
+
+
+def test_a_word_dealt_over_shards_beside_its_neighbours(spark):
+    """Counts of dealt words are negative; as part of a sort key they put word 11 before word 10."""
+    (found,) = lm_scoring.answers(asked(spark, ([(10, 3, 2, 5), (11, 4, -1, 7)], [(10, 5), (11, -100)]))).collect()
+    code = lambda p: int(lm_scoring._code(np.array([p]))[0])
+    assert unpack(found["own_2"], "<u2").tolist() == [code(5 / 205), code(7 / 300)]
+    assert unpack(found["own_3"], "<u2").tolist() == [code(5 / 55), lm_scoring.NONE]
+    assert unpack(found["weight_3"], "<u2").tolist() == [code(50 / 55), lm_scoring.NONE]
+
+
+def test_what_several_blocks_ask_is_searched_once(monkeypatch):
+    searched = []
+    find = elias_fano.Monotone.find
+    monkeypatch.setattr(elias_fano.Monotone, "find", lambda self, values, *a: searched.append(len(values)) or find(self, values, *a))
+    # Five blocks, each with the bigrams (1, 1) and (1, 2) behind the words 1 and 2.
+    u, v, w = np.tile([1, 2, 1, 2], 5), np.ones(20, np.int64), np.tile([1, 1, 2, 2], 5)
+    levels = lm_scoring.Levels(u, v, w, np.array([1]))
+    own_2, own_3, weight_3 = lm_scoring.Trie(levels, np.ones(20, np.int64), np.array([20])).answer(levels)
+    assert searched == [1, 2, 2, 4]
+    code = lambda p: lm_scoring._code(np.array([p]))[0]
+    assert set(own_2) == {code(10 / 220)} and set(own_3) == {code(5 / 60)} and set(weight_3) == {code(50 / 60)}
+
+
 def test_without_texts_to_learn_from(spark):
     assert ours(spark, []) == []
     held = [k for k in range(200) if zlib.crc32(str(k).encode()) % 7 == 2][:3]
