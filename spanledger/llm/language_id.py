@@ -69,17 +69,17 @@ def dictionaries(labelled: DataFrame) -> list[tuple[str, bytes]]:
     counts = (
         labelled.where("lang is not null")
         .groupBy("lang")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("n"), F.approx_count_distinct("text").alias("n_texts"))
         .orderBy(F.desc("n"), "lang")
         .collect()
     )
     if not counts:
         return []
     size = max(LEAST, min(DICTIONARY_BYTES, TOTAL_BYTES // len(counts)))
-    # Twice the number wanted passes the threshold, so that hardly ever fewer than wanted do.
+    # Of the different texts twice the number wanted pass the threshold, so that hardly ever fewer than wanted do.
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     shares = labelled.sparkSession.createDataFrame(
-        [(row.lang, min(1.0, max(2 * SAMPLE_DOCS, FEW) / row.n)) for row in counts], "of string, share double"
+        [(row.lang, min(1.0, max(2 * SAMPLE_DOCS, FEW) / max(1, row.n_texts))) for row in counts], "of string, share double"
     )
     ranked = Window.partitionBy("lang").orderBy("place", "digest")
     # Equal texts are combined in each task before they move, and no more of a text than fits does.
