@@ -11,7 +11,8 @@ Neither vocabulary merges over a lone space between other characters (checked
 when it is loaded; where it could, whole texts are encoded at once).  So the ids
 of a text are those of its chunks, cut before such spaces, and the ids, anchors
 and windows of chunks met before are remembered: a chunk's first tokens are space
-marked, and its bytes are compared with what its tokens stand for.
+marked, and its bytes are compared with what its tokens stand for.  New chunks of one
+window are aligned many at a time.
 
 How many documents hold an id pair is counted over the corpus: a block of
 documents (``blocks``) sends each distinct pair once with its number of
@@ -37,7 +38,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import accumulate, chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,8 @@ CHUNK_BYTES, WINDOW_IDS = 12_000_000, 1_000_000
 PART_PAIRS = 1_000_000
 #: Bytes of texts that are encoded in one call.
 BATCH_BYTES = 1 << 20
+#: Chunks that are encoded and aligned at a time, and those encoded as one text.
+LEARN_CHUNKS, JOINED_CHUNKS = 30_000, 256
 
 SPACE_MARK = "▁"
 #: A lone space that something else follows; Python's white space holds all of the tokenizer's.
@@ -106,6 +109,12 @@ def _ends(ids: Sequence[int], sizes: list[int]) -> list[int]:
     return list(accumulate(map(sizes.__getitem__, ids)))
 
 
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids one after the other, and their lengths."""
+    counts = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int64, int(counts.sum())), counts
+
+
 def aligned(a: Sequence[int], b: Sequence[int], a_ends: list[int], b_ends: list[int]) -> Window:
     """The same of the tokens and where they end."""
     if len(a) == len(b) == 1:
@@ -171,6 +180,9 @@ class Aligner:
         self.a_token, self.b_token = self.a_bytes.__getitem__, self.b_bytes.__getitem__
         self.a_lengths, self.b_lengths = self.a_sizes.tolist(), self.b_sizes.tolist()
         self.a_spaced, self.b_spaced = (np.array([t[:1] == b" " for t in ts]) for ts in (self.a_bytes, self.b_bytes))
+        # Every id as it is written with a comma, a bar or a semicolon behind it.
+        self.written = [f"{i}{sign}" for i in range(max(len(self.a_bytes), len(self.b_bytes))) for sign in ",|;"]
+        self.written_sizes = np.array([len(x) for x in self.written], np.int64)
         # A merge over the border would make a piece with a space behind another character.
         self.cut = CUT.split if words_apart and not any(b" " in t.lstrip(b" ") for t in self.b_bytes) else None
         self.windows: dict[tuple, Window] = {}
@@ -193,21 +205,109 @@ class Aligner:
             if chunk in self.old_chunks:
                 self.remember(chunk, self.old_chunks[chunk])
         new = [c for c in new if c not in self.chunks]
-        spaced = [c if c[:1] == " " else " " + c for c in new]
-        first = self.a.encode_batch_fast(spaced, add_special_tokens=False)
-        second = self.b.encode([c[1:] for c in spaced], num_threads=1)
-        first = [x.ids for x in first]
-        raws = [c.encode() for c in spaced]
-        a_ends = [_ends(x, self.a_lengths) for x in first]
-        b_ends = [_ends(y, self.b_lengths) for y in second]
-        # All chunks at once: where every one ends where its tokens do, one comparison holds for each.
-        sound = (
-            all([x and y and x[-1] == y[-1] == len(raw) for raw, x, y in zip(raws, a_ends, b_ends)])
-            and (whole := b"".join(raws)) == b"".join(map(self.a_token, chain.from_iterable(first)))
-            and whole == b"".join(map(self.b_token, chain.from_iterable(second)))
-        )
-        for chunk, *of in zip(new, raws, first, second, a_ends, b_ends):
-            self.remember(chunk, self.chunk(*of, sound))
+        for begin in range(0, len(new), LEARN_CHUNKS):
+            some = new[begin : begin + LEARN_CHUNKS]
+            for chunk, found in zip(some, self.encoded(some)):
+                self.remember(chunk, found)
+
+    def encoded(self, chunks: list[str]) -> list[Chunk]:
+        """Different chunks encoded and aligned, those of one window and small groups all at once."""
+        raws = [c.encode() for c in chunks]
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+        a, a_counts = self.byte_ids(chunks, sizes)
+        second = self.b.encode([c[1:] for c in chunks], num_threads=1)
+        b, b_counts = _flat(second)
+        # Chunks that may be sound are compared as one; where they differ, one by one.
+        sound = (sums(self.a_sizes[a], a_counts) == sizes) & (sums(self.b_sizes[b], b_counts) == sizes)
+        sound &= np.fromiter([raw.find(b" ", 1) < 0 for raw in raws], bool, len(raws))
+        whole = b"".join(compress(raws, sound))
+        left, right = a[np.repeat(sound, a_counts)], b[np.repeat(sound, b_counts)]
+        if b"".join(map(self.a_token, left.tolist())) != whole or b"".join(map(self.b_token, right.tolist())) != whole:
+            sound[:] = False
+        else:
+            few, found = self.aligned_together(left, right, a_counts[sound], b_counts[sound])
+            sound[sound] = few
+        a_from, b_from = np.cumsum(a_counts) - a_counts, np.cumsum(b_counts) - b_counts
+        out: list[Chunk] = []
+        for k in np.flatnonzero(~sound).tolist():
+            x = a[a_from[k] : a_from[k] + a_counts[k]].tolist()
+            out.append(self.chunk(raws[k], x, second[k], _ends(x, self.a_lengths), _ends(second[k], self.b_lengths)))
+        if not out:
+            return found
+        together, alone = iter(found if sound.any() else []), iter(out)
+        return [next(together) if at_once else next(alone) for at_once in sound.tolist()]
+
+    def byte_ids(self, chunks: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the byte-level tokenizer, one chunk after the other, and their number in each.
+
+        A text that would be cut into just these chunks has their ids, so many chunks are encoded as one
+        text; each of them ends where its bytes do.
+        """
+        texts: list[str] = []
+        for begin in range(0, len(chunks), JOINED_CHUNKS):
+            some = chunks[begin : begin + JOINED_CHUNKS]
+            joined = "".join(some)
+            texts += [joined] if self.cut and self.cut(joined) == some else some
+        ids, counts = _flat([x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)])
+        if len(texts) == len(chunks):
+            return ids, counts
+        ends, to = np.cumsum(self.a_sizes[ids]), np.cumsum(sizes)
+        last = np.searchsorted(ends, to)
+        if last[-1] != len(ids) - 1 or (ends[last] != to).any():
+            return _flat([x.ids for x in self.a.encode_batch_fast(chunks, add_special_tokens=False)])
+        return ids, np.diff(last, prepend=-1)
+
+    def aligned_together(
+        self, a: np.ndarray, b: np.ndarray, a_counts: np.ndarray, b_counts: np.ndarray
+    ) -> tuple[np.ndarray, list[Chunk]]:
+        """``aligned`` of many windows, given one after the other: which have small groups only, and those as chunks."""
+        if not len(a_counts):
+            return np.zeros(0, bool), []
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        ends = np.zeros(int(a_ends[-1]) + 1, np.int8)
+        ends[a_ends] += 1
+        ends[b_ends] += 1
+        # Every window ends with a token of each, so a group lies in one window.
+        a_last, b_last = ends[a_ends] == 2, ends[b_ends] == 2
+        a_to, b_to = np.flatnonzero(a_last) + 1, np.flatnonzero(b_last) + 1
+        a_size, b_size = np.diff(a_to, prepend=0), np.diff(b_to, prepend=0)
+        n_groups = np.diff(np.searchsorted(a_to, np.cumsum(a_counts)), prepend=-1)
+        n_pairs = a_size * b_size
+        few = sums(n_pairs > FEW_LINKS, n_groups) == 0
+        if not few.all():
+            left, right = np.repeat(few, a_counts), np.repeat(few, b_counts)
+            return few, self.aligned_together(a[left], b[right], a_counts[few], b_counts[few])[1]
+
+        # As text: the tokens of a group in order, each with what follows it.
+        codes = np.empty(len(a) + len(b), np.int64)
+        a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+        codes[np.arange(len(a)) + (b_to - b_size)[a_group]] = a * 3 + a_last
+        codes[np.arange(len(b)) + a_to[b_group]] = b * 3 + 2 * b_last
+        text = "".join(map(self.written.__getitem__, codes.tolist()))
+        text_to = np.cumsum(sums(self.written_sizes[codes], a_counts + b_counts))
+
+        # Pairs of the groups, sorted in each window, and how often each is there.
+        group = np.repeat(np.arange(len(n_pairs)), n_pairs)
+        row, column = np.divmod(np.arange(len(group)) - (np.cumsum(n_pairs) - n_pairs)[group], b_size[group])
+        x, y = a[(a_to - a_size)[group] + row], b[(b_to - b_size)[group] + column]
+        window = np.repeat(np.arange(len(few)), sums(n_pairs, n_groups))
+        keys = np.sort((window * len(self.a_sizes) + x) * len(self.b_sizes) + y)
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        links = np.diff(first, append=len(keys))
+        window, pair = np.divmod(keys[first], len(self.a_sizes) * len(self.b_sizes))
+        x, y = np.divmod(pair, len(self.b_sizes))
+        n_distinct = np.bincount(window, minlength=len(few))
+        repeated = sums(links > 1, n_distinct).tolist()
+        pairs, links = (x << 32 | y).tobytes(), links.tobytes()
+        pairs_to = (8 * np.cumsum(n_distinct)).tolist()
+        out: list[Chunk] = []
+        at = begin = 0
+        for n_a, n_b, to, n, end, more in zip(
+            a_counts.tolist(), b_counts.tolist(), text_to.tolist(), n_groups.tolist(), pairs_to, repeated
+        ):
+            out.append((n_a, n_b, text[at : to - 1], n, pairs[begin:end], links[begin:end] if more else b""))
+            at, begin = to, end
+        return few, out
 
     def remember(self, text: str, chunk: Chunk) -> None:
         if self.chunk_size > CHUNK_BYTES:
@@ -223,14 +323,9 @@ class Aligner:
             found = self.chunks[text]
         return found
 
-    def chunk(
-        self, raw: bytes, a: list[int], b: list[int], a_ends: list[int], b_ends: list[int], sound: bool
-    ) -> Chunk:
-        """Tokens of each, groups as text, number of groups, links; no groups where the bytes differ.
-
-        ``sound`` where they are known not to.
-        """
-        if not sound and (b"".join(map(self.a_token, a)) != raw or b"".join(map(self.b_token, b)) != raw):
+    def chunk(self, raw: bytes, a: list[int], b: list[int], a_ends: list[int], b_ends: list[int]) -> Chunk:
+        """Tokens of each, groups as text, number of groups, links; no groups where the bytes differ."""
+        if b"".join(map(self.a_token, a)) != raw or b"".join(map(self.b_token, b)) != raw:
             return 0, 0, "", 0, b"", b""
         i, j = self.anchors(a, b) if raw.find(b" ", 1) > 0 else ([0, len(a)], [0, len(b)])
         if len(i) == 2:

@@ -183,3 +183,45 @@ def test_holders_of_pairs_are_counted_in_parts_of_any_size(monkeypatch):
         assert alignment.holders(docs, chunks, sizes, of, 40).tolist() == whole
     nothing = np.zeros(0, np.int64)
     assert alignment.holders(nothing, nothing, nothing, nothing, 0).tolist() == []
+
+
+def test_new_chunks_are_encoded_and_aligned_together(monkeypatch):
+    """A call for each of them took most of the time."""
+    kit = alignment.Aligner(BYTE_VOCABULARY, PIECE_VOCABULARY)
+    tokenizer, alone, texts, one = kit.a, [], [], alignment.aligned
+
+    class Seen:
+        def encode_batch_fast(self, batch, **options):
+            texts.extend(batch)
+            return tokenizer.encode_batch_fast(batch, **options)
+
+    kit.a = Seen()
+    monkeypatch.setattr(alignment, "aligned", lambda *of: alone.append(of) or one(*of))
+    kit.learn([kit.split(" ".join(f"word{k}ing{k * k}," for k in range(2000)))])
+    assert len(kit.chunks) == 2000 and len(texts) <= 2000 // alignment.JOINED_CHUNKS + 1 and not alone
+
+
+@pytest.mark.parametrize("few", [1, 6, 64])
+def test_chunks_together_equal_each_alone(monkeypatch, few):
+    """Any mixture of sound and unsound chunks, of one and several windows, of small and long groups."""
+    monkeypatch.setattr(alignment, "FEW_LINKS", few)
+    monkeypatch.setattr(alignment, "JOINED_CHUNKS", 7)
+    kit = alignment.Aligner(BYTE_VOCABULARY, PIECE_VOCABULARY)
+    rng = random.Random(8)
+    parts = ["a", "It's", "unbelievable", "12", "3.5", "é", "漢字", "!?", "<s>", "\x00", "🤯", "=" * 70, "\n", "\xa0", "ﬁ", "▁", "  ", "haha" * 30, "zx" * 9]
+    chunks = list({" " + "".join(rng.choice(parts) for _ in range(rng.randint(0, 6))): None for _ in range(1500)})
+    sound = [c for c in chunks if not {"▁", " "} & set(c[1:])]
+
+    def counted(chunk):
+        pairs = np.frombuffer(chunk[4], "<i8").tolist()
+        links = np.frombuffer(chunk[5], "<i8").tolist() or [1] * len(pairs)
+        assert len(set(pairs)) == len(pairs) == len(links)
+        return *chunk[:4], dict(zip(pairs, links))
+
+    for some in (chunks, sound, sound[:1], chunks[::-1]):
+        expected = []
+        for c in some:
+            a, b = kit.a.encode(c, add_special_tokens=False).ids, kit.b.encode(c[1:])
+            a_ends, b_ends = alignment._ends(a, kit.a_lengths), alignment._ends(b, kit.b_lengths)
+            expected.append(counted(kit.chunk(c.encode(), a, b, a_ends, b_ends)))
+        assert [counted(c) for c in kit.encoded(some)] == expected
