@@ -200,15 +200,24 @@ class Aligner:
 
     def learn(self, texts: list[list[str]]) -> None:
         """Encode and align the chunks of some texts that are not known yet."""
-        new = list({c: None for chunks in texts for c in chunks if c not in self.chunks})
-        for chunk in new:
-            if chunk in self.old_chunks:
-                self.remember(chunk, self.old_chunks[chunk])
-        new = [c for c in new if c not in self.chunks]
+        self.known(list({c: None for chunks in texts for c in chunks if c not in self.chunks}))
+
+    def known(self, chunks: list[str]) -> list[Chunk]:
+        """Different chunks as remembered; those that are not are encoded and aligned."""
+        found = list(map(self.chunks.get, chunks))
+        new = []
+        for k in [k for k, chunk in enumerate(found) if chunk is None]:
+            if chunk := self.old_chunks.get(chunks[k]):
+                found[k] = chunk
+                self.remember(chunks[k], chunk)
+            else:
+                new.append(k)
         for begin in range(0, len(new), LEARN_CHUNKS):
-            some = new[begin : begin + LEARN_CHUNKS]
-            for chunk, found in zip(some, self.encoded(some)):
-                self.remember(chunk, found)
+            places = new[begin : begin + LEARN_CHUNKS]
+            for k, chunk in zip(places, self.encoded([chunks[k] for k in places])):
+                found[k] = chunk
+                self.remember(chunks[k], chunk)
+        return found
 
     def encoded(self, chunks: list[str]) -> list[Chunk]:
         """Different chunks encoded and aligned, those of one window and small groups all at once."""
@@ -315,14 +324,6 @@ class Aligner:
         self.chunks[text] = chunk
         self.chunk_size += len(text) + len(chunk[2])
 
-    def known(self, text: str) -> Chunk:
-        """A chunk that has been learned with the texts at hand."""
-        found = self.chunks.get(text) or self.old_chunks.get(text)
-        if found is None:
-            self.learn([[text]])
-            found = self.chunks[text]
-        return found
-
     def chunk(self, raw: bytes, a: list[int], b: list[int], a_ends: list[int], b_ends: list[int]) -> Chunk:
         """Tokens of each, groups as text, number of groups, links; no groups where the bytes differ."""
         if b"".join(map(self.a_token, a)) != raw or b"".join(map(self.b_token, b)) != raw:
@@ -405,13 +406,13 @@ class Block:
         self.size = 0
 
     def add(self, doc_id, chunks: list[str]) -> None:
-        """``chunks`` have been learned."""
+        """``chunks`` have been learned with those of the texts at hand."""
         self.ids.append(doc_id)
         own = list(map(self.numbers.__getitem__, chunks))
         if len(self.numbers) > len(self.found):
-            for text in self.numbers.keys_in_order[len(self.found) :]:
-                self.found.append(self.kit.known(text))
-                self.groups.append(self.found[-1][2])
+            new = self.kit.known(self.numbers.keys_in_order[len(self.found) :])
+            self.found += new
+            self.groups += [chunk[2] for chunk in new]
         groups = list(map(self.groups.__getitem__, own))
         if not all(groups):
             own, groups = [], []

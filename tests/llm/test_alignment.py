@@ -225,3 +225,17 @@ def test_chunks_together_equal_each_alone(monkeypatch, few):
             a_ends, b_ends = alignment._ends(a, kit.a_lengths), alignment._ends(b, kit.b_lengths)
             expected.append(counted(kit.chunk(c.encode(), a, b, a_ends, b_ends)))
         assert [counted(c) for c in kit.encoded(some)] == expected
+
+
+def test_chunks_that_a_text_makes_forgotten_are_learned_again_together(monkeypatch):
+    """A text with more different chunks than a worker remembers."""
+    monkeypatch.setattr(alignment, "CHUNK_BYTES", 2000)
+    kit = alignment.Aligner(BYTE_VOCABULARY, PIECE_VOCABULARY)
+    text = " ".join(f"w{k}ord" for k in range(1000))
+    chunks, calls, encoded = kit.split(text), [], kit.encoded
+    kit.learn([chunks])
+    assert len(kit.chunks) + len(kit.old_chunks) < 1000
+    kit.encoded = lambda some: calls.append(len(some)) or encoded(some)
+    block = alignment.Block(kit)
+    block.add(0, chunks)
+    assert block.digests == [r[-1] for r in plain([row(0, text)])] and len(calls) == 1
