@@ -200,10 +200,10 @@ class Aligner:
 
     def learn(self, texts: list[list[str]]) -> None:
         """Encode and align the chunks of some texts that are not known yet."""
-        self.known(list({c: None for chunks in texts for c in chunks if c not in self.chunks}))
+        self.known(list(dict.fromkeys(chain.from_iterable(texts))))
 
     def known(self, chunks: list[str]) -> list[Chunk]:
-        """Different chunks as remembered; those that are not are encoded and aligned."""
+        """Different chunks as remembered; those not known yet are encoded and aligned."""
         found = list(map(self.chunks.get, chunks))
         new = []
         for k in [k for k, chunk in enumerate(found) if chunk is None]:
@@ -402,23 +402,30 @@ class Block:
         self.numbers = Numbers()
         self.found: list[Chunk] = []
         self.groups: list[str] = []
+        #: Chunks without groups: a text that holds one has no tokens.
+        self.spoiling: set[int] = set()
         self.texts: list[np.ndarray] = []
         self.size = 0
 
     def add(self, doc_id, chunks: list[str]) -> None:
-        """``chunks`` have been learned with those of the texts at hand."""
-        self.ids.append(doc_id)
-        own = list(map(self.numbers.__getitem__, chunks))
-        if len(self.numbers) > len(self.found):
-            new = self.kit.known(self.numbers.keys_in_order[len(self.found) :])
-            self.found += new
-            self.groups += [chunk[2] for chunk in new]
-        groups = list(map(self.groups.__getitem__, own))
-        if not all(groups):
-            own, groups = [], []
-        self.digests.append(hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else "")
-        self.texts.append(np.array(own, np.int64))
-        self.size += len(own)
+        self.add_all([doc_id], [chunks])
+
+    def add_all(self, ids: list, texts: list[list[str]]) -> None:
+        """Documents by their chunks, which are looked up once, and learned where the block has not met them."""
+        numbered = [list(map(self.numbers.__getitem__, chunks)) for chunks in texts]
+        for chunk in self.kit.known(self.numbers.keys_in_order[len(self.found) :]):
+            if not chunk[2]:
+                self.spoiling.add(len(self.found))
+            self.found.append(chunk)
+            self.groups.append(chunk[2])
+        for own in numbered:
+            if self.spoiling and not self.spoiling.isdisjoint(own):
+                own = []
+            groups = ";".join(map(self.groups.__getitem__, own))
+            self.digests.append(hashlib.sha256(groups.encode()).hexdigest() if own else "")
+            self.texts.append(np.array(own, np.int64))
+            self.size += len(own)
+        self.ids += ids
 
     def row(self, number: int, id_kind: pa.DataType) -> pa.RecordBatch:
         pairs = np.frombuffer(b"".join([c[4] for c in self.found]), "<i8")
@@ -466,19 +473,18 @@ def aligned_blocks(docs: DataFrame, byte_path: str, piece_path: str) -> DataFram
             id_kind = batch.column(0).type
             at = 0
             while at < batch.num_rows:
-                ids, texts, size = [], [], 0
-                while at < batch.num_rows and size < BATCH_BYTES:
+                ids, texts, size, tokens = [], [], 0, block.size
+                while at < batch.num_rows and size < BATCH_BYTES and tokens < BLOCK_TOKENS:
                     text = batch.column(1)[at].as_py() or ""
                     ids.append(batch.column(0)[at].as_py())
                     texts.append(kit.split(text))
                     size += len(text)
+                    tokens += len(texts[-1])
                     at += 1
-                kit.learn(texts)
-                for doc_id, chunks in zip(ids, texts):
-                    block.add(doc_id, chunks)
-                    if block.size >= BLOCK_TOKENS:
-                        yield block.row(number, id_kind)
-                        number, block = number + 1, Block(kit)
+                block.add_all(ids, texts)
+                if block.size >= BLOCK_TOKENS:
+                    yield block.row(number, id_kind)
+                    number, block = number + 1, Block(kit)
         if block.ids:
             yield block.row(number, id_kind)
 

@@ -239,3 +239,16 @@ def test_chunks_that_a_text_makes_forgotten_are_learned_again_together(monkeypat
     block = alignment.Block(kit)
     block.add(0, chunks)
     assert block.digests == [r[-1] for r in plain([row(0, text)])] and len(calls) == 1
+
+
+def test_chunks_of_a_block_are_looked_up_in_the_memory_once():
+    """A worker's memory is asked for the chunks that a block has not met, not for every one of a text."""
+    kit = alignment.Aligner(BYTE_VOCABULARY, PIECE_VOCABULARY)
+    known, asked = kit.known, []
+    kit.known = lambda some: asked.extend(some) or known(some)
+    texts = ["the cat sat on the mat, the cat", "a b", "", "the mat, the hat", "the a▁b cat"]
+    block = alignment.Block(kit)
+    block.add_all([0, 1, 2], [kit.split(t) for t in texts[:3]])
+    block.add_all([3, 4], [kit.split(t) for t in texts[3:]])
+    assert sorted(asked) == sorted({c for t in texts for c in kit.split(t)})
+    assert block.ids == [0, 1, 2, 3, 4] and block.digests == [r[-1] for r in plain([row(k, t) for k, t in enumerate(texts)])]
